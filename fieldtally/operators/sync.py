@@ -61,15 +61,16 @@ def merge_awards(current: DataFrame, build: DataFrame, as_of) -> DataFrame:
     )
 
 
-def rebuild(df: DataFrame, name: str, version: str) -> DataFrame:
-    """Write a new version of a derived table beside the old one, then let the view ``name`` show it.
+def rebuild(df: DataFrame, name: str, version: str, folder: str) -> DataFrame:
+    """Write a new version of a derived table beside the old ones, then let the view ``name`` show it.
 
-    Readers see either the old or the new version; earlier versions stay until they are dropped.
+    Readers see either the old or the new version; earlier versions stay until they are removed.
+    ``folder`` is shared storage.
     """
     if not re.fullmatch(r"\w+", version):
         raise ValueError("version may hold letters, digits and underscores only")
     spark = df.sparkSession
-    table = f"{name}__{version}"
-    df.write.mode("overwrite").format("parquet").saveAsTable(table)
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {table}")
+    path = f"{folder.rstrip('/')}/{name}/{version}"
+    df.write.mode("overwrite").parquet(path)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
     return spark.table(name)

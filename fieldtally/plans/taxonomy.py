@@ -171,9 +171,9 @@ def trait_index(taxa: DataFrame, values: DataFrame, many: dict[int, str], single
     return out.join(designations_of(designations), "taxon_id", "left").join(others, "taxon_id", "left")
 
 
-def trait_index_rebuild(index: DataFrame, name: str, version: str) -> DataFrame:
+def trait_index_rebuild(index: DataFrame, name: str, version: str, folder: str) -> DataFrame:
     """Store a freshly built index as the next version of ``name``."""
-    return rebuild(index, name, version)
+    return rebuild(index, name, version, folder)
 
 
 LIST_PREFIX = "Country List - "

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.attributes import json_attr
 from ..operators import filters
@@ -125,7 +125,9 @@ def sent_notices(spark, path: str, empty: DataFrame | None = None) -> DataFrame
     """Notices written so far, or ``empty`` before the first batch."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return empty
 
 
