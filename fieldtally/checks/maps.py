@@ -1 +1,449 @@
-"""Jobs."""
+"""Spatial operators and map jobs. Coordinates come from key arithmetic, so the twins are plain inequalities."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..functions.geo_arrow import grid_to_lonlat, lonlat_to_grid, simplified
+from ..operators import spatial
+from ..plans import sites
+from .registry import query
+
+IN_BOX = "{p}.x BETWEEN b.xmin AND b.xmax AND {p}.y BETWEEN b.ymin AND b.ymax"
+IN_WEDGE = "{p}.x >= b.xmin AND {p}.y >= b.ymin AND ({p}.x - b.xmin) + ({p}.y - b.ymin) <= 250"
+
+
+# ---- operators -----------------------------------------------------------------------
+
+
+@query(
+    "points_strictly_inside",
+    "G1 G2",
+    "SELECT p.user_id, b.region_id FROM people p JOIN boxes b ON p.x > b.xmin AND p.x < b.xmax AND p.y > b.ymin AND p.y < b.ymax",
+)
+def _(t):
+    return spatial.tag_points(t.people.select("user_id", "x", "y"), t.regions, boundary=False).select("user_id", "region_id")
+
+
+@query(
+    "point_in_polygon",
+    "G2",
+    f"SELECT p.user_id, b.region_id FROM people p JOIN boxes b ON {IN_WEDGE.format(p='p')}",
+)
+def _(t):
+    return spatial.tag_points(t.people.select("user_id", "x", "y"), t.wedges).select("user_id", "region_id")
+
+
+@query(
+    "polygons_sharing_interior",
+    "G1 G5",
+    """SELECT a.region_id AS left_id, b.region_id AS right_id,
+    CAST((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS DOUBLE) AS shared_area
+    FROM boxes a JOIN boxes b ON a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax""",
+)
+def _(t):
+    shapes = t.boxes.select("region_id", geo.parts("wkt").alias("geom"))
+    left = shapes.select(F.col("region_id").alias("left_id"), F.col("geom").alias("geom_l"))
+    right = shapes.select(F.col("region_id").alias("right_id"), F.col("geom").alias("geom_r"))
+    return spatial.overlapping(left, right).select("left_id", "right_id", F.round("shared_area", 6).alias("shared_area"))
+
+
+@query(
+    "boxes_touching",
+    "G1",
+    """SELECT a.region_id AS left_id, b.region_id AS right_id FROM
+    (SELECT region_id, xmin, ymin, xmin + 200 AS xmax, ymin + 200 AS ymax FROM boxes) a JOIN
+    (SELECT region_id, xmin, ymin, xmin + 200 AS xmax, ymin + 200 AS ymax FROM boxes) b
+    ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax""",
+)
+def _(t):
+    def box(name):
+        x, y = F.col("xmin").cast("double"), F.col("ymin").cast("double")
+        return F.struct(x.alias("xmin"), y.alias("ymin"), (x + 200).alias("xmax"), (y + 200).alias("ymax")).alias(name)
+
+    left = t.boxes.select(F.col("region_id").alias("left_id"), box("box_l"))
+    right = t.boxes.select(F.col("region_id").alias("right_id"), box("box_r"))
+    return spatial.meeting_boxes(left, right, 100.0, touching=True).select("left_id", "right_id")
+
+
+@query(
+    "within_distance",
+    "G3",
+    """SELECT c.place_id, p.user_id, round(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 6) AS distance
+    FROM places c JOIN people p ON (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 2500""",
+)
+def _(t):
+    centres = t.places.select("place_id", F.col("x").alias("cx0"), F.col("y").alias("cy0"))
+    found = spatial.within(t.people.select("user_id", "x", "y"), centres, 50)
+    return found.select("place_id", "user_id", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "grid_snapping",
+    "G4",
+    """SELECT user_id, CAST(round_even(x / 40.0, 0) * 40 AS DOUBLE) AS snap_x, CAST(floor(y / 100.0) * 100 AS BIGINT) AS square_y,
+    'SK' || lpad(CAST(x // 10 AS VARCHAR), 4, '0') || lpad(CAST(y // 10 AS VARCHAR), 4, '0') AS ref,
+    CASE user_id % 3 WHEN 0 THEN 10 WHEN 1 THEN 2000 ELSE 1000 END AS size FROM people""",
+)
+def _(t):
+    # Grid square SK starts at 400 km east, 300 km north.
+    east, north = F.col("x") + 400000, F.col("y") + 300000
+    ref = geo.grid_ref(east, north, 10)
+    kind = F.col("user_id") % 3
+    named = F.when(kind == 0, ref).when(kind == 1, geo.grid_ref(east, north, 2000)).otherwise(geo.grid_ref(east, north, 1000))
+    return t.people.select(
+        "user_id",
+        geo.snap("x", 40).alias("snap_x"),
+        geo.square("y", 100).alias("square_y"),
+        ref.alias("ref"),
+        geo.ref_precision(named).cast("int").alias("size"),
+    )
+
+
+@query(
+    "length_and_area",
+    "G5 G8",
+    """SELECT user_id, 'POLYGON' AS kind, CAST(2 * (x + 1) + 2 * (y + 1) AS DOUBLE) AS outline, CAST((x + 1) * (y + 1) AS DOUBLE) AS area,
+    (x + 1) / 2.0::DOUBLE AS cx, (y + 1) / 2.0::DOUBLE AS cy FROM people""",
+)
+def _(t):
+    shape = geo.parts(geo.box_wkt(F.lit(0), F.lit(0), F.col("x") + 1, F.col("y") + 1))
+    shape_text = geo.box_wkt(F.lit(0), F.lit(0), F.col("x") + 1, F.col("y") + 1)
+    df = t.people.select("user_id", "x", "y", shape.alias("g"), shape_text.alias("wkt"))
+    centre = geo.centroid("g")
+    return df.select(
+        "user_id",
+        geo.geom_type("wkt").alias("kind"),
+        geo.length(geo.edges("g")).alias("outline"),
+        geo.area("g").alias("area"),
+        F.round(centre["x"], 6).alias("cx"),
+        F.round(centre["y"], 6).alias("cy"),
+    )
+
+
+@query(
+    "reprojection",
+    "G6",
+    """SELECT user_id, round(degrees(x * 1000 / 6378137.0), 6) AS lon, round(degrees(2 * atan(exp(y * 1000 / 6378137.0)) - pi() / 2), 6) AS lat,
+    'POINT(' || x || ' ' || y || ')' AS wkt, x * 1000 AS back_x, y * 1000 AS back_y FROM people""",
+)
+def _(t):
+    at = geo.mercator_to_lonlat(F.col("x") * 1000, F.col("y") * 1000)
+    df = t.people.select("user_id", at.alias("at"), geo.point_wkt("x", "y").alias("wkt"))
+    back = geo.lonlat_to_mercator("at.x", "at.y")
+    return df.select(
+        "user_id",
+        F.round("at.x", 6).alias("lon"),
+        F.round("at.y", 6).alias("lat"),
+        "wkt",
+        F.round(back["x"]).cast("long").alias("back_x"),
+        F.round(back["y"]).cast("long").alias("back_y"),
+    )
+
+
+@query(
+    "national_grid_round_trip",
+    "G6",
+    "SELECT user_id, 400000 + x * 10 AS east, 300000 + y * 10 AS north, TRUE AS in_range FROM people",
+)
+def _(t):
+    """East and north to degrees and back: the two published formulas must undo each other to the metre."""
+    df = t.people.withColumn("at", grid_to_lonlat((F.col("x") * 10 + 400000).cast("double"), (F.col("y") * 10 + 300000).cast("double")))
+    back = df.withColumn("en", lonlat_to_grid("at.x", "at.y"))
+    return back.select(
+        "user_id",
+        F.round("en.x").cast("long").alias("east"),
+        F.round("en.y").cast("long").alias("north"),
+        (F.col("at.x").between(-2.1, -1.8) & F.col("at.y").between(52.5, 52.8)).alias("in_range"),
+    )
+
+
+@query(
+    "dissolved_lines",
+    "G7",
+    """SELECT place_id, 'MULTILINESTRING(' || string_agg('(0 0,' || visit_id || ' 1)', ',' ORDER BY visit_id) || ')' AS geom,
+    CAST(visit_id % pages AS BIGINT) AS page FROM (SELECT place_id, visit_id, CASE WHEN n > 50 THEN CAST(ceil(n / 50.0) AS BIGINT) ELSE 1 END AS pages
+      FROM visits JOIN (SELECT place_id, count(*) AS n FROM visits GROUP BY 1) USING (place_id)) GROUP BY place_id, visit_id % pages""",
+)
+def _(t):
+    lines = t.visits.select("place_id", "visit_id", F.format_string("LINESTRING(0 0,%d 1)", F.col("visit_id")).alias("wkt"))
+    return spatial.collect_geom(lines, "place_id", "wkt", "visit_id", size=50)
+
+
+@query(
+    "simplified_outline",
+    "G7",
+    """SELECT user_id, 'LineString' AS kind, CAST(CASE WHEN y > 100 THEN 3 ELSE 2 END AS INTEGER) AS vertices FROM people""",
+)
+def _(t):
+    # A straight line of five points with one bump of height y: the bump stays when above the tolerance.
+    text = F.format_string("LINESTRING(0 0,250 0,500 %d,750 0,1000 0)", F.lit(0))
+    bump = F.format_string("LINESTRING(0 0,500 %d,1000 0)", F.col("y"))
+    shape = F.when(F.col("y") > 100, bump).otherwise(text)
+    thin = t.people.select("user_id", simplified(geo.parts(shape), F.lit(100.0)).alias("g"))
+    return thin.select("user_id", F.lit("LineString").alias("kind"), F.size(geo.vertices("g")).alias("vertices"))
+
+
+@query(
+    "geometry_types",
+    "G8",
+    """SELECT CASE user_id % 3 WHEN 0 THEN 'POINT' WHEN 1 THEN 'LINESTRING' ELSE 'POLYGON' END AS kind, count(*) AS n,
+    count(CASE WHEN user_id % 3 = 1 THEN 1 END) AS lines FROM people GROUP BY 1""",
+)
+def _(t):
+    k = F.col("user_id") % 3
+    wkt = (
+        F.when(k == 0, geo.point_wkt("x", "y"))
+        .when(k == 1, F.format_string("LINESTRING(0 0,%d %d)", "x", "y"))
+        .otherwise(geo.box_wkt(F.lit(0), F.lit(0), F.col("x") + 1, F.col("y") + 1))
+    )
+    df = t.people.select(wkt.alias("wkt"))
+    return df.groupBy(geo.geom_type("wkt").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(geo.is_line("wkt"), 1)).alias("lines")
+    )
+
+
+# ---- jobs ----------------------------------------------------------------------------
+
+
+@query(
+    "site_summary_by_key",
+    "job:site_summary_by_key J4 J7 A1",
+    """WITH seen AS (SELECT v.visit_id, p.parent_id FROM visits v JOIN places p ON p.place_id = v.place_id AND p.balance > 0)
+    SELECT n.parent_id AS site_id, n.parent_name AS place_name, count(DISTINCT seen.visit_id) AS visits, count(r.record_id) AS records,
+    count(DISTINCT r.taxon_id) AS species FROM parents n LEFT JOIN seen ON seen.parent_id = n.parent_id LEFT JOIN records r ON r.visit_id = seen.visit_id GROUP BY 1, 2""",
+)
+def _(t):
+    # Parents get negative ids so that both levels fit one frame.
+    tops = t.parents.select(
+        (-F.col("parent_id") - 1).cast("long").alias("place_id"), F.lit(None).cast("long").alias("parent_id"), F.col("parent_name").alias("place_name")
+    )
+    below = t.places.where("balance > 0").select("place_id", (-F.col("parent_id") - 1).cast("long").alias("parent_id"), "place_name")
+    out = sites.site_summary_by_key(tops.unionByName(below), t.visits.select("visit_id", "place_id"), t.records)
+    return out.withColumn("site_id", (-F.col("site_id") - 1).cast("int"))
+
+
+@query(
+    "site_report",
+    "job:site_summary_by_key A1 C2",
+    """SELECT place_id, count(*) AS visits, count(DISTINCT year(date_start)) AS years, CAST(min(year(date_start)) AS INTEGER) AS first_year,
+    CAST(max(year(date_start)) AS INTEGER) AS last_year FROM visits GROUP BY 1""",
+)
+def _(t):
+    return sites.site_report(t.visits)
+
+
+@query(
+    "site_summary_by_geometry",
+    "job:site_summary_by_geometry G1 A1 A2",
+    f"""SELECT b.region_id, b.region_name, count(r.record_id) AS records, count(DISTINCT r.taxon_id) AS species,
+    count(CASE WHEN r.record_status = 'A' THEN 1 END) AS records_verified, count(DISTINCT CASE WHEN r.record_status = 'A' THEN r.taxon_id END) AS species_verified
+    FROM boxes b LEFT JOIN records r ON {IN_WEDGE.format(p='r')} GROUP BY 1, 2""",
+)
+def _(t):
+    return sites.site_summary_by_geometry(t.records, t.wedges, "A")
+
+
+@query(
+    "region_tagging",
+    "job:region_tagging G1 F7",
+    f"""SELECT p.x, p.y, coalesce(string_agg(CAST(b.region_id AS VARCHAR), ',' ORDER BY b.region_id), '') AS region_ids
+    FROM (SELECT DISTINCT x, y FROM visits) p LEFT JOIN boxes b ON {IN_BOX.format(p='p')} GROUP BY 1, 2""",
+)
+def _(t):
+    tagged = sites.region_tagging(t.visits, t.regions)
+    return tagged.withColumn("region_ids", F.array_join("region_ids", ","))
+
+
+@query(
+    "combined_tenant_records",
+    "job:combined_tenant_records U1 G1 F3",
+    f"""SELECT v.visit_id, v.user_id % 5 AS website_id FROM visits v WHERE v.user_id % 5 = 1 OR
+    (v.user_id % 5 IN (2) AND EXISTS (SELECT 1 FROM boxes b WHERE b.region_id IN (3, 8) AND {IN_BOX.format(p='v')}))""",
+)
+def _(t):
+    rows = t.visits.select("visit_id", (F.col("user_id") % 5).alias("website_id"), "x", "y")
+    own = t.region.where("r_regionkey = 1").select(F.col("r_regionkey").cast("long").alias("website_id"))
+    granted = t.region.select(
+        F.lit(1).cast("long").alias("from_website_id"),
+        F.col("r_regionkey").cast("long").alias("to_website_id"),
+        (F.col("r_regionkey") == 2).alias("receive_for_reporting"),
+    )
+    inside = t.regions.where("region_id IN (3, 8)")
+    return sites.combined_tenant_records(rows, own, granted, inside).select("visit_id", "website_id")
+
+
+@query(
+    "unlinked_site_clusters",
+    "job:unlinked_site_clusters G4 A4 A5",
+    """WITH c AS (SELECT CAST(round_even(x / 10.0, 0) * 10 AS BIGINT) AS cx, CAST(round_even(y / 10.0, 0) * 10 AS BIGINT) AS cy,
+      CASE WHEN visit_id % 3 > 0 THEN place_id END AS place_id FROM visits),
+    u AS (SELECT cx, cy, count(*) AS visits FROM c WHERE place_id IS NULL GROUP BY 1, 2 HAVING count(*) > 1),
+    k AS (SELECT cx, cy, string_agg(DISTINCT p.place_name, '; ' ORDER BY p.place_name) AS suggested FROM c JOIN places p ON p.place_id = c.place_id GROUP BY 1, 2)
+    SELECT CAST(u.cx AS DOUBLE) AS cell_x, CAST(u.cy AS DOUBLE) AS cell_y, visits, suggested, md5(u.cy || ',' || u.cx) AS cluster_id FROM u LEFT JOIN k ON k.cx = u.cx AND k.cy = u.cy""",
+)
+def _(t):
+    rows = t.visits.select("x", "y", F.when(F.col("visit_id") % 3 > 0, F.col("place_id")).alias("place_id"))
+    return sites.unlinked_site_clusters(rows, t.places, 10)
+
+
+@query(
+    "grid_map",
+    "job:grid_map G4",
+    """SELECT x // 100 * 100 AS west, y // 100 * 100 AS south, count(*) AS records, count(DISTINCT visit_id) AS visits FROM records GROUP BY 1, 2""",
+)
+def _(t):
+    return sites.grid_map(t.records, 100)
+
+
+@query(
+    "time_lapse",
+    "job:grid_map G4 C2",
+    """SELECT CAST(round_even(x / 50.0, 0) * 50 AS DOUBLE) AS x, CAST(round_even(y / 50.0, 0) * 50 AS DOUBLE) AS y,
+    CAST(date_start - DATE '1970-01-01' AS INTEGER) AS day, count(*) AS records FROM visits GROUP BY 1, 2, 3""",
+)
+def _(t):
+    return sites.time_lapse(t.visits.withColumnRenamed("date_start", "seen_on"), 50)
+
+
+@query(
+    "region_grid",
+    "job:region_grid T1 G1 G4",
+    """WITH ends AS (SELECT min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, max(ymax) AS y1 FROM boxes),
+    e AS (SELECT unnest(range(x0 // 100 * 100, CAST(ceil(x1 / 100.0) * 100 AS BIGINT), 100)) AS w FROM ends),
+    n AS (SELECT unnest(range(y0 // 100 * 100, CAST(ceil(y1 / 100.0) * 100 AS BIGINT), 100)) AS s FROM ends)
+    SELECT b.region_id, w AS west, s AS south, w + 50 AS centre_e, s + 50 AS centre_n,
+      'SV' || lpad(CAST(w // 100 AS VARCHAR), 3, '0') || lpad(CAST(s // 100 AS VARCHAR), 3, '0') AS square,
+      NOT (w >= b.xmin AND s >= b.ymin AND (w + 100 - b.xmin) + (s + 100 - b.ymin) <= 250) AS partial
+    FROM boxes b CROSS JOIN e CROSS JOIN n
+    WHERE w <= b.xmax AND w + 100 >= b.xmin AND s <= b.ymax AND s + 100 >= b.ymin AND (greatest(w, b.xmin) - b.xmin) + (greatest(s, b.ymin) - b.ymin) <= 250""",
+)
+def _(t):
+    return sites.region_grid(t.wedges, 100)
+
+
+@query(
+    "choropleth",
+    "job:choropleth G2 W5 C3",
+    f"""WITH n AS (SELECT b.region_id, count(*) AS points FROM people p JOIN boxes b ON {IN_BOX.format(p='p')} GROUP BY 1),
+    s AS (SELECT region_id, points, CASE WHEN max(points) OVER () = min(points) OVER () THEN 0.5 ELSE (points - min(points) OVER ())::DOUBLE / (max(points) OVER () - min(points) OVER ()) END AS f FROM n)
+    SELECT region_id, points, round(0.5 + 0.2 * f, 6)::DOUBLE AS opacity, '#' || lpad(lower(hex(CAST(round(255 + f * (189 - 255)) AS BIGINT))), 2, '0')
+      || lpad(lower(hex(CAST(round(255 + f * (0 - 255)) AS BIGINT))), 2, '0') || lpad(lower(hex(CAST(round(178 + f * (38 - 178)) AS BIGINT))), 2, '0') AS colour FROM s""",
+)
+def _(t):
+    return sites.choropleth(t.people, t.regions).withColumn("opacity", F.round("opacity", 6))
+
+
+@query(
+    "layer_overlap",
+    "job:layer_overlap G5 G1 A7",
+    """WITH q AS (SELECT region_id AS square_id, xmin + 30 AS xmin, ymin + 30 AS ymin, xmin + 230 AS xmax, ymin + 230 AS ymax FROM boxes)
+    SELECT q.square_id, b.region_id AS layer_id, b.region_name AS layer_name,
+      CASE WHEN s // 400 = 0 THEN '< 1' ELSE CAST(s // 400 AS VARCHAR) END AS pct_covered FROM
+      (SELECT q.square_id, b.region_id, (least(q.xmax, b.xmax) - greatest(q.xmin, b.xmin)) * (least(q.ymax, b.ymax) - greatest(q.ymin, b.ymin)) AS s
+       FROM q JOIN boxes b ON q.xmin < b.xmax AND b.xmin < q.xmax AND q.ymin < b.ymax AND b.ymin < q.ymax) o
+    JOIN q ON q.square_id = o.square_id JOIN boxes b ON b.region_id = o.region_id""",
+)
+def _(t):
+    x, y = F.col("xmin") + 30, F.col("ymin") + 30
+    squares = t.boxes.select(F.col("region_id").alias("square_id"), geo.parts(geo.box_wkt(x, y, x + 200, y + 200)).alias("geom"))
+    layers = t.boxes.select(F.col("region_id").alias("layer_id"), F.col("region_name").alias("layer_name"), geo.parts("wkt").alias("geom"))
+    return sites.layer_overlap(squares, layers)
+
+
+@query(
+    "length_check",
+    "job:length_check G5 A3",
+    """WITH s AS (SELECT visit_id AS section_id, user_id AS transect_id, sqrt(x * x + y * y) + 10 AS len FROM visits),
+    q AS (SELECT *, CAST(floor(len) + section_id % 3 AS BIGINT) AS stored FROM s),
+    n AS (SELECT transect_id, CAST(sum(CAST(round(len, 6) AS DECIMAL(20,6))) AS DOUBLE) AS total, CAST(sum(stored) AS BIGINT) AS stored_total FROM q GROUP BY 1)
+    SELECT section_id, transect_id, stored, CAST(round(len) AS BIGINT) AS computed, stored_total, CAST(round(total) AS BIGINT) AS computed_total,
+      CASE WHEN abs(len - stored) > 1 THEN 'x' ELSE '' END AS section_flag, CASE WHEN abs(total - stored_total) > 1 THEN 'x' ELSE '' END AS transect_flag
+    FROM q JOIN n USING (transect_id)""",
+)
+def _(t):
+    x, y = F.col("x"), F.col("y")
+    line = F.format_string("LINESTRING(0 0,%d %d,%d %d)", x, y, x + 6, y + 8)
+    length = F.sqrt(x * x + y * y) + 10
+    sections = t.visits.select(
+        F.col("visit_id").alias("section_id"),
+        F.col("user_id").alias("transect_id"),
+        line.alias("wkt"),
+        (F.floor(length) + F.col("visit_id") % 3).alias("stored"),
+    )
+    transects = sections.groupBy("transect_id").agg(F.sum("stored").alias("stored_total"))
+    return sites.length_check(sections, transects)
+
+
+@query(
+    "rule_geometry_check",
+    "job:rule_geometry_check G1",
+    f"SELECT p.place_id, b.region_id AS rule_id FROM places p JOIN boxes b ON {IN_WEDGE.format(p='p')}",
+)
+def _(t):
+    return sites.rule_geometry_check(t.places, t.wedges)
+
+
+@query(
+    "near_points",
+    "job:near_points G3 U1",
+    """WITH e AS (SELECT 'visit' AS kind, visit_id AS event_id, 'Visit ' || priority AS event, x, y, date_start AS d FROM visits WHERE status = 'F'
+      UNION SELECT 'record', visit_id, 'Record of ' || record_status, (visit_id * 37) % 1000, (visit_id * 91) % 1000, seen_on FROM records WHERE discount > 0.09)
+    SELECT c.place_id AS centre_id, kind, event_id, event, round(sqrt((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y)), 6) AS distance,
+      strftime(d, '%Y-%m-%d') AS sort_date FROM places c JOIN e ON (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) <= 900""",
+)
+def _(t):
+    visits = t.visits.where("status = 'F'").select(
+        F.col("visit_id").alias("event_id"), F.concat(F.lit("Visit "), F.col("priority")).alias("event"), "x", "y", F.col("date_start").alias("sort_date")
+    )
+    v = F.col("visit_id")
+    finds = t.records.where("discount > 0.09").select(
+        v.alias("event_id"),
+        F.concat(F.lit("Record of "), F.col("record_status")).alias("event"),
+        ((v * 37) % 1000).alias("x"),
+        ((v * 91) % 1000).alias("y"),
+        F.col("seen_on").alias("sort_date"),
+    )
+    centres = t.places.select(F.col("place_id").alias("centre_id"), "x", "y")
+    found = sites.near_points(centres, {"visit": visits, "record": finds}, 30)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+@query(
+    "map_layers",
+    "job:map_layers U1 G1",
+    """SELECT 1 AS draw_order, 'region' AS layer, region_id AS feature_id, region_name AS label,
+      'POLYGON((' || xmin || ' ' || ymin || ',' || xmax || ' ' || ymin || ',' || xmax || ' ' || ymax || ',' || xmin || ' ' || ymax || ',' || xmin || ' ' || ymin || '))' AS geom
+    FROM boxes WHERE xmin < 500 AND xmax > 100 AND ymin < 700 AND ymax > 300
+    UNION ALL SELECT 2, 'place', place_id, place_name, 'POINT(' || x || ' ' || y || ')' FROM places WHERE x BETWEEN 100 AND 500 AND y BETWEEN 300 AND 700
+    UNION ALL SELECT 3, 'person', user_id, role, 'POINT(' || x || ' ' || y || ')' FROM people WHERE x BETWEEN 100 AND 500 AND y BETWEEN 300 AND 700""",
+)
+def _(t):
+    def points(df, key, label):
+        return df.select(F.col(key).alias("feature_id"), F.col(label).alias("label"), geo.point_wkt("x", "y").alias("geom"))
+
+    regions = t.boxes.select(F.col("region_id").alias("feature_id"), F.col("region_name").alias("label"), F.col("wkt").alias("geom"))
+    layers = [("region", regions), ("place", points(t.places, "place_id", "place_name")), ("person", points(t.people, "user_id", "role"))]
+    return sites.map_layers(layers, (100, 300, 500, 700))
+
+
+@query(
+    "section_listing",
+    "job:gis_export G8 J7 O1",
+    """SELECT p.place_id, p.place_name, n.parent_name AS site_name FROM places p LEFT JOIN parents n ON n.parent_id = p.parent_id WHERE p.place_id % 2 = 0""",
+)
+def _(t):
+    shape = F.when(F.col("place_id") % 2 == 0, F.format_string("LINESTRING(0 0,%d %d)", "x", "y")).otherwise(geo.point_wkt("x", "y"))
+    lines = t.places.select("place_id", "place_name", "parent_id", shape.alias("geom"), F.lit(None).cast("string").alias("code"))
+    parents = t.parents.select(F.col("parent_id").alias("place_id"), F.col("parent_name").alias("place_name"))
+    return sites.sections_of(lines, parents).select("place_id", "place_name", "site_name")
+
+
+@query(
+    "centroid_listing",
+    "job:gis_export G6",
+    """SELECT region_id, round(degrees(2 * atan(exp((ymin + 125.0) / 6378137.0)) - pi() / 2), 5) AS lat, round(degrees((xmin + 125.0) / 6378137.0), 5) AS lon FROM boxes""",
+)
+def _(t):
+    return sites.centroids(t.boxes.select("region_id", "wkt"), "wkt").select("region_id", "lat", "lon")

@@ -120,14 +120,32 @@ def overlapping(left: DataFrame, right: DataFrame, size: float | None = None) ->
 
 
 def grid_of(regions: DataFrame, size: int, box: str = "box") -> DataFrame:
-    """All squares of ``size`` that a region's box meets with its interior: ``west``, ``south``."""
+    """Squares of ``size`` that a region's box meets or touches: ``west``, ``south``.
+
+    Squares outside the common extent of all regions are left out, so a square that only touches a
+    region from outside counts where the grid has it for another region.
+    """
+    b = F.col(box)
+
+    def low(v):
+        return F.floor(v / size) * size
+
+    def high(v):
+        return F.ceil(v / size) * size - size
+
+    extent = regions.agg(
+        *[low(F.min(b[f"{a}min"])).cast("long").alias(f"_{a}0") for a in "xy"],
+        *[high(F.max(b[f"{a}max"])).cast("long").alias(f"_{a}1") for a in "xy"],
+    )
 
     def steps(axis):
-        low = (F.floor(F.col(f"{box}.{axis}min") / size) * size).cast("long")
-        high = (F.ceil(F.col(f"{box}.{axis}max") / size) * size - size).cast("long")
-        return F.sequence(low, F.greatest(low, high), F.lit(size).cast("long"))
+        first = F.greatest(high(b[f"{axis}min"]).cast("long"), F.col(f"_{axis}0"))
+        last = F.least(low(b[f"{axis}max"]).cast("long"), F.col(f"_{axis}1"))
+        return F.sequence(first, F.greatest(first, last), F.lit(size).cast("long"))
 
-    return regions.withColumn("west", F.explode(steps("x"))).withColumn("south", F.explode(steps("y")))
+    placed = regions.crossJoin(F.broadcast(extent))
+    out = placed.withColumn("west", F.explode(steps("x"))).withColumn("south", F.explode(steps("y")))
+    return out.drop("_x0", "_x1", "_y0", "_y1")
 
 
 def square_in_region(west: Column, south: Column, size: int, edge_array: str) -> tuple[Column, Column]:

@@ -158,7 +158,7 @@ def region_grid(regions: DataFrame, size: int = 2000) -> DataFrame:
         "south",
         (F.col("west") + size // 2).alias("centre_e"),
         (F.col("south") + size // 2).alias("centre_n"),
-        geo.grid_ref("west", "south", size).alias("square") if size in (2000, 1, 10, 100, 1000, 10000, 100000) else F.lit(None).alias("square"),
+        geo.grid_ref("west", "south", size).alias("square"),
         "partial",
     )
 

@@ -90,8 +90,11 @@ def match_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def rule_alert_stream(records: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
-    """Notices of rules: one row per (record, rule) and user. Users come from the static members table."""
-    hits = match_rules(records, read_rules(rules))
+    """Notices of rules: one row per (record, rule) and user. Users come from the static members table.
+
+    ``user_id`` of the result is the one to notify; that of the record becomes ``recorder_id``.
+    """
+    hits = match_rules(records, read_rules(rules)).withColumnRenamed("user_id", "recorder_id")
     return hits.join(members.select("group_id", "user_id"), "group_id")
 
 
