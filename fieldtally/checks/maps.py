@@ -111,14 +111,13 @@ def _(t):
     shape = geo.parts(geo.box_wkt(F.lit(0), F.lit(0), F.col("x") + 1, F.col("y") + 1))
     shape_text = geo.box_wkt(F.lit(0), F.lit(0), F.col("x") + 1, F.col("y") + 1)
     df = t.people.select("user_id", "x", "y", shape.alias("g"), shape_text.alias("wkt"))
-    centre = geo.centroid("g")
-    return df.select(
+    return df.withColumn("centre", geo.centroid("g")).select(
         "user_id",
         geo.geom_type("wkt").alias("kind"),
         geo.length(geo.edges("g")).alias("outline"),
         geo.area("g").alias("area"),
-        F.round(centre["x"], 6).alias("cx"),
-        F.round(centre["y"], 6).alias("cy"),
+        F.round("centre.x", 6).alias("cx"),
+        F.round("centre.y", 6).alias("cy"),
     )
 
 

@@ -8,11 +8,11 @@ from ..session import scratch_path
 from ..streaming import alerts
 from .registry import query
 
-RULES_SQL = """rules AS (SELECT parent_id AS rule_id, region_id AS group_id, unnest([parent_id, parent_id + 25]) AS taxon_id, parent_id FROM parents),
+RULES_SQL = """rules AS (SELECT parent_id AS rule_id, parent_id AS group_id, unnest([parent_id, parent_id + 25]) AS taxon_id, parent_id FROM parents),
     ev AS (SELECT event_id AS record_id, user_id, user_id % 50 AS taxon_id, [user_id % 5, user_id % 7] AS region_ids, event_type, ts FROM events),
     hits AS (SELECT e.record_id, e.event_type, e.ts, r.rule_id, r.group_id FROM ev e JOIN rules r ON r.taxon_id = e.taxon_id
       AND (r.parent_id % 2 = 0 OR list_has_any(e.region_ids, [r.parent_id % 5, 6]))),
-    members AS (SELECT place_id AS user_id, place_id % 5 AS group_id FROM places)"""
+    members AS (SELECT place_id AS user_id, place_id // 4 AS group_id FROM places)"""
 
 
 def occurrences(events):
@@ -35,12 +35,13 @@ def rules_of(t):
     taxa = F.concat(p.cast("string"), F.lit(", "), (p + 25).cast("string"))
     regions = F.when(p % 2 == 1, F.concat((p % 5).cast("string"), F.lit(",6")))
     return t.parents.select(
-        p.alias("rule_id"), F.col("region_id").alias("group_id"), F.to_json(F.struct(taxa.alias("taxa"), regions.alias("regions"))).alias("definition")
+        p.alias("rule_id"), p.alias("group_id"), F.to_json(F.struct(taxa.alias("taxa"), regions.alias("regions"))).alias("definition")
     )
 
 
 def members_of(t):
-    return t.places.select(F.col("place_id").alias("user_id"), (F.col("place_id") % 5).cast("int").alias("group_id"))
+    """Groups of four."""
+    return t.places.select(F.col("place_id").alias("user_id"), F.floor(F.col("place_id") / 4).cast("int").alias("group_id"))
 
 
 def event_stream(t):
@@ -105,7 +106,9 @@ def _(t):
 )
 def _(t):
     errors = occurrences(t.events).where("event_type = 'error'")
-    return alerts.recipients(alerts.rule_alert_stream(errors, rules_of(t), members_of(t)), ["record_id", "rule_id"])
+    hits = alerts.match_rules(errors, alerts.read_rules(rules_of(t)))
+    # Users are put together once per group, not once per record.
+    return hits.join(alerts.rule_members(members_of(t)), "group_id").select("record_id", "rule_id", "notify_user_ids")
 
 
 @query(

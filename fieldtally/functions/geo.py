@@ -19,6 +19,14 @@ from .text import col
 MERCATOR_RADIUS = 6378137.0
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    A Column used several times inside a lambda is otherwise evaluated at each use.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 # ---- reading and writing -------------------------------------------------------------
 
 
@@ -40,22 +48,22 @@ def is_polygon(wkt):
 
 
 def parts(wkt: Column | str) -> Column:
-    """Rings of a WKT text. A ring opened by a double bracket starts a polygon, others are its holes."""
-    wkt = col(wkt)
-    opened = F.regexp_extract_all(wkt, F.lit(r"(\(*)\(([^()]+)\)"), F.lit(1))
-    coords = F.regexp_extract_all(wkt, F.lit(r"(\(*)\(([^()]+)\)"), F.lit(2))
+    """Rings of a WKT text. A ring opened by a double bracket starts a polygon, others are its holes.
+
+    White space is made regular once per text, so that vertices are cut at single characters and no
+    pattern is compiled per vertex. Further ordinates (Z, M) are ignored.
+    """
+    tidy = F.regexp_replace(F.regexp_replace(col(wkt), r"\s+", " "), r" ?([(),]) ?", "$1")
 
     def vertex(text):
-        xy = F.split(F.trim(text), r"\s+")
-        return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
-
-    return F.zip_with(
-        opened,
-        coords,
-        lambda mark, text: F.struct(
-            (mark != "").alias("shell"), F.transform(F.split(text, ","), vertex).alias("ring")
-        ),
-    )
+        y = F.substring_index(F.substring_index(text, " ", 2), " ", -1)
+        return F.struct(F.substring_index(text, " ", 1).cast("double").alias("x"), y.cast("double").alias("y"))
+
+    def ring(text):
+        inner = F.btrim(text, F.lit("()"))
+        return F.struct(text.startswith("((").alias("shell"), F.transform(F.split(inner, ","), vertex).alias("ring"))
+
+    return F.transform(F.regexp_extract_all(tidy, F.lit(r"\(*\([^()]+\)"), F.lit(0)), ring)
 
 
 def vertices(geom: Column | str) -> Column:
@@ -84,14 +92,16 @@ def edges(geom: Column | str) -> Column:
 
 def bounds(geom: Column | str) -> Column:
     """``struct(xmin, ymin, xmax, ymax)``."""
-    v = vertices(geom)
-    xs, ys = F.transform(v, lambda p: p["x"]), F.transform(v, lambda p: p["y"])
-    return F.struct(
-        F.array_min(xs).alias("xmin"),
-        F.array_min(ys).alias("ymin"),
-        F.array_max(xs).alias("xmax"),
-        F.array_max(ys).alias("ymax"),
-    )
+
+    def ends(v):
+        return F.struct(
+            F.array_min(v["x"]).alias("xmin"),
+            F.array_min(v["y"]).alias("ymin"),
+            F.array_max(v["x"]).alias("xmax"),
+            F.array_max(v["y"]).alias("ymax"),
+        )
+
+    return bound(vertices(geom), ends)
 
 
 def point_wkt(x: Column | str, y: Column | str) -> Column:
@@ -169,7 +179,7 @@ def length(edge_array: Column | str) -> Column:
     return F.aggregate(
         col(edge_array),
         F.lit(0.0),
-        lambda acc, e: acc + F.sqrt(F.pow(e["x2"] - e["x1"], 2) + F.pow(e["y2"] - e["y1"], 2)),
+        lambda acc, e: acc + F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"]),
     )
 
 
@@ -201,42 +211,47 @@ def area(geom: Column | str) -> Column:
 
 def centroid(geom: Column | str) -> Column:
     """Area-weighted centre of polygons, length-weighted of lines, mean of points."""
-    geom = col(geom)
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
+    def weight(w, x, y):
+        return F.struct(w.alias("w"), x.alias("x"), y.alias("y"))
+
     def total(items):
         return F.aggregate(
-            items,
-            zero,
-            lambda acc, m: F.struct(
-                (acc["w"] + m["w"]).alias("w"), (acc["x"] + m["x"]).alias("x"), (acc["y"] + m["y"]).alias("y")
-            ),
+            items, zero, lambda acc, m: weight(acc["w"] + m["w"], acc["x"] + m["x"], acc["y"] + m["y"])
         )
 
+    def mean(sums):
+        return F.when(sums["w"] > 0, F.struct((sums["x"] / sums["w"]).alias("x"), (sums["y"] / sums["w"]).alias("y")))
+
     def ring_weight(p):
-        m = _moments(p["ring"])
-        sign = F.when(p["shell"], 1.0).otherwise(-1.0) * F.signum(m["a"])
-        return F.struct((sign * m["a"] * 3).alias("w"), (sign * m["mx"]).alias("x"), (sign * m["my"]).alias("y"))
+        def signed(m):
+            # Shells count positive and holes negative, whatever way they turn.
+            sign = F.when(p["shell"], 1.0).otherwise(-1.0) * F.signum(m["a"])
+            return weight(sign * m["a"] * 3, sign * m["mx"], sign * m["my"])
+
+        return bound(_moments(p["ring"]), signed)
 
     def edge_weight(e):
-        n = F.sqrt(F.pow(e["x2"] - e["x1"], 2) + F.pow(e["y2"] - e["y1"], 2))
-        return F.struct(
-            n.alias("w"), (n * (e["x1"] + e["x2"]) / 2).alias("x"), (n * (e["y1"] + e["y2"]) / 2).alias("y")
-        )
+        n = F.hypot(e["x2"] - e["x1"], e["y2"] - e["y1"])
+        return bound(n, lambda w: weight(w, w * (e["x1"] + e["x2"]) / 2, w * (e["y1"] + e["y2"]) / 2))
 
-    def mean(sums):
-        return F.struct((sums["x"] / sums["w"]).alias("x"), (sums["y"] / sums["w"]).alias("y"))
+    def by_area(g):
+        return bound(total(F.transform(F.filter(g, lambda p: p["shell"] | (F.size(p["ring"]) > 3)), ring_weight)), mean)
 
-    by_area = total(F.transform(F.filter(geom, lambda p: p["shell"] | (F.size(p["ring"]) > 3)), ring_weight))
-    by_length = total(F.transform(edges(geom), edge_weight))
-    by_count = total(
-        F.transform(vertices(geom), lambda p: F.struct(F.lit(1.0).alias("w"), p["x"].alias("x"), p["y"].alias("y")))
-    )
-    closed = F.exists(geom, lambda p: p["shell"] & (F.element_at(p["ring"], 1) == F.element_at(p["ring"], -1)))
-    return (
-        F.when(closed & (by_area["w"] > 0), mean(by_area))
-        .when(by_length["w"] > 0, mean(by_length))
-        .otherwise(mean(by_count))
+    def by_length(g):
+        return bound(total(F.transform(edges(g), edge_weight)), mean)
+
+    def by_count(g):
+        return bound(total(F.transform(vertices(g), lambda p: weight(F.lit(1.0), p["x"], p["y"]))), mean)
+
+    def closed(g):
+        return F.exists(g, lambda p: p["shell"] & (F.element_at(p["ring"], 1) == F.element_at(p["ring"], -1)) & (F.size(p["ring"]) > 3))
+
+    # By area for closed shells, by length for lines; points, and shapes without extent, by count.
+    return bound(
+        col(geom),
+        lambda g: F.coalesce(F.when(closed(g), by_area(g)), F.when(F.size(g[0]["ring"]) > 1, by_length(g)), by_count(g)),
     )
 
 
@@ -292,7 +307,7 @@ def box_overlap(a: Column, b: Column) -> Column:
 
 
 def distance(x1, y1, x2, y2) -> Column:
-    return F.sqrt(F.pow(col(x2) - col(x1), 2) + F.pow(col(y2) - col(y1), 2))
+    return F.hypot(col(x2) - col(x1), col(y2) - col(y1))
 
 
 # ---- grids ---------------------------------------------------------------------------

@@ -113,14 +113,13 @@ def gis_export(rows: DataFrame, wkt: str = "geom", kind: str | None = None, to_d
     """
     tests = {"point": geo.is_point, "line": geo.is_line, "polygon": geo.is_polygon}
     chosen = filters.opt(rows, kind, lambda k: tests[k](wkt))
-    geom = geo.parts(wkt)
-    out = chosen.withColumn("geom_type", geo.geom_type(wkt)).withColumn("_c", geo.centroid(geom))
-    out = out.withColumn("length_m", geo.length(geo.edges(geom)))
+    out = chosen.withColumn("geom_type", geo.geom_type(wkt)).withColumn("_g", geo.parts(wkt))
+    out = out.withColumn("length_m", geo.length(geo.edges("_g")))
     if to_degrees:
-        at = geo.mercator_to_lonlat(F.col("_c.x"), F.col("_c.y"))
+        at = geo.bound(geo.centroid("_g"), lambda c: geo.mercator_to_lonlat(c["x"], c["y"]))
         out = out.withColumn("_at", at)
         out = out.withColumn("lat", F.round("_at.y", 6)).withColumn("lon", F.round("_at.x", 6)).drop("_at")
-    return out.drop("_c")
+    return out.drop("_g")
 
 
 def media_list(levels: list[tuple[str, DataFrame]], base_url: str = "") -> DataFrame:

@@ -278,8 +278,7 @@ def sections_of(places: DataFrame, parents: DataFrame) -> DataFrame:
 
 def centroids(places: DataFrame, wkt: str = "geom", places_after_point: int = 5) -> DataFrame:
     """Places in Web Mercator with the latitude and longitude of their centre."""
-    centre = geo.centroid(geo.parts(wkt))
-    at = geo.mercator_to_lonlat(centre["x"], centre["y"])
+    at = geo.bound(geo.centroid(geo.parts(wkt)), lambda c: geo.mercator_to_lonlat(c["x"], c["y"]))
     return places.withColumn("_at", at).select(
         *places.columns,
         F.round("_at.y", places_after_point).alias("lat"),

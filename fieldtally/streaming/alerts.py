@@ -98,11 +98,6 @@ def rule_alert_stream(records: DataFrame, rules: DataFrame, members: DataFrame)
     return hits.join(members.select("group_id", "user_id"), "group_id")
 
 
-def recipients(notices: DataFrame, keys: list[str]) -> DataFrame:
-    """Users of a notice as one text, as the mail step wants them."""
-    return notices.groupBy(*keys).agg(join_text("user_id", ",").alias("notify_user_ids"))
-
-
 def suppress(notices: DataFrame, sent: DataFrame, keys: list[str]) -> DataFrame:
     """Notices not sent before."""
     return notices.join(sent.select(*keys), keys, "left_anti")
@@ -144,15 +139,20 @@ def append_notices(path: str, rule: Callable[[DataFrame], DataFrame], keys: list
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        notices = rule(batch)
-        days = notices.agg(F.min(day), F.max(day)).first()
-        if days[0] is None:
-            return
-        sent = sent_notices(spark, path)
-        if sent is not None:
-            earlier = sent.where(F.col(day).between(F.lit(days[0]), F.lit(days[1])) & (F.col("batch_id") != batch_id))
-            notices = suppress(notices, earlier, keys)
-        notices.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        # Kept while it is read twice: computing it again would run the stateful part again.
+        notices = rule(batch).persist()
+        try:
+            days = notices.agg(F.min(day), F.max(day)).first()
+            if days[0] is None:
+                return
+            fresh_ones = notices
+            sent = sent_notices(spark, path)
+            if sent is not None:
+                earlier = sent.where(F.col(day).between(F.lit(days[0]), F.lit(days[1])) & (F.col("batch_id") != batch_id))
+                fresh_ones = suppress(notices, earlier, keys)
+            fresh_ones.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            notices.unpersist()
 
     return step
 
