@@ -1,7 +1,7 @@
 """Geometry as Column expressions.
 
 A geometry travels as WKT text and is read into ``parts``: an array of
-``struct(shell boolean, ring array<struct(x, y)>)``. For a polygon ``shell`` is false on holes.
+``struct(shell boolean, ring array<struct(x, y)>)``. ``shell`` is false on holes and null on points and lines.
 Tests use ``edges``: an array of ``struct(x1, y1, x2, y2)`` over all rings, so that holes and
 multi-polygons need no special case (even-odd rule).
 """
@@ -59,9 +59,12 @@ def parts(wkt: Column | str) -> Column:
         y = F.substring_index(F.substring_index(text, " ", 2), " ", -1)
         return F.struct(F.substring_index(text, " ", 1).cast("double").alias("x"), y.cast("double").alias("y"))
 
+    polygon = is_polygon(wkt)
+
     def ring(text):
         inner = F.btrim(text, F.lit("()"))
-        return F.struct(text.startswith("((").alias("shell"), F.transform(F.split(inner, ","), vertex).alias("ring"))
+        shell = F.when(polygon, text.startswith("(("))
+        return F.struct(shell.alias("shell"), F.transform(F.split(inner, ","), vertex).alias("ring"))
 
     return F.transform(F.regexp_extract_all(tidy, F.lit(r"\(*\([^()]+\)"), F.lit(0)), ring)
 
@@ -141,7 +144,7 @@ def parts_geojson(wkt: Column | str) -> Column:
         geom,
         F.array().cast("array<array<array<array<double>>>>"),
         lambda acc, p: F.when(
-            p["shell"] | (F.size(acc) == 0),
+            F.coalesce(p["shell"], F.lit(True)),
             F.concat(acc, F.array(F.array(F.transform(p["ring"], pair)))),
         ).otherwise(
             F.concat(
@@ -202,7 +205,9 @@ def area(geom: Column | str) -> Column:
     return F.aggregate(
         F.transform(
             col(geom),
-            lambda p: F.when(p["shell"], 0.5).otherwise(-0.5) * F.abs(_moments(p["ring"])["a"]),
+            lambda p: F.when(p["shell"].isNull(), 0.0).otherwise(
+                F.when(p["shell"], 0.5).otherwise(-0.5) * F.abs(_moments(p["ring"])["a"])
+            ),
         ),
         F.lit(0.0),
         lambda acc, v: acc + v,
@@ -237,7 +242,7 @@ def centroid(geom: Column | str) -> Column:
         return bound(n, lambda w: weight(w, w * (e["x1"] + e["x2"]) / 2, w * (e["y1"] + e["y2"]) / 2))
 
     def by_area(g):
-        return bound(total(F.transform(F.filter(g, lambda p: p["shell"] | (F.size(p["ring"]) > 3)), ring_weight)), mean)
+        return bound(total(F.transform(g, ring_weight)), mean)
 
     def by_length(g):
         return bound(total(F.transform(edges(g), edge_weight)), mean)
@@ -245,13 +250,10 @@ def centroid(geom: Column | str) -> Column:
     def by_count(g):
         return bound(total(F.transform(vertices(g), lambda p: weight(F.lit(1.0), p["x"], p["y"]))), mean)
 
-    def closed(g):
-        return F.exists(g, lambda p: p["shell"] & (F.element_at(p["ring"], 1) == F.element_at(p["ring"], -1)) & (F.size(p["ring"]) > 3))
-
-    # By area for closed shells, by length for lines; points, and shapes without extent, by count.
+    # Polygons by area, lines by length; points, and shapes without extent, by count.
     return bound(
         col(geom),
-        lambda g: F.coalesce(F.when(closed(g), by_area(g)), F.when(F.size(g[0]["ring"]) > 1, by_length(g)), by_count(g)),
+        lambda g: F.coalesce(F.when(g[0]["shell"].isNotNull(), by_area(g)), F.when(F.size(g[0]["ring"]) > 1, by_length(g)), by_count(g)),
     )
 
 

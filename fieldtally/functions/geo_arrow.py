@@ -157,7 +157,7 @@ def _rings(geom):
     """Rings as arrays, turned so that shells count positive and holes negative."""
     for part in geom:
         ring = np.array([(v["x"], v["y"]) for v in part["ring"]], dtype=float)
-        if len(ring) < 4:
+        if len(ring) < 4 or part["shell"] is None:
             continue
         x, y = ring[:, 0], ring[:, 1]
         turned = np.sum(x[:-1] * y[1:] - x[1:] * y[:-1])
@@ -253,7 +253,7 @@ def simplified(geom: pd.Series, tolerance: pd.Series) -> pd.Series:
         for part in shape:
             pts = np.array([(v["x"], v["y"]) for v in part["ring"]], dtype=float)
             rings.append(
-                {"shell": bool(part["shell"]), "ring": [{"x": x, "y": y} for x, y in _thin(pts, tol)]}
+                {"shell": part["shell"], "ring": [{"x": x, "y": y} for x, y in _thin(pts, tol)]}
             )
         out.append(rings)
     return pd.Series(out)
