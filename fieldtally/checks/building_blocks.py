@@ -649,9 +649,9 @@ def _(t):
     CAST(round(count(*) * 100.0 / (SELECT count(*) FROM taxa)) AS BIGINT) AS pct_round FROM taxa GROUP BY 1""",
 )
 def _(t):
-    total = t.taxa.agg(F.count(F.lit(1)).alias("total"))
-    per = t.taxa.groupBy("taxon_group").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(total))
-    n, total = F.col("n"), F.col("total")
+    total = t.taxa.agg(F.count(F.lit(1))).scalar()
+    n = F.col("n")
+    per = t.taxa.groupBy("taxon_group").agg(F.count(F.lit(1)).alias("n"))
     return per.select("taxon_group", "n", agg.pct(n, total).alias("pct"), agg.pct(n, total, "round").alias("pct_round"))
 
 

@@ -799,7 +799,7 @@ def _(t):
 def _(t):
     own = t.visits.where("status = 'F'").select("visit_id", F.concat(F.lit("v/"), F.col("priority")).alias("path"))
     theirs = t.records.select("visit_id", F.concat(F.lit("r/"), "record_status", "substatus").alias("path"))
-    return exports.media_per_visit(t.visits.select("visit_id"), own, theirs)
+    return exports.media_per_visit(t.visits.select("visit_id"), own, theirs).drop("page")
 
 
 @query(

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import tune
 from .standin import FRAMES_SQL, Frames
 
 
@@ -19,7 +20,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, folder: str) -> DataFrame:
-        return comparable(self.build(Frames(spark, folder)))
+        return comparable(self.build(Frames(tune(spark), folder)))
 
 
 REGISTRY: dict[str, Query] = {}

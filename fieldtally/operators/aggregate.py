@@ -49,7 +49,8 @@ def exact_avg(c: Column | str, scale: int = 2) -> Column:
 def join_text(c: Column | str, sep: str = ", ") -> Column:
     """Distinct non-null values as one text in sorted order; null when there are none.
 
-    The list grows with the distinct values of a group: meant for decoded terms and names.
+    The list grows with the distinct values of a group: meant for decoded terms, names and dates.
+    For lists without such a bound see :func:`paged_text`.
     """
     values = F.array_sort(F.collect_set(col(c).cast("string")))
     return F.when(F.size(values) > 0, F.array_join(values, sep))
@@ -66,9 +67,9 @@ def having(df: DataFrame, keys: list, condition: Column, **measures: Column) ->
 
 
 def panel(**figures: DataFrame) -> DataFrame:
-    """One row of independent totals, each from a one-row, one-column frame."""
-    named = [df.toDF(name) for name, df in figures.items()]
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), named)
+    """One row of independent totals, each from a one-row, one-column frame, as scalar subqueries."""
+    spark = next(iter(figures.values())).sparkSession
+    return spark.range(1).select(*[df.scalar().alias(name) for name, df in figures.items()])
 
 
 def panel_rows(**figures: DataFrame) -> DataFrame:
@@ -103,10 +104,10 @@ def two_stage(df: DataFrame, keys: list, measures: dict[str, Column], outer_keys
     return summarise(summarise(df, keys, **measures), outer_keys, **outer)
 
 
-def paged(df: DataFrame, keys: list[str], id_col: str, size: int) -> DataFrame:
+def paged(df: DataFrame, keys: list[str], by: Column | str, size: int) -> DataFrame:
     """Split groups larger than ``size`` into numbered pages, ready to be collected per (keys, page).
 
-    A page is ``id mod pages``, so a group holding a third of all rows becomes many small groups on
+    A page is ``by mod pages`` for a whole number that spreads the rows (an id, a hash), so a group holding a third of all rows becomes many small groups on
     many tasks and no row is dropped. The page count comes from a pre-aggregated count, kept for
     large groups only; the explicit repartitioning keeps Spark from reusing the partitioning by key
     and lets AQE split the join itself.
@@ -118,6 +119,13 @@ def paged(df: DataFrame, keys: list[str], id_col: str, size: int) -> DataFrame:
         .select(*keys, F.ceil(F.col("_n") / size).cast("long").alias("_pages"))
     )
     out = df.join(large, keys, "left").withColumn(
-        "page", F.coalesce(F.pmod(F.col(id_col), F.col("_pages")), F.lit(0)).cast("long")
+        "page", F.coalesce(F.pmod(col(by), F.col("_pages")), F.lit(0)).cast("long")
     )
     return out.drop("_pages").repartition(*[F.col(k) for k in keys], F.col("page"))
+
+
+def paged_text(df: DataFrame, key: str, value: str, into: str, sep: str = ",", size: int = 10000) -> DataFrame:
+    """Distinct values per key as sorted text; a key with more than ``size`` of them gets several pages."""
+    values = df.select(key, F.col(value).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    pages = paged(values, [key], F.xxhash64("_v"), size)
+    return pages.groupBy(key, "page").agg(F.array_join(F.array_sort(F.collect_list("_v")), sep).alias(into))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
-from .aggregate import join_text
+from .aggregate import join_text, paged
 
 
 def pivot_attrs(
@@ -56,12 +56,14 @@ def attrs_map(values: DataFrame, entity: str, caption: Column | str, value: Colu
     )
 
 
-def attrs_list(entities: DataFrame, values: DataFrame, entity: str, fields: list[str]) -> DataFrame:
+def attrs_list(entities: DataFrame, values: DataFrame, entity: str, fields: list[str], size: int = 10000) -> DataFrame:
     """Entities with all their attributes as an array of structs; an empty array when they have none.
 
-    The array has one element per attribute of one entity, a number bounded by the attribute list.
+    An entity with more than ``size`` different attributes gets several rows, numbered by ``page``.
     """
-    element = F.struct(*fields)
-    lists = values.groupBy(entity).agg(F.sort_array(F.collect_set(element)).alias("attrs"))
+    different = values.select(entity, *fields).distinct()
+    pages = paged(different, [entity], F.xxhash64(*fields), size)
+    lists = pages.groupBy(entity, "page").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("attrs"))
     kind = dict(lists.dtypes)["attrs"]
-    return entities.join(lists, entity, "left").withColumn("attrs", F.coalesce("attrs", F.array().cast(kind)))
+    out = entities.join(lists, entity, "left").withColumn("attrs", F.coalesce("attrs", F.array().cast(kind)))
+    return out.withColumn("page", F.coalesce("page", F.lit(0)))

@@ -39,11 +39,12 @@ def anti(left_df: DataFrame, right: DataFrame, on) -> DataFrame:
 def not_in(left_df: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """SQL NOT IN: empty when the right side has a null key, and never keeps a null left key.
 
-    Decided from one aggregated row, so it stays an equi-join instead of a null-aware nested loop.
+    Decided from one aggregated value, so it stays an equi-join instead of a null-aware nested loop.
     """
-    has_null = right.agg(F.coalesce(F.max(F.col(key).isNull()), F.lit(False)).alias("_null"), F.count(F.lit(1)).alias("_n"))
-    kept = left_df.join(right.select(key), key, "left_anti").crossJoin(F.broadcast(has_null))
-    return kept.where((F.col("_n") == 0) | (~F.col("_null") & F.col(key).isNotNull())).drop("_null", "_n")
+    # Number of rows and of keys on the right: fewer keys than rows means there is a null.
+    sizes = right.agg(F.struct(F.count(F.lit(1)).alias("rows"), F.count(key).alias("keys"))).scalar()
+    kept = left_df.join(right.select(key), key, "left_anti")
+    return kept.where((sizes["rows"] == 0) | ((sizes["rows"] == sizes["keys"]) & F.col(key).isNotNull()))
 
 
 def semi(left_df: DataFrame, right: DataFrame, on) -> DataFrame:

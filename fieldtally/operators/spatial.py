@@ -134,18 +134,20 @@ def grid_of(regions: DataFrame, size: int, box: str = "box") -> DataFrame:
         return F.ceil(v / size) * size - size
 
     extent = regions.agg(
-        *[low(F.min(b[f"{a}min"])).cast("long").alias(f"_{a}0") for a in "xy"],
-        *[high(F.max(b[f"{a}max"])).cast("long").alias(f"_{a}1") for a in "xy"],
-    )
+        F.struct(
+            *[low(F.min(b[f"{a}min"])).cast("long").alias(f"{a}0") for a in "xy"],
+            *[high(F.max(b[f"{a}max"])).cast("long").alias(f"{a}1") for a in "xy"],
+        )
+    ).scalar()
 
     def steps(axis):
-        first = F.greatest(high(b[f"{axis}min"]).cast("long"), F.col(f"_{axis}0"))
-        last = F.least(low(b[f"{axis}max"]).cast("long"), F.col(f"_{axis}1"))
+        first = F.greatest(high(b[f"{axis}min"]).cast("long"), extent[f"{axis}0"])
+        last = F.least(low(b[f"{axis}max"]).cast("long"), extent[f"{axis}1"])
         return F.sequence(first, F.greatest(first, last), F.lit(size).cast("long"))
 
-    placed = regions.crossJoin(F.broadcast(extent))
-    out = placed.withColumn("west", F.explode(steps("x"))).withColumn("south", F.explode(steps("y")))
-    return out.drop("_x0", "_x1", "_y0", "_y1")
+    # The subquery is read into columns first: a generator may not hold one.
+    spans = regions.withColumn("_xs", steps("x")).withColumn("_ys", steps("y"))
+    return spans.withColumn("west", F.explode("_xs")).withColumn("south", F.explode("_ys")).drop("_xs", "_ys")
 
 
 def square_in_region(west: Column, south: Column, size: int, edge_array: str) -> tuple[Column, Column]:

@@ -104,10 +104,9 @@ def longest_run(df: DataFrame, user: str, day: Column | str, name: str = "weeks_
 
 def minmax_scale(df: DataFrame, measure: str, name: str = "scaled", flat: float | None = None) -> DataFrame:
     """Measure mapped to 0..1 between its least and greatest value; ``flat`` when they are equal."""
-    ends = df.agg(F.min(measure).alias("_lo"), F.max(measure).alias("_hi"))
-    share = (F.col(measure) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    scaled = F.when(F.col("_hi") == F.col("_lo"), F.lit(flat)).otherwise(share)
-    return df.crossJoin(F.broadcast(ends)).withColumn(name, scaled).drop("_lo", "_hi")
+    ends = df.agg(F.struct(F.min(measure).alias("lo"), F.max(measure).alias("hi"))).scalar()
+    share = (F.col(measure) - ends["lo"]) / F.nullif(ends["hi"] - ends["lo"], F.lit(0))
+    return df.withColumn(name, F.when(ends["hi"] == ends["lo"], F.lit(flat)).otherwise(share))
 
 
 def top_n_other(df: DataFrame, key: str, by: str, measures: list[str], n: int = 6, other: str = "Other") -> DataFrame:

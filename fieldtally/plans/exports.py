@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.attributes import json_attrs
 from ..operators import filters
-from ..operators.aggregate import join_text, join_text_by, paged
+from ..operators.aggregate import join_text_by, paged, paged_text
 from ..operators.attributes import attrs_list, decode, pivot_attrs
 from ..operators.generators import explode_periods
 from ..sources.cursor import read_since
@@ -64,9 +64,9 @@ def json_attribute_export(rows: DataFrame, doc: str, wanted: dict[str, tuple[str
     return out.fillna(defaults) if defaults else out
 
 
-def attributes_as_list(entities: DataFrame, values: DataFrame, key: str, fields: list[str]) -> DataFrame:
+def attributes_as_list(entities: DataFrame, values: DataFrame, key: str, fields: list[str], page_size: int = 10000) -> DataFrame:
     """Entities with all attributes as an array of structs; an empty array when there are none."""
-    return attrs_list(entities, values, key, fields)
+    return attrs_list(entities, values, key, fields, page_size)
 
 
 def visit_documents(visits: DataFrame, records: DataFrame, fields: list[str], page_size: int = 10000) -> DataFrame:
@@ -129,14 +129,16 @@ def media_list(levels: list[tuple[str, DataFrame]], base_url: str = "") -> DataF
     return out.withColumn("url", F.concat(F.lit(base_url), F.col("path")))
 
 
-def media_per_visit(visits: DataFrame, visit_media: DataFrame, record_media: DataFrame) -> DataFrame:
+def media_per_visit(visits: DataFrame, visit_media: DataFrame, record_media: DataFrame, page_size: int = 10000) -> DataFrame:
     """Visits with their own and their records' media as text, each list aggregated before joining.
 
-    Pre-aggregating keeps two one-to-many sides from multiplying each other.
+    Pre-aggregating keeps two one-to-many sides from multiplying each other. A visit with more than
+    ``page_size`` media gets several rows, numbered by ``page``.
     """
-    own = visit_media.groupBy("visit_id").agg(join_text("path", ",").alias("visit_media"))
-    theirs = record_media.groupBy("visit_id").agg(join_text("path", ",").alias("record_media"))
-    return visits.join(own, "visit_id", "left").join(theirs, "visit_id", "left")
+    own = paged_text(visit_media, "visit_id", "path", "visit_media", size=page_size)
+    theirs = paged_text(record_media, "visit_id", "path", "record_media", size=page_size)
+    both = own.join(theirs, ["visit_id", "page"], "full")
+    return visits.join(both, "visit_id", "left").withColumn("page", F.coalesce("page", F.lit(0)))
 
 
 def workflow_status(visits: DataFrame, records: DataFrame) -> DataFrame:

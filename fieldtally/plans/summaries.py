@@ -135,9 +135,9 @@ def guild_share(species: DataFrame, traits: DataFrame, by: list[str]) -> DataFra
     ``by`` columns; a species may have several rows.
     """
     listed = species.select("taxon_id").distinct()
-    total = listed.agg(F.count(F.lit(1)).alias("_all"))
+    total = listed.agg(F.count(F.lit(1))).scalar()
     per = listed.join(traits, "taxon_id").groupBy(*by).agg(F.countDistinct("taxon_id").alias("species"))
-    return per.crossJoin(F.broadcast(total)).select(*by, "species", pct(F.col("species"), F.col("_all")).alias("pct"))
+    return per.withColumn("pct", pct(F.col("species"), total))
 
 
 def sample_species(records: DataFrame, entries: DataFrame, kind: str, ids: list[int] | None = None) -> DataFrame:

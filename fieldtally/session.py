@@ -13,6 +13,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot join key also where the next grouping has the same key and so needs one more shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -34,6 +36,17 @@ def local_session(app: str = "fieldtally", cores: int | str = "*", memory: str =
     return session
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Switch on, in a running session, the recommended settings that may change at run time.
+
+    Settings of storage, memory and shuffle width are left to the cluster.
+    """
+    for key, value in RECOMMENDED.items():
+        if key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, value)
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 

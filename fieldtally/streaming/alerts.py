@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.attributes import json_attr
 from ..operators import filters
-from ..operators.aggregate import join_text
+from ..operators.aggregate import paged_text
 
 
 # ---- rules over rows (batch or stream) -----------------------------------------------
@@ -49,9 +49,9 @@ def coded_attribute(records: DataFrame, values: DataFrame, terms: DataFrame, att
     return records.join(named, "record_id")
 
 
-def group_admins(visits: DataFrame, members: DataFrame) -> DataFrame:
+def group_admins(visits: DataFrame, members: DataFrame, page_size: int = 1000) -> DataFrame:
     """New visits with the administrators of their creator's groups. ``members``: group_id, user_id, administrator."""
-    admins = members.where(F.col("administrator")).groupBy("group_id").agg(join_text("user_id", ",").alias("notify_user_ids"))
+    admins = rule_members(members.where(F.col("administrator")), page_size)
     own = members.select("group_id", "user_id").distinct().join(admins, "group_id")
     return visits.join(own, "user_id")
 
@@ -74,9 +74,9 @@ def read_rules(rules: DataFrame) -> DataFrame:
     )
 
 
-def rule_members(members: DataFrame) -> DataFrame:
-    """Users to notify per group, as one text."""
-    return members.groupBy("group_id").agg(join_text("user_id", ",").alias("notify_user_ids"))
+def rule_members(members: DataFrame, page_size: int = 1000) -> DataFrame:
+    """Users to notify per group as text; groups of more than ``page_size`` users get several pages."""
+    return paged_text(members, "group_id", "user_id", "notify_user_ids", size=page_size)
 
 
 def match_rules(records: DataFrame, rules: DataFrame) -> DataFrame:

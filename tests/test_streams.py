@@ -65,7 +65,10 @@ def test_rules(spark):
     assert rows(hits, "record_id", "rule_id") == [(1, 1), (1, 2), (2, 1), (3, 1), (4, 4), (5, 1)]
     out = alerts.rule_alert_stream(records, rules, members)
     assert rows(out, "record_id", "user_id") == [(1, 100), (1, 101), (1, 102), (2, 100), (2, 101), (3, 100), (3, 101), (5, 100), (5, 101)]
-    assert rows(alerts.rule_members(members)) == [(1, "100,101"), (2, "102")]
+    assert rows(alerts.rule_members(members), "group_id", "notify_user_ids") == [(1, "100,101"), (2, "102")]
+    paged = alerts.rule_members(spark.range(500).select(F.lit(1).alias("group_id"), F.col("id").alias("user_id")), 50).collect()
+    users = [u for r in paged for u in r.notify_user_ids.split(",")]
+    assert len(paged) == 10 and sorted(map(int, users)) == list(range(500))
 
 
 def test_look_back(spark):
