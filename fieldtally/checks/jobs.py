@@ -205,6 +205,48 @@ def _(t):
     return people.challenge_score(rows, t.taxa, t.people.where("role <> 'HOUSEHOLD'").select("user_id"))
 
 
+@query(
+    "award_matrix",
+    "job:filtered_listing T1 J2 C4",
+    """SELECT p.user_id, p.nation_id AS group_id, CAST(l.level AS INTEGER) AS level,
+    CASE WHEN EXISTS (SELECT 1 FROM visits v WHERE v.user_id = p.user_id AND CAST(substr(v.priority, 1, 1) AS INTEGER) = l.level) THEN 'Yes' ELSE 'No' END AS reached
+    FROM people p CROSS JOIN (SELECT unnest(range(1, 6)) AS level) l""",
+)
+def _(t):
+    won = t.visits.select("user_id", F.substring("priority", 1, 1).cast("int").alias("level"))
+    return people.award_matrix(t.people.select("user_id", F.col("nation_id").alias("group_id")), won, 5)
+
+
+@query(
+    "activity_by_form",
+    "job:leaderboard A3",
+    """SELECT user_id, priority AS form, strftime(min(date_start), '%Y-%m-%d') AS first_use, strftime(max(date_start), '%Y-%m-%d') AS last_use, count(*) AS records
+    FROM visits GROUP BY 1, 2""",
+)
+def _(t):
+    return people.activity_by_form(t.visits.select("user_id", F.col("priority").alias("form"), F.col("date_start").alias("created_on")))
+
+
+@query(
+    "records_by_date_basis",
+    "job:leaderboard F2 A1",
+    """SELECT 'field' AS basis, user_id, count(*) AS records FROM visits JOIN records USING (visit_id) WHERE seen_on BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 2
+    UNION ALL SELECT 'input', user_id, count(*) FROM visits JOIN records USING (visit_id) WHERE date_start BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY 2
+    UNION ALL SELECT 'total', count(DISTINCT user_id), count(*) FROM visits JOIN records USING (visit_id) WHERE date_start BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""",
+)
+def _(t):
+    rows = t.records.select("visit_id", "seen_on").join(
+        t.visits.select("visit_id", "user_id", F.col("date_start").alias("created_on")), "visit_id"
+    )
+    span = ("1998-01-01", "1998-12-31")
+    field = people.records_by_date_basis(rows, "field", *span).select(F.lit("field").alias("basis"), "user_id", "records")
+    typed = people.records_by_date_basis(rows, "input", *span).select(F.lit("input").alias("basis"), "user_id", "records")
+    total = people.records_by_date_basis(rows, "input", *span, by_user=False)
+    return field.unionByName(typed).unionByName(
+        total.select(F.lit("total").alias("basis"), F.col("recorders").alias("user_id"), "records")
+    )
+
+
 ACCOUNTS_SQL = """persons AS (SELECT user_id, user_id AS person_id, user_name AS surname, user_id % 17 = 0 AS deleted FROM people),
     users AS (SELECT user_id, user_id AS person_id, user_id % 13 = 0 AS deleted FROM people WHERE user_id % 11 <> 0),
     allocations AS (SELECT user_id, priority AS place_name, visit_id % 50 AS approved_by_id, date_start AS approved_on FROM visits WHERE date_start < DATE '1997-01-01')"""

@@ -264,11 +264,9 @@ def _(t):
 def _(t):
     rows = t.visits.select("visit_id", (F.col("user_id") % 5).alias("website_id"), "x", "y")
     own = t.region.where("r_regionkey = 1").select(F.col("r_regionkey").cast("long").alias("website_id"))
-    granted = t.region.select(
-        F.lit(1).cast("long").alias("from_website_id"),
-        F.col("r_regionkey").cast("long").alias("to_website_id"),
-        (F.col("r_regionkey") == 2).alias("receive_for_reporting"),
-    )
+    owner = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("to_website_id")
+    granted = t.region.select(F.col("r_regionkey").cast("long").alias("from_website_id"), owner)
+    granted = granted.withColumn("receive_for_reporting", F.col("to_website_id") - F.col("from_website_id") == 1)
     inside = t.regions.where("region_id IN (3, 8)")
     return sites.combined_tenant_records(rows, own, granted, inside).select("visit_id", "website_id")
 
@@ -446,3 +444,26 @@ def _(t):
 )
 def _(t):
     return sites.centroids(t.boxes.select("region_id", "wkt"), "wkt").select("region_id", "lat", "lon")
+
+
+@query(
+    "visits_by_spot",
+    "job:gis_export A4 C3",
+    """WITH n AS (SELECT x, y, count(*) AS visits FROM visits GROUP BY 1, 2),
+    p AS (SELECT v.x, v.y, v.visit_id, n.visits, CASE WHEN n.visits > 6 THEN v.visit_id % CAST(ceil(n.visits / 6.0) AS BIGINT) ELSE 0 END AS page FROM visits v JOIN n ON n.x = v.x AND n.y = v.y)
+    SELECT x, y, page, string_agg(CAST(visit_id AS VARCHAR), ',' ORDER BY visit_id) AS visit_ids, max(visits) AS visits,
+      round(least(1.0, 0.2 + sqrt(max(visits) - 1) / 20), 6)::DOUBLE AS opacity FROM p GROUP BY 1, 2, 3""",
+)
+def _(t):
+    return sites.visits_by_spot(t.visits.select("visit_id", "x", "y"), page_size=6).withColumn("opacity", F.round("opacity", 6))
+
+
+@query(
+    "survey_coverage",
+    "job:site_summary_by_key J2 C4 F1",
+    """SELECT p.place_id, p.place_name, count(v.visit_id) AS visits, CASE WHEN count(v.visit_id) > 0 THEN 'Yes' ELSE 'No' END AS surveyed
+    FROM places p LEFT JOIN visits v ON v.place_id = p.place_id AND v.priority IN ('1-URGENT', '5-LOW') AND v.date_start >= DATE '2001-07-01' GROUP BY 1, 2""",
+)
+def _(t):
+    visits = t.visits.withColumnRenamed("priority", "survey_id")
+    return sites.survey_coverage(t.places.select("place_id", "place_name"), visits, ["1-URGENT", "5-LOW"], "2001-07-01")

@@ -80,6 +80,37 @@ def challenge_score(
     return members.join(score, "user_id", "left").fillna(0, ["species_score", "groups_score"])
 
 
+def award_matrix(members: DataFrame, awards: DataFrame, levels: int) -> DataFrame:
+    """Every member with every level of a milestone scheme, and whether the level was reached.
+
+    ``members``: user_id, group_id. ``awards``: user_id, level.
+    """
+    spine = members.withColumn("level", F.explode(F.sequence(F.lit(1), F.lit(levels))))
+    reached = awards.select("user_id", "level", F.lit(True).alias("_got")).distinct()
+    out = spine.join(reached, ["user_id", "level"], "left")
+    return out.withColumn("reached", F.when(F.col("_got"), "Yes").otherwise("No")).drop("_got")
+
+
+def activity_by_form(records: DataFrame) -> DataFrame:
+    """Per user and recording form: first and last use, records. ``records``: user_id, form, created_on."""
+    return records.groupBy("user_id", "form").agg(
+        F.min("created_on").alias("first_use"), F.max("created_on").alias("last_use"), F.count(F.lit(1)).alias("records")
+    )
+
+
+def records_by_date_basis(records: DataFrame, basis: str, date_from, date_to, by_user: bool = True) -> DataFrame:
+    """Records per recorder, or in all, in a date range of the field date or of the input date.
+
+    ``records``: user_id, seen_on, created_on. ``basis``: ``field`` or ``input``.
+    """
+    column = {"field": "seen_on", "input": "created_on"}[basis]
+    chosen = filters.date_overlap(records, date_from, date_to, column, column)
+    per = chosen.groupBy("user_id").agg(F.count(F.lit(1)).alias("records"))
+    if by_user:
+        return per
+    return per.agg(F.count("user_id").alias("recorders"), F.sum("records").alias("records"))
+
+
 def lapsed_users(people: DataFrame, allocations: DataFrame, visits: DataFrame, cutoff) -> DataFrame:
     """Allocated people with no visit since ``cutoff``, with their places and the date of their last visit.
 

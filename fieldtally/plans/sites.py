@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo
 from ..operators import filters, spatial
-from ..operators.aggregate import join_text
+from ..operators.aggregate import join_text, paged
 from ..operators.joins import with_parent
 from ..operators.windows import minmax_scale
 
@@ -276,6 +276,29 @@ def sections_of(places: DataFrame, parents: DataFrame) -> DataFrame:
     return named.orderBy("site_name", F.lpad(F.coalesce("code", "place_name"), 10, "0"))
 
 
+def visits_by_spot(visits: DataFrame, page_size: int = 10000) -> DataFrame:
+    """Visits sharing one position: their number, ids as text, and an opacity that grows with the number.
+
+    ``visits``: visit_id, x, y. A spot with more than ``page_size`` visits gives its ids on several pages.
+    """
+    counts = visits.groupBy("x", "y").agg(F.count(F.lit(1)).alias("visits"))
+    pages = paged(visits.select("x", "y", "visit_id"), ["x", "y"], "visit_id", page_size)
+    ids = pages.groupBy("x", "y", "page").agg(
+        F.array_join(F.array_sort(F.collect_list("visit_id")), ",").alias("visit_ids")
+    )
+    opacity = F.least(F.lit(1.0), F.lit(0.2) + F.sqrt(F.col("visits") - 1) / 20)
+    return ids.join(counts, ["x", "y"]).withColumn("opacity", opacity)
+
+
+def survey_coverage(places: DataFrame, visits: DataFrame, surveys: list | None = None, since=None) -> DataFrame:
+    """Every place with its number of visits of some surveys and whether it was surveyed at all."""
+    chosen = filters.opt(visits, surveys, lambda v: F.col("survey_id").isin(list(v)))
+    chosen = filters.opt(chosen, since, lambda v: F.col("date_start") >= dates.as_date(v))
+    counts = chosen.groupBy("place_id").agg(F.count(F.lit(1)).alias("visits"))
+    out = places.join(counts, "place_id", "left").fillna(0, ["visits"])
+    return out.withColumn("surveyed", F.when(F.col("visits") > 0, "Yes").otherwise("No"))
+
+
 def centroids(places: DataFrame, wkt: str = "geom", places_after_point: int = 5) -> DataFrame:
     """Places in Web Mercator with the latitude and longitude of their centre."""
     at = geo.bound(geo.centroid(geo.parts(wkt)), lambda c: geo.mercator_to_lonlat(c["x"], c["y"]))
