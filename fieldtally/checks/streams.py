@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
+from ..sources.tables import stream_table
 from ..streaming import alerts
 from .registry import query
 
@@ -45,8 +46,7 @@ def members_of(t):
 
 
 def event_stream(t):
-    reader = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet")
-    return occurrences(reader.parquet(t.folder))
+    return occurrences(stream_table(t.spark, t.folder, t.events.schema, pathGlobFilter="events.parquet"))
 
 
 # ---- rules over tables ---------------------------------------------------------------

@@ -56,19 +56,28 @@ def tag_points(
     boundary: bool = True,
     size: float | None = None,
     copies: int = 4,
+    keep_outside: bool = False,
 ) -> DataFrame:
     """Points with the ``region_id`` of every region they lie in (:func:`shapes` gives ``regions``).
 
+    ``keep_outside`` keeps points of no region too; a point then also has rows with a null id for
+    regions it was tested against in vain.
+
     A point has exactly one cell, so each pair is found once. Points of a crowded cell are salted
     over ``copies`` join keys. Pass distinct positions, not records, where many records share one.
     """
     size = size or cell_size(regions)
     cells = replicated(covered(regions, size), copies)
     placed = salted(points.withColumn("cx", cell(x, size)).withColumn("cy", cell(y, size)), [x, y], copies)
-    found = placed.join(cells, ["cx", "cy", "_salt"])
+    found = placed.join(cells, ["cx", "cy", "_salt"], "left" if keep_outside else "inner")
     box = F.col("box")
     near = F.col(x).between(box["xmin"], box["xmax"]) & F.col(y).between(box["ymin"], box["ymax"])
-    return found.where(near & geo.contains(x, y, "edges", boundary)).drop("cx", "cy", "_salt", "edges", "box")
+    hit = near & geo.contains(x, y, "edges", boundary)
+    if keep_outside:
+        found = found.withColumn("region_id", F.when(hit, F.col("region_id")))
+    else:
+        found = found.where(hit)
+    return found.drop("cx", "cy", "_salt", "edges", "box")
 
 
 def within(points: DataFrame, centres: DataFrame, distance: float, copies: int = 4) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.attributes import json_attrs
 from ..operators.aggregate import count_if, exact_sum
 from ..operators.sync import merge_awards
 from ..operators.windows import longest_run
+from ..session import settle
 
 
 @dataclass(frozen=True)
@@ -139,11 +140,11 @@ def _rows(measures: DataFrame, badges: list[Badge]) -> DataFrame:
     return measures.select("user_id", F.inline(F.array(*[row(b) for b in badges])))
 
 
-def _quarterly(facts: DataFrame, as_of, factor: float, old_quarters: bool) -> DataFrame:
+def _quarterly(days: DataFrame, as_of, factor: float, old_quarters: bool) -> DataFrame:
     year_now = F.year(dates.as_date(as_of))
     year = F.year("date_start")
     km = exact_sum("km", 3)
-    quarters = facts.groupBy("user_id", year.alias("year"), F.quarter("date_start").alias("quarter")).agg(km.alias("km"))
+    quarters = days.groupBy("user_id", year.alias("year"), F.quarter("date_start").alias("quarter")).agg(km.alias("km"))
 
     # Current year: one row per user with four sums; quarters without a visit count as 0.
     current = quarters.where(F.col("year") == year_now).groupBy("user_id")
@@ -165,7 +166,7 @@ def _quarterly(facts: DataFrame, as_of, factor: float, old_quarters: bool) -> Da
 
     buckets = quarters
     if old_quarters:
-        buckets = facts.groupBy("user_id", year.alias("year"), dates.old_quarter("date_start").alias("quarter")).agg(km.alias("km"))
+        buckets = days.groupBy("user_id", year.alias("year"), dates.old_quarter("date_start").alias("quarter")).agg(km.alias("km"))
     reached = count_if(F.col("km") * factor >= QUARTER_MILES)
     all_four = buckets.groupBy("user_id", "year").agg(reached.cast("double").alias("metric")).select(
         "user_id",
@@ -182,21 +183,30 @@ def _quarterly(facts: DataFrame, as_of, factor: float, old_quarters: bool) -> Da
 def badges_build(visits: DataFrame, records: DataFrame, as_of, factor: float = MILE_FACTOR, old_quarters: bool = False) -> DataFrame:
     """All award rules for all users, one row per user and badge.
 
-    ``records`` has one row per record with the ``visit_id`` of its top visit. Rules of the same grouping
-    share one aggregation; every one of them combines on the map side, and the only join to records
-    is made after counting them per visit.
+    ``records`` has one row per record with the ``visit_id`` of its top visit. Visits are read and their JSON
+    parsed once: they are brought to one narrow row per (user, place, day), which is written and serves
+    all rules. Records are counted per visit before they are joined.
     """
-    facts = visit_facts(visits)
     per_visit = records.groupBy("visit_id").agg(F.count(F.lit(1)).alias("n_records"))
-    walks = facts.join(per_visit, "visit_id", "left")
-
-    by_place = walks.groupBy("user_id", "place_name").agg(
-        F.count(F.lit(1)).alias("walks"),
-        F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"),
+    walks = visit_facts(visits).join(per_visit, "visit_id", "left")
+    days = settle(
+        walks.groupBy("user_id", "place_name", "date_start").agg(
+            F.count(F.lit(1)).alias("walks"),
+            F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"),
+            exact_sum("km", 3).alias("km"),
+            F.max("km").alias("longest_km"),
+            exact_sum("seconds", 0).alias("seconds"),
+            count_if(F.col("early")).alias("early"),
+            count_if(F.col("clean")).alias("clean"),
+        )
+    )
+    by_place = days.groupBy("user_id", "place_name").agg(
+        F.sum("walks").alias("walks"),
+        F.sum("n_records").alias("n_records"),
         exact_sum("km", 3).alias("km"),
-        F.max("km").alias("longest_km"),
-        count_if(F.col("early")).alias("early"),
-        count_if(F.col("clean")).alias("clean"),
+        F.max("longest_km").alias("longest_km"),
+        F.sum("early").alias("early"),
+        F.sum("clean").alias("clean"),
     )
     totals = by_place.groupBy("user_id").agg(
         F.sum("early").alias("early"),
@@ -207,13 +217,13 @@ def badges_build(visits: DataFrame, records: DataFrame, as_of, factor: float = M
         F.sum("clean").alias("clean"),
     )
     hours = (
-        facts.groupBy("user_id", F.date_trunc("month", "date_start").alias("month"))
+        days.groupBy("user_id", F.trunc("date_start", "month").alias("month"))
         .agg(exact_sum("seconds", 0).alias("seconds"))
         .groupBy("user_id")
         .agg(F.floor(F.max("seconds") / 3600).alias("month_hours"))
     )
-    measures = totals.join(hours, "user_id", "left").join(weekly_streak(facts), "user_id", "left")
-    rules = [_rows(measures, BADGES), _quarterly(facts, as_of, factor, old_quarters), calendar_day_awards(facts)]
+    measures = totals.join(hours, "user_id", "left").join(weekly_streak(days), "user_id", "left")
+    rules = [_rows(measures, BADGES), _quarterly(days, as_of, factor, old_quarters), calendar_day_awards(days)]
     return reduce(DataFrame.unionByName, [r.select(*COLUMNS) for r in rules])
 
 

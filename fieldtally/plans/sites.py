@@ -58,12 +58,9 @@ def region_tagging(positions: DataFrame, regions: DataFrame, boundary: bool = Tr
     array. The array is as long as regions overlap at one point.
     """
     spots = positions.select("x", "y").distinct()
-    found = spatial.tag_points(spots, regions, boundary=boundary)
-    arrays = found.groupBy("x", "y").agg(F.array_sort(F.collect_set("region_id")).alias("region_ids"))
-    kind = dict(arrays.dtypes)["region_ids"]
-    return spots.join(arrays, ["x", "y"], "left").withColumn(
-        "region_ids", F.coalesce("region_ids", F.array().cast(kind))
-    )
+    found = spatial.tag_points(spots, regions.select("region_id", "edges", "box"), boundary=boundary, keep_outside=True)
+    # Null region ids, of spots outside, are not collected.
+    return found.groupBy("x", "y").agg(F.array_sort(F.collect_set("region_id")).alias("region_ids"))
 
 
 def site_summary_by_geometry(records: DataFrame, regions: DataFrame, status: str = "V") -> DataFrame:
@@ -76,7 +73,7 @@ def site_summary_by_geometry(records: DataFrame, regions: DataFrame, status: str
     per_spot = records.groupBy("x", "y", "taxon_id").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(ok, 1)).alias("n_ok")
     )
-    tags = spatial.tag_points(per_spot.select("x", "y").distinct(), regions.select("region_id", "edges", "box"))
+    tags = spatial.tag_points(records.select("x", "y").distinct(), regions.select("region_id", "edges", "box"))
     per = (
         per_spot.join(tags, ["x", "y"])
         .groupBy("region_id", "taxon_id")
@@ -173,7 +170,7 @@ def choropleth(points: DataFrame, regions: DataFrame, ramp: tuple = RAMP) -> Dat
     ``points``: x, y. ``regions``: region_id, edges, box. When all counts are equal the opacity is 0.6.
     """
     per_spot = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    tags = spatial.tag_points(per_spot.select("x", "y"), regions.select("region_id", "edges", "box"))
+    tags = spatial.tag_points(points.select("x", "y").distinct(), regions.select("region_id", "edges", "box"))
     per = per_spot.join(tags, ["x", "y"]).groupBy("region_id").agg(F.sum("n").alias("points"))
     scaled = minmax_scale(per, "points", "_share", 0.5)
 

@@ -24,6 +24,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, folder: str, schema, files_per_batch: int = 1000, **options) -> DataFrame:
+    """A Parquet folder as a stream; a backlog is worked off in batches of so many files."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).options(**options)
+    return reader.parquet(folder)
+
+
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
     """Any format Spark reads; text formats need a schema, so that nothing is scanned to guess one."""
     if fmt in ("csv", "json") and schema is None:
