@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates
-from ..functions.attributes import json_attrs
+from ..functions.attributes import with_json_attrs
 from ..operators.aggregate import count_if, exact_sum
 from ..operators.sync import merge_awards
 from ..operators.windows import longest_run
@@ -88,7 +88,7 @@ COLUMNS = ["user_id", "badge", "description", "metric", "metric_meaning", "award
 
 def visit_facts(visits: DataFrame) -> DataFrame:
     """Visits with the attributes the rules need, parsed once."""
-    doc = visits.select("visit_id", "user_id", "place_name", "date_start", *json_attrs("attrs_json", ATTRS))
+    doc = with_json_attrs(visits, "attrs_json", ATTRS, ["visit_id", "user_id", "place_name", "date_start"])
     return doc.select(
         "visit_id",
         "user_id",

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..functions.attributes import json_attrs
+from ..functions.attributes import with_json_attrs
 from ..operators import filters
 from ..operators.aggregate import join_text_by, paged, paged_text
 from ..operators.attributes import attrs_list, decode, pivot_attrs
@@ -59,8 +59,7 @@ def attribute_pivot_export(entities: DataFrame, values: DataFrame, key: str, wan
 
 def json_attribute_export(rows: DataFrame, doc: str, wanted: dict[str, tuple[str, str]], defaults: dict | None = None) -> DataFrame:
     """Rows with attributes of a JSON column as typed columns, parsed once. Values that do not fit are null, or the default."""
-    keep = [c for c in rows.columns if c != doc]
-    out = rows.select(*keep, *json_attrs(doc, wanted))
+    out = with_json_attrs(rows, doc, wanted)
     return out.fillna(defaults) if defaults else out
 
 

@@ -122,8 +122,9 @@ def test_attribute_list_defaults_to_empty(spark):
 
 def test_json_attributes_with_bad_values(spark):
     df = spark.createDataFrame([('{"1":"5","2":"x"}',), ("nonsense",), (None,)], "j string")
-    got = df.select(*ja.json_attrs("j", {"a": ("1", "int"), "b": ("2", "int")}), ja.json_attr("j", 1, "int").alias("c")).collect()
-    assert [tuple(r) for r in got] == [(5, None, 5), (None, None, None), (None, None, None)]
+    got = ja.with_json_attrs(df, "j", {"a": ("1", "int"), "b": ("2", "int")}).collect()
+    assert [tuple(r) for r in got] == [(5, None), (None, None), (None, None)]
+    assert [r[0] for r in df.select(ja.json_attr("j", 1, "int")).collect()] == [5, None, None]
 
 
 def test_total_counts_distinct_over_all_rows(spark):
