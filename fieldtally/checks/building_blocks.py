@@ -361,18 +361,13 @@ def _(t):
 @query(
     "either_key_join",
     "J8",
-    """SELECT v.visit_id, count(e.event_id) AS events FROM visits v JOIN events e
-    ON e.user_id = v.user_id OR e.event_id = v.visit_id GROUP BY 1""",
+    """SELECT v.visit_id, count(p.user_id) AS linked, CAST(max(p.user_id) AS BIGINT) AS last_linked FROM visits v JOIN people p
+    ON p.user_id = v.user_id OR p.user_id = v.visit_id GROUP BY 1""",
 )
 def _(t):
-    # Events shrink to counts per (user, id) pair only where the second key cannot match.
-    per_user = t.events.select("user_id", "event_id")
-    both = joins.join_any(
-        t.visits.select("visit_id", F.col("user_id").alias("creator")),
-        per_user,
-        [("creator", "user_id"), ("visit_id", "event_id")],
-    )
-    return both.groupBy("visit_id").agg(F.count("event_id").alias("events"))
+    visits = t.visits.select("visit_id", F.col("user_id").alias("creator"))
+    both = joins.join_any(visits, t.people.select("user_id"), [("creator", "user_id"), ("visit_id", "user_id")])
+    return both.groupBy("visit_id").agg(F.count("user_id").alias("linked"), F.max("user_id").alias("last_linked"))
 
 
 @query(

@@ -38,45 +38,47 @@ def _(t):
 @query(
     "polygons_sharing_interior",
     "G1 G5",
-    """SELECT a.region_id AS left_id, b.region_id AS right_id,
-    CAST((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)) AS DOUBLE) AS shared_area
-    FROM boxes a JOIN boxes b ON a.xmin < b.xmax AND b.xmin < a.xmax AND a.ymin < b.ymax AND b.ymin < a.ymax""",
+    """SELECT a.user_id AS left_id, b.region_id AS right_id,
+    CAST((least(a.x + 20, b.xmax) - greatest(a.x, b.xmin)) * (least(a.y + 20, b.ymax) - greatest(a.y, b.ymin)) AS DOUBLE) AS shared_area
+    FROM people a JOIN boxes b ON a.x < b.xmax AND b.xmin < a.x + 20 AND a.y < b.ymax AND b.ymin < a.y + 20""",
 )
 def _(t):
-    shapes = t.boxes.select("region_id", geo.parts("wkt").alias("geom"))
-    left = shapes.select(F.col("region_id").alias("left_id"), F.col("geom").alias("geom_l"))
-    right = shapes.select(F.col("region_id").alias("right_id"), F.col("geom").alias("geom_r"))
+    own = geo.box_wkt("x", "y", F.col("x") + 20, F.col("y") + 20)
+    left = t.people.select(F.col("user_id").alias("left_id"), geo.parts(own).alias("geom_l"))
+    right = t.boxes.select(F.col("region_id").alias("right_id"), geo.parts("wkt").alias("geom_r"))
     return spatial.overlapping(left, right).select("left_id", "right_id", F.round("shared_area", 6).alias("shared_area"))
 
 
 @query(
     "boxes_touching",
     "G1",
-    """SELECT a.region_id AS left_id, b.region_id AS right_id FROM
-    (SELECT region_id, xmin, ymin, xmin + 200 AS xmax, ymin + 200 AS ymax FROM boxes) a JOIN
-    (SELECT region_id, xmin, ymin, xmin + 200 AS xmax, ymin + 200 AS ymax FROM boxes) b
-    ON a.xmin <= b.xmax AND b.xmin <= a.xmax AND a.ymin <= b.ymax AND b.ymin <= a.ymax""",
+    """SELECT a.user_id AS left_id, b.region_id AS right_id FROM people a JOIN boxes b
+    ON a.x <= b.xmax AND b.xmin <= a.x + 10 AND a.y <= b.ymax AND b.ymin <= a.y + 10""",
 )
 def _(t):
-    def box(name):
-        x, y = F.col("xmin").cast("double"), F.col("ymin").cast("double")
-        return F.struct(x.alias("xmin"), y.alias("ymin"), (x + 200).alias("xmax"), (y + 200).alias("ymax")).alias(name)
+    def box(x0, y0, x1, y1, name):
+        ends = zip((x0, y0, x1, y1), ("xmin", "ymin", "xmax", "ymax"))
+        return F.struct(*[c.cast("double").alias(n) for c, n in ends]).alias(name)
 
-    left = t.boxes.select(F.col("region_id").alias("left_id"), box("box_l"))
-    right = t.boxes.select(F.col("region_id").alias("right_id"), box("box_r"))
+    x, y = F.col("x"), F.col("y")
+    left = t.people.select(F.col("user_id").alias("left_id"), box(x, y, x + 10, y + 10, "box_l"))
+    right = t.boxes.select(
+        F.col("region_id").alias("right_id"), box(*[F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], "box_r")
+    )
     return spatial.meeting_boxes(left, right, 100.0, touching=True).select("left_id", "right_id")
 
 
 @query(
     "within_distance",
     "G3",
-    """SELECT c.place_id, p.user_id, round(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 6) AS distance
-    FROM places c JOIN people p ON (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 2500""",
+    """SELECT c.region_id, p.user_id, round(sqrt((c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y)), 6) AS distance
+    FROM (SELECT region_id, xmin + 125 AS x, ymin + 125 AS y FROM boxes) c
+    JOIN people p ON (c.x - p.x) * (c.x - p.x) + (c.y - p.y) * (c.y - p.y) <= 2500""",
 )
 def _(t):
-    centres = t.places.select("place_id", F.col("x").alias("cx0"), F.col("y").alias("cy0"))
+    centres = t.boxes.select("region_id", (F.col("xmin") + 125).alias("cx0"), (F.col("ymin") + 125).alias("cy0"))
     found = spatial.within(t.people.select("user_id", "x", "y"), centres, 50)
-    return found.select("place_id", "user_id", F.round("distance", 6).alias("distance"))
+    return found.select("region_id", "user_id", F.round("distance", 6).alias("distance"))
 
 
 @query(
@@ -307,17 +309,20 @@ def _(t):
 @query(
     "region_grid",
     "job:region_grid T1 G1 G4",
-    """WITH ends AS (SELECT min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, max(ymax) AS y1 FROM boxes),
-    e AS (SELECT unnest(range(x0 // 100 * 100, CAST(ceil(x1 / 100.0) * 100 AS BIGINT), 100)) AS w FROM ends),
-    n AS (SELECT unnest(range(y0 // 100 * 100, CAST(ceil(y1 / 100.0) * 100 AS BIGINT), 100)) AS s FROM ends)
-    SELECT b.region_id, w AS west, s AS south, w + 50 AS centre_e, s + 50 AS centre_n,
-      'SV' || lpad(CAST(w // 100 AS VARCHAR), 3, '0') || lpad(CAST(s // 100 AS VARCHAR), 3, '0') AS square,
-      NOT (w >= b.xmin AND s >= b.ymin AND (w + 100 - b.xmin) + (s + 100 - b.ymin) <= 250) AS partial
-    FROM boxes b CROSS JOIN e CROSS JOIN n
-    WHERE w <= b.xmax AND w + 100 >= b.xmin AND s <= b.ymax AND s + 100 >= b.ymin AND (greatest(w, b.xmin) - b.xmin) + (greatest(s, b.ymin) - b.ymin) <= 250""",
+    """WITH w AS (SELECT place_id AS region_id, x AS xmin, y AS ymin, x + 250 AS xmax, y + 250 AS ymax FROM places),
+    ends AS (SELECT min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, max(ymax) AS y1 FROM w),
+    e AS (SELECT unnest(range(x0 // 100 * 100, CAST(ceil(x1 / 100.0) * 100 AS BIGINT), 100)) AS west FROM ends),
+    n AS (SELECT unnest(range(y0 // 100 * 100, CAST(ceil(y1 / 100.0) * 100 AS BIGINT), 100)) AS south FROM ends)
+    SELECT b.region_id, west, south, west + 50 AS centre_e, south + 50 AS centre_n,
+      'SV' || lpad(CAST(west // 100 AS VARCHAR), 3, '0') || lpad(CAST(south // 100 AS VARCHAR), 3, '0') AS square,
+      NOT (west >= b.xmin AND south >= b.ymin AND (west + 100 - b.xmin) + (south + 100 - b.ymin) <= 250) AS partial
+    FROM w b CROSS JOIN e CROSS JOIN n WHERE west <= b.xmax AND west + 100 >= b.xmin AND south <= b.ymax AND south + 100 >= b.ymin
+      AND (greatest(west, b.xmin) - b.xmin) + (greatest(south, b.ymin) - b.ymin) <= 250""",
 )
 def _(t):
-    return sites.region_grid(t.wedges, 100)
+    x, y = F.col("x"), F.col("y")
+    wedge = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d))", x, y, x + 250, y, x, y + 250, x, y)
+    return sites.region_grid(spatial.shapes(t.places.select("place_id", wedge.alias("wkt")), "wkt", "place_id"), 100)
 
 
 @query(
@@ -335,16 +340,14 @@ def _(t):
 @query(
     "layer_overlap",
     "job:layer_overlap G5 G1 A7",
-    """WITH q AS (SELECT region_id AS square_id, xmin + 30 AS xmin, ymin + 30 AS ymin, xmin + 230 AS xmax, ymin + 230 AS ymax FROM boxes)
-    SELECT q.square_id, b.region_id AS layer_id, b.region_name AS layer_name,
-      CASE WHEN s // 400 = 0 THEN '< 1' ELSE CAST(s // 400 AS VARCHAR) END AS pct_covered FROM
-      (SELECT q.square_id, b.region_id, (least(q.xmax, b.xmax) - greatest(q.xmin, b.xmin)) * (least(q.ymax, b.ymax) - greatest(q.ymin, b.ymin)) AS s
-       FROM q JOIN boxes b ON q.xmin < b.xmax AND b.xmin < q.xmax AND q.ymin < b.ymax AND b.ymin < q.ymax) o
-    JOIN q ON q.square_id = o.square_id JOIN boxes b ON b.region_id = o.region_id""",
+    """SELECT square_id, layer_id, layer_name, CASE WHEN s // 100 = 0 THEN '< 1' ELSE CAST(s // 100 AS VARCHAR) END AS pct_covered FROM
+      (SELECT q.user_id AS square_id, b.region_id AS layer_id, b.region_name AS layer_name,
+        (least(q.x + 105, b.xmax) - greatest(q.x + 5, b.xmin)) * (least(q.y + 105, b.ymax) - greatest(q.y + 5, b.ymin)) AS s
+       FROM people q JOIN boxes b ON q.x + 5 < b.xmax AND b.xmin < q.x + 105 AND q.y + 5 < b.ymax AND b.ymin < q.y + 105)""",
 )
 def _(t):
-    x, y = F.col("xmin") + 30, F.col("ymin") + 30
-    squares = t.boxes.select(F.col("region_id").alias("square_id"), geo.parts(geo.box_wkt(x, y, x + 200, y + 200)).alias("geom"))
+    x, y = F.col("x") + 5, F.col("y") + 5
+    squares = t.people.select(F.col("user_id").alias("square_id"), geo.parts(geo.box_wkt(x, y, x + 100, y + 100)).alias("geom"))
     layers = t.boxes.select(F.col("region_id").alias("layer_id"), F.col("region_name").alias("layer_name"), geo.parts("wkt").alias("geom"))
     return sites.layer_overlap(squares, layers)
 
@@ -387,8 +390,8 @@ def _(t):
     "job:near_points G3 U1",
     """WITH e AS (SELECT 'visit' AS kind, visit_id AS event_id, 'Visit ' || priority AS event, x, y, date_start AS d FROM visits WHERE status = 'F'
       UNION SELECT 'record', visit_id, 'Record of ' || record_status, (visit_id * 37) % 1000, (visit_id * 91) % 1000, seen_on FROM records WHERE discount > 0.09)
-    SELECT c.place_id AS centre_id, kind, event_id, event, round(sqrt((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y)), 6) AS distance,
-      strftime(d, '%Y-%m-%d') AS sort_date FROM places c JOIN e ON (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) <= 900""",
+    SELECT c.region_id AS centre_id, kind, event_id, event, round(sqrt((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y)), 6) AS distance,
+      strftime(d, '%Y-%m-%d') AS sort_date FROM (SELECT region_id, xmin + 125 AS x, ymin + 125 AS y FROM boxes) c JOIN e ON (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) <= 900""",
 )
 def _(t):
     visits = t.visits.where("status = 'F'").select(
@@ -402,7 +405,7 @@ def _(t):
         ((v * 91) % 1000).alias("y"),
         F.col("seen_on").alias("sort_date"),
     )
-    centres = t.places.select(F.col("place_id").alias("centre_id"), "x", "y")
+    centres = t.boxes.select(F.col("region_id").alias("centre_id"), (F.col("xmin") + 125).alias("x"), (F.col("ymin") + 125).alias("y"))
     found = sites.near_points(centres, {"visit": visits, "record": finds}, 30)
     return found.withColumn("distance", F.round("distance", 6))
 
@@ -440,10 +443,12 @@ def _(t):
 @query(
     "centroid_listing",
     "job:gis_export G6",
-    """SELECT region_id, round(degrees(2 * atan(exp((ymin + 125.0) / 6378137.0)) - pi() / 2), 5) AS lat, round(degrees((xmin + 125.0) / 6378137.0), 5) AS lon FROM boxes""",
+    """SELECT user_id, round(degrees(2 * atan(exp((y * 1000 + 125.0) / 6378137.0)) - pi() / 2), 5) AS lat, round(degrees((x * 1000 + 125.0) / 6378137.0), 5) AS lon FROM people""",
 )
 def _(t):
-    return sites.centroids(t.boxes.select("region_id", "wkt"), "wkt").select("region_id", "lat", "lon")
+    x, y = F.col("x") * 1000, F.col("y") * 1000
+    squares = t.people.select("user_id", geo.box_wkt(x, y, x + 250, y + 250).alias("wkt"))
+    return sites.centroids(squares, "wkt").select("user_id", "lat", "lon")
 
 
 @query(

@@ -16,6 +16,8 @@ from ..session import settle
 
 def _picked(df: DataFrame, keys: list[str], pick, order: list[Column | str]) -> DataFrame:
     payload = [c for c in df.columns if c not in keys]
+    if not payload:
+        return df.distinct()
     best = df.groupBy(*keys).agg(pick(F.struct(*payload), F.struct(*[col(o) for o in order])).alias("_row"))
     return best.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in payload])
 
