@@ -214,6 +214,24 @@ def area(geom: Column | str) -> Column:
     )
 
 
+def turned_edges(geom: Column | str) -> Column:
+    """Edges of a polygon as one flat array (x1, y1, x2, y2, ...), shells counter-clockwise and holes clockwise."""
+
+    def flat(p):
+        def turned(m):
+            forward = (m["a"] > 0) == p["shell"]
+            return F.transform(
+                ring_edges(p["ring"]),
+                lambda e: F.when(forward, F.array(e["x1"], e["y1"], e["x2"], e["y2"])).otherwise(
+                    F.array(e["x2"], e["y2"], e["x1"], e["y1"])
+                ),
+            )
+
+        return bound(_moments(p["ring"]), lambda m: F.flatten(turned(m)))
+
+    return F.flatten(F.transform(F.filter(col(geom), lambda p: p["shell"].isNotNull()), flat))
+
+
 def centroid(geom: Column | str) -> Column:
     """Area-weighted centre of polygons, length-weighted of lines, mean of points."""
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))

@@ -151,72 +151,70 @@ def grid_to_lonlat(east: pd.Series, north: pd.Series) -> pd.DataFrame:
 
 
 # ---- shared area of two polygons -----------------------------------------------------
+# Polygons come as flat edge lists (``geo.turned_edges``). Both are written as signed sums of
+# triangles with one common corner, so only triangle pairs are left, and those are worked out for
+# a whole batch at once: the area of an intersection is half the sum of the cross products of the
+# boundary pieces of each triangle that lie in the other.
 
 
-def _rings(geom):
-    """Rings as arrays, turned so that shells count positive and holes negative."""
-    for part in geom:
-        ring = np.array([(v["x"], v["y"]) for v in part["ring"]], dtype=float)
-        if len(ring) < 4 or part["shell"] is None:
-            continue
-        x, y = ring[:, 0], ring[:, 1]
-        turned = np.sum(x[:-1] * y[1:] - x[1:] * y[:-1])
-        if (turned < 0) == bool(part["shell"]):
-            ring = ring[::-1]
-        yield ring
+def _fan(edges, origin):
+    """Signed triangles (origin, start, end), moved so that the origin is 0."""
+    xy = np.asarray(edges, dtype=float).reshape(-1, 2, 2) - origin
+    twice = xy[:, 0, 0] * xy[:, 1, 1] - xy[:, 1, 0] * xy[:, 0, 1]
+    xy, twice = xy[twice != 0], twice[twice != 0]
+    # Counter-clockwise throughout; the sign keeps the direction.
+    xy = np.where((twice > 0)[:, None, None], xy, xy[:, ::-1])
+    return np.concatenate([np.zeros((len(xy), 1, 2)), xy], axis=1), np.sign(twice)
 
 
-def _fan(geom, origin):
-    """Signed triangles from ``origin`` whose sum covers the polygon once."""
-    out = []
-    for ring in _rings(geom):
-        for a, b in zip(ring[:-1], ring[1:]):
-            twice = (a[0] - origin[0]) * (b[1] - origin[1]) - (b[0] - origin[0]) * (a[1] - origin[1])
-            if twice:
-                out.append((1.0, (origin, a, b)) if twice > 0 else (-1.0, (origin, b, a)))
-    return out
-
-
-def _clip(triangle, window):
-    """Area of the part of one counter-clockwise triangle inside another."""
-    shape = list(triangle)
-    for i in range(3):
-        ax, ay = window[i]
-        bx, by = window[(i + 1) % 3]
-        side = [(bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) for p in shape]
-        kept = []
-        for j, p in enumerate(shape):
-            k = (j + 1) % len(shape)
-            if side[j] >= 0:
-                kept.append(p)
-            if (side[j] > 0 > side[k]) or (side[j] < 0 < side[k]):
-                t = side[j] / (side[j] - side[k])
-                q = shape[k]
-                kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
-        shape = kept
-        if len(shape) < 3:
-            return 0.0
-    area = sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(shape, shape[1:] + shape[:1]))
-    return area / 2
-
-
-def shared_area(a, b) -> float:
-    """Area two polygons (holes and multi-polygons allowed) have in common.
-
-    Both are written as signed sums of triangles, so only triangle pairs need clipping.
+def _boundary_inside(t1, t2, shared):
+    """Sum of cross products of the pieces of the edges of ``t1`` inside ``t2``.
+
+    An edge both have in common counts for one of the two (``shared``), and only if both
+    triangles lie on the same side of it.
     """
-    first = next(_rings(a), None)
-    if first is None:
-        return 0.0
-    origin = tuple(first[0])
-    fan_a, fan_b = _fan(a, origin), _fan(b, origin)
-    return abs(sum(sa * sb * _clip(ta, tb) for sa, ta in fan_a for sb, tb in fan_b))
+    d = np.roll(t1, -1, axis=1) - t1
+    start, stop = np.zeros(t1.shape[:2]), np.ones(t1.shape[:2])
+    inside = np.ones(t1.shape[:2], dtype=bool)
+    for j in range(3):
+        a = t2[:, None, j]
+        e = t2[:, None, (j + 1) % 3] - a
+        offset = e[..., 0] * (t1[..., 1] - a[..., 1]) - e[..., 1] * (t1[..., 0] - a[..., 0])
+        slope = e[..., 0] * d[..., 1] - e[..., 1] * d[..., 0]
+        at = -offset / np.where(slope == 0, 1.0, slope)
+        start = np.where(slope > 0, np.maximum(start, at), start)
+        stop = np.where(slope < 0, np.minimum(stop, at), stop)
+        along = (offset == 0) & ((e * d).sum(axis=-1) > 0) & shared
+        inside &= (slope != 0) | (offset > 0) | along
+    p, q = t1 + start[..., None] * d, t1 + stop[..., None] * d
+    cross = p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0]
+    return np.where(inside & (stop > start), cross, 0.0).sum(axis=1)
+
+
+def shared_areas(left, right) -> np.ndarray:
+    """Shared area of each pair of edge lists."""
+    one, two, sign, row = [], [], [], []
+    for i, (a, b) in enumerate(zip(left, right)):
+        if a is None or b is None or len(a) == 0 or len(b) == 0:
+            continue
+        origin = np.asarray(a[:2], dtype=float)
+        ta, sa = _fan(a, origin)
+        tb, sb = _fan(b, origin)
+        one.append(np.repeat(ta, len(tb), axis=0))
+        two.append(np.tile(tb, (len(ta), 1, 1)))
+        sign.append(np.outer(sa, sb).ravel())
+        row.append(np.full(len(ta) * len(tb), i))
+    if not one:
+        return np.zeros(len(left))
+    t1, t2 = np.concatenate(one), np.concatenate(two)
+    areas = (_boundary_inside(t1, t2, True) + _boundary_inside(t2, t1, False)) / 2
+    return np.abs(np.bincount(np.concatenate(row), areas * np.concatenate(sign), minlength=len(left)))
 
 
 @F.pandas_udf(T.DoubleType())
 def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Shared area of two ``parts`` columns."""
-    return pd.Series([shared_area(p, q) for p, q in zip(a, b)], dtype=float)
+    """Shared area of two polygons given by ``geo.turned_edges``."""
+    return pd.Series(shared_areas(a, b))
 
 
 # ---- generalisation ------------------------------------------------------------------

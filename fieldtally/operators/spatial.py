@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..functions.geo_arrow import overlap_area
 from ..functions.text import col
 from .joins import replicated, salted
 
@@ -116,16 +117,21 @@ def meeting_boxes(left: DataFrame, right: DataFrame, size: float, touching: bool
 def overlapping(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
     """Polygon pairs that share some interior ("intersects and not touches"), with ``shared_area``.
 
-    ``left`` and ``right`` carry ``geom_l`` / ``geom_r`` (``parts``) next to their own columns. The
-    exact area is worked out in Arrow batches, for pairs whose boxes meet only.
+    ``left`` and ``right`` carry ``geom_l`` / ``geom_r`` (``parts``) next to their own columns; the
+    result has the areas ``area_l`` and ``area_r`` in their place. The shared area is worked out in Arrow
+    batches, for pairs whose boxes meet only. Less than a billionth of the smaller shape is contact.
     """
-    from ..functions.geo_arrow import overlap_area
 
-    left = left.withColumn("box_l", geo.bounds("geom_l"))
-    right = right.withColumn("box_r", geo.bounds("geom_r"))
+    def side(df, s):
+        geom = f"geom_{s}"
+        out = df.withColumn(f"box_{s}", geo.bounds(geom)).withColumn(f"area_{s}", geo.area(geom))
+        return out.withColumn(f"edges_{s}", geo.turned_edges(geom)).drop(geom)
+
+    left, right = side(left, "l"), side(right, "r")
     size = size or max(cell_size(left, "box_l"), cell_size(right, "box_r"))
-    pairs = meeting_boxes(left, right, size)
-    return pairs.withColumn("shared_area", overlap_area("geom_l", "geom_r")).where(F.col("shared_area") > 0)
+    pairs = meeting_boxes(left, right, size).withColumn("shared_area", overlap_area("edges_l", "edges_r"))
+    least = F.least("area_l", "area_r") * 1e-9
+    return pairs.where(F.col("shared_area") > least).drop("edges_l", "edges_r", "box_l", "box_r")
 
 
 def grid_of(regions: DataFrame, size: int, box: str = "box") -> DataFrame:

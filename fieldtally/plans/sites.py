@@ -192,7 +192,7 @@ def layer_overlap(squares: DataFrame, layers: DataFrame) -> DataFrame:
         squares.select("square_id", F.col("geom").alias("geom_l")),
         layers.select("layer_id", "layer_name", F.col("geom").alias("geom_r")),
     )
-    share = F.floor(F.round(F.col("shared_area") / geo.area("geom_l") * 100, 9)).cast("long")
+    share = F.floor(F.round(F.col("shared_area") / F.col("area_l") * 100, 9)).cast("long")
     return pairs.select(
         "square_id",
         "layer_id",

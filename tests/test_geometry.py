@@ -78,21 +78,57 @@ def test_latlon_text(spark):
     assert one(spark, geo.latlon_text(F.lit(52.2), F.lit(-1.5), 3)) == "52.200N, 1.500W"
 
 
-def test_shared_area_of_shapes():
-    def shape(*rings):
-        return [{"shell": i == 0, "ring": [{"x": x, "y": y} for x, y in r]} for i, r in enumerate(rings)]
-
-    square = shape([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)])
-    donut = shape([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)])
-    arrow = shape([(0, 0), (10, 5), (0, 10), (4, 5), (0, 0)])
-    beside = shape([(10, 0), (20, 0), (20, 10), (10, 10), (10, 0)])
-    clockwise = shape([(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)])
-    assert geo_arrow.shared_area(square, square) == pytest.approx(100)
-    assert geo_arrow.shared_area(square, donut) == pytest.approx(96)
-    assert geo_arrow.shared_area(donut, donut) == pytest.approx(96)
-    assert geo_arrow.shared_area(arrow, square) == pytest.approx(30)
-    assert geo_arrow.shared_area(square, beside) == pytest.approx(0)
-    assert geo_arrow.shared_area(clockwise, square) == pytest.approx(100)
+SQUARE = "POLYGON((0 0,10 0,10 10,0 10,0 0))"
+ARROWHEAD = "POLYGON((0 0,10 5,0 10,4 5,0 0))"
+BESIDE = "POLYGON((10 0,20 0,20 10,10 10,10 0))"
+CLOCKWISE = "POLYGON((0 0,0 10,10 10,10 0,0 0))"
+TURNED_HOLE = "POLYGON((0 0,10 0,10 10,0 10,0 0),(2 2,2 4,4 4,4 2,2 2))"
+PAIR = "MULTIPOLYGON(((1 1,3 1,3 3,1 3,1 1)),((8 8,12 8,12 12,8 12,8 8)))"
+
+
+@pytest.mark.parametrize(
+    "a, b, area",
+    [
+        (SQUARE, SQUARE, 100),
+        (SQUARE, DONUT, 96),
+        (DONUT, DONUT, 96),
+        (DONUT, TURNED_HOLE, 96),
+        (ARROWHEAD, SQUARE, 30),
+        (SQUARE, BESIDE, 0),
+        (CLOCKWISE, SQUARE, 100),
+        (PAIR, SQUARE, 8),
+        (PAIR, DONUT, 7),
+        (SQUARE, "POLYGON((5 5,15 5,15 15,5 15,5 5))", 25),
+        (SQUARE, "POLYGON((-5 5,5 -5,15 5,5 15,-5 5))", 100),
+        ("POLYGON((-5 5,5 -5,15 5,5 15,-5 5))", "POLYGON((0 -5,10 -5,10 15,0 15,0 -5))", 150),
+    ],
+)
+def test_shared_area(spark, a, b, area):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    edges = df.select(geo.turned_edges(geo.parts("a")).alias("a"), geo.turned_edges(geo.parts("b")).alias("b"))
+    assert edges.select(geo_arrow.overlap_area("a", "b"), geo_arrow.overlap_area("b", "a")).first() == pytest.approx((area, area))
+
+
+def test_shared_area_of_random_triangles():
+    """Against counting points of a fine lattice."""
+    rng = np.random.default_rng(5)
+    grid = (np.stack(np.meshgrid(np.arange(400), np.arange(400)), -1).reshape(-1, 2) + 0.5) / 40
+
+    def turn(u, v):
+        return u[..., 0] * v[..., 1] - u[..., 1] * v[..., 0]
+
+    def inside(t):
+        cross = [turn(t[(i + 1) % 3] - t[i], grid - t[i]) for i in range(3)]
+        return np.all([c > 0 for c in cross], axis=0) | np.all([c < 0 for c in cross], axis=0)
+
+    def flat(t):
+        t = t if turn(t[1] - t[0], t[2] - t[0]) > 0 else t[::-1]
+        return np.concatenate([np.concatenate([t[i], t[(i + 1) % 3]]) for i in range(3)])
+
+    pairs = [(rng.uniform(0, 10, (3, 2)), rng.uniform(0, 10, (3, 2))) for _ in range(30)]
+    got = geo_arrow.shared_areas([flat(a) for a, _ in pairs], [flat(b) for _, b in pairs])
+    counted = [np.sum(inside(a) & inside(b)) / 1600 for a, b in pairs]
+    assert np.allclose(got, counted, atol=0.25)
 
 
 def test_tagging_equals_brute_force(spark):
