@@ -40,7 +40,7 @@ def store(uri: str):
 
 
 def shard_schema(length: int, wide: bool) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length))])
 
 
 class ShardWriter:
@@ -70,7 +70,7 @@ class ShardWriter:
             self.rest, self.waiting = [flat[cut:]], len(flat) - cut
 
     def write(self, ids: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(ids)) < real).astype(np.uint8)
+        mask = np.arange(len(ids)) < real
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (ids, mask)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -137,16 +137,17 @@ class ShardReader:
         self.length = self.reader.schema.field("ids").type.list_size
         self.at, self.batch = -1, None
 
-    def values(self, batch: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of a batch, flat, as views of its buffers."""
+    def values(self, batch: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """(ids as numpy, mask as Arrow booleans, one bit each) of a batch, flat, as views of its buffers."""
         if batch != self.at:
             self.at, found = batch, self.reader.get_batch(batch)
-            self.batch = tuple(c.flatten().to_numpy(zero_copy_only=True) for c in found.columns)
+            self.batch = found.column(0).flatten().to_numpy(zero_copy_only=True), found.column(1).flatten()
         return self.batch
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        ids, mask = self.values(i // BATCH)
         lo = i % BATCH * self.length
-        return tuple(v[lo : lo + self.length] for v in self.values(i // BATCH))
+        return ids[lo : lo + self.length], mask.slice(lo, self.length)
 
     def span(self, first: int, n: int):
         """The ids ``first .. first + n``, batch by batch; padding is an error."""
@@ -155,7 +156,7 @@ class ShardReader:
             ids, mask = self.values(first // full)
             lo = first % full
             part = ids[lo : lo + n]
-            if not mask[lo : lo + n].all():
+            if mask.slice(lo, len(part)).true_count < len(part):
                 raise ValueError("padding inside a document")
             yield part
             first, n = first + len(part), n - len(part)
