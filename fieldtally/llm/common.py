@@ -186,6 +186,10 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
 # ---- components -----------------------------------------------------------------------
 
 
+def fingerprint(pairs: DataFrame) -> tuple:
+    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node in ``edges`` (a, b): the smallest id that can be reached.
 
@@ -195,20 +199,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     kind = edges.schema["a"].dataType.simpleString()
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now, mark = table(ordered, "edges"), None
-    while True:
+    now = table(ordered, "edges")
+    mark = fingerprint(now)
+    while mark[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = table(large, "large-star")
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = table(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        seen = after.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        seen = fingerprint(after)
         discard(now, large)
         now = after
-        if tuple(seen) == mark:
+        if seen == mark:
             break
-        mark = tuple(seen)
+        mark = seen
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots).select(F.col("id").cast(kind), F.col("component").cast(kind))

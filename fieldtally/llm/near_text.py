@@ -5,8 +5,8 @@ a bin keeps its smallest. Empty bins borrow from the first filled bin in a rando
 of bins are bucket keys. Texts with one set are one class, and only classes go on.
 
 Candidates of a bucket are a star around its most central class. Where a star leaves a bucket in several
-components, exact follow-ups finish it: few strays are paired with all others; many strays are dealt anew by
-a second and a third band, which parts texts that only share a passage. Pairs are confirmed on full sets.
+components, exact follow-ups finish it: few strays are paired with all others; a bucket with many strays is
+dealt anew by a second band, which parts texts that only share a passage. Pairs are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -25,11 +25,9 @@ from .common import PLACES, annotate, as_text, column, components, discard, mix,
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SHINGLE = 5
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 56, 7
 #: A bucket with so many strays at most is finished by pairing each with all others.
 STRAYS = 8
-#: Bands that deal out a bucket with more strays, one after the other.
-DEPTH = 3
 #: Members of a star that one task compares with its centre.
 STAR = 512
 
@@ -167,64 +165,71 @@ def stars(members: DataFrame) -> DataFrame:
     return members.join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def opened(members: DataFrame, reach: DataFrame) -> DataFrame:
+    """Rows (key, last, node, c, main, strays) of the buckets in several components that a star has not settled."""
+    label = reach.select(F.col("id").alias("node"), "component")
+    own = table(members.join(label, "node", "left").select("key", "last", "node", F.coalesce("component", "node").alias("c")), "labelled")
+    parts = own.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("most"), F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("main")
+    )
+    mixed = mixed.where("parts > 1 and size > 2").select("key", "main", (F.col("size") - F.col("most")).alias("strays"))
+    state = table(own.join(mixed, "key"), "open")
+    discard(own)
+    return state
 
 
-def rejoined(pairs: DataFrame) -> DataFrame:
-    """Each pair once, under the member that is in more pairs, so that stars stay stars."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).groupBy("n").count()
-    with_a = pairs.join(ends.select(F.col("n").alias("a"), F.col("count").alias("ca")), "a")
-    both = with_a.join(ends.select(F.col("n").alias("b"), F.col("count").alias("cb")), "b")
-    turn = F.col("cb") > F.col("ca")
-    return both.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+def stray_pairs(state: DataFrame) -> DataFrame:
+    """Every pair of different components in a bucket: each class outside the main one with all others."""
+    one = state.where("c <> main").select("key", F.col("node").alias("a"), F.col("c").alias("ca"))
+    other = state.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
+    return one.join(other, "key").where("ca <> cb").select("a", "b")
 
 
 def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed edges (a, b) that join all linked classes; links inside a component may be left out."""
+    """(id, component) of all classes that have a link.
+
+    First every bucket's star. Then, in buckets still in several components, all pairs that could join them:
+    directly where strays are few; else in the buckets that a second shared band makes of them, where
+    a star comes first again. Pairs inside a component are never needed.
+    """
     rows = classes.select("node", F.posexplode("bands").alias("last", "key")).select("key", "last", "node")
     members = table(buckets(rows), "buckets")
     ids = members.select("node").distinct().join(classes.select("node", "digest"), "node").withColumnRenamed("node", "id")
     wanted = table(texts.join(ids, "id"), "candidates")
-    tested = table(ordered(stars(members)), "pairs")
-    edges = table(confirmed(rejoined(likely(tested, classes, percent)), wanted, percent), "links")
-    depth = 1
-    while True:
-        reach = table(components(edges), "reach")
-        label = reach.select(F.col("id").alias("node"), "component")
-        own = members.join(label, "node", "left").select("key", "last", "node", F.coalesce("component", "node").alias("c"))
-        mixed = own.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("key", "size")
-        own = table(own.join(mixed, "key"), "open")
-        main = own.groupBy("key", "c").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-        main = main.groupBy("key").agg(F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("main"), F.max("n").alias("n"), F.first("size").alias("size"))
-        main = main.select("key", "main", (F.col("size") - F.col("n")).alias("strays"))
-        state = table(own.drop("size").join(main, "key"), "state")
-        small = state.where(F.lit(True) if depth >= DEPTH else F.col("strays") <= STRAYS)
-        one, other = small.where("c <> main").select("key", F.col("node").alias("a"), F.col("c").alias("ca")), small.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-        pairs = one.join(other, "key").where("ca <> cb").select("a", "b")
-        discard(reach, own)
-        if depth < DEPTH:
-            large = state.where(F.col("strays") > STRAYS).select("key", "last", "node")
-            dealt = large.join(classes.select("node", "bands"), "node").select("node", "key", "last", F.posexplode("bands").alias("next", "band"))
-            dealt = dealt.where("next > last").select(F.xxhash64("key", "band").alias("key"), F.col("next").alias("last"), "node")
-            closer = table(buckets(dealt), "closer")
-            pairs = pairs.union(stars(closer))
-        else:
-            closer = None
-        fresh = table(likely(ordered(pairs).join(tested, ["a", "b"], "left_anti"), classes, percent), "pairs")
-        discard(members, state)
-        found = None if fresh.isEmpty() else table(confirmed(rejoined(fresh), wanted, percent), "links")
-        more = closer is not None and not closer.isEmpty()
-        if found is not None:
-            joined = table(edges.union(found), "links")
+    tested = table(stars(members).distinct(), "pairs")
+    edges = table(confirmed(likely(tested, classes, percent), wanted, percent), "links")
+    reach = components(edges)
+
+    def follow(pairs: DataFrame) -> None:
+        """Test what is not tested yet, and join the components that are linked."""
+        nonlocal edges, tested, reach
+        done = tested.union(tested.select("b", "a"))
+        fresh = table(likely(pairs.distinct().join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
+        if not fresh.isEmpty():
+            found = table(confirmed(fresh, wanted, percent), "links")
+            if not found.isEmpty():
+                joined = table(edges.union(found), "links")
+                discard(edges)
+                edges, reach = joined, components(joined)
             both = table(tested.union(fresh), "pairs")
-            discard(edges, found, tested)
-            edges, tested = joined, both
+            discard(tested, found)
+            tested = both
         discard(fresh)
-        if not more:
-            discard(tested, wanted, closer)
-            return edges
-        members, depth = closer, depth + 1
+
+    state = opened(members, reach)
+    discard(members)
+    large = state.where(F.col("strays") > STRAYS).select("key", "last", "node")
+    dealt = large.join(classes.select("node", "bands"), "node").select("node", "key", "last", F.posexplode("bands").alias("next", "band"))
+    dealt = dealt.where("next > last").select(F.xxhash64("key", "band").alias("key"), F.col("next").alias("last"), "node")
+    closer = table(buckets(dealt), "closer")
+    follow(stray_pairs(state.where(F.col("strays") <= STRAYS)).union(stars(closer)))
+    if not closer.isEmpty():
+        again = opened(closer, reach)
+        follow(stray_pairs(again))
+        discard(again)
+    discard(state, closer, wanted, tested)
+    return reach
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
@@ -241,8 +246,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", per
     classes = known.groupBy("digest").agg(F.min("id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
     classes = table(classes, "classes")
     texts = docs.select(column(docs, id).alias("id"), column(docs, text).cast("string").alias("text"))
-    edges = links(classes, texts, percent)
-    reach = components(edges)
+    reach = links(classes, texts, percent)
     named = classes.select("digest", "node").join(reach.select(F.col("id").alias("node"), "component"), "node", "left")
     named = named.select("digest", F.coalesce("component", "node").alias("component"))
     out = drawn.select("id", "n_shingles", "digest").join(named, "digest", "left")
