@@ -4,9 +4,10 @@ A document's set holds its distinct five-word shingles. One hash per shingle fal
 a bin keeps its smallest. Empty bins borrow from the first filled bin in a random order of their own. Bands
 of bins are bucket keys. Texts with one set are one class, and only classes go on.
 
-Candidates of a bucket are a star around its most central class. Where a star leaves a bucket in several
-components, exact follow-ups finish it: few strays are paired with all others; a bucket with many strays is
-dealt anew by a second band, which parts texts that only share a passage. Pairs are confirmed on full sets.
+Candidates are stars: a class meets the most central class of its buckets, and a few that are drawn. Where
+stars leave a bucket in several components, exact follow-ups finish it: few strays are paired with all
+others; the classes of a bucket with many strays meet anew by their rarest shingles, of which linked sets must
+share one, and which parts texts that only share a passage. Pairs are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACES, annotate, as_text, column, components, discard, mix, range_hashes, read_table, slices, table, text_bytes, windows, word_ranges
+from .common import PLACES, annotate, as_text, column, components, discard, mix, range_hashes, read_table, slices, spread, table, text_bytes, windows, word_ranges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -28,6 +29,8 @@ SHINGLE = 5
 BANDS, ROWS = 56, 7
 #: A bucket with so many strays at most is finished by pairing each with all others.
 STRAYS = 8
+#: Drawn classes that each class is compared with, besides the most central one.
+DRAWN = 4
 #: Members of a star that one task compares with its centre.
 STAR = 512
 
@@ -152,28 +155,36 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """Rows (key, last, node) with the ``size`` of their bucket, where that is two classes or more."""
+    """Rows (key, node) with the ``size`` of their bucket, where that is two classes or more."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return rows.join(sizes, "key")
 
 
 def stars(members: DataFrame) -> DataFrame:
-    """Pairs (centre, other) of each bucket; the centre is the class that meets most others, then the smallest."""
+    """Pairs (centre, other): each class with the most central class it meets, and with a few drawn ones.
+
+    A bucket's centre is the class that meets most others, then the smallest; another is drawn by a hash. A
+    class takes the best of its buckets' centres and DRAWN of those drawn, so that pairs stay in proportion.
+    """
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = members.select("key", "node").join(weight, "node")
-    centre = weighed.groupBy("key").agg(F.min_by("node", F.struct(-F.col("weight"), F.col("node"))).alias("centre"))
-    return members.join(centre, "key").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+    rank, lot = F.struct(-F.col("weight"), F.col("node")), F.struct(F.xxhash64("key", "node"), F.col("node"))
+    centre = weighed.groupBy("key").agg(F.min(rank).alias("rank"), F.min(lot).alias("lot")).select("key", "rank", F.col("lot.node").alias("drawn"))
+    met = members.join(centre, "key").groupBy("node").agg(F.min("rank").alias("rank"), F.collect_set(F.struct(F.xxhash64("key").alias("h"), "drawn")).alias("drawn"))
+    some = F.transform(F.slice(F.array_sort(F.filter("drawn", lambda d: d["drawn"] != F.col("node"))), 1, DRAWN), lambda d: d["drawn"])
+    chosen = F.array_distinct(F.concat(F.array(F.col("rank.node")), some))
+    return met.select(F.explode(chosen).alias("a"), F.col("node").alias("b")).where("a <> b")
 
 
 def opened(members: DataFrame, reach: DataFrame) -> DataFrame:
-    """Rows (key, last, node, c, main, strays) of the buckets in several components that a star has not settled."""
+    """Rows (key, node, c, main, strays) of the buckets that still are in several components."""
     label = reach.select(F.col("id").alias("node"), "component")
-    own = table(members.join(label, "node", "left").select("key", "last", "node", F.coalesce("component", "node").alias("c")), "labelled")
+    own = table(members.join(label, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c")), "labelled")
     parts = own.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(
         F.count("*").alias("parts"), F.sum("n").alias("size"), F.max("n").alias("most"), F.min_by("c", F.struct(-F.col("n"), F.col("c"))).alias("main")
     )
-    mixed = mixed.where("parts > 1 and size > 2").select("key", "main", (F.col("size") - F.col("most")).alias("strays"))
+    mixed = mixed.where("parts > 1").select("key", "main", (F.col("size") - F.col("most")).alias("strays"))
     state = table(own.join(mixed, "key"), "open")
     discard(own)
     return state
@@ -186,49 +197,123 @@ def stray_pairs(state: DataFrame) -> DataFrame:
     return one.join(other, "key").where("ca <> cb").select("a", "b")
 
 
+def rarest(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, node): each class's rarest shingles, as many as let no link pass.
+
+    Sets that share ``percent`` of their union share one of their n - ceil(percent n / 100) + 1 first elements in
+    any common order; the order is by how many of ``nodes`` have the shingle.
+    """
+
+    def make():
+        def run(found):
+            sets = shingle_sets(found)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), pa.array([digest(x) for x in sets], pa.binary())]
+
+        return run
+
+    own = annotate(texts.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "text", "shingles array<long>, mark binary", make, keep=["id", "digest"])
+    own = table(own.where("digest = mark").select(F.col("id").alias("node"), F.explode("shingles").alias("h")), "shingles")
+    counted = own.join(own.groupBy("h").agg(F.countDistinct("node").alias("n")), "h")
+    order = counted.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "h"))).alias("s"))
+    first = F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * percent / 100) + 1).cast("int"))
+    return order.select("node", F.explode(first).alias("s")).select(F.col("s.h").alias("key"), "node")
+
+
+def tiled(state: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join the components of each bucket, compared bucket by bucket without pair rows.
+
+    A tile holds STAR strays at most and streams all members of the bucket past them; one search in the
+    strays' merged shingles gives a member's overlap with all of them. A tile gives an edge only if it joins
+    what its edges have not joined yet.
+    """
+    parts = F.ceil(F.col("strays") / STAR)
+    asks = state.where("c <> main").select("key", F.pmod(F.xxhash64("node"), parts).alias("part"), F.lit(0).alias("turn"), F.col("node").alias("id"), "c")
+    other = state.select("key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(1).alias("turn"), F.col("node").alias("id"), "c")
+    dealt = asks.union(other).join(texts, "id").select("key", "part", "turn", "id", "c", "digest", "text")
+    dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "turn")
+
+    def run(batches):
+        tile = None
+        for batch in batches:
+            for rows in slices(batch, batch.column(6)):
+                keys, portions, turns, ids, own, digests = (rows.column(i).to_pylist() for i in range(6))
+                edges = []
+                for key, portion, turn, node, c, mark, s in zip(keys, portions, turns, ids, own, digests, shingle_sets(as_text(rows.column(6)))):
+                    if digest(s) != mark:
+                        continue
+                    if tile is None or tile.at != (key, portion):
+                        tile = Tile((key, portion), percent)
+                    if turn == 0:
+                        tile.add(node, c, s)
+                    else:
+                        edges += tile.compare(node, c, s)
+                yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], rows.schema.field(3).type) for i in (0, 1)], names=["a", "b"])
+
+    kind = state.schema["node"].dataType.simpleString()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+class Tile:
+    """Some strays of a bucket, by their shingles."""
+
+    def __init__(self, at, percent: int):
+        self.at, self.percent = at, percent
+        self.strays, self.sets, self.parent, self.flat = [], [], {}, None
+
+    def add(self, node, c, s: np.ndarray) -> None:
+        self.strays.append((node, c))
+        self.sets.append(s)
+
+    def root(self, c):
+        while self.parent.get(c, c) != c:
+            c = self.parent[c]
+        return c
+
+    def compare(self, node, c, s: np.ndarray) -> list:
+        if self.flat is None:
+            flat = np.concatenate([*self.sets, np.empty(0, np.uint64)])
+            order = np.argsort(flat, kind="stable")
+            self.flat, self.sizes = flat[order], np.array([len(x) for x in self.sets])
+            self.owner = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+            self.sets = []
+        lo, hi = np.searchsorted(self.flat, s, "left"), np.searchsorted(self.flat, s, "right")
+        common = np.bincount(self.owner[spread(lo, hi - lo)], minlength=len(self.sizes))
+        out = []
+        for i in np.flatnonzero(100 * common >= self.percent * (self.sizes + len(s) - common)):
+            other, d = self.strays[i]
+            if other != node and self.root(c) != self.root(d):
+                self.parent[self.root(d)] = self.root(c)
+                out.append((node, other))
+        return out
+
+
 def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(id, component) of all classes that have a link.
 
-    First every bucket's star. Then, in buckets still in several components, all pairs that could join them:
-    directly where strays are few; else in the buckets that a second shared band makes of them, where
-    a star comes first again. Pairs inside a component are never needed.
+    First the stars. Then, in buckets still in several components, all pairs that could join them: directly
+    where strays are few; else among classes that share a rarest shingle. Pairs inside a component are never
+    needed.
     """
-    rows = classes.select("node", F.posexplode("bands").alias("last", "key")).select("key", "last", "node")
+    rows = classes.select("node", F.explode("bands").alias("key")).select("key", "node")
     members = table(buckets(rows), "buckets")
     ids = members.select("node").distinct().join(classes.select("node", "digest"), "node").withColumnRenamed("node", "id")
     wanted = table(texts.join(ids, "id"), "candidates")
-    tested = table(stars(members).distinct(), "pairs")
+    tested = table(stars(members), "pairs")
     edges = table(confirmed(likely(tested, classes, percent), wanted, percent), "links")
     reach = components(edges)
 
-    def follow(pairs: DataFrame) -> None:
-        """Test what is not tested yet, and join the components that are linked."""
-        nonlocal edges, tested, reach
-        done = tested.union(tested.select("b", "a"))
-        fresh = table(likely(pairs.distinct().join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
-        if not fresh.isEmpty():
-            found = table(confirmed(fresh, wanted, percent), "links")
-            if not found.isEmpty():
-                joined = table(edges.union(found), "links")
-                discard(edges)
-                edges, reach = joined, components(joined)
-            both = table(tested.union(fresh), "pairs")
-            discard(tested, found)
-            tested = both
-        discard(fresh)
-
     state = opened(members, reach)
     discard(members)
-    large = state.where(F.col("strays") > STRAYS).select("key", "last", "node")
-    dealt = large.join(classes.select("node", "bands"), "node").select("node", "key", "last", F.posexplode("bands").alias("next", "band"))
-    dealt = dealt.where("next > last").select(F.xxhash64("key", "band").alias("key"), F.col("next").alias("last"), "node")
-    closer = table(buckets(dealt), "closer")
-    follow(stray_pairs(state.where(F.col("strays") <= STRAYS)).union(stars(closer)))
-    if not closer.isEmpty():
-        again = opened(closer, reach)
-        follow(stray_pairs(again))
-        discard(again)
-    discard(state, closer, wanted, tested)
+    closer = table(buckets(rarest(state.where(F.col("strays") > STRAYS), wanted, percent)), "closer")
+    again = opened(closer, reach)
+    pairs = stray_pairs(state.where(F.col("strays") <= STRAYS)).distinct()
+    done = tested.union(tested.select("b", "a"))
+    fresh = table(likely(pairs.join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
+    found = table(confirmed(fresh, wanted, percent).union(tiled(again, wanted, percent)), "links")
+    if not found.isEmpty():
+        reach = components(edges.union(found))
+    discard(state, closer, again, wanted, tested, fresh, found, edges)
     return reach
 
 
