@@ -20,7 +20,9 @@ def live(df: DataFrame, flag: str = "deleted") -> DataFrame:
 
 
 def none_if(value, blanks: Iterable = BLANKS):
-    """``None`` when a parameter carries one of the blank values."""
+    """``None`` when a parameter carries one of the blank values; a boolean is a value of its own."""
+    if isinstance(value, bool):
+        return value
     if isinstance(value, (list, tuple, set)):
         return value or None
     if isinstance(value, str) and value.strip() in blanks:

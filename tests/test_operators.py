@@ -21,6 +21,7 @@ def test_live_drops_deleted_and_unknown(spark):
 
 def test_blank_parameters():
     assert [filters.none_if(v) for v in ("", "all", 0, "0", "Click here", None, [])] == [None] * 7
+    assert filters.none_if(False) is False and filters.none_if(True) is True
     assert filters.none_if("x") == "x" and filters.none_if([1]) == [1] and filters.none_if(7) == 7
 
 
