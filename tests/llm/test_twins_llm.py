@@ -1,10 +1,16 @@
 """The package's queries against their SQL, and the pipeline's stages, on the smallest tables."""
 
+import os
+import sys
+
 import pytest
-from compare import compare, duck
 
-import corpus_pipeline
-from fieldtally.llm import queries
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+
+from compare import compare, duck  # noqa: E402
+
+import corpus_pipeline  # noqa: E402
+from fieldtally.llm import queries  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(queries.sql()))
