@@ -303,8 +303,8 @@ def _(t):
     "job:inactive_or_orphaned_users C4",
     f"""WITH {ACCOUNTS_SQL}
     SELECT * FROM (SELECT DISTINCT v.user_id, coalesce(p.surname, 'Person name not found') AS surname,
-      CASE WHEN NOT u.deleted THEN 'OK' WHEN u.deleted THEN 'Account present but deleted' ELSE 'Account missing' END AS account_state,
-      CASE WHEN NOT p.deleted THEN 'OK' WHEN p.deleted THEN 'Person present but deleted' ELSE 'Person missing' END AS person_state
+      CASE WHEN NOT u.deleted THEN 'OK' WHEN u.deleted THEN 'Warehouse User Account Present But Deleted' ELSE 'Warehouse User Account Missing' END AS account_state,
+      CASE WHEN NOT p.deleted THEN 'OK' WHEN p.deleted THEN 'Warehouse Person Account Present But Deleted' ELSE 'Warehouse Person Account Missing' END AS person_state
     FROM visits v LEFT JOIN users u ON u.user_id = v.user_id LEFT JOIN persons p ON p.person_id = u.person_id)
     WHERE account_state <> 'OK' OR person_state <> 'OK'""",
 )
@@ -1038,10 +1038,10 @@ def _(t):
 LISTS_SQL = """countries AS (SELECT parent_name AS code, CASE WHEN region_id = 2 THEN NULL ELSE 'Region ' || region_id END AS place_name, parent_id FROM parents),
     links AS (SELECT n.parent_name AS code, r.taxon_id, min(r.record_status) AS presence, min(r.seen_on) AS since FROM records r
       JOIN places p ON p.place_id = r.place_id JOIN parents n ON n.parent_id = p.parent_id GROUP BY 1, 2),
-    want_l AS (SELECT 'Country List - ' || code AS title, 'List generated for managing the species list for ' || code || coalesce(' (' || place_name || ').', '.') AS description, parent_id FROM countries),
+    want_l AS (SELECT 'EBMS Country List - ' || code AS title, 'List generated for managing the species list for ' || code || coalesce(' (' || place_name || ').', '.') AS description, parent_id FROM countries),
     have_l AS (SELECT title, CASE WHEN parent_id % 2 = 0 THEN description ELSE 'old text' END AS description FROM want_l WHERE parent_id < 20),
-    want_e AS (SELECT 'Country List - ' || code AS title, taxon_id, '{"presence_code":"' || presence || '"}' AS metadata FROM links WHERE presence <> 'A'),
-    have_e AS (SELECT 'Country List - ' || code AS title, taxon_id, '{"presence_code":"' || CASE WHEN taxon_id % 5 = 0 THEN 'X' ELSE presence END || '"}' AS metadata
+    want_e AS (SELECT 'EBMS Country List - ' || code AS title, taxon_id, '{"presence_code":"' || presence || '"}' AS metadata FROM links WHERE presence <> 'A'),
+    have_e AS (SELECT 'EBMS Country List - ' || code AS title, taxon_id, '{"presence_code":"' || CASE WHEN taxon_id % 5 = 0 THEN 'X' ELSE presence END || '"}' AS metadata
       FROM links WHERE since < DATE '1999-01-01')"""
 
 
@@ -1086,9 +1086,9 @@ def _(t):
 @query(
     "list_catalogue",
     "job:list_catalogue A4 E4",
-    """WITH lists AS (SELECT CAST(parent_id AS BIGINT) AS list_id, CASE WHEN parent_id < 20 THEN 'Country List - ' || parent_name ELSE parent_name END AS title FROM parents),
+    """WITH lists AS (SELECT CAST(parent_id AS BIGINT) AS list_id, CASE WHEN parent_id < 20 THEN 'EBMS Country List - ' || parent_name ELSE parent_name END AS title FROM parents),
     entries AS (SELECT DISTINCT p.parent_id AS list_id, r.taxon_id, a.rank_order % 7 AS g FROM records r JOIN places p ON p.place_id = r.place_id JOIN taxa a ON a.taxon_id = r.taxon_id)
-    SELECT l.list_id, l.title, CASE WHEN l.title LIKE 'Country List - %' THEN replace(l.title, 'Country List - ', '') END AS region_code,
+    SELECT l.list_id, l.title, CASE WHEN l.title LIKE 'EBMS Country List - %' THEN replace(l.title, 'EBMS Country List - ', '') END AS region_code,
       coalesce((SELECT '[' || string_agg('{"group_id":' || n.region_id || ',"group_title":"' || g.r_name || '"}', ',') || ']' FROM parents n JOIN region g ON g.r_regionkey = n.region_id
         WHERE n.parent_id = l.list_id AND n.region_id < 4), '[]') AS group_info,
       coalesce((SELECT '[' || string_agg(j, ',' ORDER BY j) || ']' FROM (SELECT '{"location_id":' || p.place_id || ',"location_name":"' || p.place_name || '"}' AS j FROM places p WHERE p.parent_id = l.list_id)), '[]') AS location_info,
@@ -1181,11 +1181,11 @@ def _(t):
     "audit_history",
     "job:audit_history U1 C4",
     """WITH rec AS (SELECT visit_id AS record_id, CAST(date_start AS TIMESTAMP) AS created_on, user_id FROM visits WHERE status = 'F'),
-    log AS (SELECT visit_id AS record_id, CASE record_status WHEN 'A' THEN 'Update' WHEN 'R' THEN 'Delete' ELSE 'Insert' END AS action, CAST(seen_on AS TIMESTAMP) AS at, place_id AS user_id,
+    log AS (SELECT visit_id AS record_id, CASE record_status WHEN 'A' THEN 'Update ' WHEN 'R' THEN 'Delete ' ELSE 'Insert ' END AS action, CAST(seen_on AS TIMESTAMP) AS at, place_id AS user_id,
       CASE WHEN discount > 0.05 THEN '"last_verification_check_date"=>"x"' ELSE '"quantity"=>"' || CAST(quantity AS INTEGER) || '"' END AS changed FROM records),
     h AS (SELECT record_id, 'Inserted' AS action, created_on AS at, user_id, CAST(NULL AS VARCHAR) AS changed,
-      CASE WHEN created_on < TIMESTAMP '1996-01-01' THEN 'Entered before changes were logged, first values may be inaccurate' END AS notes FROM rec
-      UNION SELECT l.record_id, l.action, l.at, l.user_id, l.changed, CASE WHEN l.changed LIKE '"last_ver%' THEN 'Automatic rule check' END
+      CASE WHEN created_on < TIMESTAMP '1996-01-01' THEN 'Record entered before audit logging feature added to the warehouse so initial data values may be inaccurate.' END AS notes FROM rec
+      UNION SELECT l.record_id, l.action, l.at, l.user_id, l.changed, CASE WHEN l.changed LIKE '"last_ver%' THEN 'Record cleaner rule check' END
       FROM log l JOIN rec r ON r.record_id = l.record_id)
     SELECT h.record_id, h.action, strftime(h.at, '%Y-%m-%d %H:%M:%S') AS at, h.user_id, p.user_name, h.changed, h.notes FROM h LEFT JOIN people p ON p.user_id = h.user_id""",
 )

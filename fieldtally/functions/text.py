@@ -29,7 +29,7 @@ def full_name(first: Column | str, last: Column | str) -> Column:
 def name_key(c: Column | str) -> Column:
     """Search key of a name: bracketed text dropped, lower case, ``ae`` -> ``e``, letters and digits only.
 
-    ``?`` and ``+`` are kept because hybrid and uncertain names use them.
+    ``?`` and ``+`` are kept because hybrid and uncertain names use them. The patterns are fixed values.
     """
     plain = F.lower(F.regexp_replace(col(c), r"\(.+\)", ""))
     return F.regexp_replace(F.regexp_replace(plain, "ae", "e"), r"[^a-z0-9?+]", "")

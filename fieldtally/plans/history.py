@@ -41,8 +41,10 @@ def last_status_before(records: DataFrame, comments: DataFrame) -> DataFrame:
     )
 
 
-# Change codes of the log.
-ACTIONS = {"I": "Insert", "U": "Update", "D": "Delete", "T": "Truncate"}
+# Change codes of the log (two end in a space) and the notes.
+ACTIONS = {"U": "Update ", "I": "Insert ", "D": "Delete ", "T": "Truncate"}
+NOTE_BEFORE_LOG = "Record entered before audit logging feature added to the warehouse so initial data values may be inaccurate."
+NOTE_RULE_CHECK = "Record cleaner rule check"
 
 
 def audit_history(records: DataFrame, log: DataFrame, people: DataFrame, logging_since=None) -> DataFrame:
@@ -58,7 +60,7 @@ def audit_history(records: DataFrame, log: DataFrame, people: DataFrame, logging
         F.col("created_on").alias("at"),
         "user_id",
         F.lit(None).cast("string").alias("changed"),
-        F.when(late, "Entered before changes were logged, first values may be inaccurate").alias("notes"),
+        F.when(late, NOTE_BEFORE_LOG).alias("notes"),
     )
     check = F.col("changed").startswith('"last_verification_check_date"')
     changes = log.join(records.select("record_id"), "record_id", "left_semi").select(
@@ -67,7 +69,7 @@ def audit_history(records: DataFrame, log: DataFrame, people: DataFrame, logging
         "at",
         "user_id",
         "changed",
-        F.when(check, "Automatic rule check").alias("notes"),
+        F.when(check, NOTE_RULE_CHECK).alias("notes"),
     )
     both = first.unionByName(changes).distinct()
     return both.join(people.select("user_id", "user_name"), "user_id", "left").select(

@@ -144,6 +144,11 @@ def deleted_but_allocated(allocations: DataFrame, live_users: DataFrame) -> Data
     )
 
 
+# States of an account and of a person.
+ACCOUNT_GONE, ACCOUNT_MISSING = "Warehouse User Account Present But Deleted", "Warehouse User Account Missing"
+PERSON_GONE, PERSON_MISSING = "Warehouse Person Account Present But Deleted", "Warehouse Person Account Missing"
+
+
 def broken_accounts(visits: DataFrame, users: DataFrame, people: DataFrame) -> DataFrame:
     """Visit creators whose account or person row is missing or deleted.
 
@@ -158,11 +163,11 @@ def broken_accounts(visits: DataFrame, users: DataFrame, people: DataFrame) -> D
     persons = people.select("person_id", "surname", F.col("deleted").alias("person_deleted"))
     found = own.join(accounts, "person_id", "left").join(persons, "person_id", "left")
 
-    def state(live: Column, gone: Column, what: str) -> Column:
-        return F.when(live, "OK").when(gone, f"{what} present but deleted").otherwise(f"{what} missing")
+    def state(live: Column, deleted: Column, gone: str, missing: str) -> Column:
+        return F.when(F.coalesce(live, F.lit(False)), "OK").when(F.coalesce(deleted, F.lit(False)), gone).otherwise(missing)
 
-    account = state(F.coalesce(F.col("live_users") > 0, F.lit(False)), F.coalesce(F.col("deleted_users") > 0, F.lit(False)), "Account")
-    person = state(F.coalesce(~F.col("person_deleted"), F.lit(False)), F.coalesce(F.col("person_deleted"), F.lit(False)), "Person")
+    account = state(F.col("live_users") > 0, F.col("deleted_users") > 0, ACCOUNT_GONE, ACCOUNT_MISSING)
+    person = state(~F.col("person_deleted"), F.col("person_deleted"), PERSON_GONE, PERSON_MISSING)
     out = found.select(
         "user_id",
         F.coalesce("surname", F.lit("Person name not found")).alias("surname"),

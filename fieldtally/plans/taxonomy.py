@@ -176,12 +176,13 @@ def trait_index_rebuild(index: DataFrame, name: str, version: str, folder: str)
     return rebuild(index, name, version, folder)
 
 
-LIST_PREFIX = "Country List - "
+# Fixed value: how the title of a country's list begins.
+LIST_PREFIX = "EBMS Country List - "
 
 
 def wanted_lists(countries: DataFrame, prefix: str = LIST_PREFIX) -> DataFrame:
     """Lists that should exist, one per country: title, description. ``countries``: code, place_name (may be null)."""
-    text = F.concat(
+    text = F.concat(  # fixed value: the description
         F.lit("List generated for managing the species list for "),
         F.col("code"),
         F.coalesce(F.concat(F.lit(" ("), F.col("place_name"), F.lit(").")), F.lit(".")),
@@ -232,7 +233,7 @@ def list_catalogue(lists: DataFrame, entries: DataFrame, groups: DataFrame, plac
         .join(json_list(places, ["location_id", "location_name"], "location_info"), "list_id", "left")
         .join(taxa, "list_id", "left")
     )
-    code = F.when(F.col("title").startswith(prefix), F.substring("title", len(prefix) + 1, 1000))
+    code = F.when(F.col("title").startswith(prefix), F.replace("title", F.lit(prefix), F.lit("")))
     return out.select(
         "list_id",
         "title",

@@ -113,9 +113,9 @@ def test_account_states(spark):
     users = spark.createDataFrame([(1, 1, False), (2, 2, True), (3, 3, False), (5, 5, False)], "user_id int, person_id int, deleted boolean")
     persons = spark.createDataFrame([(1, "A", False), (2, "B", False), (3, "C", True)], "person_id int, surname string, deleted boolean")
     assert rows(people.broken_accounts(visits, users, persons), "user_id", "account_state", "person_state") == [
-        (2, "Account present but deleted", "OK"),
-        (3, "OK", "Person present but deleted"),
-        (4, "Account missing", "Person missing"),
+        (2, "Warehouse User Account Present But Deleted", "OK"),
+        (3, "OK", "Warehouse Person Account Present But Deleted"),
+        (4, "Warehouse User Account Missing", "Warehouse Person Account Missing"),
         (5, "OK", "Person missing"),
     ]
 
@@ -222,7 +222,7 @@ def test_list_sync_is_stable_after_applying(spark):
     countries = spark.createDataFrame([("GB", "Britain"), ("XX", None)], "code string, place_name string")
     links = spark.createDataFrame([("GB", 1, "P"), ("GB", 2, "A"), ("XX", 1, "M")], "code string, taxon_id int, presence string")
     empty_lists = spark.createDataFrame([], "title string, description string")
-    stale = spark.createDataFrame([("Country List - GB", 9, "{}")], "title string, taxon_id int, metadata string")
+    stale = spark.createDataFrame([("EBMS Country List - GB", 9, "{}")], "title string, taxon_id int, metadata string")
     lists, entries = taxonomy.country_list_sync(countries, links, empty_lists, stale)
     assert rows(lists, "description", "change") == [
         ("List generated for managing the species list for GB (Britain).", "I"),
