@@ -186,22 +186,25 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
 # ---- components -----------------------------------------------------------------------
 
 
-def fingerprint(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def scattered(edges: DataFrame) -> bool:
+    """Whether edges (a, b), a > b, are not yet stars: a node has two lower neighbours, or neighbours on both sides."""
+    lower = edges.select(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    upper = edges.select(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above"))
+    per = lower.union(upper).groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return per.where("below > 1 or (below > 0 and above > 0)").agg(F.count("*")).first()[0] > 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node in ``edges`` (a, b): the smallest id that can be reached.
 
     Alternating large-star and small-star steps: each links a node's neighbours to the smallest of
-    them, by an aggregate that combines before its shuffle and a join; about log(n) rounds. Each
-    round is written to the shared folder.
+    them, by an aggregate that combines before its shuffle and a join; about log(n) rounds, until only
+    stars around smallest ids are left. Each round is written to the shared folder.
     """
     kind = edges.schema["a"].dataType.simpleString()
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = table(ordered, "edges")
-    mark = fingerprint(now)
-    while mark[0]:
+    while scattered(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -209,11 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = table(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        seen = fingerprint(after)
         discard(now, large)
         now = after
-        if seen == mark:
-            break
-        mark = seen
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots).select(F.col("id").cast(kind), F.col("component").cast(kind))

@@ -312,7 +312,8 @@ def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     fresh = table(likely(pairs.join(done, ["a", "b"], "left_anti"), classes, percent), "pairs")
     found = table(confirmed(fresh, wanted, percent).union(tiled(again, wanted, percent)), "links")
     if not found.isEmpty():
-        reach = components(edges.union(found))
+        # What is known already comes in as stars, not as the edges that led to them.
+        reach = components(found.union(reach.select("id", "component")))
     discard(state, closer, again, wanted, tested, fresh, found, edges)
     return reach
 
