@@ -740,13 +740,12 @@ def _(t):
 @query(
     "attributes_as_list",
     "job:attributes_as_list E4",
-    """WITH vals AS (SELECT DISTINCT visit_id, record_status, substatus FROM records WHERE discount > 0.05)
+    """WITH vals AS (SELECT DISTINCT visit_id, record_status, substatus FROM records)
     SELECT v.visit_id, coalesce('[' || string_agg('{"record_status":"' || record_status || '","substatus":"' || substatus || '"}', ',' ORDER BY record_status, substatus) || ']', '[]') AS attrs
     FROM visits v LEFT JOIN vals USING (visit_id) GROUP BY 1""",
 )
 def _(t):
-    rows = t.records.where("discount > 0.05")
-    out = exports.attributes_as_list(t.visits.select("visit_id"), rows, "visit_id", ["record_status", "substatus"])
+    out = exports.attributes_as_list(t.visits.select("visit_id"), t.records, "visit_id", ["record_status", "substatus"])
     return out.select("visit_id", F.to_json("attrs").alias("attrs"))
 
 
@@ -817,7 +816,7 @@ def _(t):
     "job:media_list U1 A4",
     """SELECT place_id AS owner_id, 'place' AS level, 'p/' || place_name AS path, 'https://example.org/m/p/' || place_name AS url, CAST(NULL AS VARCHAR) AS caption FROM places
     UNION ALL SELECT visit_id, 'visit', 'v/' || visit_id, 'https://example.org/m/v/' || visit_id, priority FROM visits WHERE status = 'F'
-    UNION ALL SELECT record_id, 'record', 'r/' || record_id, 'https://example.org/m/r/' || record_id, NULL FROM records WHERE record_status = 'A' AND discount > 0.08""",
+    UNION ALL SELECT record_id, 'record', 'r/' || record_id, 'https://example.org/m/r/' || record_id, NULL FROM records WHERE record_status = 'A'""",
 )
 def _(t):
     def media(df, key, prefix, suffix):
@@ -826,7 +825,7 @@ def _(t):
     levels = [
         ("place", media(t.places, "place_id", "p/", "place_name")),
         ("visit", media(t.visits.where("status = 'F'").withColumn("caption", F.col("priority")), "visit_id", "v/", "visit_id")),
-        ("record", media(t.records.where("record_status = 'A' AND discount > 0.08"), "record_id", "r/", "record_id")),
+        ("record", media(t.records.where("record_status = 'A'"), "record_id", "r/", "record_id")),
     ]
     return exports.media_list(levels, "https://example.org/m/")
 
@@ -880,7 +879,7 @@ def _(t):
 @query(
     "workflow_status",
     "job:workflow_status C4 E2 J2",
-    """WITH r AS (SELECT visit_id, bool_or(a.taxon_group <> 'PROMO') AS dna FROM records JOIN taxa a USING (taxon_id) WHERE discount < 0.02 GROUP BY 1),
+    """WITH r AS (SELECT visit_id, bool_or(a.taxon_group <> 'PROMO') AS dna FROM records JOIN taxa a USING (taxon_id) GROUP BY 1),
     v AS (SELECT visit_id, CASE priority WHEN '1-URGENT' THEN 'Sample received' WHEN '2-HIGH' THEN 'Pack requested' ELSE 'Other' END AS stage, total > 250000 AS sugar FROM visits)
     SELECT v.visit_id, stage, sugar AS honey_done, coalesce(dna, FALSE) AS dna_done,
       CASE WHEN NOT sugar AND dna IS NULL AND stage <> 'Other' THEN stage WHEN sugar AND dna IS NULL THEN 'Sugar results added'
@@ -890,7 +889,7 @@ def _(t):
     stage = recode("priority", {"1-URGENT": "Sample received", "2-HIGH": "Pack requested"}, "Other")
     visits = t.visits.select("visit_id", stage.alias("stage"), F.when(F.col("total") > 250000, F.col("total")).alias("sugar_result"))
     kinds = t.taxa.select("taxon_id", F.when(F.col("taxon_group") == "PROMO", "honey").otherwise("other").alias("taxon_group"))
-    rows = t.records.where("discount < 0.02").select("visit_id", "taxon_id").join(kinds, "taxon_id")
+    rows = t.records.select("visit_id", "taxon_id").join(kinds, "taxon_id")
     return exports.workflow_status(visits, rows)
 
 
@@ -997,8 +996,7 @@ TRAITS_SQL = f"""m(designation_id, abbreviation, label, label_class) AS (VALUES
       (SELECT taxon_id, shown, count(*) AS n FROM des GROUP BY 1, 2) GROUP BY 1),
     traits AS (SELECT taxon_id, string_agg(DISTINCT record_status, '; ' ORDER BY record_status) AS biotope,
       string_agg(DISTINCT substatus, '; ' ORDER BY substatus) AS guild FROM records GROUP BY 1),
-    assoc AS (SELECT taxon_id, string_agg(DISTINCT place_name, ', ' ORDER BY place_name) AS associations FROM records JOIN places USING (place_id)
-      WHERE discount > 0.09 GROUP BY 1)
+    assoc AS (SELECT taxon_id, string_agg(DISTINCT place_name, ', ' ORDER BY place_name) AS associations FROM records JOIN places USING (place_id) GROUP BY 1)
     SELECT a.taxon_id, a.name, a.family, t.biotope, t.guild, CAST(a.rank_order AS DOUBLE) AS rarity, d1.current_designations, d2.designation_summary, assoc.associations
     FROM taxa a LEFT JOIN traits t USING (taxon_id) LEFT JOIN d1 USING (taxon_id) LEFT JOIN d2 USING (taxon_id) LEFT JOIN assoc USING (taxon_id)"""
 
@@ -1019,7 +1017,7 @@ def trait_index_of(t):
         "taxon_id", F.lit(24).alias("attribute_id"), F.lit(None).cast("string").alias("term"), F.col("rank_order").cast("double").alias("number")
     )
     held = t.taxa.select("taxon_id", F.explode(F.array(F.col("taxon_id") % 200 + 300, F.col("taxon_id") % 50 + 400)).alias("designation_id"))
-    near = t.records.where("discount > 0.09").select("taxon_id", "place_id").distinct().join(t.places.select("place_id", "place_name"), "place_id")
+    near = t.records.select("taxon_id", "place_id").distinct().join(t.places.select("place_id", "place_name"), "place_id")
     return taxonomy.trait_index(
         t.taxa.select("taxon_id", "name", "family"),
         terms.unionByName(scores),

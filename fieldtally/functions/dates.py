@@ -13,7 +13,9 @@ from .text import col
 def as_date(value: dt.date | str | Column) -> Column:
     if isinstance(value, Column):
         return value.cast("date")
-    return F.lit(str(value)[:10]).cast("date")
+    if not isinstance(value, (dt.date, str)):
+        raise TypeError(f"not a date: {value!r}")
+    return F.lit(value).cast("date")
 
 
 def overlaps(start: Column | str, end: Column | str, date_from=None, date_to=None) -> Column:
@@ -65,13 +67,14 @@ def kind_of(start: Column | str, end: Column | str) -> Column:
 
 
 def duration_seconds(c: Column | str) -> Column:
-    """Seconds of an ``HH:MM:SS`` text; null when it is not such a text."""
+    """Seconds of an ``HH:MM`` or ``HH:MM:SS`` text; null when it is not such a text."""
     parts = F.split(col(c), ":")
+    last = F.when(F.size(parts) == 2, 0.0).otherwise(F.get(parts, F.lit(2)).try_cast("double"))
 
     def piece(i):
         return F.get(parts, F.lit(i)).try_cast("double")
 
-    return piece(0) * 3600 + piece(1) * 60 + piece(2)
+    return piece(0) * 3600 + piece(1) * 60 + last
 
 
 def duration_minutes(c: Column | str) -> Column:

@@ -40,9 +40,14 @@ def squeezed(*parts: Column) -> Column:
     return F.lower(F.replace(F.concat_ws("", *parts), F.lit(" "), F.lit("")))
 
 
-def natural_key(c: Column | str, width: int = 10) -> Column:
-    """Sort key under which ``S2`` comes before ``S10``: zero-padded to ``width``."""
-    return F.lpad(col(c), width, "0")
+def natural_key(c: Column | str) -> Column:
+    """Sort key under which ``S2`` comes before ``S10``: each number is led by its number of digits."""
+
+    def piece(p):
+        number = F.regexp_replace(p, "^0+(?=[0-9])", "")
+        return F.when(F.rlike(p, F.lit("^[0-9]")), F.concat(F.lpad(F.length(number).cast("string"), 10, "0"), number)).otherwise(p)
+
+    return F.array_join(F.transform(F.regexp_extract_all(col(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), piece), "")
 
 
 def strip_tags(c: Column | str) -> Column:

@@ -36,14 +36,14 @@ def capped(measure: Column, cap) -> Column:
     return F.least(F.lit(cap), measure)
 
 
-def exact_sum(c: Column | str, scale: int = 2) -> Column:
-    """Sum through decimals: the same result whatever the order of the rows."""
-    return F.sum(col(c).cast(f"decimal(18,{scale})")).cast("double")
+def exact_sum(c: Column | str) -> Column:
+    """Sum through decimals of 15 places, 23 digits before them: the same result whatever the order of the rows."""
+    return F.sum(col(c).cast("decimal(38,15)")).cast("double")
 
 
-def exact_avg(c: Column | str, scale: int = 2) -> Column:
+def exact_avg(c: Column | str) -> Column:
     """Average from an exact sum."""
-    return exact_sum(c, scale) / F.count(col(c))
+    return exact_sum(c) / F.count(col(c))
 
 
 def join_text(c: Column | str, sep: str = ", ") -> Column:

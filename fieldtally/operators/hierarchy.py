@@ -17,7 +17,6 @@ def descend(
     root: Column | None = None,
     excluded: Column | None = None,
     sep: str = " >> ",
-    max_rounds: int = 20,
 ) -> DataFrame:
     """Every node below the roots, with ``root_id``, ``chain`` (names from the root) and ``depth``.
 
@@ -39,7 +38,9 @@ def descend(
     links = links.where(F.col("done") | F.col("up").isNotNull())
     # ``top`` is the highest node reached; ``up`` is that node's parent.
     links = settle(links.withColumn("top", F.col("id")))
-    for _ in range(max_rounds):
+    # No path has more steps than there are nodes; what is open beyond that is on a cycle, or below one.
+    total, span = links.count(), 1
+    while span <= total:
         open_ = links.where(~F.col("done"))
         if open_.isEmpty():
             break
@@ -59,29 +60,33 @@ def descend(
             F.col("_done").alias("done"),
             F.col("_top").alias("top"),
         )
-        links = settle(links.where(F.col("done")).unionByName(moved))
+        on_cycle = ~F.col("done") & ((F.col("top") == F.col("id")) | F.col("up").eqNullSafe(F.col("id")))
+        links = settle(links.where(F.col("done")).unionByName(moved.where(~on_cycle)))
+        span *= 2
     reached = links.where(F.col("done")).select("id", F.col("top").alias("root_id"), "chain", "depth")
     return nodes.join(reached, "id")
 
 
-def ancestors(nodes: DataFrame, max_rounds: int = 20) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """All (``id``, ``ancestor_id``, ``distance``) pairs, a node being its own ancestor at 0.
 
     The result has one row per node and level. Pairs at distance up to 2^k - 1 are known after k rounds.
+    A node that comes out as its own ancestor is on a cycle: ``ValueError``.
     """
     self_pairs = nodes.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance"))
     steps = nodes.where(F.col("parent_id").isNotNull()).select("id", F.col("parent_id").alias("ancestor_id"))
     steps = settle(steps.join(nodes.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi"))
     pairs = settle(self_pairs)
     span = 1
-    for _ in range(max_rounds):
-        if steps.isEmpty():
-            break
+    while not steps.isEmpty():
         # steps: exactly ``span`` levels up; pairs: all distances below ``span``.
         further = pairs.join(steps.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("_far")), "ancestor_id").select(
             "id", F.col("_far").alias("ancestor_id"), (F.col("distance") + span).alias("distance")
         )
         pairs = settle(pairs.unionByName(further))
+        loop = pairs.where((F.col("distance") > 0) & (F.col("id") == F.col("ancestor_id"))).first()
+        if loop:
+            raise ValueError(f"{loop['id']} is its own ancestor, {loop['distance']} levels up")
         steps = settle(
             steps.join(steps.select(F.col("id").alias("ancestor_id"), F.col("ancestor_id").alias("_far")), "ancestor_id").select(
                 "id", F.col("_far").alias("ancestor_id")

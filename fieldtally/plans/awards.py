@@ -143,7 +143,7 @@ def _rows(measures: DataFrame, badges: list[Badge]) -> DataFrame:
 def _quarterly(days: DataFrame, as_of, factor: float, old_quarters: bool) -> DataFrame:
     year_now = F.year(dates.as_date(as_of))
     year = F.year("date_start")
-    km = exact_sum("km", 3)
+    km = exact_sum("km")
     quarters = days.groupBy("user_id", year.alias("year"), F.quarter("date_start").alias("quarter")).agg(km.alias("km"))
 
     # Current year: one row per user with four sums; quarters without a visit count as 0.
@@ -193,9 +193,9 @@ def badges_build(visits: DataFrame, records: DataFrame, as_of, factor: float = M
         walks.groupBy("user_id", "place_name", "date_start").agg(
             F.count(F.lit(1)).alias("walks"),
             F.coalesce(F.sum("n_records"), F.lit(0)).alias("n_records"),
-            exact_sum("km", 3).alias("km"),
+            exact_sum("km").alias("km"),
             F.max("km").alias("longest_km"),
-            exact_sum("seconds", 0).alias("seconds"),
+            exact_sum("seconds").alias("seconds"),
             count_if(F.col("early")).alias("early"),
             count_if(F.col("clean")).alias("clean"),
         )
@@ -203,14 +203,14 @@ def badges_build(visits: DataFrame, records: DataFrame, as_of, factor: float = M
     by_place = days.groupBy("user_id", "place_name").agg(
         F.sum("walks").alias("walks"),
         F.sum("n_records").alias("n_records"),
-        exact_sum("km", 3).alias("km"),
+        exact_sum("km").alias("km"),
         F.max("longest_km").alias("longest_km"),
         F.sum("early").alias("early"),
         F.sum("clean").alias("clean"),
     )
     totals = by_place.groupBy("user_id").agg(
         F.sum("early").alias("early"),
-        exact_sum("km", 3).alias("km"),
+        exact_sum("km").alias("km"),
         F.max("walks").alias("same_place"),
         F.max("longest_km").alias("longest_km"),
         F.max("n_records").alias("place_records"),
@@ -218,7 +218,7 @@ def badges_build(visits: DataFrame, records: DataFrame, as_of, factor: float = M
     )
     hours = (
         days.groupBy("user_id", F.trunc("date_start", "month").alias("month"))
-        .agg(exact_sum("seconds", 0).alias("seconds"))
+        .agg(exact_sum("seconds").alias("seconds"))
         .groupBy("user_id")
         .agg(F.floor(F.max("seconds") / 3600).alias("month_hours"))
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo
+from ..functions.text import natural_key
 from ..operators import filters, spatial
 from ..operators.aggregate import join_text, paged
 from ..operators.joins import with_parent
@@ -270,7 +271,7 @@ def sections_of(places: DataFrame, parents: DataFrame) -> DataFrame:
     """Line sections with the name of their site, naturally sorted by code."""
     lines = places.where(geo.is_line("geom"))
     named = with_parent(lines, parents, {"place_name": "site_name"}, key="place_id", parent_key="parent_id")
-    return named.orderBy("site_name", F.lpad(F.coalesce("code", "place_name"), 10, "0"))
+    return named.orderBy("site_name", natural_key(F.coalesce("code", "place_name")), "place_id")
 
 
 def visits_by_spot(visits: DataFrame, page_size: int = 10000) -> DataFrame:

@@ -65,7 +65,7 @@ def test_source_label(spark):
 
 def test_durations_and_vague_dates(spark):
     df = spark.createDataFrame([("01:30:15",), ("x",), (None,), ("12:00",)], "d string")
-    assert [r[0] for r in df.select(dates.duration_seconds("d")).collect()] == [5415.0, None, None, None]
+    assert [r[0] for r in df.select(dates.duration_seconds("d")).collect()] == [5415.0, None, None, 43200.0]
     d = dt.date
     df = spark.createDataFrame(
         [(d(2020, 5, 1), d(2020, 5, 1), "D"), (d(2020, 5, 1), d(2020, 5, 9), "DD"), (None, d(2020, 12, 31), "-Y"), (None, None, "U")],
@@ -224,6 +224,36 @@ def test_ancestors_of_a_long_chain(spark):
     assert [r.path for r in hierarchy.paths(df).where("id = 3").collect()] == [[0, 1, 2, 3]]
 
 
+def test_a_node_on_a_cycle_is_found(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1), (5, None)], "id long, parent_id long")
+    with pytest.raises(ValueError, match="own ancestor"):
+        hierarchy.ancestors(df)
+
+
+def test_walk_has_no_end_but_the_tree(spark):
+    chain = spark.range(40).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent_id"), F.lit("t").alias("term"))
+    ring = spark.range(100, 106).select("id", ((F.col("id") - 99) % 6 + 100).alias("parent_id"), F.lit("r").alias("term"))
+    assert sorted(rows(hierarchy.descend(chain.union(ring)), "id", "depth")) == [(i, i) for i in range(40)]
+
+
+def test_sums_keep_small_values(spark):
+    df = spark.createDataFrame([(0.004,)] * 3 + [(None,)], "v double")
+    assert df.agg(agg.exact_sum("v"), agg.exact_avg("v")).first()[:] == (0.012, 0.004)
+
+
+def test_natural_key_keeps_long_names_apart(spark):
+    names = ["Section-0000012", "Section-0000002", "S10", "S2", "S", "12345678901234567890", "9", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key("n").asc_nulls_last())
+    assert [r[0] for r in df.collect()] == ["9", "12345678901234567890", "S", "S2", "S10", "Section-0000002", "Section-0000012", None]
+
+
+def test_dates_are_refused_or_read(spark):
+    got = spark.range(1).select(dates.as_date("2020-03-01"), dates.as_date(dt.datetime(2020, 3, 1, 23, 0)), dates.as_date(dt.date(2020, 3, 1))).first()
+    assert set(got) == {dt.date(2020, 3, 1)}
+    with pytest.raises(TypeError):
+        dates.as_date(20200301)
+
+
 def test_sync_set_sees_nulls(spark):
     new = spark.createDataFrame([(1, "a"), (2, None), (3, "c"), (4, "d")], "k int, v string")
     old = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (5, "e")], "k int, v string")
