@@ -116,7 +116,7 @@ def test_account_states(spark):
         (2, "Warehouse User Account Present But Deleted", "OK"),
         (3, "OK", "Warehouse Person Account Present But Deleted"),
         (4, "Warehouse User Account Missing", "Warehouse Person Account Missing"),
-        (5, "OK", "Person missing"),
+        (5, "OK", "Warehouse Person Account Missing"),
     ]
 
 
