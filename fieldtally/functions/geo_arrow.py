@@ -191,24 +191,37 @@ def _boundary_inside(t1, t2, shared):
     return np.where(inside & (stop > start), cross, 0.0).sum(axis=1)
 
 
+#: Triangle pairs worked out at once.
+PAIRS = 1 << 16
+
+
 def shared_areas(left, right) -> np.ndarray:
-    """Shared area of each pair of edge lists."""
-    one, two, sign, row = [], [], [], []
+    """Shared area of each pair of edge lists, in portions of bounded memory."""
+    total = np.zeros(len(left))
+    held, n = [], 0
     for i, (a, b) in enumerate(zip(left, right)):
         if a is None or b is None or len(a) == 0 or len(b) == 0:
             continue
         origin = np.asarray(a[:2], dtype=float)
         ta, sa = _fan(a, origin)
         tb, sb = _fan(b, origin)
-        one.append(np.repeat(ta, len(tb), axis=0))
-        two.append(np.tile(tb, (len(ta), 1, 1)))
-        sign.append(np.outer(sa, sb).ravel())
-        row.append(np.full(len(ta) * len(tb), i))
-    if not one:
-        return np.zeros(len(left))
-    t1, t2 = np.concatenate(one), np.concatenate(two)
+        step = max(1, PAIRS // max(1, len(tb)))
+        for lo in range(0, len(ta), step):
+            t, s = ta[lo : lo + step], sa[lo : lo + step]
+            held.append((np.repeat(t, len(tb), axis=0), np.tile(tb, (len(t), 1, 1)), np.outer(s, sb).ravel(), np.full(len(t) * len(tb), i)))
+            n += len(t) * len(tb)
+            if n >= PAIRS:
+                total += _signed_sums(held, len(left))
+                held, n = [], 0
+    if held:
+        total += _signed_sums(held, len(left))
+    return np.abs(total)
+
+
+def _signed_sums(held, rows: int) -> np.ndarray:
+    t1, t2, sign, row = (np.concatenate(c) for c in zip(*held))
     areas = (_boundary_inside(t1, t2, True) + _boundary_inside(t2, t1, False)) / 2
-    return np.abs(np.bincount(np.concatenate(row), areas * np.concatenate(sign), minlength=len(left)))
+    return np.bincount(row, areas * sign, minlength=rows)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -217,6 +230,10 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(shared_areas(a, b))
 
 
+# A filter on the result would otherwise run it a second time.
+overlap_area = overlap_area.asNondeterministic()
+
+
 # ---- generalisation ------------------------------------------------------------------
 
 

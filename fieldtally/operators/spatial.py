@@ -14,8 +14,8 @@ from ..functions.geo_arrow import overlap_area
 from ..functions.text import col
 from .joins import replicated, salted
 
-#: A geometry is never listed under more than about this many cells per axis.
-MAX_CELLS_PER_AXIS = 64
+#: The smallest cell side; smaller boxes are listed under cells of this side.
+LEAST_SIDE = 2.0**-20
 
 
 def shapes(df: DataFrame, wkt: str = "boundary_geom", id_col: str = "id") -> DataFrame:
@@ -24,31 +24,48 @@ def shapes(df: DataFrame, wkt: str = "boundary_geom", id_col: str = "id") -> Dat
     return df.select(F.col(id_col).alias("region_id"), geo.edges(geom).alias("edges"), geo.bounds(geom).alias("box"))
 
 
-def cell_size(regions: DataFrame, box: str = "box") -> float:
-    """Cell side for a set of boxes: their mean side, but large enough for the greatest box.
+def side_of(box: str = "box", size: float | None = None) -> Column:
+    """Side of the cells a box is listed under: the power of two next above its longer side, or ``size``.
 
-    One aggregated row is read, nothing else comes to the driver.
+    So a box meets four cells or little more, however wide other boxes are.
     """
-    side = F.greatest(F.col(f"{box}.xmax") - F.col(f"{box}.xmin"), F.col(f"{box}.ymax") - F.col(f"{box}.ymin"))
-    mean, most = regions.agg(F.avg(side), F.max(side)).first()
-    if mean is None:
-        return 1.0
-    return max(mean, most / MAX_CELLS_PER_AXIS) or 1.0
+    if size:
+        return F.lit(float(size))
+    b = F.col(box)
+    longer = F.greatest(b["xmax"] - b["xmin"], b["ymax"] - b["ymin"])
+    fitting = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(longer, F.lit(LEAST_SIDE)))))
+    return F.greatest(fitting, F.lit(LEAST_SIDE))
 
 
-def cell(c: Column | str, size: float) -> Column:
-    return F.floor(col(c) / F.lit(float(size))).cast("long")
+def cell(c: Column | str, side: Column | float) -> Column:
+    return F.floor(col(c) / (side if isinstance(side, Column) else F.lit(float(side)))).cast("long")
 
 
-def covered(df: DataFrame, size: float, box: str = "box") -> DataFrame:
+def covered(df: DataFrame, side: Column | float, box: str = "box") -> DataFrame:
     """One row per cell (``cx``, ``cy``) that a box meets."""
 
     def steps(axis):
-        return F.sequence(cell(F.col(f"{box}.{axis}min"), size), cell(F.col(f"{box}.{axis}max"), size))
+        return F.sequence(cell(F.col(f"{box}.{axis}min"), side), cell(F.col(f"{box}.{axis}max"), side))
 
     return df.withColumn("cx", F.explode(steps("x"))).withColumn("cy", F.explode(steps("y")))
 
 
+def candidates(points: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", size: float | None = None, copies: int = 4) -> DataFrame:
+    """Points next to the ``box`` of every region that has a cell in common with them; outlines stay behind.
+
+    Regions are listed at the level of their own size, points once at every level in use, one for each power
+    of two at most.
+    """
+    listed = regions.drop("edges").withColumn("_side", side_of("box", size))
+    cells = replicated(covered(listed, F.col("_side")), copies)
+    # The subquery is read into a column first: a generator may not hold one.
+    levels = points.withColumn("_sides", listed.agg(F.collect_set("_side")).scalar())
+    levels = levels.withColumn("_side", F.explode("_sides")).drop("_sides")
+    placed = levels.withColumn("cx", cell(x, F.col("_side"))).withColumn("cy", cell(y, F.col("_side")))
+    found = salted(placed, [x, y], copies).join(cells, ["_side", "cx", "cy", "_salt"])
+    return found.drop("_side", "cx", "cy", "_salt")
+
+
 def tag_points(
     points: DataFrame,
     regions: DataFrame,
@@ -61,24 +78,20 @@ def tag_points(
 ) -> DataFrame:
     """Points with the ``region_id`` of every region they lie in (:func:`shapes` gives ``regions``).
 
-    ``keep_outside`` keeps points of no region too; a point then also has rows with a null id for
-    regions it was tested against in vain.
+    ``region_id`` names one region each. ``keep_outside`` keeps points of no region too: every point then
+    also has a row with a null id.
 
-    A point has exactly one cell, so each pair is found once. Points of a crowded cell are salted
-    over ``copies`` join keys. Pass distinct positions, not records, where many records share one.
+    A point has one cell at each level, so each pair is found once. Points of a crowded cell are salted
+    over ``copies`` join keys. Only pairs that pass the test of the box meet the outline, which is joined by
+    the region's id. Pass distinct positions, not records, where many records share one.
     """
-    size = size or cell_size(regions)
-    cells = replicated(covered(regions, size), copies)
-    placed = salted(points.withColumn("cx", cell(x, size)).withColumn("cy", cell(y, size)), [x, y], copies)
-    found = placed.join(cells, ["cx", "cy", "_salt"], "left" if keep_outside else "inner")
+    found = candidates(points, regions, x, y, size, copies)
     box = F.col("box")
-    near = F.col(x).between(box["xmin"], box["xmax"]) & F.col(y).between(box["ymin"], box["ymax"])
-    hit = near & geo.contains(x, y, "edges", boundary)
+    found = found.where(F.col(x).between(box["xmin"], box["xmax"]) & F.col(y).between(box["ymin"], box["ymax"])).drop("box")
+    found = found.join(regions.select("region_id", "edges"), "region_id").where(geo.contains(x, y, "edges", boundary)).drop("edges")
     if keep_outside:
-        found = found.withColumn("region_id", F.when(hit, F.col("region_id")))
-    else:
-        found = found.where(hit)
-    return found.drop("cx", "cy", "_salt", "edges", "box")
+        found = found.unionByName(points, allowMissingColumns=True)
+    return found
 
 
 def within(points: DataFrame, centres: DataFrame, distance: float, copies: int = 4) -> DataFrame:
@@ -100,18 +113,31 @@ def within(points: DataFrame, centres: DataFrame, distance: float, copies: int =
     return pairs.withColumn("distance", away).where(F.col("distance") <= distance).drop("cx", "cy", "_salt")
 
 
-def meeting_boxes(left: DataFrame, right: DataFrame, size: float, touching: bool = False) -> DataFrame:
+def meeting_boxes(left: DataFrame, right: DataFrame, size: float | None = None, touching: bool = False) -> DataFrame:
     """Pairs of rows whose boxes (``box_l``, ``box_r``) meet, each pair once.
 
-    Both sides are listed by cell; a pair is kept only in the cell of the lower left corner of the
-    two boxes' overlap, so no duplicate removal is needed.
+    A pair meets at the level of its larger box: every box is listed at its own level and at the wider
+    levels of the other side. Own cells on the left meet all cells on the right (turn 0), and the left's
+    wider cells meet own cells on the right (turn 1), so that small boxes do not meet each other in the cells
+    of a wide one. A pair is kept only in the cell of the lower left corner of the two boxes' overlap, so
+    no duplicate removal is needed.
     """
-    a, b = covered(left, size, "box_l"), covered(right, size, "box_r")
-    pairs = a.join(b, ["cx", "cy"])
-    first_x = cell(F.greatest(F.col("box_l.xmin"), F.col("box_r.xmin")), size)
-    first_y = cell(F.greatest(F.col("box_l.ymin"), F.col("box_r.ymin")), size)
+    sides = [df.agg(F.collect_set(side_of(box, size))).scalar() for df, box in ((left, "box_l"), (right, "box_r"))]
+
+    def listed(df, box, others, turn, wider):
+        own = side_of(box, size)
+        at = lambda side, k: F.struct(side.alias("side"), F.lit(k).alias("turn"))
+        more = F.transform(F.filter("_sides", lambda v: wider(v, own)), lambda v: at(v, 1 - turn))
+        out = df.withColumn("_sides", others).withColumn("_at", F.explode(F.concat(F.array(at(own, turn)), more)))
+        return covered(out.withColumn("_side", F.col("_at.side")).withColumn("_turn", F.col("_at.turn")).drop("_sides", "_at"), F.col("_side"), box)
+
+    a = listed(left, "box_l", sides[1], 0, lambda v, own: v > own)
+    b = listed(right, "box_r", sides[0], 1, lambda v, own: v >= own)
+    pairs = a.join(b, ["_side", "_turn", "cx", "cy"])
+    first_x = cell(F.greatest(F.col("box_l.xmin"), F.col("box_r.xmin")), F.col("_side"))
+    first_y = cell(F.greatest(F.col("box_l.ymin"), F.col("box_r.ymin")), F.col("_side"))
     own_cell = (F.col("cx") == first_x) & (F.col("cy") == first_y)
-    return pairs.where(own_cell & geo.boxes_meet(F.col("box_l"), F.col("box_r"), touching)).drop("cx", "cy")
+    return pairs.where(own_cell & geo.boxes_meet(F.col("box_l"), F.col("box_r"), touching)).drop("_side", "_turn", "cx", "cy")
 
 
 def overlapping(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
@@ -128,7 +154,6 @@ def overlapping(left: DataFrame, right: DataFrame, size: float | None = None) ->
         return out.withColumn(f"edges_{s}", geo.turned_edges(geom)).drop(geom)
 
     left, right = side(left, "l"), side(right, "r")
-    size = size or max(cell_size(left, "box_l"), cell_size(right, "box_r"))
     pairs = meeting_boxes(left, right, size).withColumn("shared_area", overlap_area("edges_l", "edges_r"))
     least = F.least("area_l", "area_r") * 1e-9
     return pairs.where(F.col("shared_area") > least).drop("edges_l", "edges_r", "box_l", "box_r")

@@ -1,6 +1,7 @@
 """Geometry: parsing, measures, tests and joins against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -152,6 +153,42 @@ def test_tagging_equals_brute_force(spark):
             assert set(rows(got, "id", "region_id")) == brute and got.count() == len(brute)
 
 
+def test_one_wide_region_does_not_crowd_the_cells(spark):
+    small = [(i, f"POLYGON(({x} {y},{x + 10} {y},{x + 10} {y + 10},{x} {y + 10},{x} {y}))") for i, (x, y) in enumerate((20 * (k % 40), 20 * (k // 40)) for k in range(1600))]
+    wide = (-1, "POLYGON((-100 -100,99900 -100,99900 99900,-100 99900,-100 -100))")
+    regions = spatial.shapes(spark.createDataFrame([*small, wide], "id int, boundary_geom string"))
+    spots = spark.range(900).select(((F.col("id") % 30) * 20 + 5.0).alias("x"), (F.floor(F.col("id") / 30) * 20 + 5.0).alias("y"))
+    assert spatial.candidates(spots, regions).count() < 8 * 900
+    got = spatial.tag_points(spots, regions, keep_outside=True)
+    counts = {r["region_id"]: r["count"] for r in got.groupBy("region_id").count().collect()}
+    assert counts[None] == counts[-1] == 900 and len(counts) == 902 and all(n == 1 for i, n in counts.items() if i not in (None, -1))
+    boxes = regions.select(F.col("region_id").alias("a"), F.col("box").alias("box_l"))
+    pairs = spatial.meeting_boxes(boxes, regions.select(F.col("region_id").alias("b"), F.col("box").alias("box_r")))
+    want = {(a, a) for a in range(-1, 1600)} | {(-1, a) for a in range(1600)} | {(a, -1) for a in range(1600)}
+    assert set(rows(pairs, "a", "b")) == want and pairs.count() == len(want)
+    assert spatial.tag_points(spots, regions.limit(0)).count() == 0
+
+
+def test_large_polygons_overlap_in_bounded_memory():
+    def ring(n, x):
+        at = 2 * np.pi * np.arange(n + 1) / n
+        xy = np.stack([np.cos(at) + x, np.sin(at)], axis=1)
+        return np.concatenate([xy[:-1], xy[1:]], axis=1).ravel()
+
+    tracemalloc.start()
+    got = geo_arrow.shared_areas([ring(1500, 0.0)], [ring(1500, 1.0)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(got[0] - (2 * np.pi / 3 - np.sqrt(3) / 2)) < 1e-3 and peak < 200e6
+
+
+def test_overlap_runs_once_per_pair(spark):
+    df = spark.createDataFrame([(1, "POLYGON((0 0,10 0,10 10,0 10,0 0))")], "id int, w string").withColumn("g", geo.parts("w"))
+    found = spatial.overlapping(df.select(F.col("g").alias("geom_l")), df.select(F.col("g").alias("geom_r")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("+- == Initial Plan ==")[0].count("ArrowEvalPython") == 1
+
+
 def test_within_equals_brute_force(spark):
     random.seed(2)
     points = [(i, random.uniform(-50, 50), random.uniform(-50, 50)) for i in range(300)]
