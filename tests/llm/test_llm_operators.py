@@ -247,6 +247,36 @@ def test_personal_adds_other_forms(spark, folder):
     assert not spans & {"1.2.3", "2024-12-05"}
 
 
+def test_personal_proposes_parts_of_runs(spark):
+    texts = ["room 12 (784) 555-9263", "on 2024-12-05 (784) 555-9263", "(784) 555-9263 (784) 555-9264", "784 555 9263 785 555 9264", "at 4.10[.]0[.]0[.]1-10[.]0[.]0[.]9", "é 7 4111 1111 1111 1111 22"]
+    wanted = [{"(784) 555-9263"}, {"(784) 555-9263"}, {"(784) 555-9263", "(784) 555-9264"}, {"784 555 9263", "785 555 9264"}, {"10[.]0[.]0[.]1", "10[.]0[.]0[.]9"}, {"4111 1111 1111 1111"}]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = df.select("doc_id", *[v.alias(k) for k, v in personal.proposals(F.col("text")).items()])
+    made = found.select("doc_id", *[F.flatten(F.transform(g, personal.parts)).alias(g) for g in personal.RUNS])
+    for r in made.collect():
+        text, spans = texts[r["doc_id"]], [s for g in personal.RUNS for s in r[g]]
+        assert wanted[r["doc_id"]] <= {s["match"] for s in spans}
+        for s in spans:
+            assert (s["match"], s["before"], s["after"]) == (text[s["start"] : s["end"]], text[max(s["start"] - 24, 0) : s["start"]], text[s["end"] : s["end"] + 8])
+
+
+def test_personal_only_chosen_spans_exclude(spark):
+    spans = [("phone", 0, 10, 0.7), ("phone", 8, 20, 0.8), ("card", 18, 30, 0.9), ("card", 18, 30, 0.9)]
+    df = spark.createDataFrame([(spans,)], "spans array<struct<kind:string,start:int,end:int,score:double>>")
+    (found,) = df.select(personal.best(F.col("spans"))).first()
+    assert sorted((s["start"], s["end"]) for s in found) == [(0, 10), (18, 30)]
+
+
+def test_personal_finds_neighbouring_numbers(spark, folder):
+    docs = spark.read.parquet(folder.replace("sf0.001", "sf0.1") + "/documents.parquet").select("doc_id", "text").where("text like '%@%' or text like '%555%'")
+    probes = ["call room 12 (784) 555-9263 now", "on 2024-12-05 (784) 555-9263 now", "call (784) 555-9263 (784) 555-9264 now", "call 784-555-9263 785-555-9264 now"]
+    wanted = [["(784) 555-9263"], ["(784) 555-9263"], ["(784) 555-9263", "(784) 555-9264"], ["784-555-9263", "785-555-9264"]]
+    found = personal.personal(docs.union(spark.createDataFrame([(-1 - i, p) for i, p in enumerate(probes)], "doc_id long, text string")))
+    for r in found.where("doc_id < 0").collect():
+        text = probes[-1 - r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["extra"]] == wanted[-1 - r["doc_id"]]
+
+
 # ---- chats, mixing, WARC, language ----------------------------------------------------
 
 
