@@ -277,6 +277,19 @@ def test_personal_finds_neighbouring_numbers(spark, folder):
         assert [text[s["start"] : s["end"]] for s in r["extra"]] == wanted[-1 - r["doc_id"]]
 
 
+def test_personal_sample_by_kind(spark, monkeypatch):
+    monkeypatch.setattr(personal, "SAMPLE", 40)
+    texts = ["write to a@b.example now"] * 500 + [f"mail user{i}@host{i}.example" for i in range(300)] + [f"host 10.0.0.{i} up" for i in range(6)] + ["call +1 (784) 555-9263"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = df.select(*[v.alias(k) for k, v in personal.proposals(F.col("text")).items()])
+    rows = personal.sample(found).collect()
+    assert len(rows) == len(set((r["kind"], r["match"], r["before"], r["after"]) for r in rows))
+    assert Counter(r["kind"] for r in rows) == {"email": 40, "ip": 6, "phone": 1}
+    assert Counter(r["kind"] for r in rows if r["kept"]) == {"email": 10, "ip": 2, "phone": 1}
+    made = personal.training_rows(found)
+    assert {r["kind"] for r in made.where("label and kept").collect()} == {"email", "ip", "phone"}
+
+
 # ---- chats, mixing, WARC, language ----------------------------------------------------
 
 
