@@ -819,13 +819,28 @@ def _(t):
     UNION ALL SELECT record_id, 'record', 'r/' || record_id, 'https://example.org/m/r/' || record_id, NULL FROM records WHERE record_status = 'A'""",
 )
 def _(t):
+    return _media(t, t.visits.where("status = 'F'"), t.records.where("record_status = 'A'"))
+
+
+@query(
+    "media_list_all",
+    "job:media_list U1 A4",
+    """SELECT place_id AS owner_id, 'place' AS level, 'p/' || place_name AS path, 'https://example.org/m/p/' || place_name AS url, CAST(NULL AS VARCHAR) AS caption FROM places
+    UNION ALL SELECT visit_id, 'visit', 'v/' || visit_id, 'https://example.org/m/v/' || visit_id, priority FROM visits
+    UNION ALL SELECT record_id, 'record', 'r/' || record_id, 'https://example.org/m/r/' || record_id, NULL FROM records""",
+)
+def _(t):
+    return _media(t, t.visits, t.records)
+
+
+def _media(t, visits, records):
     def media(df, key, prefix, suffix):
         return df.select(F.col(key).alias("owner_id"), F.concat(F.lit(prefix), F.col(suffix).cast("string")).alias("path"), *[c for c in ("caption",) if c in df.columns])
 
     levels = [
         ("place", media(t.places, "place_id", "p/", "place_name")),
-        ("visit", media(t.visits.where("status = 'F'").withColumn("caption", F.col("priority")), "visit_id", "v/", "visit_id")),
-        ("record", media(t.records.where("record_status = 'A'"), "record_id", "r/", "record_id")),
+        ("visit", media(visits.withColumn("caption", F.col("priority")), "visit_id", "v/", "visit_id")),
+        ("record", media(records, "record_id", "r/", "record_id")),
     ]
     return exports.media_list(levels, "https://example.org/m/")
 

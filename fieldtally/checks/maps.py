@@ -394,7 +394,23 @@ def _(t):
       strftime(d, '%Y-%m-%d') AS sort_date FROM (SELECT region_id, xmin + 125 AS x, ymin + 125 AS y FROM boxes) c JOIN e ON (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) <= 900""",
 )
 def _(t):
-    visits = t.visits.where("status = 'F'").select(
+    return _events_near(t, t.visits.where("status = 'F'"))
+
+
+@query(
+    "near_points_all",
+    "job:near_points G3 U1",
+    """WITH e AS (SELECT 'visit' AS kind, visit_id AS event_id, 'Visit ' || priority AS event, x, y, date_start AS d FROM visits
+      UNION SELECT 'record', visit_id, 'Record of ' || record_status, (visit_id * 37) % 1000, (visit_id * 91) % 1000, seen_on FROM records)
+    SELECT c.region_id AS centre_id, kind, event_id, event, round(sqrt((c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y)), 6) AS distance,
+      strftime(d, '%Y-%m-%d') AS sort_date FROM (SELECT region_id, xmin + 125 AS x, ymin + 125 AS y FROM boxes) c JOIN e ON (c.x - e.x) * (c.x - e.x) + (c.y - e.y) * (c.y - e.y) <= 900""",
+)
+def _(t):
+    return _events_near(t, t.visits)
+
+
+def _events_near(t, visits):
+    visits = visits.select(
         F.col("visit_id").alias("event_id"), F.concat(F.lit("Visit "), F.col("priority")).alias("event"), "x", "y", F.col("date_start").alias("sort_date")
     )
     v = F.col("visit_id")

@@ -232,3 +232,15 @@ def test_list_sync_is_stable_after_applying(spark):
     kept = entries.where("change <> 'D'")
     lists2, entries2 = taxonomy.country_list_sync(countries, links, lists.drop("change"), kept.drop("change"))
     assert {r.change for r in lists2.collect()} == {r.change for r in entries2.collect()} == {"S"}
+
+
+def test_events_and_media_of_all_visits(spark, folder):
+    from fieldtally import checks
+    from fieldtally.checks.standin import Frames
+
+    t, queries = Frames(spark, folder), checks.all_queries()
+    media = {r["level"]: r["count"] for r in queries["media_list_all"](spark, folder).groupBy("level").count().collect()}
+    assert media == {"place": t.places.count(), "visit": t.visits.count(), "record": t.records.count()}
+    other = t.visits.where("status <> 'F'").select("visit_id")
+    seen = queries["near_points_all"](spark, folder).where("kind = 'visit'")
+    assert seen.join(other, seen.event_id == other.visit_id).count() > 0
