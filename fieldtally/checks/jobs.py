@@ -549,6 +549,18 @@ def _(t):
     return summaries.guild_share(species, t.taxa, ["taxon_group", "family"])
 
 
+@query(
+    "guild_share_all",
+    "job:guild_share A7 F2",
+    """WITH s AS (SELECT DISTINCT taxon_id FROM records)
+    SELECT taxon_group, family, count(DISTINCT s.taxon_id) AS species, count(DISTINCT s.taxon_id) * 100 // (SELECT count(*) FROM s) AS pct
+    FROM s JOIN taxa USING (taxon_id) GROUP BY 1, 2""",
+)
+def _(t):
+    species = summaries.sample_species(t.records, t.taxa, "sample")
+    return summaries.guild_share(species, t.taxa, ["taxon_group", "family"])
+
+
 @query(
     "list_overview",
     "job:list_overview A1 A7",

@@ -244,3 +244,12 @@ def test_events_and_media_of_all_visits(spark, folder):
     other = t.visits.where("status <> 'F'").select("visit_id")
     seen = queries["near_points_all"](spark, folder).where("kind = 'visit'")
     assert seen.join(other, seen.event_id == other.visit_id).count() > 0
+
+
+def test_guild_share_of_all_records(spark, folder):
+    from fieldtally import checks
+    from fieldtally.checks.standin import Frames
+
+    t = Frames(spark, folder)
+    found = checks.all_queries()["guild_share_all"](spark, folder).agg(F.sum("species")).first()[0]
+    assert found == t.records.select("taxon_id").distinct().join(t.taxa, "taxon_id").select("taxon_id").distinct().count()
