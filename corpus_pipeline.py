@@ -23,10 +23,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    found = near_text.near_duplicates(docs, percent=SIMILAR).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    # Rows that repeat an id were one document; a row without an id links with nothing.
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
+    """One row of each group of near duplicates, that with the smallest id; of rows that repeat an id one, without id the last choice."""
+    # A key of each row's own, written, so that every row has its decision.
+    rows = table(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_text.near_duplicates(rows, id="__row", percent=SIMILAR).select("__row", "component_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    kept = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(F.min(rank).alias("first")).select("first.__row")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

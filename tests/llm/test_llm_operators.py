@@ -363,3 +363,13 @@ def test_language(spark, folder):
     bundle, has = language.Letters(64).bundles(pa.array(["abc", "abc abc", None]))
     assert has.tolist() == [True, True, False] and not bundle[2].any()
     assert json.dumps(model[0]) == '["de", "en", "es", "fr"]'
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    text, other = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(5, text), (3, text), (3, text), (None, text), (None, other), (None, other), (3, other), (7, ""), (7, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
+    assert Counter(found) == {(3, text): 1, (3, other): 1, (7, ""): 2, (None, None): 1}
