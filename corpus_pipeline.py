@@ -17,9 +17,9 @@ SIMILAR = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without text or letters go."""
+    """Documents with letters; those without text or letters go. Where no language was learnt, the others stay."""
     found = language.identify(docs, language.prototypes(docs))
-    return found.where(F.col("lang_pred") != language.NONE).select(*docs.columns)
+    return found.where("has_letters").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def prototypes(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: st
 
 
 def identify(docs: DataFrame, model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (cosine with the nearest prototype, 0 to 1).
+    """``docs`` with ``lang_pred``, ``score`` (cosine with the nearest prototype, 0 to 1) and ``has_letters``.
 
     ``und`` with score 0 if the text is null, has no letter, or nothing was learnt; of equal scores the
     first name wins.
@@ -137,15 +137,15 @@ def identify(docs: DataFrame, model, text: str = "text", keep: list[str] | None
         def run(texts):
             bundle, has = letters.bundles(texts)
             if not names:
-                return [pa.array([NONE] * len(has), pa.string()), pa.array(np.zeros(len(has)))]
+                return [pa.array([NONE] * len(has), pa.string()), pa.array(np.zeros(len(has))), pa.array(has)]
             cosine = (bundle @ matrix.T).astype(np.float64) / np.maximum(np.linalg.norm(bundle.astype(np.float64), axis=1, keepdims=True), 1e-9)
             best = cosine.argmax(axis=1)
             score = np.where(has, cosine.max(axis=1).clip(0, 1), 0.0)
-            return [pa.array([names[b] if h else NONE for b, h in zip(best, has)], pa.string()), pa.array(score)]
+            return [pa.array([names[b] if h else NONE for b, h in zip(best, has)], pa.string()), pa.array(score), pa.array(has)]
 
         return run
 
-    return annotate(docs, text, "lang_pred string, score double", make, keep)
+    return annotate(docs, text, "lang_pred string, score double, has_letters boolean", make, keep)
 
 
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:

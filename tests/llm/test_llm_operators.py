@@ -373,3 +373,10 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     found = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect()]
     assert Counter(found) == {(3, text): 1, (3, other): 1, (7, ""): 2, (None, None): 1}
+
+
+def test_pipeline_keeps_texts_where_no_language_was_learnt(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "Plain text.", None), (2, "12 34", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, "").collect()} == {1, 4}
