@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, near_text, near_vectors, packed, personal, repetition, tokens, warc
+from . import chat, infill, interaction, language, mixing, near_text, near_vectors, packed, personal, repetition, tokens, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_chat": chat.op8_chat,
         "op9_packed_tokens": packed.op9_packed_tokens,
         "op10_language": language.op10_language,
+        "op11_fill_in_middle": infill.op11_fill_in_middle,
+        "op12_filter_audit": interaction.op12_filter_audit,
     }
 
 
@@ -25,4 +27,6 @@ def sql() -> dict[str, str]:
         "op3_warc_derivatives": warc.OP3_SQL,
         "op5_mixing": mixing.OP5_SQL,
         "op8_chat": chat.OP8_SQL,
+        "op11_fill_in_middle": infill.OP11_SQL,
+        "op12_filter_audit": interaction.OP12_SQL,
     }
