@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, infill, interaction, language, mixing, near_text, near_vectors, packed, personal, repetition, tokens, warc
+from . import chat, infill, interaction, language, mixing, near_text, near_vectors, packed, personal, repetition, tokens, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_language": language.op10_language,
         "op11_fill_in_middle": infill.op11_fill_in_middle,
         "op12_filter_audit": interaction.op12_filter_audit,
+        "op13_toxicity": toxicity.op13_toxicity,
     }
 
 
