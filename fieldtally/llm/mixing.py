@@ -88,7 +88,10 @@ def mix(
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count"))))
     placed = copies.withColumn("place", drawn(seed, "place", F.col("key"), F.col("copy").cast("string")))
     out = placed.select(*[F.col(f"c{i}") for i in range(len(names))], "copy", "place")
-    return out.orderBy("place", at[id], "copy").toDF(*names, "copy", "place")
+    # Places are even over [0, 1), so that equal ranges need no sample of them, which would draw everything twice.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = out.repartitionById(parts, F.floor(F.col("place") * parts).cast("int"))
+    return dealt.sortWithinPartitions("place", at[id], "copy").toDF(*names, "copy", "place")
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
