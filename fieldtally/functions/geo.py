@@ -93,6 +93,23 @@ def edges(geom: Column | str) -> Column:
     return F.flatten(F.transform(col(geom), lambda p: ring_edges(p["ring"])))
 
 
+def directed_edges(geom: Column | str) -> Column:
+    """Edges of ``parts`` with a polygon's inside on their left: shells counter-clockwise, holes clockwise.
+
+    Edges of lines keep their way.
+    """
+
+    def of_ring(p):
+        def turned(e):
+            twice = F.aggregate(e, F.lit(0.0), lambda acc, v: acc + (v["x1"] * v["y2"] - v["x2"] * v["y1"]))
+            back = F.transform(e, lambda v: F.struct(v["x2"].alias("x1"), v["y2"].alias("y1"), v["x1"].alias("x2"), v["y1"].alias("y2")))
+            return bound(twice, lambda a: F.when(p["shell"].isNull() | ((a > 0) == p["shell"]), e).otherwise(back))
+
+        return bound(ring_edges(p["ring"]), turned)
+
+    return F.flatten(F.transform(col(geom), of_ring))
+
+
 def bounds(geom: Column | str) -> Column:
     """``struct(xmin, ymin, xmax, ymax)``."""
 
@@ -120,11 +137,15 @@ def box_wkt(xmin, ymin, xmax, ymax) -> Column:
 
 def parts_geojson(wkt: Column | str) -> Column:
     """GeoJSON text of a point, line or polygon (and MULTI forms), from WKT."""
-    kind = geom_type(wkt)
-    geom = parts(wkt)
+    return geojson_text(parts(wkt), geom_type(wkt))
+
+
+def geojson_text(geom: Column, kind: Column, places: int | None = None) -> Column:
+    """GeoJSON text of ``parts`` of a geometry type, coordinates rounded to ``places`` decimals."""
 
     def pair(p):
-        return F.array(p["x"], p["y"])
+        x, y = p["x"], p["y"]
+        return F.array(x, y) if places is None else F.array(F.round(x, places), F.round(y, places))
 
     rings = F.transform(geom, lambda p: F.transform(p["ring"], pair))
     names = {
@@ -163,6 +184,32 @@ def parts_geojson(wkt: Column | str) -> Column:
     )
 
 
+def number_text(value: Column, places: int = 6) -> Column:
+    """A number with at most ``places`` decimals, without closing zeros."""
+    fixed = value.cast(f"decimal({places + 15},{places})").cast("string")
+    return F.rtrim(F.rtrim(fixed, F.lit("0")), F.lit(".")) if places else fixed
+
+
+def parts_wkt(geom: Column | str, kind: Column, places: int = 6) -> Column:
+    """WKT of ``parts`` of a geometry type (see :func:`geom_type`); numbers with at most ``places`` decimals."""
+    geom = col(geom)
+
+    def ring_text(p):
+        pairs = F.transform(p["ring"], lambda v: F.concat(number_text(v["x"], places), F.lit(" "), number_text(v["y"], places)))
+        return F.array_join(pairs, ",")
+
+    # A shell of a multi-polygon closes the polygon before it.
+    opened = F.transform(geom, lambda p, i: F.concat(F.when(F.coalesce(p["shell"], F.lit(True)), F.when(i > 0, F.lit("),(")).otherwise(F.lit("("))).otherwise(F.lit(",")), F.lit("("), ring_text(p), F.lit(")")))
+    listed = F.array_join(F.transform(geom, lambda p: F.concat(F.lit("("), ring_text(p), F.lit(")"))), ",")
+    body = (
+        F.when(kind.isin("POINT", "LINESTRING"), listed)
+        .when(kind == "MULTIPOINT", F.concat(F.lit("("), F.array_join(F.transform(geom, ring_text), ","), F.lit(")")))
+        .when(kind.isin("POLYGON", "MULTILINESTRING"), F.concat(F.lit("("), listed, F.lit(")")))
+        .when(kind == "MULTIPOLYGON", F.concat(F.lit("("), F.array_join(opened, ""), F.lit("))")))
+    )
+    return F.concat(kind, body)
+
+
 def latlon_text(lat: Column | str, lon: Column | str, places: int = 5) -> Column:
     """``52.20000N, 1.50000W``."""
     lat, lon = col(lat), col(lon)

@@ -9,6 +9,7 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,6 +151,45 @@ def grid_to_lonlat(east: pd.Series, north: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"x": x, "y": y})
 
 
+def mercator_to_grid_xy(x, y):
+    """Web Mercator metres to national grid metres."""
+    lon = np.degrees(x / 6378137.0)
+    lat = np.degrees(2 * np.arctan(np.exp(y / 6378137.0)) - np.pi / 2)
+    return lonlat_to_grid_xy(lon, lat)
+
+
+def reprojected(geom: pa.Array, project) -> pa.Array:
+    """A column of ``parts`` with every vertex projected: one call over the flat coordinates of the batch."""
+    rings = geom.flatten()
+    ring = rings.field("ring")
+    points = ring.flatten()
+    x, y = (np.asarray(points.field(c).to_numpy(zero_copy_only=False), float) for c in ("x", "y"))
+    east, north = project(x, y) if len(x) else (x, y)
+    vertices = pa.StructArray.from_arrays([pa.array(east), pa.array(north)], names=["x", "y"])
+    lists = lambda values, like: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(like), 0).to_numpy(zero_copy_only=False))]), pa.int32()), values)
+    shells = pa.StructArray.from_arrays([rings.field("shell"), lists(vertices, ring)], names=["shell", "ring"])
+    out = lists(shells, geom)
+    return pa.compute.if_else(geom.is_valid(), out, pa.scalar(None, out.type))
+
+
+@F.arrow_udf(PARTS)
+def parts_to_grid(geom: pa.Array) -> pa.Array:
+    """``parts`` in Web Mercator to national grid metres."""
+    return reprojected(geom, mercator_to_grid_xy)
+
+
+@F.arrow_udf(PARTS)
+def lonlat_parts_to_grid(geom: pa.Array) -> pa.Array:
+    """``parts`` in WGS84 degrees to national grid metres."""
+    return reprojected(geom, lonlat_to_grid_xy)
+
+
+@F.arrow_udf(PARTS)
+def grid_parts_to_lonlat(geom: pa.Array) -> pa.Array:
+    """``parts`` in national grid metres to WGS84 degrees."""
+    return reprojected(geom, grid_to_lonlat_xy)
+
+
 # ---- shared area of two polygons -----------------------------------------------------
 # Polygons come as flat edge lists (``geo.turned_edges``). Both are written as signed sums of
 # triangles with one common corner, so only triangle pairs are left, and those are worked out for
@@ -234,6 +274,129 @@ def overlap_area(a: pd.Series, b: pd.Series) -> pd.Series:
 overlap_area = overlap_area.asNondeterministic()
 
 
+# ---- pieces of segments in cells -----------------------------------------------------
+
+PIECE = T.ArrayType(T.StructType([T.StructField("ta", T.DoubleType()), T.StructField("tb", T.DoubleType()), T.StructField("where", T.StringType())]))
+#: Where a piece lies: see ``cells.clip``.
+_WHERE = ["in", "along", "against", "at"]
+#: Distance, in widths of a cell, below which a point lies on an edge.
+_HAIR = 1e-9
+
+
+def _parity(x, y, x0, y0, e):
+    """Edges (x1, y1, x2, y2) between the corner and the point, up the border and then across, as 0 or 1 each."""
+    x1, y1, x2, y2 = e
+
+    def turn(px, py):
+        return (x2 - x1) * (py - y1) - (px - x1) * (y2 - y1)
+
+    def left_of(px):
+        t = turn(px, y)
+        return ((y1 > y) != (y2 > y)) & np.where(y2 > y1, t <= 0, t >= 0)
+
+    def below(py):
+        t = turn(x0, py)
+        under = np.where(t == 0, (y2 - y1) * (x2 - x1) <= 0, np.where(x2 > x1, t > 0, t < 0))
+        return ((x1 > x0) != (x2 > x0)) & under
+
+    return left_of(x) ^ left_of(x0) ^ below(y) ^ below(y0)
+
+
+def clipped(ax, ay, bx, by, ta, tb, x0, y0, side, inside, owner, e):
+    """(row, ta, tb, where) of the pieces of each row's segment between ta and tb that its cell's region holds.
+
+    ``e`` are the edges (four arrays) of all rows one after the other, ``owner`` the row of each.
+    """
+    rows = len(ax)
+    x1, y1, x2, y2 = e
+    dx, dy, long = bx - ax, by - ay, np.hypot(bx - ax, by - ay)
+    fx, fy, span = x2 - x1, y2 - y1, np.hypot(x2 - x1, y2 - y1)
+    hair = _HAIR * side[owner]
+    pax, pay, pdx, pdy = ax[owner], ay[owner], dx[owner], dy[owner]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        from_a = (fx * (pay - y1) - fy * (pax - x1)) / span  # distances of the segment's ends from the edge's line
+        from_b = (fx * (pay + pdy - y1) - fy * (pax + pdx - x1)) / span
+        flat = (np.abs(from_a) <= hair) & (np.abs(from_b) <= hair) & (span > 0)
+        cross = from_a / (from_a - from_b)
+        # Where the edge's ends lie along the segment, and how far to its side.
+        size = long[owner]
+        u1, u2 = ((x1 - pax) * pdx + (y1 - pay) * pdy) / size**2, ((x2 - pax) * pdx + (y2 - pay) * pdy) / size**2
+        off1, off2 = (pdx * (y1 - pay) - pdy * (x1 - pax)) / size, (pdx * (y2 - pay) - pdy * (x2 - pax)) / size
+        met = ~flat & (span > 0) & (size > 0) & (np.minimum(off1, off2) <= hair) & (np.maximum(off1, off2) >= -hair) & np.isfinite(cross)
+        slack = np.where(size > 0, hair / size, 0)
+    lo, hi = ta[owner], tb[owner]
+    hit = met & (cross >= lo - slack) & (cross <= hi + slack)
+    # Contact of a point, or of a segment without length: its distance from the edge itself.
+    middle = (lo + hi) / 2
+    mx, my = pax + pdx * middle - x1, pay + pdy * middle - y1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        along = np.clip((mx * fx + my * fy) / span**2, 0, 1)
+    near = (np.hypot(mx - along * fx, my - along * fy) <= hair) & (lo == hi) & (span > 0)
+    flat_hit = flat & (size > 0) & (np.minimum(u1, u2) <= hi + slack) & (np.maximum(u1, u2) >= lo - slack)
+    contact = np.zeros(rows, bool)
+    contact[owner[hit | near | flat_hit]] = True
+
+    cut_row = np.concatenate([np.arange(rows), np.arange(rows), owner[hit], owner[flat_hit], owner[flat_hit]])
+    cut_t = np.concatenate([ta, tb, cross[hit], u1[flat_hit], u2[flat_hit]])
+    cut_t = np.clip(cut_t, ta[cut_row], tb[cut_row])
+    order = np.lexsort((cut_t, cut_row))
+    cut_row, cut_t = cut_row[order], cut_t[order]
+    real = (cut_row[1:] == cut_row[:-1]) & ((cut_t[1:] - cut_t[:-1]) * long[cut_row[1:]] > _HAIR * side[cut_row[1:]])
+    row, begin, end = cut_row[1:][real], cut_t[:-1][real], cut_t[1:][real]
+    # Every piece against all edges of its cell.
+    count = np.bincount(owner, minlength=rows)
+    first = np.cumsum(count) - count
+    each = count[row]
+    piece = np.repeat(np.arange(len(row)), each)
+    edge = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(first[row], each)
+    half = ((begin + end) / 2)[piece]
+    px, py = (ax + 0)[row][piece] + dx[row][piece] * half, ay[row][piece] + dy[row][piece] * half
+    odd = _parity(px, py, x0[row][piece], y0[row][piece], (x1[edge], y1[edge], x2[edge], y2[edge]))
+    state = inside[row] ^ (np.bincount(piece[odd], minlength=len(row)) % 2 == 1)
+    lies = flat_hit[edge] & (half >= np.minimum(u1, u2)[edge] - slack[edge]) & (half <= np.maximum(u1, u2)[edge] + slack[edge])
+    forward = (fx * pdx + fy * pdy)[edge] > 0
+    where = np.where(state, 0, -1)
+    where[piece[lies & ~forward]] = 2
+    where[piece[lies & forward]] = 1
+    keep = where >= 0
+    touched = np.flatnonzero(contact)
+    return (
+        np.concatenate([row[keep], touched]),
+        np.concatenate([begin[keep], ta[touched]]),
+        np.concatenate([end[keep], ta[touched]]),
+        np.concatenate([where[keep], np.full(len(touched), 3)]),
+    )
+
+
+#: Pairs of a piece and an edge worked out at once.
+PIECE_EDGES = 1 << 18
+
+
+@F.arrow_udf(PIECE)
+def pieces_in_cells(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, ta: pa.Array, tb: pa.Array, x0: pa.Array, y0: pa.Array, side: pa.Array, inside: pa.Array, local: pa.Array) -> pa.Array:
+    """The pieces of segments inside or on the region of their cell; see ``cells.clip``."""
+    plain = [np.asarray(c.to_numpy(zero_copy_only=False), float) for c in (ax, ay, bx, by, ta, tb, x0, y0, side)]
+    within = np.asarray(inside.to_numpy(zero_copy_only=False), bool)
+    counts = pa.compute.list_value_length(local).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = local.flatten()
+    edges = [np.asarray(flat.field(c).to_numpy(zero_copy_only=False), float) for c in ("x1", "y1", "x2", "y2")]
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    found, lo = [], 0
+    while lo < len(counts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + PIECE_EDGES, "right")) - 1)
+        part = slice(lo, hi)
+        owner = np.repeat(np.arange(hi - lo), counts[part])
+        row, begin, end, where = clipped(*[c[part] for c in plain], within[part], owner, [c[starts[lo] : starts[hi]] for c in edges])
+        found.append((row + lo, begin, end, where))
+        lo = hi
+    row, begin, end, where = (np.concatenate(c) if found else np.empty(0) for c in zip(*found)) if found else [np.empty(0, np.int64)] * 4
+    order = np.argsort(row, kind="stable")
+    row = row[order].astype(np.int64)
+    names = pa.array(_WHERE).take(pa.array(where[order].astype(np.int64)))
+    values = pa.StructArray.from_arrays([pa.array(begin[order], pa.float64()), pa.array(end[order], pa.float64()), names], names=["ta", "tb", "where"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(counts) + 1)), pa.int32()), values)
+
+
 # ---- generalisation ------------------------------------------------------------------
 
 

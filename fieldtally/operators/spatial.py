@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions.geo_arrow import overlap_area
 from ..functions.text import col
+from . import cells
+from .cells import LEAST_SIDE, candidates
 from .joins import replicated, salted
 
-#: The smallest cell side; smaller boxes are listed under cells of this side.
-LEAST_SIDE = 2.0**-20
 
 
 def shapes(df: DataFrame, wkt: str = "boundary_geom", id_col: str = "id") -> DataFrame:
-    """``region_id``, ``edges`` and ``box`` of each polygon."""
+    """``region_id``, ``edges`` (a polygon's inside on their left) and ``box`` of each geometry."""
     geom = geo.parts(wkt)
-    return df.select(F.col(id_col).alias("region_id"), geo.edges(geom).alias("edges"), geo.bounds(geom).alias("box"))
+    return df.select(F.col(id_col).alias("region_id"), geo.directed_edges(geom).alias("edges"), geo.bounds(geom).alias("box"))
 
 
 def side_of(box: str = "box", size: float | None = None) -> Column:
@@ -50,22 +50,6 @@ def covered(df: DataFrame, side: Column | float, box: str = "box") -> DataFrame:
     return df.withColumn("cx", F.explode(steps("x"))).withColumn("cy", F.explode(steps("y")))
 
 
-def candidates(points: DataFrame, regions: DataFrame, x: str = "x", y: str = "y", size: float | None = None, copies: int = 4) -> DataFrame:
-    """Points next to the ``box`` of every region that has a cell in common with them; outlines stay behind.
-
-    Regions are listed at the level of their own size, points once at every level in use, one for each power
-    of two at most.
-    """
-    listed = regions.drop("edges").withColumn("_side", side_of("box", size))
-    cells = replicated(covered(listed, F.col("_side")), copies)
-    # The subquery is read into a column first: a generator may not hold one.
-    levels = points.withColumn("_sides", listed.agg(F.collect_set("_side")).scalar())
-    levels = levels.withColumn("_side", F.explode("_sides")).drop("_sides")
-    placed = levels.withColumn("cx", cell(x, F.col("_side"))).withColumn("cy", cell(y, F.col("_side")))
-    found = salted(placed, [x, y], copies).join(cells, ["_side", "cx", "cy", "_salt"])
-    return found.drop("_side", "cx", "cy", "_salt")
-
-
 def tag_points(
     points: DataFrame,
     regions: DataFrame,
@@ -73,22 +57,17 @@ def tag_points(
     y: str = "y",
     boundary: bool = True,
     size: float | None = None,
-    copies: int = 4,
     keep_outside: bool = False,
+    portion: int | None = None,
 ) -> DataFrame:
     """Points with the ``region_id`` of every region they lie in (:func:`shapes` gives ``regions``).
 
     ``region_id`` names one region each. ``keep_outside`` keeps points of no region too: every point then
-    also has a row with a null id.
-
-    A point has one cell at each level, so each pair is found once. Points of a crowded cell are salted
-    over ``copies`` join keys. Only pairs that pass the test of the box meet the outline, which is joined by
-    the region's id. Pass distinct positions, not records, where many records share one.
+    also has a row with a null id. Outlines are cut into cells (``cells.region_cells``): a point meets the edges of
+    its own cell, and crowded cells are spread by their counts, ``portion`` points to a task. Pass distinct
+    positions, not records, where many records share one.
     """
-    found = candidates(points, regions, x, y, size, copies)
-    box = F.col("box")
-    found = found.where(F.col(x).between(box["xmin"], box["xmax"]) & F.col(y).between(box["ymin"], box["ymax"])).drop("box")
-    found = found.join(regions.select("region_id", "edges"), "region_id").where(geo.contains(x, y, "edges", boundary)).drop("edges")
+    found = cells.tag(points, regions, x, y, boundary, size, portion)
     if keep_outside:
         found = found.unionByName(points, allowMissingColumns=True)
     return found
@@ -113,8 +92,8 @@ def within(points: DataFrame, centres: DataFrame, distance: float, copies: int =
     return pairs.withColumn("distance", away).where(F.col("distance") <= distance).drop("cx", "cy", "_salt")
 
 
-def meeting_boxes(left: DataFrame, right: DataFrame, size: float | None = None, touching: bool = False) -> DataFrame:
-    """Pairs of rows whose boxes (``box_l``, ``box_r``) meet, each pair once.
+def meeting_boxes(left: DataFrame, right: DataFrame, size: float | None = None, touching: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows whose boxes (``box_l``, ``box_r``) meet, each pair once; ``by`` names columns that must be equal too.
 
     A pair meets at the level of its larger box: every box is listed at its own level and at the wider
     levels of the other side. Own cells on the left meet all cells on the right (turn 0), and the left's
@@ -133,7 +112,7 @@ def meeting_boxes(left: DataFrame, right: DataFrame, size: float | None = None,
 
     a = listed(left, "box_l", sides[1], 0, lambda v, own: v > own)
     b = listed(right, "box_r", sides[0], 1, lambda v, own: v >= own)
-    pairs = a.join(b, ["_side", "_turn", "cx", "cy"])
+    pairs = a.join(b, [*by, "_side", "_turn", "cx", "cy"])
     first_x = cell(F.greatest(F.col("box_l.xmin"), F.col("box_r.xmin")), F.col("_side"))
     first_y = cell(F.greatest(F.col("box_l.ymin"), F.col("box_r.ymin")), F.col("_side"))
     own_cell = (F.col("cx") == first_x) & (F.col("cy") == first_y)
@@ -190,48 +169,6 @@ def grid_of(regions: DataFrame, size: int, box: str = "box") -> DataFrame:
     return spans.withColumn("west", F.explode("_xs")).withColumn("south", F.explode("_ys")).drop("_xs", "_ys")
 
 
-def square_in_region(west: Column, south: Column, size: int, edge_array: str) -> tuple[Column, Column]:
-    """(meets, fully inside) of a square and a polygon given by its edges.
-
-    They meet when a corner or the centre of the square lies in the polygon, or an edge of the
-    polygon runs through the square. The square is inside when all corners are in the polygon and
-    no edge runs through its interior.
-    """
-    east, north = west + size, south + size
-    corners = [(west, south), (east, south), (east, north), (west, north)]
-    inside = [geo.contains(x, y, edge_array) for x, y in corners]
-    # Liang-Barsky: the stretch of an edge that lies in the square.
-    def stretch(e):
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-
-        def limits(d, low, high):
-            first, last = low / F.nullif(d, F.lit(0.0)), high / F.nullif(d, F.lit(0.0))
-            apart = (d == 0) & ((low > 0) | (high < 0))
-            start = F.when(apart, F.lit(2.0)).when(d == 0, F.lit(0.0)).otherwise(F.least(first, last))
-            stop = F.when(apart, F.lit(-1.0)).when(d == 0, F.lit(1.0)).otherwise(F.greatest(first, last))
-            return start, stop
-
-        x0, x1 = limits(dx, west - e["x1"], east - e["x1"])
-        y0, y1 = limits(dy, south - e["y1"], north - e["y1"])
-        return F.greatest(F.lit(0.0), x0, y0), F.least(F.lit(1.0), x1, y1)
-
-    def runs_through(e):
-        t0, t1 = stretch(e)
-        return t0 <= t1
-
-    def runs_inside(e):
-        # The middle of the stretch is off the square's border.
-        t0, t1 = stretch(e)
-        mx = e["x1"] + (e["x2"] - e["x1"]) * (t0 + t1) / 2
-        my = e["y1"] + (e["y2"] - e["y1"]) * (t0 + t1) / 2
-        return (t0 < t1) & (mx > west) & (mx < east) & (my > south) & (my < north)
-
-    touches = F.exists(F.col(edge_array), runs_through)
-    crossed = F.exists(F.col(edge_array), runs_inside)
-    meets = inside[0] | inside[1] | inside[2] | inside[3] | touches
-    return meets, inside[0] & inside[1] & inside[2] & inside[3] & ~crossed
-
-
 def collect_geom(df: DataFrame, key: str, wkt: str, id_col: str, size: int = 10000) -> DataFrame:
     """Child lines of a parent as one MULTILINESTRING; parents with more than ``size`` get several pages."""
     from .aggregate import paged

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, geo
 from ..functions.text import natural_key
-from ..operators import filters, spatial
+from ..operators import cells, filters, spatial
 from ..operators.aggregate import join_text, paged
 from ..operators.joins import with_parent
 from ..operators.windows import minmax_scale
@@ -147,9 +147,7 @@ def region_grid(regions: DataFrame, size: int = 2000) -> DataFrame:
 
     ``regions``: region_id, edges, box in national grid metres.
     """
-    squares = spatial.grid_of(regions, size)
-    meets, inside = spatial.square_in_region(F.col("west"), F.col("south"), size, "edges")
-    out = squares.where(meets).withColumn("partial", ~inside)
+    out = cells.squares(regions, size)
     return out.select(
         "region_id",
         "west",
@@ -189,10 +187,13 @@ def layer_overlap(squares: DataFrame, layers: DataFrame) -> DataFrame:
 
     ``squares``: square_id, geom. ``layers``: layer_id, layer_name, geom (``parts`` arrays).
     """
-    pairs = spatial.overlapping(
-        squares.select("square_id", F.col("geom").alias("geom_l")),
-        layers.select("layer_id", "layer_name", F.col("geom").alias("geom_r")),
-    )
+    left = squares.select(F.col("square_id").alias("shape_id"), geo.directed_edges("geom").alias("edges"), geo.bounds("geom").alias("box"))
+    right = layers.select(F.col("layer_id").alias("region_id"), geo.directed_edges("geom").alias("edges"), geo.bounds("geom").alias("box"))
+    found = cells.shared_area(left, right)
+    sizes = squares.select(F.col("square_id").alias("shape_id"), geo.area("geom").alias("area_l"))
+    names = layers.select(F.col("layer_id").alias("region_id"), "layer_name", geo.area("geom").alias("area_r"))
+    pairs = found.join(sizes, "shape_id").join(names, "region_id").withColumnsRenamed({"shape_id": "square_id", "region_id": "layer_id"})
+    pairs = pairs.where(F.col("shared_area") > F.least("area_l", "area_r") * 1e-9)
     share = F.floor(F.round(F.col("shared_area") / F.col("area_l") * 100, 9)).cast("long")
     return pairs.select(
         "square_id",
