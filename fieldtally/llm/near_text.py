@@ -33,6 +33,9 @@ STRAYS = 8
 DRAWN = 4
 #: Members of a star that one task compares with its centre.
 STAR = 512
+#: Cells of the sketch that orders shingles by how often they come, and tasks that add up its parts.
+SKETCH, SKETCHES = 1 << 17, 16
+_CELL = np.uint64(64 - 17)
 
 _rng = np.random.default_rng(20240608)
 #: For each bin, the order in which an empty one asks the others.
@@ -197,27 +200,61 @@ def stray_pairs(state: DataFrame) -> DataFrame:
     return one.join(other, "key").where("ca <> cb").select("a", "b")
 
 
+def counted(nodes: DataFrame) -> np.ndarray:
+    """About how often the shingles of ``nodes`` (text) come, in SKETCH cells by hash.
+
+    Each task adds up its own cells and hands over one row; a few tasks add those up, so that the driver gets
+    SKETCHES rows of fixed size.
+    """
+
+    def first(batches):
+        cells = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for part in slices(batch, batch.column(0)):
+                for s in shingle_sets(as_text(part.column(0))):
+                    np.add.at(cells, (s >> _CELL).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
+
+    def add(batches):
+        cells = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            for own in batch.column(0):
+                cells += np.frombuffer(own.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
+
+    made = nodes.select("text").mapInArrow(first, "cells binary").repartition(SKETCHES).mapInArrow(add, "cells binary")
+    return sum((np.frombuffer(r[0], np.int64) for r in made.collect()), np.zeros(SKETCH, np.int64))
+
+
 def rarest(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Rows (key, node): each class's rarest shingles, as many as let no link pass.
 
     Sets that share ``percent`` of their union share one of their n - ceil(percent n / 100) + 1 first elements in
-    any common order; the order is by how many of ``nodes`` have the shingle.
+    any common order; the order is by the sketched count, then the hash. Only those first elements become rows.
     """
+    own = table(texts.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("id", "digest", "text"), "crowded")
+    shared = own.sparkSession.sparkContext.broadcast(counted(own))
 
     def make():
+        cells = shared.value
+
         def run(found):
-            sets = shingle_sets(found)
-            cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets).view(np.int64))), pa.array([digest(x) for x in sets], pa.binary())]
+            chosen, marks = [], []
+            for s in shingle_sets(found):
+                n = len(s)
+                order = np.lexsort((s, cells[(s >> _CELL).astype(np.int64)]))
+                chosen.append(s[order[: n - -(-percent * n // 100) + 1]] if n else s)
+                marks.append(digest(s))
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in chosen])])
+            flat = np.concatenate([*chosen, np.empty(0, np.uint64)])
+            return [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat.view(np.int64))), pa.array(marks, pa.binary())]
 
         return run
 
-    own = annotate(texts.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "text", "shingles array<long>, mark binary", make, keep=["id", "digest"])
-    own = table(own.where("digest = mark").select(F.col("id").alias("node"), F.explode("shingles").alias("h")), "shingles")
-    counted = own.join(own.groupBy("h").agg(F.countDistinct("node").alias("n")), "h")
-    order = counted.groupBy("node").agg(F.array_sort(F.collect_set(F.struct("n", "h"))).alias("s"))
-    first = F.slice("s", F.lit(1), (F.size("s") - F.ceil(F.size("s") * percent / 100) + 1).cast("int"))
-    return order.select("node", F.explode(first).alias("s")).select(F.col("s.h").alias("key"), "node")
+    made = annotate(own, "text", "first array<long>, mark binary", make, keep=["id", "digest"])
+    out = table(made.where("digest = mark").select(F.explode("first").alias("key"), F.col("id").alias("node")).distinct(), "rarest")
+    discard(own)
+    return out
 
 
 def tiled(state: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -305,7 +342,8 @@ def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     state = opened(members, reach)
     discard(members)
-    closer = table(buckets(rarest(state.where(F.col("strays") > STRAYS), wanted, percent)), "closer")
+    first = rarest(state.where(F.col("strays") > STRAYS), wanted, percent)
+    closer = table(buckets(first), "closer")
     again = opened(closer, reach)
     pairs = stray_pairs(state.where(F.col("strays") <= STRAYS)).distinct()
     done = tested.union(tested.select("b", "a"))
@@ -314,7 +352,7 @@ def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     if not found.isEmpty():
         # What is known already comes in as stars, not as the edges that led to them.
         reach = components(found.union(reach.select("id", "component")))
-    discard(state, closer, again, wanted, tested, fresh, found, edges)
+    discard(state, first, closer, again, wanted, tested, fresh, found, edges)
     return reach
 
 
