@@ -11,6 +11,7 @@ from ..operators.hierarchy import paths
 from ..plans import awards, exports, history, people, summaries, taxonomy
 from ..session import scratch_path
 from .building_blocks import TREE_SQL, WEEKLY_SQL, taxon_tree, weekly_series
+from .projection import grid_sql
 from .registry import query
 from .standin import AS_OF
 
@@ -812,12 +813,15 @@ def _(t):
 @query(
     "gis_export",
     "job:gis_export G5 G6 G8 S2",
-    """SELECT user_id, 'LINESTRING' AS geom_type, round(sqrt(x * x + y * y) * 100, 6) AS length_m,
-    round(degrees(2 * atan(exp(y * 50 / 6378137.0)) - pi() / 2), 6) AS lat, round(degrees(x * 50 / 6378137.0), 6) AS lon
-    FROM people WHERE role <> 'BUILDING'""",
+    f"""WITH s AS (SELECT user_id, x * 100 - 200000 AS mx, y * 100 + 6800000 AS my FROM people WHERE role <> 'BUILDING'),
+    pts AS (SELECT user_id AS id, k, mx + 700 * k AS mx, my + 400 * k AS my FROM s, range(0, 2) AS r(k)), {grid_sql("pts")},
+    m AS (SELECT a.id AS user_id, sqrt((a.east - b.east) ** 2 + (a.north - b.north) ** 2) AS len FROM grid a JOIN grid b ON a.id = b.id AND a.k = 0 AND b.k = 1)
+    SELECT user_id, 'LINESTRING' AS geom_type, round(len, 6) AS length_m, round(degrees(2 * atan(exp((my + 200) / 6378137.0)) - pi() / 2), 6) AS lat,
+    round(degrees((mx + 350) / 6378137.0), 6) AS lon FROM s JOIN m USING (user_id)""",
 )
 def _(t):
-    line = F.format_string("LINESTRING(0 0,%d %d)", F.col("x") * 100, F.col("y") * 100)
+    x, y = F.col("x") * 100 - 200000, F.col("y") * 100 + 6800000
+    line = F.format_string("LINESTRING(%d %d,%d %d)", x, y, x + 700, y + 400)
     shape = F.when(F.col("role") == "BUILDING", geo.point_wkt("x", "y")).otherwise(line)
     out = exports.gis_export(t.people.select("user_id", shape.alias("geom")), "geom", "line")
     return out.select("user_id", "geom_type", F.round("length_m", 6).alias("length_m"), "lat", "lon")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo_arrow import grid_to_lonlat, lonlat_to_grid, simplified
-from ..operators import spatial
-from ..plans import sites
+from ..operators import cells, spatial
+from ..plans import exports, sites
+from .projection import grid_sql
 from .registry import query
 
 IN_BOX = "{p}.x BETWEEN b.xmin AND b.xmax AND {p}.y BETWEEN b.ymin AND b.ymax"
@@ -352,25 +353,30 @@ def _(t):
     return sites.layer_overlap(squares, layers)
 
 
+# Sections in Britain, in Web Mercator: a bent line of three points each.
+_SECTIONS = """sections AS (SELECT visit_id AS section_id, user_id AS transect_id, -200000 + x * 100 AS mx, 6800000 + y * 100 AS my FROM visits),
+    pts AS (SELECT section_id AS id, k, mx + 300 * k AS mx, my + 50 * k * k AS my FROM sections, range(0, 3) AS r(k))"""
+
+
+def _section_line():
+    x, y = F.col("x") * 100 - 200000, F.col("y") * 100 + 6800000
+    return F.format_string("LINESTRING(%d %d,%d %d,%d %d)", x, y, x + 300, y + 50, x + 600, y + 200)
+
+
 @query(
     "length_check",
-    "job:length_check G5 A3",
-    """WITH s AS (SELECT visit_id AS section_id, user_id AS transect_id, sqrt(x * x + y * y) + 10 AS len FROM visits),
-    q AS (SELECT *, CAST(floor(len) + section_id % 3 AS BIGINT) AS stored FROM s),
+    "job:length_check G5 G6 A3",
+    f"""WITH {_SECTIONS}, {grid_sql("pts")},
+    m AS (SELECT a.id AS section_id, sum(sqrt((a.east - b.east) ** 2 + (a.north - b.north) ** 2)) AS len FROM grid a JOIN grid b ON a.id = b.id AND b.k = a.k + 1 GROUP BY 1),
+    q AS (SELECT section_id, transect_id, len, 380 + section_id % 5 AS stored FROM sections JOIN m USING (section_id)),
     n AS (SELECT transect_id, CAST(sum(CAST(round(len, 6) AS DECIMAL(20,6))) AS DOUBLE) AS total, CAST(sum(stored) AS BIGINT) AS stored_total FROM q GROUP BY 1)
     SELECT section_id, transect_id, stored, CAST(round(len) AS BIGINT) AS computed, stored_total, CAST(round(total) AS BIGINT) AS computed_total,
       CASE WHEN abs(len - stored) > 1 THEN 'x' ELSE '' END AS section_flag, CASE WHEN abs(total - stored_total) > 1 THEN 'x' ELSE '' END AS transect_flag
     FROM q JOIN n USING (transect_id)""",
 )
 def _(t):
-    x, y = F.col("x"), F.col("y")
-    line = F.format_string("LINESTRING(0 0,%d %d,%d %d)", x, y, x + 6, y + 8)
-    length = F.sqrt(x * x + y * y) + 10
     sections = t.visits.select(
-        F.col("visit_id").alias("section_id"),
-        F.col("user_id").alias("transect_id"),
-        line.alias("wkt"),
-        (F.floor(length) + F.col("visit_id") % 3).alias("stored"),
+        F.col("visit_id").alias("section_id"), F.col("user_id").alias("transect_id"), _section_line().alias("wkt"), (F.lit(380) + F.col("visit_id") % 5).alias("stored")
     )
     transects = sections.groupBy("transect_id").agg(F.sum("stored").alias("stored_total"))
     return sites.length_check(sections, transects)
@@ -488,3 +494,169 @@ def _(t):
 def _(t):
     visits = t.visits.withColumnRenamed("priority", "survey_id")
     return sites.survey_coverage(t.places.select("place_id", "place_name"), visits, ["1-URGENT", "5-LOW"], "2001-07-01")
+
+
+# ---- lines and polygons --------------------------------------------------------------
+
+# Lines of four directions from a person's position, among them one along each side of the triangles.
+_WAYS = "CASE user_id % 4 WHEN 0 THEN {0} WHEN 1 THEN {1} WHEN 2 THEN {2} ELSE {3} END"
+_DX, _DY = _WAYS.format(30, 0, 50, 60), _WAYS.format(40, 50, 0, -60)
+
+
+def _way(a, b, c, d):
+    k = F.col("user_id") % 4
+    return F.when(k == 0, a).when(k == 1, b).when(k == 2, c).otherwise(d)
+
+
+def _lines(t):
+    x, y = F.col("x"), F.col("y")
+    return t.people.select("user_id", F.format_string("LINESTRING(%d %d,%d %d)", x, y, x + _way(30, 0, 50, 60), y + _way(40, 50, 0, -60)).alias("wkt"))
+
+
+# Half planes of a triangle, each as its value at the line's start and its change along the line.
+_CLIPPED = f"""l AS (SELECT user_id, x, y, {_DX} AS dx, {_DY} AS dy FROM people),
+    f AS (SELECT user_id, region_id, dx, dy, x - xmin AS f1, dx AS g1, y - ymin AS f2, dy AS g2, 250 - (x - xmin) - (y - ymin) AS f3, -dx - dy AS g3 FROM l, boxes),
+    c AS (SELECT user_id, region_id, sqrt(dx * dx + dy * dy) AS len, f1, g1, f2, g2, f3, g3,
+      greatest(0.0, CASE WHEN g1 > 0 THEN -f1 / g1::DOUBLE ELSE 0 END, CASE WHEN g2 > 0 THEN -f2 / g2::DOUBLE ELSE 0 END, CASE WHEN g3 > 0 THEN -f3 / g3::DOUBLE ELSE 0 END) AS t0,
+      least(1.0, CASE WHEN g1 < 0 THEN -f1 / g1::DOUBLE ELSE 1 END, CASE WHEN g2 < 0 THEN -f2 / g2::DOUBLE ELSE 1 END, CASE WHEN g3 < 0 THEN -f3 / g3::DOUBLE ELSE 1 END) AS t1
+      FROM f WHERE (g1 <> 0 OR f1 >= 0) AND (g2 <> 0 OR f2 >= 0) AND (g3 <> 0 OR f3 >= 0)),
+    r AS (SELECT *, t1 > t0 + 1e-9 AND (g1 <> 0 OR f1 > 0) AND (g2 <> 0 OR f2 > 0) AND (g3 <> 0 OR f3 > 0) AS inside FROM c WHERE t0 <= t1 + 1e-12)"""
+
+
+@query(
+    "lines_in_regions",
+    "G1 G5 job:site_summary_by_geometry",
+    f"""WITH {_CLIPPED}
+    SELECT user_id, region_id, inside, NOT inside AS touches, round(CASE WHEN inside THEN (t1 - t0) * len ELSE 0 END, 6)::DOUBLE AS length_inside FROM r""",
+)
+def _(t):
+    lines = _lines(t).select("user_id", geo.edges(geo.parts("wkt")).alias("edges"))
+    return cells.lines_in_regions(lines, t.wedges, "user_id").withColumn("length_inside", F.round("length_inside", 6))
+
+
+@query(
+    "polygons_meeting",
+    "G1",
+    """WITH s AS (SELECT user_id, region_id, greatest(x, xmin) - xmin + greatest(y, ymin) - ymin AS reach, x + 20 - xmin AS past_x, y + 20 - ymin AS past_y FROM people, boxes)
+    SELECT user_id, region_id, past_x > 0 AND past_y > 0 AND reach < 250 AS inside, NOT (past_x > 0 AND past_y > 0 AND reach < 250) AS touches
+    FROM s WHERE past_x >= 0 AND past_y >= 0 AND reach <= 250""",
+)
+def _(t):
+    geom = geo.parts(geo.box_wkt("x", "y", F.col("x") + 20, F.col("y") + 20))
+    own = t.people.select(F.col("user_id").alias("shape_id"), geo.directed_edges(geom).alias("edges"), geo.bounds(geom).alias("box"))
+    return cells.polygons_meeting(own, t.wedges).withColumnRenamed("shape_id", "user_id")
+
+
+@query(
+    "records_in_regions",
+    "G1 G2 G8 job:combined_tenant_records",
+    f"""WITH {_CLIPPED}
+    SELECT 'line:' || user_id AS shape_id, region_id FROM r WHERE inside
+    UNION ALL SELECT 'point:' || p.user_id, b.region_id FROM people p JOIN boxes b ON {IN_WEDGE.format(p='p')}
+    UNION ALL SELECT 'polygon:' || user_id, region_id FROM people, boxes WHERE x + 20 > xmin AND y + 20 > ymin AND greatest(x, xmin) - xmin + greatest(y, ymin) - ymin < 250""",
+)
+def _(t):
+    def named(kind, df):
+        return df.select(F.concat(F.lit(f"{kind}:"), F.col("user_id")).alias("shape_id"), geo.parts("wkt").alias("geom"))
+
+    people = t.people
+    points = people.select("user_id", geo.point_wkt("x", "y").alias("wkt"))
+    polygons = people.select("user_id", geo.box_wkt("x", "y", F.col("x") + 20, F.col("y") + 20).alias("wkt"))
+    shapes = named("line", _lines(t)).unionByName(named("point", points)).unionByName(named("polygon", polygons))
+    return sites.records_in_regions(shapes, t.wedges)
+
+
+@query(
+    "points_around_holes",
+    "G2 G8",
+    """SELECT p.user_id, b.region_id FROM people p JOIN boxes b ON p.x BETWEEN xmin AND xmax AND p.y BETWEEN ymin AND ymax
+    WHERE NOT (p.x > xmin + 50 AND p.x < xmin + 150 AND p.y > ymin + 50 AND p.y < ymin + 200 AND (p.x - xmin - 50) * 150 + (p.y - ymin - 50) * 100 < 15000)""",
+)
+def _(t):
+    x, y = F.col("xmin"), F.col("ymin")
+    ring = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d,%d %d),(%d %d,%d %d,%d %d,%d %d))", x, y, x + 250, y, x + 250, y + 250, x, y + 250, x, y, x + 50, y + 50, x + 150, y + 50, x + 50, y + 200, x + 50, y + 50)
+    regions = spatial.shapes(t.boxes.select("region_id", ring.alias("wkt")), "wkt", "region_id")
+    return spatial.tag_points(t.people.select("user_id", "x", "y"), regions).select("user_id", "region_id")
+
+
+@query(
+    "united_boundaries",
+    "G7 J7",
+    """WITH c AS (SELECT DISTINCT parent_id % 3 AS g, x + i AS cx, y + j AS cy FROM places, range(0, 80) AS a(i), range(0, 80) AS b(j)),
+    n AS (SELECT c.g, (w.g IS NULL)::INT + (e.g IS NULL)::INT + (s.g IS NULL)::INT + (o.g IS NULL)::INT AS open FROM c
+      LEFT JOIN c w ON w.g = c.g AND w.cx = c.cx - 1 AND w.cy = c.cy LEFT JOIN c e ON e.g = c.g AND e.cx = c.cx + 1 AND e.cy = c.cy
+      LEFT JOIN c s ON s.g = c.g AND s.cx = c.cx AND s.cy = c.cy - 1 LEFT JOIN c o ON o.g = c.g AND o.cx = c.cx AND o.cy = c.cy + 1)
+    SELECT CAST(g AS BIGINT) AS place_id, count(*)::DOUBLE AS area, sum(open)::DOUBLE AS outline FROM n GROUP BY 1""",
+)
+def _(t):
+    """Areas and outlines of unions of squares, against counts of unit squares."""
+    square = geo.box_wkt("x", "y", F.col("x") + 80, F.col("y") + 80)
+    children = t.places.select("place_id", (F.col("parent_id") % 3).cast("long").alias("parent_id"), square.alias("geom"))
+    tops = children.select(F.col("parent_id").alias("place_id")).distinct()
+    return sites.united_boundaries(tops, children).select("place_id", F.round("area", 6).alias("area"), F.round("outline", 6).alias("outline"))
+
+
+@query(
+    "transect_lines",
+    "G7 G6 G5",
+    f"""WITH steps AS (SELECT DISTINCT CAST(parent_id AS BIGINT) AS parent_id, y // 10 AS row, x // 10 + i AS col FROM places, range(0, 30) AS r(i)),
+    pts AS (SELECT parent_id * 100000000 + row * 100000 + col * 10 AS id, k, -200000 + 100 * (col + k) AS mx, 6800000 + 100 * row AS my FROM steps, range(0, 2) AS r(k)), {grid_sql("pts")}
+    SELECT CAST(a.id // 100000000 AS BIGINT) AS place_id, round(sum(sqrt((a.east - b.east) ** 2 + (a.north - b.north) ** 2)), 2) AS length_m
+    FROM grid a JOIN grid b ON a.id = b.id AND a.k = 0 AND b.k = 1 GROUP BY 1""",
+)
+def _(t):
+    """Overlapping level sections of 3 km: what several share is measured once. The twin adds up steps of 100 m."""
+    x, y = F.floor(F.col("x") / 10) * 100 - 200000, F.floor(F.col("y") / 10) * 100 + 6800000
+    points = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat((x + i * 100).cast("long").cast("string"), F.lit(" "), y.cast("long").cast("string"))), ",")
+    children = t.places.select("place_id", F.col("parent_id").cast("long").alias("parent_id"), F.concat(F.lit("LINESTRING("), points, F.lit(")")).alias("geom"))
+    tops = children.select(F.col("parent_id").alias("place_id")).distinct()
+    return sites.transect_lines(tops, children).select("place_id", F.round("length_m", 2).alias("length_m"))
+
+
+@query(
+    "info_at_point",
+    "G3 U1 job:near_points",
+    f"""WITH c AS (SELECT region_id AS point_id, xmin + 125 AS px, ymin + 125 AS py FROM boxes),
+    l AS (SELECT user_id, x, y, {_DX} AS dx, {_DY} AS dy FROM people),
+    n AS (SELECT point_id, px, py, user_id, x, y, dx, dy, greatest(0.0, least(1.0, ((px - x) * dx + (py - y) * dy) / (dx * dx + dy * dy)::DOUBLE)) AS k FROM c, l)
+    SELECT point_id, 'sample:' || user_id AS id, 'Survey effort' AS event, round(sqrt((px - x - k * dx) ** 2 + (py - y - k * dy) ** 2), 6) AS distance, '2001-01-01' AS sort_date
+      FROM n WHERE (px - x - k * dx) ** 2 + (py - y - k * dy) ** 2 <= 900
+    UNION ALL SELECT point_id, 'occurrence:' || visit_id, 'Visit ' || priority, round(sqrt((px - x) ** 2 + (py - y) ** 2), 6), strftime(date_start, '%Y-%m-%d') FROM c, visits
+      WHERE (px - x) ** 2 + (py - y) ** 2 <= 900
+    UNION ALL SELECT point_id, 'treatment:' || place_id, 'Treatment of ' || place_name,
+      round(sqrt(greatest(x - px, 0, px - x - 40) ** 2 + greatest(y - py, 0, py - y - 40) ** 2), 6), '2001-02-01' FROM c, places
+      WHERE greatest(x - px, 0, px - x - 40) ** 2 + greatest(y - py, 0, py - y - 40) ** 2 <= 900""",
+)
+def _(t):
+    clicks = t.boxes.select(F.col("region_id").alias("point_id"), (F.col("xmin") + 125).alias("x"), (F.col("ymin") + 125).alias("y"))
+    day = lambda d: F.lit(d).cast("date").alias("sort_date")
+    efforts = _lines(t).select(F.col("user_id").alias("event_id"), F.lit("Survey effort").alias("event"), geo.parts("wkt").alias("geom"), day("2001-01-01"))
+    finds = t.visits.select(F.col("visit_id").alias("event_id"), F.concat(F.lit("Visit "), F.col("priority")).alias("event"), geo.parts(geo.point_wkt("x", "y")).alias("geom"), F.col("date_start").alias("sort_date"))
+    square = geo.box_wkt("x", "y", F.col("x") + 40, F.col("y") + 40)
+    works = t.places.select(F.col("place_id").alias("event_id"), F.concat(F.lit("Treatment of "), F.col("place_name")).alias("event"), geo.parts(square).alias("geom"), day("2001-02-01"))
+    found = sites.info_at_point(clicks, {"sample": efforts, "occurrence": finds, "treatment": works}, 30)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+def _lonlat(x, y):
+    text = "rtrim(rtrim(CAST(CAST({} AS DECIMAL(21,6)) AS VARCHAR), '0'), '.')"
+    return f"{text.format(f'degrees(({x}) / 6378137.0)')} || ' ' || {text.format(f'degrees(2 * atan(exp(({y}) / 6378137.0)) - pi() / 2)')}"
+
+
+_X, _Y = "(x * 100 - 200000)", "(y * 100 + 6800000)"
+
+
+@query(
+    "geometries_in_degrees",
+    "G6 S2 G8",
+    f"""SELECT user_id, CASE user_id % 3 WHEN 0 THEN 'POINT(' || {_lonlat(_X, _Y)} || ')'
+      WHEN 1 THEN 'MULTILINESTRING((' || {_lonlat(_X, _Y)} || ',' || {_lonlat(_X + ' + 500', _Y)} || '),(' || {_lonlat(_X, _Y + ' + 90')} || ',' || {_lonlat(_X + ' + 70', _Y + ' + 700')} || '))'
+      ELSE 'POLYGON((' || {_lonlat(_X, _Y)} || ',' || {_lonlat(_X + ' + 900', _Y)} || ',' || {_lonlat(_X, _Y + ' + 900')} || ',' || {_lonlat(_X, _Y)} || '),('
+        || {_lonlat(_X + ' + 100', _Y + ' + 100')} || ',' || {_lonlat(_X + ' + 200', _Y + ' + 100')} || ',' || {_lonlat(_X + ' + 100', _Y + ' + 200')} || ',' || {_lonlat(_X + ' + 100', _Y + ' + 100')} || '))' END AS geom FROM people""",
+)
+def _(t):
+    x, y, k = F.col("x") * 100 - 200000, F.col("y") * 100 + 6800000, F.col("user_id") % 3
+    lines = F.format_string("MULTILINESTRING((%d %d,%d %d),(%d %d,%d %d))", x, y, x + 500, y, x, y + 90, x + 70, y + 700)
+    area = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d),(%d %d,%d %d,%d %d,%d %d))", x, y, x + 900, y, x, y + 900, x, y, x + 100, y + 100, x + 200, y + 100, x + 100, y + 200, x + 100, y + 100)
+    shape = F.when(k == 0, F.format_string("POINT(%d %d)", x, y)).when(k == 1, lines).otherwise(area)
+    return exports.gis_export(t.people.select("user_id", shape.alias("geom"))).select("user_id", "geom")

@@ -397,6 +397,114 @@ def pieces_in_cells(ax: pa.Array, ay: pa.Array, bx: pa.Array, by: pa.Array, ta:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(counts) + 1)), pa.int32()), values)
 
 
+# ---- outlines from pieces ------------------------------------------------------------
+
+
+def _nodes(x, y):
+    """A number for each point, the same for points that differ by rounding only."""
+    size = max(np.ptp(x), np.ptp(y), 1e-300) * 1e-9
+    size = max(size, max(np.abs(x).max(), np.abs(y).max()) * 1e-13)
+    node = np.arange(len(x))
+    while True:
+        before = node.copy()
+        for sx in (0.0, 0.5):
+            for sy in (0.0, 0.5):
+                cell = np.stack([np.floor(x / size + sx), np.floor(y / size + sy)], axis=1)
+                _, own = np.unique(cell, axis=0, return_inverse=True)
+                own = own.ravel()
+                least = np.full(own.max() + 1, len(x))
+                np.minimum.at(least, own, node)
+                node = np.minimum(node, least[own])
+        node = node[node]
+        if (node == before).all():
+            return node
+
+
+def _ring_area(ring) -> float:
+    x, y = ring[:, 0] - ring[0, 0], ring[:, 1] - ring[0, 1]
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum()) / 2
+
+
+def _holds(ring, point) -> bool:
+    (x, y), (x1, y1), (x2, y2) = point, ring[:-1].T, ring[1:].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cross = ((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
+    return bool(cross.sum() % 2)
+
+
+def _straight(ring, closed: bool):
+    """The ring or line without vertices on a straight stretch, which are left from cuts."""
+    keep, n = [], len(ring) - 1 if closed else len(ring)
+    for i in range(n):
+        if not closed and i in (0, n - 1):
+            keep.append(i)
+            continue
+        a, b, c = ring[i - 1 if i else n - 1], ring[i], ring[(i + 1) % n]
+        turn = (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+        size = np.hypot(*(b - a)) * np.hypot(*(c - b))
+        if abs(turn) > 1e-9 * size or (b - a) @ (c - b) < 0:
+            keep.append(i)
+    out = ring[keep]
+    return np.concatenate([out, out[:1]]) if closed and len(out) else out
+
+
+def strung(shape, seg, ta, sx, sy, ex, ey, closed: bool) -> list[dict]:
+    """``parts`` from directed pieces: rings with their inside on the left, shells each followed by its holes; or lines.
+
+    Where several pieces leave a point, a ring goes on with the one that turns most to the left of its way back, so that
+    rings that share a point stay apart.
+    """
+    order = np.lexsort((ta, seg, shape))
+    start, end = np.stack([sx, sy], axis=1)[order], np.stack([ex, ey], axis=1)[order]
+    every = np.concatenate([start, end])
+    node = _nodes(every[:, 0], every[:, 1])
+    begin, stop = node[: len(start)], node[len(start) :]
+    if not closed:
+        lines, now = [], [start[0], end[0]]
+        for i in range(1, len(start)):
+            if begin[i] == stop[i - 1]:
+                now.append(end[i])
+            else:
+                lines.append(now)
+                now = [start[i], end[i]]
+        lines.append(now)
+        return [{"shell": None, "ring": [{"x": float(x), "y": float(y)} for x, y in _straight(np.array(p), False)]} for p in lines]
+    real = begin != stop
+    start, end, begin, stop = start[real], end[real], begin[real], stop[real]
+    leaving: dict[int, list[int]] = {}
+    for i, b in enumerate(begin):
+        leaving.setdefault(int(b), []).append(i)
+    way = np.arctan2(*(end - start).T[::-1])
+    used, rings = np.zeros(len(start), bool), []
+    for first in range(len(start)):
+        if used[first]:
+            continue
+        ring, i = [], first
+        while not used[i]:
+            used[i] = True
+            ring.append(start[i])
+            back = way[i] + np.pi
+            free = [k for k in leaving.get(int(stop[i]), ()) if not used[k] or k == first]
+            if not free:
+                break
+            # The smallest turn clockwise from the way back keeps the inside on the left.
+            i = min(free, key=lambda k: ((back - way[k]) % (2 * np.pi)) or 2 * np.pi)
+        ring = _straight(np.array([*ring, ring[0]]), True)
+        if len(ring) > 3:
+            ring = np.roll(ring[:-1], -int(np.lexsort(ring[:-1].T[::-1])[0]), axis=0)  # from its lowest left vertex
+            rings.append(np.concatenate([ring, ring[:1]]))
+    areas = [_ring_area(r) for r in rings]
+    shells = sorted((i for i, a in enumerate(areas) if a > 0), key=lambda i: tuple(rings[i].min(axis=0)))
+    holes: dict[int, list[int]] = {}
+    for h in (i for i, a in enumerate(areas) if a < 0):
+        inside = (rings[h][0] + rings[h][1]) / 2
+        own = [s for s in shells if _holds(rings[s], inside)]
+        if own:
+            holes.setdefault(min(own, key=lambda s: areas[s]), []).append(h)
+    listed = [(i, k == 0) for s in shells for k, i in enumerate([s, *sorted(holes.get(s, []), key=lambda i: tuple(rings[i].min(axis=0)))])]
+    return [{"shell": shell, "ring": [{"x": float(x), "y": float(y)} for x, y in rings[i]]} for i, shell in listed]
+
+
 # ---- generalisation ------------------------------------------------------------------
 
 

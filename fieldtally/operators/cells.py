@@ -213,19 +213,22 @@ def segment_box() -> Column:
     return F.struct(*ends)
 
 
-def clip(lines: DataFrame, regions: DataFrame, pairs: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+def clip(lines: DataFrame, regions: DataFrame, pairs: DataFrame | None = None, by: tuple[str, ...] = (), apart: bool = False) -> DataFrame:
     """The pieces of segments in or on regions: the segments' columns, region_id, ta, tb, where.
 
     ``lines``: shape_id, seg, ax, ay, bx, by (see :func:`segments`) and more. ``where``: ``in`` (inside), ``along`` and
     ``against`` (on the outline, its way or the other, so that the region lies to the left or right), ``at`` (a
     point of contact, ta = tb). ``ta`` and ``tb`` are shares of the segment. Pieces end at the borders of cells.
-    ``pairs`` (shape_id, region_id) leaves only those pairs; ``by`` names columns that both sides must have in common.
+    ``pairs`` (shape_id, region_id) leaves only those pairs; ``by`` names columns that both sides must have in common;
+    ``apart`` leaves out a shape's own region.
     """
     from .spatial import meeting_boxes
 
     sized = regions.select("region_id", "box", *by, grid_side().alias("side"))
     left = lines.withColumn("box_l", segment_box())
     met = meeting_boxes(left, sized.withColumnRenamed("box", "box_r"), touching=True, by=by)
+    if apart:
+        met = met.where("shape_id <> region_id")
     if pairs is not None:
         met = met.join(pairs.select("shape_id", "region_id"), ["shape_id", "region_id"], "left_semi")
     s, b = F.col("side"), F.col("box_r")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.attributes import with_json_attrs
+from ..functions.geo_arrow import parts_to_grid
 from ..operators import filters
 from ..operators.aggregate import join_text_by, paged, paged_text
 from ..operators.attributes import attrs_list, decode, pivot_attrs
@@ -105,20 +106,20 @@ def year_index(index: DataFrame, names: DataFrame, language: str) -> DataFrame:
     )
 
 
-def gis_export(rows: DataFrame, wkt: str = "geom", kind: str | None = None, to_degrees: bool = True) -> DataFrame:
-    """Rows with their geometry type, length in metres of the plane, and WGS84 coordinates of the centre.
+def gis_export(rows: DataFrame, wkt: str = "geom", kind: str | None = None, places: int = 6, geojson: bool = False) -> DataFrame:
+    """Rows with a Web Mercator geometry in degrees: as WKT (or GeoJSON) text, its type, centre and length.
 
-    ``kind`` keeps only ``point``, ``line`` or ``polygon`` geometries.
+    ``kind`` keeps only ``point``, ``line`` or ``polygon`` geometries. Every vertex is reprojected, so that lines,
+    polygons with holes and MULTI forms come out whole; ``length_m`` is measured in the national grid.
     """
     tests = {"point": geo.is_point, "line": geo.is_line, "polygon": geo.is_polygon}
     chosen = filters.opt(rows, kind, lambda k: tests[k](wkt))
     out = chosen.withColumn("geom_type", geo.geom_type(wkt)).withColumn("_g", geo.parts(wkt))
-    out = out.withColumn("length_m", geo.length(geo.edges("_g")))
-    if to_degrees:
-        at = geo.bound(geo.centroid("_g"), lambda c: geo.mercator_to_lonlat(c["x"], c["y"]))
-        out = out.withColumn("_at", at)
-        out = out.withColumn("lat", F.round("_at.y", 6)).withColumn("lon", F.round("_at.x", 6)).drop("_at")
-    return out.drop("_g")
+    out = out.withColumn("length_m", geo.length(geo.edges(parts_to_grid("_g"))))
+    out = out.withColumn("_d", geo.reproject_parts("_g", geo.mercator_to_lonlat))
+    text = geo.geojson_text(F.col("_d"), F.col("geom_type"), places) if geojson else geo.parts_wkt("_d", F.col("geom_type"), places)
+    out = out.withColumn(wkt, text).withColumn("_at", geo.bound(geo.centroid("_g"), lambda c: geo.mercator_to_lonlat(c["x"], c["y"])))
+    return out.withColumn("lat", F.round("_at.y", places)).withColumn("lon", F.round("_at.x", places)).drop("_at", "_g", "_d")
 
 
 def media_list(levels: list[tuple[str, DataFrame]], base_url: str = "") -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, geo
+from ..functions.geo_arrow import parts_to_grid
 from ..functions.text import natural_key
-from ..operators import cells, filters, spatial
+from ..operators import cells, filters, overlay, spatial
 from ..operators.aggregate import join_text, paged
 from ..operators.joins import with_parent
 from ..operators.windows import minmax_scale
@@ -206,9 +207,11 @@ def layer_overlap(squares: DataFrame, layers: DataFrame) -> DataFrame:
 def length_check(sections: DataFrame, transects: DataFrame, allowed: float = 1) -> DataFrame:
     """Stored against computed length of each section, and of each transect over its sections.
 
-    ``sections``: section_id, transect_id, wkt (metres), stored. ``transects``: transect_id, stored_total.
+    ``sections``: section_id, transect_id, wkt (Web Mercator), stored. ``transects``: transect_id, stored_total. Lengths
+    are metres of the national grid, in which every vertex is placed before measuring.
     """
-    measured = sections.withColumn("computed", geo.length(geo.edges(geo.parts("wkt"))))
+    grid = sections.withColumn("_g", parts_to_grid(geo.parts("wkt")))
+    measured = grid.withColumn("computed", geo.length(geo.edges("_g"))).drop("_g")
     totals = measured.groupBy("transect_id").agg(F.sum(F.round("computed", 6).cast("decimal(20,6)")).cast("double").alias("computed_total"))
     out = measured.join(totals, "transect_id").join(transects, "transect_id")
 
@@ -250,6 +253,61 @@ def near_points(centres: DataFrame, sources: dict[str, DataFrame], distance: flo
     return found.select("centre_id", "kind", "event_id", "event", "distance", "sort_date").distinct()
 
 
+def info_at_point(points: DataFrame, sources: dict[str, DataFrame], tolerance: float) -> DataFrame:
+    """Events whose point, line or polygon lies within ``tolerance`` of a clicked point: point_id, id, event, distance, sort_date.
+
+    ``points``: point_id, x, y. Each source: event_id, event, geom (``parts``), sort_date; its name goes before the id.
+    Equal rows appear once.
+    """
+    events = reduce(
+        DataFrame.unionByName,
+        [df.select(F.concat(F.lit(f"{kind}:"), F.col("event_id").cast("string")).alias("shape_id"), "event", "geom", "sort_date") for kind, df in sources.items()],
+    )
+    near = overlay.near_shapes(points, events.select("shape_id", "geom"), tolerance)
+    shown = events.select("shape_id", "event", "sort_date").distinct()
+    return near.join(shown, "shape_id").select("point_id", F.col("shape_id").alias("id"), "event", "distance", "sort_date")
+
+
+def records_in_regions(shapes: DataFrame, regions: DataFrame) -> DataFrame:
+    """(shape_id, region_id) of recorded points, lines and polygons that share some interior with a region, or a point in or on it.
+
+    ``shapes``: shape_id, geom (``parts``). Lines and polygons that only touch a region from outside do not count; points on
+    its outline do.
+    """
+    shell, vertices = F.col("geom")[0]["shell"], F.size(F.col("geom")[0]["ring"])
+    at = F.col("geom")[0]["ring"][0]
+    points = shapes.where(shell.isNull() & (vertices == 1)).select("shape_id", at["x"].alias("x"), at["y"].alias("y"))
+    lines = shapes.where(shell.isNull() & (vertices > 1)).select("shape_id", geo.edges("geom").alias("edges"))
+    polygons = shapes.where(shell.isNotNull()).select("shape_id", geo.directed_edges("geom").alias("edges"), geo.bounds("geom").alias("box"))
+    areas = regions.select("region_id", "edges", "box")
+    found = [
+        spatial.tag_points(points, areas).select("shape_id", "region_id"),
+        cells.lines_in_regions(lines, areas).where("inside").select("shape_id", "region_id"),
+        cells.polygons_meeting(polygons, areas).where("inside").select("shape_id", "region_id"),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def united_boundaries(places: DataFrame, children: DataFrame) -> DataFrame:
+    """Places with the union of their child places' polygons: place_id, geom (WKT), kind, area, outline (length)."""
+    made = overlay.union_polygons(children.select(F.col("place_id").alias("shape_id"), "parent_id", geo.parts("geom").alias("geom")), "parent_id")
+    out = made.select(
+        F.col("parent_id").alias("place_id"), geo.parts_wkt("geom", F.col("kind")).alias("geom"), "kind", "area", geo.length(geo.edges("geom")).alias("outline")
+    )
+    return places.join(out, "place_id")
+
+
+def transect_lines(places: DataFrame, children: DataFrame) -> DataFrame:
+    """Places with the union of their sections' lines (Web Mercator) in degrees and its length in the national grid.
+
+    Stretches that several sections share are drawn and measured once.
+    """
+    made = overlay.union_lines(children.select(F.col("place_id").alias("shape_id"), "parent_id", geo.parts("geom").alias("geom")), "parent_id")
+    made = made.withColumn("_m", parts_to_grid("geom")).withColumn("_d", geo.reproject_parts("geom", geo.mercator_to_lonlat))
+    out = made.select(F.col("parent_id").alias("place_id"), geo.parts_wkt("_d", F.col("kind")).alias("geom"), geo.length(geo.edges("_m")).alias("length_m"))
+    return places.join(out, "place_id")
+
+
 def map_layers(layers: list[tuple[str, DataFrame]], box: tuple | None = None) -> DataFrame:
     """Typed map layers below each other with their draw order: draw_order, layer, feature_id, label, geom (WKT).
 
