@@ -105,11 +105,13 @@ def matrix(lists: pa.Array, dim: int) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def tile_links(index: Index, least: float, dim: int):
+def tile_links(indexes: dict[int, Index], least: float):
     """For the rows of a tile: (node, vectors linked, root of its component in the tile)."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
+        dim = int(rows.column("dim")[0].as_py())
+        index = indexes[dim]
         get = lambda name: rows.column(name).combine_chunks() if rows.num_rows else rows.column(name)
         node, home, copies, asks = (get(n).to_numpy(zero_copy_only=False) for n in ("node", "home", "copies", "asks"))
         x = unit(matrix(get("vec"), dim))
@@ -142,44 +144,48 @@ def near_vectors(vectors: DataFrame, id: str = "vec_id", embedding: str = "embed
     """(id, n_links, component_id, kept), one row per row of ``vectors``.
 
     Vectors are linked if their cosine in double precision is at least ``least``. Vectors that are null,
-    zero or hold null or non-finite components link with nothing, and so do those of another length than
-    the most frequent one (of equally frequent ones the longest). Every row with an id is a vector, also
+    zero or hold null or non-finite components link with nothing. Vectors of different lengths are never linked; each
+    length has an index of its own, fitted on SAMPLE of its vectors at most. Every row with an id is a vector, also
     if its id or vector is repeated; a row without an id links with nothing, has no component and is kept.
     """
     rows = vectors.select(column(vectors, id).alias("id"), column(vectors, embedding).cast("array<double>").alias("vec"))
     fine = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))) & F.exists("vec", lambda v: v != 0)
     valid = rows.where("id is not null").where(F.coalesce(fine, F.lit(False)))
-    sizes = valid.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     alone = lambda df: df.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    if sizes is None:
-        return alone(rows)
-    dim = sizes["dim"]
-    classes = valid.where(F.size("vec") == dim).groupBy("vec").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
+    classes = valid.groupBy("vec").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
     classes = table(classes.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    total = classes.count()
-    picked = classes.select("vec", F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE).select("vec")
-    index = Index(unit(np.array([r[0] for r in picked.collect()], np.float64)), total)
+    totals = {r["dim"]: r["count"] for r in classes.groupBy(F.size("vec").alias("dim")).count().collect()}
+    if not totals:
+        return alone(rows)
+    indexes = {}
+    for dim, total in sorted(totals.items()):
+        picked = classes.where(F.size("vec") == dim).select("vec", F.xxhash64("node").alias("h")).orderBy("h").limit(SAMPLE).select("vec")
+        indexes[dim] = Index(unit(np.array([r[0] for r in picked.collect()], np.float64)), total)
 
-    # The index, bounded by LISTS and CODES, travels with the tasks.
+    # The indexes, bounded by LISTS and CODES for each length, travel with the tasks.
     def assign(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                home, _, _, probes = index.assign(unit(matrix(part.column(2), dim)))
-                owner, found = np.nonzero(probes)
-                cuts = np.searchsorted(owner, np.arange(len(home) + 1))
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(home, pa.int32()), lists], names=["node", "copies", "vec", "home", "probes"])
-
-    placed = table(classes.select("node", "copies", "vec").mapInArrow(assign, "node long, copies long, vec array<double>, home int, probes array<int>"), "placed")
-    stored = placed.groupBy(F.col("home").alias("list")).agg(F.ceil(F.count("*") / STORED).alias("parts"))
-    asked = placed.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / ASKED).alias("turns"))
-    shape = F.broadcast(stored.join(asked, "list"))  # one row per list, LISTS at most
+            lengths = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths):
+                rows_of = np.flatnonzero(lengths == dim)
+                for lo in range(0, len(rows_of), 4096):
+                    part = batch.take(pa.array(rows_of[lo : lo + 4096]))
+                    home, _, _, probes = indexes[int(dim)].assign(unit(matrix(part.column(2), int(dim))))
+                    owner, found = np.nonzero(probes)
+                    cuts = np.searchsorted(owner, np.arange(len(home) + 1))
+                    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(found, pa.int32()))
+                    sizes = pa.array(np.full(len(home), dim), pa.int32())
+                    yield pa.RecordBatch.from_arrays([*part.columns, sizes, pa.array(home, pa.int32()), lists], names=["node", "copies", "vec", "dim", "home", "probes"])
+
+    placed = table(classes.select("node", "copies", "vec").mapInArrow(assign, "node long, copies long, vec array<double>, dim int, home int, probes array<int>"), "placed")
+    stored = placed.groupBy("dim", F.col("home").alias("list")).agg(F.ceil(F.count("*") / STORED).alias("parts"))
+    asked = placed.select("dim", F.explode("probes").alias("list")).groupBy("dim", "list").agg(F.ceil(F.count("*") / ASKED).alias("turns"))
+    shape = F.broadcast(stored.join(asked, ["dim", "list"]))  # one row per list, LISTS at most for a length
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    base = ["list", "node", "copies", "vec", "home"]
-    keep = placed.withColumn("list", F.col("home")).join(shape, "list").select(*base, F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), each("turns").alias("turn"), F.lit(False).alias("asks"))
-    ask = placed.withColumn("list", F.explode("probes")).join(shape, "list").select(*base, each("parts").alias("part"), F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn"), F.lit(True).alias("asks"))
-    found = table(keep.union(ask).groupBy("list", "part", "turn").applyInArrow(tile_links(index, least, dim), "node long, n long, root long"), "tiles")
+    base = ["dim", "list", "node", "copies", "vec", "home"]
+    keep = placed.withColumn("list", F.col("home")).join(shape, ["dim", "list"]).select(*base, F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), each("turns").alias("turn"), F.lit(False).alias("asks"))
+    ask = placed.withColumn("list", F.explode("probes")).join(shape, ["dim", "list"]).select(*base, each("parts").alias("part"), F.pmod(F.xxhash64("node"), F.col("turns")).alias("turn"), F.lit(True).alias("asks"))
+    found = table(keep.union(ask).groupBy("dim", "list", "part", "turn").applyInArrow(tile_links(indexes, least), "node long, n long, root long"), "tiles")
     edges = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     reach = components(edges)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
