@@ -15,7 +15,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_text, column, read_table, slices, spread, text_bytes
@@ -106,13 +106,21 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
+def tie_order(formatted: Column) -> tuple[Column, Column]:
+    """Role and text of a formatted turn, unescaped: the order of turns with the same number, computed where they tie."""
+    role = F.regexp_extract(formatted, r"^<\|turn\|>([^\n]*)", 1)
+    text = F.regexp_extract(formatted, r"(?s)^[^\n]*\n(.*)<\|end\|>\n$", 1)
+    line = F.regexp_replace(role, r"(?<!\\)((?:\\\\)*)\\n", "$1\n")
+    return F.regexp_replace(line, r"(?s)\\(.)", "$1"), F.regexp_replace(text, r"(?s)\\(.)", "$1")
+
+
 def read_back(formatted: DataFrame, id: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Digests of each conversation from its formatted turns, parsed and unescaped again.
 
     Turns stream in order past running digests, so that a conversation of any length needs little memory.
     """
     plain = formatted.select(column(formatted, id).alias("id"), column(formatted, turn).alias("turn"), "formatted", "loss_start", "loss_end")
-    ordered = plain.repartition("id").sortWithinPartitions("id", "turn", "formatted")
+    ordered = plain.repartition("id").sortWithinPartitions("id", "turn", *tie_order(F.col("formatted")))
     names = ["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches):
