@@ -433,6 +433,18 @@ def _(t):
     )
 
 
+@query(
+    "ancestors_of_recorded",
+    "J11 J7 job:ancestor_expand",
+    f"""WITH RECURSIVE tree AS ({TREE_SQL}),
+    up AS (SELECT id, id AS ancestor_id, 0 AS distance, parent_id FROM tree WHERE id IN (SELECT taxon_id FROM records)
+      UNION ALL SELECT u.id, p.id, u.distance + 1, p.parent_id FROM up u JOIN tree p ON p.id = u.parent_id)
+    SELECT id, ancestor_id, CAST(distance AS INTEGER) AS distance FROM up""",
+)
+def _(t):
+    return hierarchy.ancestors_of(t.records.select(F.col("taxon_id").alias("id")), taxon_tree(t))
+
+
 NAMES_SQL = """names AS (SELECT taxon_id AS id, taxon_id // 3 AS meaning_id, name, taxon_id % 3 = 0 AS preferred FROM taxa)"""
 
 

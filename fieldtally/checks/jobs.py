@@ -540,13 +540,12 @@ def _(t):
 @query(
     "guild_share",
     "job:guild_share A7 F2",
-    """WITH s AS (SELECT DISTINCT taxon_id FROM records WHERE discount > 0.09 AND tax < 0.01)
+    """WITH s AS (SELECT DISTINCT taxon_id FROM records)
     SELECT taxon_group, family, count(DISTINCT s.taxon_id) AS species, count(DISTINCT s.taxon_id) * 100 // (SELECT count(*) FROM s) AS pct
     FROM s JOIN taxa USING (taxon_id) GROUP BY 1, 2""",
 )
 def _(t):
-    picked = t.records.where("discount > 0.09 AND tax < 0.01")
-    species = summaries.sample_species(picked, t.taxa, "sample")
+    species = summaries.sample_species(t.records, t.taxa, "sample")
     return summaries.guild_share(species, t.taxa, ["taxon_group", "family"])
 
 
@@ -831,11 +830,11 @@ def _(t):
     "media_list",
     "job:media_list U1 A4",
     """SELECT place_id AS owner_id, 'place' AS level, 'p/' || place_name AS path, 'https://example.org/m/p/' || place_name AS url, CAST(NULL AS VARCHAR) AS caption FROM places
-    UNION ALL SELECT visit_id, 'visit', 'v/' || visit_id, 'https://example.org/m/v/' || visit_id, priority FROM visits WHERE status = 'F'
-    UNION ALL SELECT record_id, 'record', 'r/' || record_id, 'https://example.org/m/r/' || record_id, NULL FROM records WHERE record_status = 'A'""",
+    UNION ALL SELECT visit_id, 'visit', 'v/' || visit_id, 'https://example.org/m/v/' || visit_id, priority FROM visits
+    UNION ALL SELECT record_id, 'record', 'r/' || record_id, 'https://example.org/m/r/' || record_id, NULL FROM records""",
 )
 def _(t):
-    return _media(t, t.visits.where("status = 'F'"), t.records.where("record_status = 'A'"))
+    return _media(t, t.visits, t.records)
 
 
 @query(
@@ -1229,3 +1228,76 @@ def _(t):
         F.when(F.col("discount") > 0.05, '"last_verification_check_date"=>"x"').otherwise(number).alias("changed"),
     )
     return history.audit_history(rows, log, t.people, "1996-01-01")
+
+
+@query(
+    "redeterminations",
+    "job:latest_determination W1 J9 A4",
+    f"""WITH {HISTORY_SQL},
+    last AS (SELECT record_id, max(id) AS id, arg_max(created_on, id) AS made FROM det GROUP BY 1),
+    edits AS (SELECT record_id, string_agg(strftime(created_on, '%Y-%m-%d %H:%M:%S'), ', ' ORDER BY created_on) AS days FROM det WHERE id % 3 = 0 GROUP BY 1)
+    SELECT r.record_id, r.taxon, CASE WHEN l.id % 2 = 0 THEN e.days || ' (estimate from edit comments)' ELSE strftime(l.made + 30, '%Y-%m-%d %H:%M:%S') END AS current_determination_date
+    FROM rec r JOIN last l ON l.record_id = r.record_id LEFT JOIN edits e ON e.record_id = r.record_id""",
+)
+def _(t):
+    rows, determinations, comments = histories(t)
+    determinations = determinations.withColumn("updated_on", F.when(F.col("determination_id") % 2 == 0, F.col("created_on")).otherwise(F.date_add("created_on", 30)))
+    comments = comments.withColumn("text", F.when(F.col("comment_id") % 3 == 0, history.EDITED).otherwise("Seen."))
+    return history.redeterminations(rows, determinations, comments).select("record_id", "taxon", "current_determination_date")
+
+
+# Fields of a logged change, in the order of their names.
+_FIELDS = ("last_verification_check_date", "quantity", "status")
+
+
+def _json(values):
+    parts = " || ".join(f"CASE WHEN {v} IS NULL THEN '' ELSE ',\"{n}\":\"' || {v} || '\"' END" for n, v in zip(_FIELDS, values))
+    return f"'{{' || substr({parts}, 2) || '}}'"
+
+
+_BEFORE = "last_value({0} IGNORE NULLS) OVER (PARTITION BY record_id, entity, id ORDER BY log_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    "audit_trail",
+    "job:audit_history U1 J9 W5",
+    f"""WITH one AS (SELECT record_id, visit_id, min(tax) AS tax, min(place_id) AS place_id, min(record_status) AS record_status, min(seen_on) AS seen_on, min(quantity) AS quantity,
+      min(substatus) AS substatus FROM records GROUP BY 1, 2),
+    raw AS (SELECT record_id AS log_id, visit_id AS record_id, CASE WHEN tax > 0.05 THEN 'occurrence_attribute_values' ELSE 'occurrences' END AS entity,
+      CASE WHEN tax > 0.05 THEN place_id ELSE visit_id END AS id, record_status, seen_on, place_id,
+      CASE WHEN record_id % 10 % 3 <> 0 THEN CAST(CAST(quantity AS INTEGER) AS VARCHAR) END AS q, CASE WHEN record_id % 10 % 2 = 0 THEN substatus END AS st FROM one),
+    log AS (SELECT *, CASE WHEN q IS NULL AND st IS NULL THEN strftime(seen_on, '%Y-%m-%d') END AS ck FROM raw),
+    before AS (SELECT *, {_BEFORE.format('ck')} AS b_ck, coalesce({_BEFORE.format('q')}, CASE entity WHEN 'occurrences' THEN '0' END) AS b_q,
+      coalesce({_BEFORE.format('st')}, CASE entity WHEN 'occurrences' THEN 'new' END) AS b_st FROM log)
+    SELECT e.*, p.user_name FROM (
+      SELECT visit_id AS record_id, 'Inserted' AS action, 'occurrences' AS entity, visit_id AS id, strftime(date_start, '%Y-%m-%d %H:%M:%S') AS at, user_id, CAST(NULL AS VARCHAR) AS row_before,
+        '{{"quantity":"0","status":"new"}}' AS changed,
+        CASE WHEN date_start < DATE '1996-01-01' THEN 'Record entered before audit logging feature added to the warehouse so initial data values may be inaccurate.' END AS notes FROM visits
+      UNION ALL SELECT record_id, CASE record_status WHEN 'A' THEN 'Update ' WHEN 'R' THEN 'Delete ' ELSE 'Insert ' END, entity, id, strftime(seen_on, '%Y-%m-%d %H:%M:%S'), place_id,
+        CASE WHEN coalesce(b_ck, b_q, b_st) IS NOT NULL THEN {_json(('b_ck', 'b_q', 'b_st'))} END, {_json(('ck', 'q', 'st'))},
+        concat_ws('. ', CASE WHEN entity = 'occurrences' AND ck IS NOT NULL THEN 'Record cleaner rule check' END,
+          CASE WHEN place_id % 7 = 0 THEN 'Action carried out directly on the back-end database' END) FROM before) e
+    LEFT JOIN people p ON p.user_id = e.user_id""",
+)
+def _(t):
+    rows = t.visits.select(F.col("visit_id").alias("record_id"), F.col("date_start").cast("timestamp").alias("created_on"), "user_id")
+    inserted = t.visits.select(
+        F.col("visit_id").alias("record_id"), F.lit("occurrences").alias("entity"), F.col("visit_id").alias("id"), F.explode(F.create_map(F.lit("quantity"), F.lit("0"), F.lit("status"), F.lit("new"))).alias("field", "value")
+    )
+    line, attribute = F.col("record_id") % 10, F.col("tax") > 0.05
+    values = [F.when((line % 3 == 0) & (line % 2 != 0), F.date_format("seen_on", "yyyy-MM-dd")), F.when(line % 3 != 0, F.col("quantity").cast("int").cast("string")), F.when(line % 2 == 0, F.col("substatus"))]
+    changed = F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in _FIELDS]), F.array(*values)), lambda k, v: v.isNotNull())
+    # The stand-in repeats a record's id now and then; a log does not.
+    one = t.records.groupBy("record_id", "visit_id").agg(*[F.min(c).alias(c) for c in ("tax", "place_id", "record_status", "seen_on", "quantity", "substatus")])
+    log = one.select(
+        F.col("record_id").alias("log_id"),
+        F.col("visit_id").alias("record_id"),
+        F.when(attribute, "occurrence_attribute_values").otherwise("occurrences").alias("entity"),
+        F.when(attribute, F.col("place_id")).otherwise(F.col("visit_id")).alias("id"),
+        recode("record_status", {"A": "U", "R": "D"}, "I").alias("action"),
+        F.col("seen_on").cast("timestamp").alias("at"),
+        F.col("place_id").alias("user_id"),
+        F.when(F.col("place_id") % 7 == 0, "postgres").otherwise("web").alias("session"),
+        changed.alias("changed"),
+    )
+    return history.audit_trail(rows, log, t.people, inserted, "1996-01-01")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..operators import cells, spatial
+from ..session import scratch_path, settle
 from ..sources.tables import stream_table
 from ..streaming import alerts
 from .registry import query
@@ -186,3 +187,30 @@ def _(t):
     out = scratch_path(t.spark, "rule-alerts")
     alerts.run_alerts(stream, rule, f"{out}/sent", f"{out}/checkpoint", ["record_id", "rule_id", "user_id"]).awaitTermination()
     return t.spark.read.parquet(f"{out}/sent").select("record_id", "rule_id", "user_id", "notice_day")
+
+
+@query(
+    "rule_alerts_within_outlines",
+    "job:rule_alert_stream Z4 G2",
+    f"""WITH {RULES_SQL},
+    placed AS (SELECT h.*, (e.user_id * 37) % 1000 AS x, (e.user_id * 91) % 1000 AS y, e.region_ids, r.parent_id FROM hits h JOIN ev e USING (record_id) JOIN parents r ON r.parent_id = h.rule_id),
+    inside AS (SELECT * FROM placed WHERE parent_id % 2 = 0 OR len(list_filter(list_intersect(region_ids, [parent_id % 5, 6]), lambda i: x >= 20 * i AND y >= 10 * i AND (x - 20 * i) + (y - 10 * i) <= 900)) > 0)
+    SELECT h.record_id, h.rule_id, m.user_id, strftime(h.ts, '%Y-%m-%d') AS notice_day FROM inside h JOIN members m ON m.group_id = h.group_id""",
+)
+def _(t):
+    """As rule_alert_stream; a record of an indexed region has to lie within the region's triangle too."""
+    x, y = F.col("parent_id") * 20, F.col("parent_id") * 10
+    triangle = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d))", x, y, x + 900, y, x, y + 900, x, y)
+    outlines = spatial.shapes(t.parents.select(F.col("parent_id").cast("long").alias("id"), triangle.alias("boundary_geom")))
+    outlines = settle(cells.region_cells(outlines))
+    stream = alerts.fresh(event_stream(t))
+    rules, members = rules_of(t), members_of(t)
+
+    def rule(batch):
+        placed = batch.withColumn("x", (F.col("user_id") * 37) % 1000).withColumn("y", (F.col("user_id") * 91) % 1000)
+        found = alerts.rule_alert_stream(placed, rules, members, outlines)
+        return found.select("record_id", "rule_id", "user_id", F.col("created_on").cast("date").alias("notice_day"))
+
+    out = scratch_path(t.spark, "exact-alerts")
+    alerts.run_alerts(stream, rule, f"{out}/sent", f"{out}/checkpoint", ["record_id", "rule_id", "user_id"]).awaitTermination()
+    return t.spark.read.parquet(f"{out}/sent").select("record_id", "rule_id", "user_id", "notice_day")

@@ -6,6 +6,8 @@ ancestor's own link, so a tree of depth d needs about log2(d) joins instead of d
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,12 +98,37 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     return pairs
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """Path array of each node, from the topmost ancestor down to itself: ``id``, ``path``.
+def ancestors_of(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(``id``, ``ancestor_id``, ``distance``) pairs of the wanted ids only, each its own ancestor at 0.
+
+    A walk up from the wanted ids, level by level: a round joins the ids of the level before with their own
+    links, so that what is written is bounded by wanted ids times depth, whatever the size of the tree. Wanted ids
+    that are no nodes have no pairs; an id that comes up twice on one path is on a cycle: ``ValueError``.
+    """
+    links = nodes.select(F.col("id").alias("ancestor_id"), F.col("parent_id").alias("_up"))
+    level = wanted.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
+    level = settle(level.select("id", F.col("id").alias("ancestor_id"), F.lit(0).alias("distance")))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        known = links.join(level.select("ancestor_id").distinct(), "ancestor_id", "left_semi").where(F.col("_up").isNotNull())
+        higher = level.join(known, "ancestor_id").select("id", F.col("_up").alias("ancestor_id"), (F.col("distance") + 1).alias("distance"))
+        level = settle(higher.join(nodes.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi").select("id", "ancestor_id", "distance"))
+        if len(levels) & (len(levels) - 1) == 0:  # at 1, 2, 4, .. levels
+            again = level.join(reduce(DataFrame.unionByName, levels).select("id", "ancestor_id"), ["id", "ancestor_id"], "left_semi").first()
+            if again:
+                raise ValueError(f"{again['ancestor_id']} is its own ancestor")
+    return reduce(DataFrame.unionByName, levels) if levels else level
+
+
+def paths(nodes: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Path array of each node, or of the ``wanted`` ids, from the topmost ancestor down to itself: ``id``, ``path``.
 
-    A path is as long as the tree is deep, whatever the number of nodes.
+    A path is as long as the tree is deep, whatever the number of nodes. For all nodes the whole tree is
+    closed; for wanted ids only what is above them is read.
     """
-    found = ancestors(nodes).groupBy("id").agg(
+    pairs = ancestors(nodes) if wanted is None else ancestors_of(wanted, nodes)
+    found = pairs.groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("distance", "ancestor_id")), asc=False).alias("_p")
     )
     return found.select("id", F.transform("_p", lambda p: p["ancestor_id"]).alias("path"))

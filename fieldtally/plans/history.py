@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import recode, status_label
@@ -21,6 +21,29 @@ def latest_determination(records: DataFrame, determinations: DataFrame, comments
     return last_status_before(records, comments).join(last, "record_id")
 
 
+# What the edit of a verified record is noted as, and what marks a date taken from such notes.
+EDITED = "This record's verification status needs to be rechecked as it has been edited."
+ESTIMATED = " (estimate from edit comments)"
+
+
+def redeterminations(records: DataFrame, determinations: DataFrame, comments: DataFrame) -> DataFrame:
+    """Redetermined records with the day of their present determination, estimated where it was not kept.
+
+    As :func:`latest_determination`, with ``determinations`` also holding updated_on and ``comments`` text. A determination
+    that was changed after it was made was set aside then: that time is the present one's. For one that never
+    changed, the times of the record's edit comments stand in, in their order and marked as an estimate; null
+    without any. Adds ``current_determination_date``, as text.
+    """
+    when = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    last = latest_per(determinations, ["record_id"], ["determination_id"]).select("record_id", F.col("created_on").alias("_made"), F.col("updated_on").alias("_changed"))
+    edits = comments.where(F.col("text") == EDITED).join(last.where("_made = _changed").select("record_id"), "record_id", "left_semi")
+    estimates = edits.groupBy("record_id").agg(F.array_join(F.array_sort(F.collect_list(when("created_on"))), ", ").alias("_edits"))
+    dated = last.join(estimates, "record_id", "left").select(
+        "record_id", F.when(F.col("_made") == F.col("_changed"), F.concat("_edits", F.lit(ESTIMATED))).otherwise(when("_changed")).alias("current_determination_date")
+    )
+    return latest_determination(records, determinations, comments).join(dated, "record_id")
+
+
 def last_status_before(records: DataFrame, comments: DataFrame) -> DataFrame:
     """Records with the last status they had before they were verified.
 
@@ -75,3 +98,54 @@ def audit_history(records: DataFrame, log: DataFrame, people: DataFrame, logging
     return both.join(people.select("user_id", "user_name"), "user_id", "left").select(
         "record_id", "action", "at", "user_id", "user_name", "changed", "notes"
     )
+
+
+#: Sessions that write to the tables without the application.
+BACK_END = ("postgres", "indicia_data_user")
+NOTE_BACK_END = "Action carried out directly on the back-end database"
+
+
+def row_states(inserted: DataFrame, log: DataFrame) -> DataFrame:
+    """(record_id, entity, id, log_id, row_before): each row as it was before each logged action, as a map.
+
+    ``inserted``: record_id, entity, id, field, value: the fields of each row when it was entered. ``log``: log_id, record_id,
+    entity, id, changed (map of new values). Changes are replayed field by field: a value holds from the action that
+    set it to the next that sets the field, and an action's row is put together from the values that hold before it.
+    Actions follow their log_id. A row with many actions is spread over its fields.
+    """
+    row = ["record_id", "entity", "id"]
+    given = log.select(*row, "log_id", F.explode("changed").alias("field", "value"))
+    first = inserted.select(*row, F.lit(None).cast(log.schema["log_id"].dataType).alias("log_id"), "field", "value")
+    own = Window.partitionBy(*row, "field").orderBy(F.col("log_id").asc_nulls_first())
+    held = first.unionByName(given).withColumn("_until", F.lead("log_id").over(own)).withColumnRenamed("log_id", "_from")
+    # Null is before all: an entered value holds until the first action that sets its field.
+    at = log.select(*row, "log_id").join(held, row)
+    before = at.where((F.col("_from").isNull() | (F.col("_from") < F.col("log_id"))) & (F.col("_until").isNull() | (F.col("_until") >= F.col("log_id"))))
+    return before.groupBy(*row, "log_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("row_before"))
+
+
+def audit_trail(records: DataFrame, log: DataFrame, people: DataFrame, inserted: DataFrame, logging_since=None) -> DataFrame:
+    """All actions on the records and on the rows that belong to them, with the row before each and notes.
+
+    ``records``: record_id, created_on, user_id. ``log``: log_id, record_id, entity (table), id (of the row), action, at, user_id,
+    session, changed (map). ``inserted``: see :func:`row_states`; the record's own rows have entity ``occurrences``.
+    Result: record_id, action, entity, id, at, user_id, user_name, row_before, changed (JSON), notes.
+    """
+    late = F.lit(False) if logging_since is None else F.col("created_on") < F.lit(logging_since).cast("timestamp")
+    entered = inserted.where((F.col("entity") == "occurrences") & (F.col("id") == F.col("record_id"))).groupBy("record_id").agg(
+        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value"))))).alias("changed")
+    )
+    first = records.join(entered, "record_id", "left").select(
+        "record_id", F.lit("Inserted").alias("action"), F.lit("occurrences").alias("entity"), F.col("record_id").alias("id"), F.col("created_on").alias("at"), "user_id",
+        F.lit(None).cast("string").alias("row_before"), "changed", F.when(late, NOTE_BEFORE_LOG).alias("notes"),
+    )
+    own = log.join(records.select("record_id"), "record_id", "left_semi")
+    states = row_states(inserted, own)
+    checked = (F.col("entity") == "occurrences") & (F.size("changed") == 1) & F.map_contains_key("changed", "last_verification_check_date")
+    notes = F.concat_ws(". ", F.when(checked, NOTE_RULE_CHECK), F.when(F.col("session").isin(*BACK_END), NOTE_BACK_END))
+    changes = own.join(states, ["record_id", "entity", "id", "log_id"], "left").select(
+        "record_id", recode("action", ACTIONS).alias("action"), "entity", "id", "at", "user_id", F.to_json("row_before").alias("row_before"), F.to_json("changed").alias("changed"), notes.alias("notes")
+    )
+    return first.unionByName(changes).join(people.select("user_id", "user_name"), "user_id", "left").select(
+        "record_id", "action", "entity", "id", "at", "user_id", "user_name", "row_before", "changed", "notes"
+    )

@@ -18,6 +18,7 @@ from ..operators import cells, filters, overlay, spatial
 from ..operators.aggregate import join_text, paged
 from ..operators.joins import with_parent
 from ..operators.windows import minmax_scale
+from ..session import settle
 
 
 def site_summary_by_key(places: DataFrame, visits: DataFrame, records: DataFrame) -> DataFrame:
@@ -75,7 +76,9 @@ def site_summary_by_geometry(records: DataFrame, regions: DataFrame, status: str
     per_spot = records.groupBy("x", "y", "taxon_id").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(ok, 1)).alias("n_ok")
     )
-    tags = spatial.tag_points(records.select("x", "y").distinct(), regions.select("region_id", "edges", "box"))
+    # Written once, as the spots to be tagged come from it too: records are read once.
+    per_spot = settle(per_spot)
+    tags = spatial.tag_points(per_spot.select("x", "y").distinct(), regions.select("region_id", "edges", "box"))
     per = (
         per_spot.join(tags, ["x", "y"])
         .groupBy("region_id", "taxon_id")
@@ -169,8 +172,8 @@ def choropleth(points: DataFrame, regions: DataFrame, ramp: tuple = RAMP) -> Dat
 
     ``points``: x, y. ``regions``: region_id, edges, box. When all counts are equal the opacity is 0.6.
     """
-    per_spot = points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    tags = spatial.tag_points(points.select("x", "y").distinct(), regions.select("region_id", "edges", "box"))
+    per_spot = settle(points.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    tags = spatial.tag_points(per_spot.select("x", "y"), regions.select("region_id", "edges", "box"))
     per = per_spot.join(tags, ["x", "y"]).groupBy("region_id").agg(F.sum("n").alias("points"))
     scaled = minmax_scale(per, "points", "_share", 0.5)
 

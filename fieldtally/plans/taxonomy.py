@@ -15,10 +15,11 @@ from ..operators.sync import rebuild, sync_set
 def ancestor_expand(wanted: DataFrame, names: DataFrame, path_of: DataFrame | None = None) -> DataFrame:
     """All ancestors of the wanted taxa, themselves included, each once: with their names.
 
-    ``wanted``: id. ``names``: id, parent_id, name. ``path_of``: id, path, when paths are stored already. The path
+    ``wanted``: id. ``names``: id, parent_id, name. ``path_of``: id, path, when paths are stored already; without
+    them the walk starts from the wanted ids. The path
     is exploded and equi-joined; testing arrays against ids would be a nested loop.
     """
-    tree = path_of if path_of is not None else paths(names)
+    tree = path_of if path_of is not None else paths(names, wanted)
     nodes = expand_path(tree.join(wanted.select("id"), "id", "left_semi"), "path", "ancestor_id").select(F.col("ancestor_id").alias("id"))
     return names.join(nodes.distinct(), "id", "left_semi")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.attributes import json_attr
-from ..operators import filters
+from ..operators import cells, filters
 from ..operators.aggregate import paged_text
 
 
@@ -89,12 +89,34 @@ def match_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def rule_alert_stream(records: DataFrame, rules: DataFrame, members: DataFrame) -> DataFrame:
+def inside_outline(hits: DataFrame, region_cells: DataFrame) -> DataFrame:
+    """Hits whose position (``x``, ``y``) lies in or on the outline of a region of their rule, or whose rule has none.
+
+    The regions a record is indexed under may be coarser than their outlines. ``region_cells`` is the static side, as
+    given by ``cells.region_cells`` and written once: a record meets the edges of its own cell by an equi-join. A
+    record in several regions of a rule gives one hit on tables and micro-batches; on a stream each.
+    """
+    columns = hits.columns
+    shared = F.when(F.col("regions").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.array_intersect("regions", "region_ids"))
+    each = hits.withColumn("region_id", F.explode(shared))
+    sides = region_cells.select("region_id", "side").distinct()
+    placed = each.join(sides, "region_id", "left")
+    placed = placed.withColumn("cx", F.floor(F.col("x") / F.col("side")).cast("long")).withColumn("cy", F.floor(F.col("y") / F.col("side")).cast("long"))
+    met = placed.join(region_cells.drop("side"), ["region_id", "cx", "cy"], "left")
+    kept = met.where(F.col("regions").isNull() | F.coalesce(cells.in_cell(F.col("x"), F.col("y")), F.lit(False)))
+    out = kept.select(*columns)
+    return out if hits.isStreaming else out.dropDuplicates(["record_id", "rule_id"])
+
+
+def rule_alert_stream(records: DataFrame, rules: DataFrame, members: DataFrame, region_cells: DataFrame | None = None) -> DataFrame:
     """Notices of rules: one row per (record, rule) and user. Users come from the static members table.
 
-    ``user_id`` of the result is the one to notify; that of the record becomes ``recorder_id``.
+    ``user_id`` of the result is the one to notify; that of the record becomes ``recorder_id``. With
+    ``region_cells`` a record has to lie within the exact outline of a region, see :func:`inside_outline`.
     """
     hits = match_rules(records, read_rules(rules)).withColumnRenamed("user_id", "recorder_id")
+    if region_cells is not None:
+        hits = inside_outline(hits, region_cells)
     return hits.join(members.select("group_id", "user_id"), "group_id")
 
 
@@ -119,10 +141,13 @@ def fresh(stream: DataFrame, event_time: str = "created_on", late: str = "2 days
     return stream.withWatermark(event_time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def sent_notices(spark, path: str, empty: DataFrame | None = None) -> DataFrame | None:
-    """Notices written so far, or ``empty`` before the first batch."""
+def sent_notices(spark, path: str, empty: DataFrame | None = None, day: str | None = None, days: list | None = None) -> DataFrame | None:
+    """Notices written so far, or ``empty`` before the first batch; with ``days`` only the folders of those days are opened."""
     try:
-        return spark.read.parquet(path)
+        if days is None:
+            return spark.read.parquet(path)
+        named = ",".join(sorted(str(d) for d in days))
+        return spark.read.option("basePath", path).parquet(f"{path}/{day}={{{named}}}")
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
@@ -132,9 +157,9 @@ def sent_notices(spark, path: str, empty: DataFrame | None = None) -> DataFrame
 def append_notices(path: str, rule: Callable[[DataFrame], DataFrame], keys: list[str], day: str) -> Callable:
     """A ``foreachBatch`` step: apply ``rule``, leave out notices sent before, write the rest.
 
-    Each batch owns the folder ``batch_id=n`` and replaces it, and ignores it when looking for sent
-    notices, so a batch repeated after a failure gives the same result. ``day`` is a date column that never
-    changes for a record; sent notices are read only for the days of the batch.
+    Notices lie in folders by day, and by batch within a day. A batch replaces its own folders, and ignores them
+    when looking for sent notices, so a batch repeated after a failure gives the same result. ``day`` is a date
+    column that is never null nor changes for a record; only the folders of the batch's days are listed and read.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -142,15 +167,16 @@ def append_notices(path: str, rule: Callable[[DataFrame], DataFrame], keys: list
         # Kept while it is read twice: computing it again would run the stateful part again.
         notices = rule(batch).persist()
         try:
-            days = notices.agg(F.min(day), F.max(day)).first()
-            if days[0] is None:
+            # As many as a batch has days.
+            days = [r[0] for r in notices.select(day).distinct().collect()]
+            if not days:
                 return
             fresh_ones = notices
-            sent = sent_notices(spark, path)
+            sent = sent_notices(spark, path, day=day, days=days)
             if sent is not None:
-                earlier = sent.where(F.col(day).between(F.lit(days[0]), F.lit(days[1])) & (F.col("batch_id") != batch_id))
-                fresh_ones = suppress(notices, earlier, keys)
-            fresh_ones.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+                fresh_ones = suppress(notices, sent.where(F.col("batch_id") != batch_id), keys)
+            owned = fresh_ones.dropDuplicates(keys).withColumn("batch_id", F.lit(batch_id))
+            owned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day, "batch_id").parquet(path)
         finally:
             notices.unpersist()
 

@@ -14,7 +14,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-STREAMS = {"alert_stream", "rule_alert_stream"}
+STREAMS = {"alert_stream", "rule_alert_stream", "rule_alerts_within_outlines"}
 #: Queries that need Arrow batches: polygon areas, the national grid, line thinning.
 ARROW = {"polygons_sharing_interior", "layer_overlap", "national_grid_round_trip", "simplified_outline"}
 #: Lines and polygons clipped by the edges of a cell, outlines strung, whole geometries in the national grid.

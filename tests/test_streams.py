@@ -5,6 +5,7 @@ import datetime as dt
 from conftest import rows
 from pyspark.sql import functions as F
 
+from fieldtally.operators import cells, spatial
 from fieldtally.streaming import alerts
 
 SCHEMA = "record_id long, taxon_id long, region_ids array<long>, created_on timestamp"
@@ -74,3 +75,36 @@ def test_rules(spark):
 def test_look_back(spark):
     df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 0, 0, 1)), (2, dt.datetime(2024, 1, 1))], "id int, created_on timestamp")
     assert rows(alerts.look_back(df, "2024-01-03"), "id") == [(1,)]
+
+
+def test_a_batch_opens_only_the_folders_of_its_days(spark, tmp_path):
+    def batch(day, ids):
+        return spark.createDataFrame([(i, 1, [1], dt.datetime.fromisoformat(f"{day}T10:00:00")) for i in ids], SCHEMA)
+
+    step = alerts.append_notices(f"{tmp_path}/sent", notices, ["record_id", "user_id"], "notice_day")
+    step(batch("2024-01-01", [1, 2]), 0)
+    step(batch("2024-01-05", [3]), 1)
+    # A day that cannot be read does not matter to batches of other days.
+    broken = tmp_path / "sent" / "notice_day=2024-01-01" / "batch_id=0"
+    for part in broken.glob("*.parquet"):
+        part.write_bytes(b"no parquet")
+        (broken / f".{part.name}.crc").unlink(missing_ok=True)
+    step(batch("2024-01-05", [3, 4]), 2)
+    step(batch("2024-01-05", [3, 4]), 2)
+    sent = alerts.sent_notices(spark, f"{tmp_path}/sent", day="notice_day", days=[dt.date(2024, 1, 5), dt.date(2024, 1, 6)])
+    assert rows(sent, "record_id", "batch_id") == [(3, 1), (4, 2)]
+    assert alerts.sent_notices(spark, f"{tmp_path}/sent", day="notice_day", days=[dt.date(2024, 2, 1)]) is None
+
+
+def test_rules_on_exact_outlines(spark):
+    outlines = spark.createDataFrame(
+        [(5, "POLYGON((0 0,10 0,0 10,0 0))"), (6, "POLYGON((0 0,20 0,20 20,0 20,0 0),(5 5,15 5,15 15,5 15,5 5))")], "id long, boundary_geom string"
+    )
+    region_cells = cells.region_cells(spatial.shapes(outlines))
+    # Indexed under both squares around the outlines: inside, on the slant, outside it, in the hole, under no region.
+    spots = [(1, 2.0, 2.0), (2, 5.0, 5.0), (3, 9.0, 9.0), (4, 10.0, 10.0), (5, 19.0, 19.0)]
+    records = spark.createDataFrame([(i, 10, [5, 6], 1, x, y) for i, x, y in spots] + [(6, 10, None, 1, 2.0, 2.0), (7, 10, [5], 1, None, None)], "record_id long, taxon_id long, region_ids array<long>, user_id long, x double, y double")
+    rules = spark.createDataFrame([(1, 1, '{"taxa":"10","regions":"5"}'), (2, 1, '{"taxa":"10","regions":"5,6"}'), (3, 1, '{"taxa":"10"}')], "rule_id long, group_id long, definition string")
+    members = spark.createDataFrame([(1, 100)], "group_id long, user_id long")
+    got = rows(alerts.rule_alert_stream(records, rules, members, region_cells), "record_id", "rule_id")
+    assert got == sorted([(1, 1), (2, 1), (1, 2), (2, 2), (5, 2)] + [(i, 3) for i in range(1, 8)])
