@@ -1018,3 +1018,13 @@ def _(t):
     return t.visits.select("visit_id", text.status_label(status, sub).alias("label"))
 
 
+
+
+@query(
+    "text_ends_and_positions",
+    "C1 F6",
+    """SELECT doc_id, rtrim(substr(text, 1, 60) || ', ,', ', ') AS head, position('.' IN text) = 0 AS no_stop, CAST(position('e' IN text) AS INTEGER) AS first_e FROM documents""",
+)
+def _(t):
+    start = F.concat(F.substring("text", 1, 60), F.lit(", ,"))
+    return t.documents.select("doc_id", text.list_text(start).alias("head"), text.lacks("text", ".").alias("no_stop"), F.position(F.lit("e"), F.col("text")).alias("first_e"))

@@ -764,8 +764,7 @@ def _(t):
 @query(
     "visit_documents",
     "job:visit_documents E4 S2",
-    """WITH n AS (SELECT visit_id, count(*) AS n FROM records GROUP BY 1),
-    paged AS (SELECT r.*, CASE WHEN n > 5 THEN record_id % CAST(ceil(n / 5.0) AS BIGINT) ELSE 0 END AS page FROM records r JOIN n USING (visit_id)),
+    """WITH paged AS (SELECT *, (row_number() OVER (PARTITION BY visit_id ORDER BY record_id, taxon_id, record_status) - 1) // 5 AS page FROM records),
     docs AS (SELECT visit_id, page, count(*) AS n_records,
       string_agg('{"record_id":' || record_id || ',"taxon_id":' || taxon_id || ',"record_status":"' || record_status || '"}', ',' ORDER BY record_id, taxon_id, record_status) AS items
       FROM paged GROUP BY 1, 2)

@@ -165,8 +165,7 @@ def _(t):
     "dissolved_lines",
     "G7",
     """SELECT place_id, 'MULTILINESTRING(' || string_agg('(0 0,' || visit_id || ' 1)', ',' ORDER BY visit_id) || ')' AS geom,
-    CAST(visit_id % pages AS BIGINT) AS page FROM (SELECT place_id, visit_id, CASE WHEN n > 50 THEN CAST(ceil(n / 50.0) AS BIGINT) ELSE 1 END AS pages
-      FROM visits JOIN (SELECT place_id, count(*) AS n FROM visits GROUP BY 1) USING (place_id)) GROUP BY place_id, visit_id % pages""",
+    CAST(page AS BIGINT) AS page FROM (SELECT place_id, visit_id, (row_number() OVER (PARTITION BY place_id ORDER BY visit_id) - 1) // 50 AS page FROM visits) GROUP BY place_id, page""",
 )
 def _(t):
     lines = t.visits.select("place_id", "visit_id", F.format_string("LINESTRING(0 0,%d 1)", F.col("visit_id")).alias("wkt"))
@@ -477,7 +476,7 @@ def _(t):
     "visits_by_spot",
     "job:gis_export A4 C3",
     """WITH n AS (SELECT x, y, count(*) AS visits FROM visits GROUP BY 1, 2),
-    p AS (SELECT v.x, v.y, v.visit_id, n.visits, CASE WHEN n.visits > 6 THEN v.visit_id % CAST(ceil(n.visits / 6.0) AS BIGINT) ELSE 0 END AS page FROM visits v JOIN n ON n.x = v.x AND n.y = v.y)
+    p AS (SELECT v.x, v.y, v.visit_id, n.visits, (row_number() OVER (PARTITION BY v.x, v.y ORDER BY v.visit_id) - 1) // 6 AS page FROM visits v JOIN n ON n.x = v.x AND n.y = v.y)
     SELECT x, y, page, string_agg(CAST(visit_id AS VARCHAR), ',' ORDER BY visit_id) AS visit_ids, max(visits) AS visits,
       round(least(1.0, 0.2 + sqrt(max(visits) - 1) / 20), 6)::DOUBLE AS opacity FROM p GROUP BY 1, 2, 3""",
 )
@@ -660,3 +659,22 @@ def _(t):
     area = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d),(%d %d,%d %d,%d %d,%d %d))", x, y, x + 900, y, x, y + 900, x, y, x + 100, y + 100, x + 200, y + 100, x + 100, y + 200, x + 100, y + 100)
     shape = F.when(k == 0, F.format_string("POINT(%d %d)", x, y)).when(k == 1, lines).otherwise(area)
     return exports.gis_export(t.people.select("user_id", shape.alias("geom"))).select("user_id", "geom")
+
+
+@query(
+    "generalised_outlines",
+    "G7 G4 S2",
+    """WITH z AS (SELECT user_id, x * 10 AS a, y * 10 AS b, user_id % 8 AS h FROM people)
+    SELECT user_id, 'POLYGON((' || round_even(a / 5.0, 0)::BIGINT * 5 || ' ' || round_even(b / 5.0, 0)::BIGINT * 5
+      || CASE WHEN h > 4 THEN ',' || round_even((a + 50) / 5.0, 0)::BIGINT * 5 || ' ' || round_even((b - h) / 5.0, 0)::BIGINT * 5 ELSE '' END
+      || ',' || round_even((a + 100) / 5.0, 0)::BIGINT * 5 || ' ' || round_even(b / 5.0, 0)::BIGINT * 5
+      || ',' || round_even((a + 100) / 5.0, 0)::BIGINT * 5 || ' ' || round_even((b + 80) / 5.0, 0)::BIGINT * 5
+      || ',' || round_even(a / 5.0, 0)::BIGINT * 5 || ' ' || round_even((b + 80) / 5.0, 0)::BIGINT * 5
+      || ',' || round_even(a / 5.0, 0)::BIGINT * 5 || ' ' || round_even(b / 5.0, 0)::BIGINT * 5 || '))' AS geom FROM z""",
+)
+def _(t):
+    """Rectangles with a bump of height 0 to 7 in the lower side, thinned at 4, set on a grid of 5 and written."""
+    a, b, h = F.col("x") * 10, F.col("y") * 10, F.col("user_id") % 8
+    shape = F.format_string("POLYGON((%d %d,%d %d,%d %d,%d %d,%d %d,%d %d))", a, b, a + 50, b - h, a + 100, b, a + 100, b + 80, a, b + 80, a, b)
+    thin = t.people.select("user_id", simplified(geo.parts(shape), F.lit(4.0)).alias("g"))
+    return thin.select("user_id", geo.parts_wkt(geo.snap_parts("g", 5), F.lit("POLYGON")).alias("geom"))

@@ -385,6 +385,17 @@ def snap(c: Column | str, size: float) -> Column:
     return F.rint(col(c) / size) * size
 
 
+def snap_parts(geom: Column | str, size: float) -> Column:
+    """``parts`` with every vertex on the nearest grid lines; vertices that fall together with the one before are dropped."""
+
+    def snapped(p):
+        ring = F.transform(p["ring"], lambda v: F.struct(snap(v["x"], size).alias("x"), snap(v["y"], size).alias("y")))
+        fresh = bound(ring, lambda r: F.filter(r, lambda v, i: (i == 0) | (v != F.get(r, i - 1))))
+        return F.struct(p["shell"].alias("shell"), fresh.alias("ring"))
+
+    return F.transform(col(geom), snapped)
+
+
 def square(c: Column | str, size: int) -> Column:
     """Lower edge of the fixed map square holding the coordinate."""
     return (F.floor(col(c) / size) * size).cast("long")

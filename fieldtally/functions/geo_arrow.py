@@ -509,6 +509,7 @@ def strung(shape, seg, ta, sx, sy, ex, ey, closed: bool) -> list[dict]:
 
 
 def _thin(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which vertices of a ring or line stay."""
     keep = np.zeros(len(points), dtype=bool)
     keep[[0, -1]] = True
     todo = [(0, len(points) - 1)]
@@ -527,19 +528,30 @@ def _thin(points: np.ndarray, tolerance: float) -> np.ndarray:
             mid = lo + 1 + far
             keep[mid] = True
             todo += [(lo, mid), (mid, hi)]
-    return points[keep]
-
-
-@F.pandas_udf(PARTS)
-def simplified(geom: pd.Series, tolerance: pd.Series) -> pd.Series:
-    """Rings thinned so that no dropped vertex was further than ``tolerance`` from the result."""
-    out = []
-    for shape, tol in zip(geom, tolerance):
-        rings = []
-        for part in shape:
-            pts = np.array([(v["x"], v["y"]) for v in part["ring"]], dtype=float)
-            rings.append(
-                {"shell": part["shell"], "ring": [{"x": x, "y": y} for x, y in _thin(pts, tol)]}
-            )
-        out.append(rings)
-    return pd.Series(out)
+    return keep
+
+
+@F.arrow_udf(PARTS)
+def simplified(geom: pa.Array, tolerance: pa.Array) -> pa.Array:
+    """Rings thinned so that no dropped vertex was further than ``tolerance`` from the result.
+
+    Coordinates stay flat arrays with the offsets of their rings; a ring's own vertices are looked at only.
+    """
+    rings = geom.flatten()
+    lines = rings.field("ring")
+    points = lines.flatten()
+    xy = np.stack([np.asarray(points.field(c).to_numpy(zero_copy_only=False), float) for c in "xy"], axis=1)
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    per_shape = pa.compute.fill_null(pa.compute.list_value_length(geom), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    limits = np.repeat(tolerance.to_numpy(zero_copy_only=False).astype(float), per_shape)
+    ends = np.cumsum(sizes)
+    keep = np.ones(len(xy), bool)
+    for lo, hi, limit in zip(ends - sizes, ends, limits):
+        if hi - lo > 2:
+            keep[lo:hi] = _thin(xy[lo:hi], limit)
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    vertices = pa.StructArray.from_arrays([pa.array(xy[keep, 0]), pa.array(xy[keep, 1])], names=["x", "y"])
+    ring = pa.ListArray.from_arrays(pa.array(kept[np.concatenate([[0], ends])], pa.int32()), vertices)
+    shapes = pa.StructArray.from_arrays([rings.field("shell"), ring], names=["shell", "ring"])
+    out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_shape)]), pa.int32()), shapes)
+    return pa.compute.if_else(geom.is_valid(), out, pa.scalar(None, out.type))

@@ -50,6 +50,16 @@ def natural_key(c: Column | str) -> Column:
     return F.array_join(F.transform(F.regexp_extract_all(col(c), F.lit("[0-9]+|[^0-9]+"), F.lit(0)), piece), "")
 
 
+def list_text(c: Column | str, trailing: str = ", ") -> Column:
+    """A list written as text without the separators left at its end; spaces and commas of the text itself stay."""
+    return F.rtrim(col(c), F.lit(trailing))
+
+
+def lacks(c: Column | str, sign: str) -> Column:
+    """Whether a text does not hold a sign; null for a null text."""
+    return F.position(F.lit(sign), col(c)) == 0
+
+
 def strip_tags(c: Column | str) -> Column:
     """Text without markup tags."""
     return F.regexp_replace(col(c), r"<[^>]*>", "")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from .windows import position
 
 
 def summarise(df: DataFrame, keys: list[Column | str], **measures: Column) -> DataFrame:
@@ -104,28 +105,26 @@ def two_stage(df: DataFrame, keys: list, measures: dict[str, Column], outer_keys
     return summarise(summarise(df, keys, **measures), outer_keys, **outer)
 
 
-def paged(df: DataFrame, keys: list[str], by: Column | str, size: int) -> DataFrame:
-    """Split groups larger than ``size`` into numbered pages, ready to be collected per (keys, page).
+def paged(df: DataFrame, keys: list[str], by: Column | str | list, size: int) -> DataFrame:
+    """Rows with the ``page`` of their group: ``size`` rows in the order of ``by`` are a page, for every group alike.
 
-    A page is ``by mod pages`` for a whole number that spreads the rows (an id, a hash), so a group holding a third of all rows becomes many small groups on
-    many tasks and no row is dropped. The page count comes from a pre-aggregated count, kept for
-    large groups only; the explicit repartitioning keeps Spark from reusing the partitioning by key
-    and lets AQE split the join itself.
+    Pages are ready to be collected per (keys, page): a group holding a third of all rows becomes many small
+    groups on many tasks and no row is dropped, and a row keeps its page when rows are added behind it. Numbers within
+    the groups come from a range sort over all rows (``windows.position``), never from one task for a group. Make
+    ``by`` unique within a group for pages that can be repeated. Null keys are a group.
     """
-    large = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > size)
-        .select(*keys, F.ceil(F.col("_n") / size).cast("long").alias("_pages"))
-    )
-    out = df.join(large, keys, "left").withColumn(
-        "page", F.coalesce(F.pmod(col(by), F.col("_pages")), F.lit(0)).cast("long")
-    )
-    return out.drop("_pages").repartition(*[F.col(k) for k in keys], F.col("page"))
+    order = [col(c) for c in (by if isinstance(by, list) else [by])]
+    named = df.withColumns({f"_by{i}": c for i, c in enumerate(order)})
+    placed = position(named, [*[F.col(k) for k in keys], *[F.col(f"_by{i}") for i in range(len(order))]], "_at_row")
+    first = placed.groupBy(*keys).agg(F.min("_at_row").alias("_first")).withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    out = placed.join(first, same).withColumn("page", F.floor((F.col("_at_row") - F.col("_first")) / size).cast("long"))
+    out = out.select(*df.columns, "page")
+    return out.repartition(*[F.col(k) for k in keys], F.col("page"))
 
 
 def paged_text(df: DataFrame, key: str, value: str, into: str, sep: str = ",", size: int = 10000) -> DataFrame:
-    """Distinct values per key as sorted text; a key with more than ``size`` of them gets several pages."""
+    """Distinct values per key as sorted text, ``size`` of them to a page."""
     values = df.select(key, F.col(value).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    pages = paged(values, [key], F.xxhash64("_v"), size)
+    pages = paged(values, [key], "_v", size)
     return pages.groupBy(key, "page").agg(F.array_join(F.array_sort(F.collect_list("_v")), sep).alias(into))

@@ -59,10 +59,10 @@ def attrs_map(values: DataFrame, entity: str, caption: Column | str, value: Colu
 def attrs_list(entities: DataFrame, values: DataFrame, entity: str, fields: list[str], size: int = 10000) -> DataFrame:
     """Entities with all their attributes as an array of structs; an empty array when they have none.
 
-    An entity with more than ``size`` different attributes gets several rows, numbered by ``page``.
+    ``size`` different attributes, in their order, are a page; every entity has a row for each of its pages.
     """
     different = values.select(entity, *fields).distinct()
-    pages = paged(different, [entity], F.xxhash64(*fields), size)
+    pages = paged(different, [entity], list(fields), size)
     lists = pages.groupBy(entity, "page").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("attrs"))
     kind = dict(lists.dtypes)["attrs"]
     out = entities.join(lists, entity, "left").withColumn("attrs", F.coalesce("attrs", F.array().cast(kind)))

@@ -170,7 +170,7 @@ def grid_of(regions: DataFrame, size: int, box: str = "box") -> DataFrame:
 
 
 def collect_geom(df: DataFrame, key: str, wkt: str, id_col: str, size: int = 10000) -> DataFrame:
-    """Child lines of a parent as one MULTILINESTRING; parents with more than ``size`` get several pages."""
+    """Child lines of a parent as MULTILINESTRINGs, ``size`` lines in the order of their ids to a page."""
     from .aggregate import paged
 
     bodies = paged(df.select(key, id_col, F.regexp_extract(wkt, r"(\(.*\))", 1).alias("_body")), [key], id_col, size)

@@ -72,10 +72,10 @@ def attributes_as_list(entities: DataFrame, values: DataFrame, key: str, fields:
 def visit_documents(visits: DataFrame, records: DataFrame, fields: list[str], page_size: int = 10000) -> DataFrame:
     """One JSON document per visit with its records nested inside; visits without records get an empty array.
 
-    A visit with more than ``page_size`` records is given as several documents, numbered by ``page``, so
-    that no document has to be put together from an unbounded group.
+    ``page_size`` records in their order are a document, numbered by ``page``, for every visit alike, so
+    that no document has to be put together from an unbounded group. Records are read once.
     """
-    pages = paged(records.select("visit_id", "record_id", *fields), ["visit_id"], "record_id", page_size)
+    pages = paged(records.select("visit_id", "record_id", *fields), ["visit_id"], ["record_id", *fields], page_size)
     # Sorting by the fields as well makes equal ids repeatable.
     items = F.sort_array(F.collect_list(F.struct("record_id", *fields)))
     nested = pages.groupBy("visit_id", "page").agg(items.alias("records"))
@@ -132,8 +132,8 @@ def media_list(levels: list[tuple[str, DataFrame]], base_url: str = "") -> DataF
 def media_per_visit(visits: DataFrame, visit_media: DataFrame, record_media: DataFrame, page_size: int = 10000) -> DataFrame:
     """Visits with their own and their records' media as text, each list aggregated before joining.
 
-    Pre-aggregating keeps two one-to-many sides from multiplying each other. A visit with more than
-    ``page_size`` media gets several rows, numbered by ``page``.
+    Pre-aggregating keeps two one-to-many sides from multiplying each other. ``page_size`` media of either kind, in
+    their order, are a page; every visit has a row for each of its pages.
     """
     own = paged_text(visit_media, "visit_id", "path", "visit_media", size=page_size)
     theirs = paged_text(record_media, "visit_id", "path", "record_media", size=page_size)

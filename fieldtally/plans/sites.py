@@ -339,7 +339,7 @@ def sections_of(places: DataFrame, parents: DataFrame) -> DataFrame:
 def visits_by_spot(visits: DataFrame, page_size: int = 10000) -> DataFrame:
     """Visits sharing one position: their number, ids as text, and an opacity that grows with the number.
 
-    ``visits``: visit_id, x, y. A spot with more than ``page_size`` visits gives its ids on several pages.
+    ``visits``: visit_id, x, y. ``page_size`` ids in their order are a page.
     """
     counts = visits.groupBy("x", "y").agg(F.count(F.lit(1)).alias("visits"))
     pages = paged(visits.select("x", "y", "visit_id"), ["x", "y"], "visit_id", page_size)

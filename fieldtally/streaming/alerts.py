@@ -75,7 +75,7 @@ def read_rules(rules: DataFrame) -> DataFrame:
 
 
 def rule_members(members: DataFrame, page_size: int = 1000) -> DataFrame:
-    """Users to notify per group as text; groups of more than ``page_size`` users get several pages."""
+    """Users to notify per group as text, ``page_size`` users to a page."""
     return paged_text(members, "group_id", "user_id", "notify_user_ids", size=page_size)
 
 

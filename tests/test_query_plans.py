@@ -18,7 +18,7 @@ STREAMS = {"alert_stream", "rule_alert_stream", "rule_alerts_within_outlines"}
 #: Queries that need Arrow batches: polygon areas, the national grid, line thinning.
 ARROW = {"polygons_sharing_interior", "layer_overlap", "national_grid_round_trip", "simplified_outline"}
 #: Lines and polygons clipped by the edges of a cell, outlines strung, whole geometries in the national grid.
-ARROW |= {"lines_in_regions", "polygons_meeting", "records_in_regions", "united_boundaries", "transect_lines", "gis_export", "length_check"}
+ARROW |= {"generalised_outlines", "lines_in_regions", "polygons_meeting", "records_in_regions", "united_boundaries", "transect_lines", "gis_export", "length_check"}
 
 
 @pytest.fixture(scope="module")
