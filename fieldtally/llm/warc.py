@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import bound
 from .common import column, read_table
 
 DATE = "2024-01-01T00:00:00Z"
@@ -43,20 +44,55 @@ def numbered(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
 
 
+def without_hidden(text: Column, pattern: str) -> Column:
+    """``text`` with the parts that match ``pattern`` as a space; only what comes before the last end tag is tried.
+
+    No part can end after that, so the result is the same, and tags that never close cost nothing.
+    """
+    last = F.regexp_extract(text, "(?is)^.*" + pattern[pattern.rindex(".*?") + 3 :], 0)
+    return bound(last, lambda head: F.concat(F.regexp_replace(head, "(?is)" + pattern, " "), F.substring(text, F.length(head) + 1, F.length(text))))
+
+
 def page_text(html: Column) -> Column:
-    """The text of a page: hidden parts out, blocks on lines of their own, references decoded, space folded."""
-    out = html
-    for pattern in HIDDEN:
-        out = F.regexp_replace(out, "(?is)" + pattern, " ")
+    """The text of a page: hidden parts out, blocks on lines of their own, references decoded, space folded.
+
+    Each step is bound, so that it is computed once however often the next one uses it. A kind of hidden part is
+    tried where the page has its end tag; taking parts out makes no new tags, as a space takes their place.
+    """
+
+    def shown(page):
+        small = F.lower(page)
+
+        def without(low):
+            out = page
+            for pattern in HIDDEN:
+                end = pattern[pattern.rindex(".*?") + 3 :].removesuffix("\\s*>")
+                begin = end.replace("/", "") if end.startswith("</") else "<!--"
+                rest = F.substring_index(low, end, -1)
+                # Parts that begin after the last end tag would each be followed to the end of the page.
+                open_ = F.contains(rest, F.lit(begin)) & F.rlike(rest, F.lit(begin + ("[\\s>]" if begin != "<!--" else "")))
+                plain = (lambda p: lambda t: F.regexp_replace(t, "(?is)" + p, " "))(pattern)
+                out = bound(out, (lambda p, e, o, r: lambda t: F.when(~F.contains(low, F.lit(e)), t).when(o, without_hidden(t, p)).otherwise(r(t)))(pattern, end, open_, plain))
+            return out
+
+        return bound(small, without)
+
+    out = bound(html, shown)
     possessive = TAG.replace("]*", "]*+").replace("[^>\"']", "[^>\"']++").replace(")*>", ")*+>")
     out = F.regexp_replace(out, f"(?i)</?(?:{BLOCKS})(?![A-Za-z0-9]){possessive}", "\n")
     out = F.regexp_replace(out, f"</?[A-Za-z!?]{possessive}", "")
-    out = numbered(out)
-    for name, char in NAMED.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(out, "[ \\t\\r\\f\\x{00A0}]+", " ")
-    out = F.regexp_replace(out, " ?\\n[ \\n]*", "\n")
-    return F.regexp_replace(out, "^[ \\n]+|[ \\n]+$", "")
+
+    def named(text):
+        done = text
+        for name, char in NAMED.items():
+            done = F.replace(done, F.lit(name), F.lit(char))
+        return F.when(F.contains(text, F.lit("&")), done).otherwise(text)
+
+    out = bound(bound(out, numbered), named)
+    # Single spaces and line ends stay as they are and need no match.
+    out = F.regexp_replace(out, "[\\t\\r\\f\\x{00A0}][ \\t\\r\\f\\x{00A0}]*| [ \\t\\r\\f\\x{00A0}]+", " ")
+    out = F.regexp_replace(out, " \\n[ \\n]*|\\n[ \\n]+", "\n")
+    return F.btrim(out, F.lit(" \n"))
 
 
 def record_id(*parts: Column) -> Column:
@@ -88,12 +124,12 @@ def derivatives(source: DataFrame, id: str = "page_id") -> DataFrame:
     empty page has an empty text. Repeated responses give repeated records.
     """
     text = page_text(F.col("payload"))
-    base = source.select(column(source, id).alias("id"), "record_id", "target_uri", "date", "headers", "payload", text.alias("text"))
+    base = source.select(column(source, id).alias("id"), "record_id", "target_uri", "date", "headers", "payload", text.alias("text"), digest(F.col("payload")).alias("source_digest"))
     one_line = lambda c: F.regexp_replace(c, "[\\x00-\\x20]+", " ")
     title = F.trim(one_line(F.regexp_extract("payload", "(?is)<title(?:\\s[^>]*)?>(.*?)</title", 1)))
     language = F.regexp_extract("payload", "(?i)<html[^>]*\\slang=[\"']?([A-Za-z-]+)", 1)
     http = F.transform(F.filter(F.split("headers", "\r\n"), lambda h: F.contains(h, F.lit(":"))), lambda h: F.concat(F.lit("http-header: "), h))
-    payload_digest, block_digest = digest(F.col("payload")), digest(F.concat("headers", F.lit("\r\n"), F.col("payload")))
+    payload_digest, block_digest = F.col("source_digest"), digest(F.concat("headers", F.lit("\r\n"), F.col("payload")))
     line = lambda name, value: F.concat(F.lit(name + ": "), value)
     meta = F.concat(
         F.array(line("source-payload-digest", payload_digest), line("source-block-digest", block_digest)),
