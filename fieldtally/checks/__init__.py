@@ -10,7 +10,7 @@ from .registry import REGISTRY
 
 
 def _load():
-    from . import building_blocks, jobs, maps, streams  # noqa: F401  (registration)
+    from . import building_blocks, jobs, listings, maps, streams  # noqa: F401  (registration)
 
     return REGISTRY
 
