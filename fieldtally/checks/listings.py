@@ -80,7 +80,8 @@ def _(t):
 )
 def _(t):
     given = t.visits.select("place_id", F.substring("priority", 1, 1).cast("int").alias("attribute_id"), F.col("user_id").cast("long").alias("value"))
-    flags = t.visits.where("status = 'P'").select("place_id", F.lit(256).alias("attribute_id"), F.lit(1).cast("long").alias("value"))
+    flag = F.when(F.col("visit_id") > 0, 256).otherwise(0)
+    flags = t.visits.where("status = 'P'").select("place_id", flag.alias("attribute_id"), F.lit(1).cast("long").alias("value"))
     attributes = t.spark.createDataFrame([(1, "CMS User ID"), (2, "CMS User ID"), (3, "Owner"), (4, "Owner"), (5, None)], "attribute_id int, caption string")
     return listings.assigned_sites(t.places, given.unionByName(flags), attributes, "CMS User ID", 256).withColumnRenamed("value", "user_id")
 
