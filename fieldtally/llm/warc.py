@@ -20,28 +20,37 @@ HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 HIDDEN = ["<!--.*?-->"] + [f"<{t}(?:\\s[^>]*)?>.*?</{t}\\s*>" for t in ("script", "style", "noscript", "template", "svg", "head")]
 BLOCKS = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
 TAG = "(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-# Character references by name; the ampersand comes last.
+# Character references by name.
 NAMED = {
     "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®",
     "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»", "&euro;": "€",
     "&amp;": "&",
 }
-NUMBERED = "&#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+NUMBERED = "#([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6})"
 
 
-def numbered(text: Column) -> Column:
-    """Numbered character references decoded; what names no character becomes U+FFFD."""
-    hit = F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1))
-    pieces = F.split(text, NUMBERED, -1)
+def references(text: Column) -> Column:
+    """Character references decoded in one pass, so that what one of them gives is never read again as another.
 
-    def char(x):
+    A number that names no character becomes U+FFFD; unknown names stay as they are.
+    """
+
+    def char(name):
+        x = F.substring(name, 2, 8)
         code = F.when(F.lower(F.substring(x, 1, 1)) == "x", F.conv(F.substring(x, 2, 6), 16, 10)).otherwise(x).cast("int")
         good = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         shown = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
-        return F.when(code == 38, F.lit("&amp;")).otherwise(shown)  # read once only
+        known = F.create_map(*[F.lit(v) for k, c in NAMED.items() for v in (k[1:-1], c)])
+        return F.when(F.rlike(name, F.lit(f"^{NUMBERED}$")), shown).otherwise(F.try_element_at(known, name))
 
-    parts = F.zip_with(pieces, hit, lambda p, x: F.concat(p, F.when(x.isNull(), F.lit("")).otherwise(char(x))))
-    return F.when(F.contains(text, F.lit("&#")), F.array_join(parts, "")).otherwise(text)
+    def piece(p):
+        name = F.substring_index(p, ";", 1)
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
+        read = bound(char(name), lambda c: F.when(c.isNull(), F.concat(F.lit("&"), p)).otherwise(F.concat(c, rest)))
+        return F.when(F.contains(F.substring(p, 1, 10), F.lit(";")), read).otherwise(F.concat(F.lit("&"), p))
+
+    pieces = F.transform(F.split(text, "&", -1), lambda p, i: F.when(i == 0, p).otherwise(piece(p)))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
 
 
 def without_hidden(text: Column, pattern: str) -> Column:
@@ -82,16 +91,10 @@ def page_text(html: Column) -> Column:
     out = F.regexp_replace(out, f"(?i)</?(?:{BLOCKS})(?![A-Za-z0-9]){possessive}", "\n")
     out = F.regexp_replace(out, f"</?[A-Za-z!?]{possessive}", "")
 
-    def named(text):
-        done = text
-        for name, char in NAMED.items():
-            done = F.replace(done, F.lit(name), F.lit(char))
-        return F.when(F.contains(text, F.lit("&")), done).otherwise(text)
-
-    out = bound(bound(out, numbered), named)
-    # Single spaces and line ends stay as they are and need no match.
-    out = F.regexp_replace(out, "[\\t\\r\\f\\x{00A0}][ \\t\\r\\f\\x{00A0}]*| [ \\t\\r\\f\\x{00A0}]+", " ")
-    out = F.regexp_replace(out, " \\n[ \\n]*|\\n[ \\n]+", "\n")
+    out = bound(out, references)
+    # Single spaces and line ends stay as they are and need no match; what a match begins with is one class of characters.
+    out = F.regexp_replace(out, "[ \\t\\r\\f\\x{00A0}](?:[ \\t\\r\\f\\x{00A0}]++|(?<! ))", " ")
+    out = F.regexp_replace(out, "[ \\n](?:(?<=\\n)[ \\n]++|(?<= )\\n[ \\n]*+)", "\n")
     return F.btrim(out, F.lit(" \n"))
 
 
@@ -156,8 +159,8 @@ def as_warc(records: DataFrame) -> DataFrame:
     """One column ``record``: header and block of each record, without the blank lines that end it."""
     fields = [
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"),
-        ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"), ("Content-Type", "content_type"),
-        ("Content-Length", "content_length"),
+        ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"),
+        ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
     ]
     lines = [F.concat(F.lit(name + ": "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in fields]
     return records.select(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("block")).alias("record"))
@@ -179,8 +182,13 @@ def _sql_text() -> str:
         out = f"regexp_replace({out}, {quote('(?is)' + pattern)}, ' ', 'g')"
     out = f"regexp_replace({out}, {quote('(?i)</?(?:' + BLOCKS + ')' + chr(92) + 'b' + TAG)}, chr(10), 'g')"
     out = f"regexp_replace({out}, {quote('</?[A-Za-z!?]' + TAG)}, '', 'g')"
-    for name, char in NAMED.items():
-        out = f"replace({out}, {quote(name)}, {quote(char)})"
+    name = "split_part(p, ';', 1)"
+    char = lambda c: f"CASE WHEN {c} BETWEEN 1 AND 1114111 AND {c} NOT BETWEEN 55296 AND 57343 THEN chr({c}) ELSE chr(65533) END"
+    tens, hexes = f"CAST(substr({name}, 2) AS INTEGER)", f"CAST('0x' || substr({name}, 3) AS INTEGER)"
+    named = " ".join(f"WHEN {quote(k[1:-1])} THEN {quote(c)}" for k, c in NAMED.items())
+    read = f"CASE WHEN regexp_full_match({name}, '#[0-9]{{1,7}}') THEN {char(tens)} WHEN regexp_full_match({name}, '#[xX][0-9A-Fa-f]{{1,6}}') THEN {char(hexes)} ELSE CASE {name} {named} END END"
+    whole = f"CASE WHEN i = 1 THEN p WHEN position(';' IN p) = 0 THEN '&' || p ELSE coalesce({read} || substr(p, length({name}) + 2), '&' || p) END"
+    out = f"array_to_string(list_transform(string_split({out}, '&'), lambda p, i: {whole}), '')"
     out = f"regexp_replace({out}, '[ \\t\\r\\f\\x{{00A0}}]+', ' ', 'g')"
     out = f"regexp_replace({out}, ' ?\\n[ \\n]*', chr(10), 'g')"
     return f"regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g')"
