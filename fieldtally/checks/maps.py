@@ -261,7 +261,7 @@ def _(t):
     "combined_tenant_records",
     "job:combined_tenant_records U1 G1 F3",
     f"""SELECT v.visit_id, v.user_id % 5 AS website_id FROM visits v WHERE v.user_id % 5 = 1 OR
-    (v.user_id % 5 IN (2) AND EXISTS (SELECT 1 FROM boxes b WHERE b.region_id IN (3, 8) AND {IN_BOX.format(p='v')}))""",
+    (v.user_id % 5 IN (2) AND (v.x // 20 * 20 <> v.x // 100 * 100 OR v.y // 20 * 20 <> v.y // 100 * 100) AND EXISTS (SELECT 1 FROM boxes b WHERE b.region_id IN (3, 8) AND {IN_BOX.format(p='v')}))""",
 )
 def _(t):
     rows = t.visits.select("visit_id", (F.col("user_id") % 5).alias("website_id"), "x", "y")
@@ -270,7 +270,9 @@ def _(t):
     granted = t.region.select(F.col("r_regionkey").cast("long").alias("from_website_id"), owner)
     granted = granted.withColumn("receive_for_reporting", F.col("to_website_id") - F.col("from_website_id") == 1)
     inside = t.regions.where("region_id IN (3, 8)")
-    return sites.combined_tenant_records(rows, own, granted, inside).select("visit_id", "website_id")
+    fine, coarse = ([geo.square(c, size) for c in ("x", "y")] for size in (20, 100))
+    precise = (fine[0] != coarse[0]) | (fine[1] != coarse[1])
+    return sites.combined_tenant_records(rows, own, granted, inside, precise).select("visit_id", "website_id")
 
 
 @query(

@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.attributes import json_attr
 from ..functions.text import recode
-from ..operators.joins import with_parent
+from ..operators.aggregate import join_text
+from ..operators.filters import opt
+from ..operators.joins import to_preferred, with_parent
+from ..operators.ordering import down, up
 from ..operators.sets import stack
+from ..operators.spatial import tag_points
+from ..operators.windows import position
 
 
 def walk_counts(visits: DataFrame, children: DataFrame, records: DataFrame, taxa: DataFrame, values: DataFrame) -> DataFrame:
@@ -134,3 +140,148 @@ def requested_visits(visits: DataFrame, pack_states: DataFrame, status: str | No
     wanted = pack_states.where(F.col("pack_state") == status).select("pack_visit_id").distinct()
     by_pack = visits.join(wanted, F.col("visit_id") == F.col("pack_visit_id"), "left")
     return by_pack.where((F.col("status") == status) | F.col("pack_visit_id").isNotNull()).select(*visits.columns)
+
+
+def activity_visits(visits: DataFrame, records: DataFrame) -> DataFrame:
+    """Top visits of every user and activity with the number of sightings made on them or on their child visits.
+
+    ``visits``: visit_id, parent_id, user_id, group_id, date_start. ``records``: visit_id, zero_abundance; a record of nothing is no
+    sighting, on either level. Records are counted by visit before visits meet their children.
+    """
+    seen = records.where(~F.col("zero_abundance")).groupBy("visit_id").agg(F.count(F.lit(1)).alias("n"))
+    top = visits.select("visit_id", F.coalesce("parent_id", "visit_id").alias("top_id"))
+    per = top.join(seen, "visit_id").groupBy(F.col("top_id").alias("visit_id")).agg(F.sum("n").alias("sightings"))
+    out = visits.where(F.col("parent_id").isNull()).join(per, "visit_id", "left")
+    return out.select("visit_id", "user_id", "group_id", "date_start", F.coalesce("sightings", F.lit(0)).alias("sightings"))
+
+
+# Kingdoms listed before all others.
+PLANTS = ["Plantae", "Fungi", "Chromista"]
+
+
+def taxonomy_download(records: DataFrame, taxa: DataFrame, places: DataFrame, habitats: DataFrame, terms: DataFrame, per_habitat: bool = False) -> DataFrame:
+    """Records with site, taxon and habitats, plants and fungi first, numbered in the order of the download.
+
+    ``records``: record_id, visit_id, taxon_id, place_id, site_text. ``taxa``: taxon_id, kingdom, order_taxon, family, name. ``places``:
+    place_id, place_name. ``habitats``: visit_id, term_id. ``terms``: term_id, term. A record is one row with its habitats as text, or
+    with ``per_habitat`` one row for each habitat. Habitats without a term and records without habitats stay, with null.
+    """
+    named = habitats.join(terms, "term_id", "left").select("visit_id", "term").distinct()
+    if per_habitat:
+        shown = named.withColumnRenamed("term", "habitat")
+    else:
+        shown = named.groupBy("visit_id").agg(join_text("term").alias("habitat"))
+    out = records.join(taxa, "taxon_id").join(places.select("place_id", "place_name"), "place_id", "left").join(shown, "visit_id", "left")
+    out = out.select("record_id", F.coalesce("place_name", "site_text").alias("site"), "kingdom", "order_taxon", "family", "name", "habitat")
+    plants = F.coalesce(F.col("kingdom").isin(PLANTS), F.lit(False))
+    return position(out, [down(plants), up("order_taxon"), up("family"), up("name"), up("record_id"), up("site"), up("kingdom"), up("habitat")], "row_no")
+
+
+def site_sections(sites: DataFrame, sections: DataFrame, types: DataFrame) -> DataFrame:
+    """Sites with their sections, and a code of each section that is unique: the site's code or name, and the section's number.
+
+    ``sites``: site_id, site_name, site_code, type_id. ``sections``: section_id, parent_id, section_name, section_code (a letter and a
+    number). ``types``: type_id, site_type. A section without a code has no unique one.
+    """
+    both = sites.join(types, "type_id").join(sections, F.col("site_id") == F.col("parent_id"))
+    unique = F.concat(F.coalesce("site_code", "site_name"), F.lit("."), F.expr("substring(section_code, 2)"))
+    return both.select("site_id", "site_name", "site_code", "site_type", "section_id", "section_name", "section_code", unique.alias("unique_code"))
+
+
+def app_sites(places: DataFrame, values: DataFrame, attributes: DataFrame, attribute_tenants: DataFrame, tenant: int, owner: str, measure: str) -> DataFrame:
+    """Users' sites by the attribute captioned ``owner``, with the value of the one captioned ``measure``, both in use by the tenant.
+
+    ``places``: place_id, place_name. ``values``: place_id, attribute_id, value. ``attributes``: attribute_id, caption.
+    ``attribute_tenants``: attribute_id, website_id; several rows of an attribute do not multiply its values.
+    """
+    used = attributes.join(attribute_tenants.where(F.col("website_id") == tenant), "attribute_id", "left_semi")
+
+    def held(caption: str, into: str) -> DataFrame:
+        chosen = used.where(F.col("caption") == caption).select("attribute_id")
+        return values.join(chosen, "attribute_id", "left_semi").select("place_id", F.col("value").alias(into))
+
+    return held(owner, "user_id").join(held(measure, "sections"), "place_id").join(places.select("place_id", "place_name"), "place_id")
+
+
+def landscape_values(values: DataFrame, attributes: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Every visit's values other than zero of the attributes whose caption begins with a prefix, as (visit_id, name, value).
+
+    ``values``: visit_id, attribute_id, value. ``attributes``: attribute_id, caption. Signs in a prefix have no special meaning.
+    """
+    named = F.lit(False)
+    for prefix in prefixes:
+        named = named | F.col("caption").startswith(prefix)
+    chosen = attributes.where(named).select("attribute_id", F.col("caption").alias("name"))
+    return values.where(F.col("value") != 0).join(chosen, "attribute_id").select("visit_id", "name", "value")
+
+
+# States of data entry as shown, and the place of the workflow term from which results are ready.
+ENTRY_STATES = {"I": "Incomplete", "C": "Complete"}
+RESULTS_FROM = 40
+
+
+def workflow_visits(visits: DataFrame, values: DataFrame, terms: DataFrame, workflow: int | None = None, status: str | None = None, year: int | None = None) -> DataFrame:
+    """Visits with their workflow term, the state of data entry, and whether results are ready; three optional filters.
+
+    ``visits``: visit_id, user_id, status, created_on. ``values``: visit_id, term_id of the workflow attribute; a visit without one has
+    null and no results. ``terms``: term_id, term, sort_order.
+    """
+    states = values.join(terms, "term_id", "left").select("visit_id", "term_id", F.col("term").alias("workflow_status"), "sort_order")
+    chosen = opt(visits, status, lambda v: F.col("status") == v)
+    chosen = opt(chosen, year, lambda v: F.year("created_on") == v)
+    out = opt(chosen.join(states, "visit_id", "left"), workflow, lambda v: F.col("term_id") == v)
+    ready = F.coalesce(F.col("sort_order") >= RESULTS_FROM, F.lit(False))
+    entry = recode("status", ENTRY_STATES)
+    return out.select("visit_id", "user_id", "workflow_status", entry.alias("data_entry"), F.date_format("created_on", "dd/MM/yyyy").alias("created"), ready.alias("results_ready"))
+
+
+def packs_by_state(visits: DataFrame, values: DataFrame, status: str, pack_state: int = 0) -> DataFrame:
+    """Visits of a record status whose pack has a state; state 0 stands for packs without one.
+
+    ``visits``: visit_id, status and more. ``values``: visit_id, value of the pack attribute. Each visit once.
+    """
+    chosen = visits.where(F.col("status") == status)
+    if pack_state == 0:
+        return chosen.join(values.where(F.col("value").isNotNull()).select("visit_id"), "visit_id", "left_anti")
+    return chosen.join(values.where(F.col("value") == pack_state).select("visit_id"), "visit_id", "left_semi")
+
+
+def transect_visits(visits: DataFrame, places: DataFrame, distance_id: int) -> DataFrame:
+    """Child visits with a label of their place below its site, the transect of the visit above, and the distance down the slope.
+
+    ``visits``: visit_id, parent_id, place_id, attrs (JSON). ``places``: place_id, place_name, parent_id. The distance is 0 where it is missing.
+    """
+    named = with_parent(places, places, {"place_name": "site"}, key="place_id", parent_key="parent_id")
+    label = F.concat(F.coalesce(F.concat("site", F.lit(" - ")), F.lit("")), F.col("place_name"))
+    above = visits.select(F.col("visit_id").alias("parent_id"), F.col("place_id").alias("above_id"))
+    transects = places.select(F.col("place_id").alias("above_id"), F.col("place_name").alias("transect"))
+    out = visits.where(F.col("parent_id").isNotNull()).join(named.select("place_id", label.alias("label")), "place_id", "left")
+    out = out.join(above, "parent_id", "left").join(transects, "above_id", "left")
+    distance = F.coalesce(json_attr("attrs", distance_id, "double"), F.lit(0.0))
+    return out.select("parent_id", "visit_id", F.col("label").alias("site"), "transect", distance.alias("slope_distance"))
+
+
+def sites_download(places: DataFrame, types: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Sites with the term of their type; with ``regions``, those inside one of them, each once.
+
+    ``places``: place_id, place_name, type_id, x, y. ``types``: type_id, site_type. Positions are made distinct before they are looked up.
+    """
+    out = places.join(types, "type_id")
+    if regions is not None:
+        inside = tag_points(places.select("x", "y").distinct(), regions).select("x", "y").distinct()
+        out = out.join(inside, ["x", "y"], "left_semi")
+    return out.select("place_id", "place_name", "site_type", "x", "y")
+
+
+def treatments(visits: DataFrame, people: DataFrame, methods: DataFrame, wanted: str | None = None) -> DataFrame:
+    """Visits with who entered them as "surname, first name" and the preferred name of their method, whichever of its names they hold.
+
+    ``visits``: visit_id, user_id, method_id. ``people``: user_id, surname, first_name (may be null). ``methods``: id, meaning_id, name,
+    preferred. ``wanted`` is any name of a method; all visits of that meaning are kept.
+    """
+    preferred = to_preferred(methods.select("id", "meaning_id", "name", "preferred"))
+    if wanted is not None:
+        preferred = preferred.join(methods.where(F.col("name") == wanted).select("meaning_id"), "meaning_id", "left_semi")
+    named = preferred.select(F.col("id").alias("method_id"), F.col("preferred_name").alias("method"))
+    by = F.concat(F.col("surname"), F.coalesce(F.concat(F.lit(", "), F.col("first_name")), F.lit("")))
+    return visits.join(people, "user_id").join(named, "method_id", "left" if wanted is None else "inner").select("visit_id", by.alias("input_by"), "method")

@@ -95,14 +95,17 @@ def site_summary_by_geometry(records: DataFrame, regions: DataFrame, status: str
     return out.fillna(0, ["records", "species", "records_verified", "species_verified"])
 
 
-def combined_tenant_records(records: DataFrame, tenants: DataFrame, agreements: DataFrame, regions: DataFrame) -> DataFrame:
+def combined_tenant_records(records: DataFrame, tenants: DataFrame, agreements: DataFrame, regions: DataFrame, precise: Column | None = None) -> DataFrame:
     """Own records, and records other tenants share that lie inside a region. Each record once, in one scan.
 
-    ``records``: record_id, website_id, x, y and more. ``tenants``: website_id of the caller.
+    ``records``: record_id, website_id, x, y and more. ``tenants``: website_id of the caller. ``precise``: a condition that records
+    of others must meet too, such as a position finer than the coarse map square; null is not met.
     """
     own = tenants.select("website_id", F.lit(True).alias("_own")).distinct()
     allowed = filters.allowed_tenants(tenants, agreements).join(own, "website_id", "left")
     seen = records.join(allowed, "website_id")
+    if precise is not None:
+        seen = seen.where(F.col("_own") | precise)
     spots = seen.where(F.col("_own").isNull()).select("x", "y").distinct()
     inside = spatial.tag_points(spots, regions).select("x", "y", F.lit(True).alias("_in")).distinct()
     return seen.join(inside, ["x", "y"], "left").where(F.col("_own") | F.col("_in")).drop("_own", "_in")

@@ -186,6 +186,8 @@ def test_combined_records_need_region_only_for_others(spark):
     agreed = spark.createDataFrame([(1, 2, True)], "from_website_id int, to_website_id int, receive_for_reporting boolean")
     region = spatial.shapes(spark.createDataFrame([(1, "POLYGON((0 0,10 0,10 10,0 10,0 0))")], "id int, boundary_geom string"))
     assert rows(sites.combined_tenant_records(records, own, agreed, region), "record_id") == [(1,), (2,)]
+    assert rows(sites.combined_tenant_records(records, own, agreed, region, F.col("x") > 5), "record_id") == [(1,)]
+    assert rows(sites.combined_tenant_records(records, own, agreed, region, F.lit(None).cast("boolean")), "record_id") == [(1,)]
 
 
 def test_clusters_are_not_multiplied_by_known_places(spark):
