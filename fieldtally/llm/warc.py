@@ -14,6 +14,14 @@ from ..functions.geo import bound
 from .common import column, read_table
 
 DATE = "2024-01-01T00:00:00Z"
+#: How a record begins, and what ends its header and follows its block.
+START, END = "WARC/1.", "\r\n\r\n"
+# Header fields of a record in their order, with the column of each.
+FIELDS = [
+    ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"),
+    ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"),
+    ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
+]
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 #: Parts of a page that hold no text, tags that end a line, and any tag. Quoted values may hold ">".
@@ -157,12 +165,7 @@ def derivatives(source: DataFrame, id: str = "page_id") -> DataFrame:
 
 def as_warc(records: DataFrame) -> DataFrame:
     """One column ``record``: header and block of each record, without the blank lines that end it."""
-    fields = [
-        ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Concurrent-To", "concurrent_to"),
-        ("WARC-Target-URI", "target_uri"), ("WARC-Date", "date"), ("WARC-Block-Digest", "block_digest"),
-        ("WARC-Source-Payload-Digest", "source_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"),
-    ]
-    lines = [F.concat(F.lit(name + ": "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in fields]
+    lines = [F.concat(F.lit(name + ": "), F.col(c).cast("string"), F.lit("\r\n")) for name, c in FIELDS]
     return records.select(F.concat(F.lit("WARC/1.1\r\n"), *lines, F.lit("\r\n"), F.col("block")).alias("record"))
 
 
@@ -171,6 +174,41 @@ def write_warc(records: DataFrame, folder: str) -> None:
     as_warc(records).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(folder)
 
 
+def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Records of WARC files, in the columns of :func:`derivatives` without the page's id, and ``complete``.
+
+    A record ends where the next one's first line follows two line ends; compressed files need the usual name endings. Fields that a
+    record lacks are null. ``content_length`` is the declared one: a block is cut to it, and ``complete`` is false where
+    the block found is shorter, or longer by more than the line ends, as after a payload that itself holds such a first line. Bytes
+    stay as they are.
+    """
+    raw = spark.read.option("lineSep", END + START).text(folder)
+    text = F.when(F.col("value").startswith(START), F.substring("value", len(START) + 1, F.length("value"))).otherwise(F.col("value"))
+    head = F.substring_index(F.col("text"), END, 1)
+    field = lambda name: F.nullif(F.btrim(F.regexp_extract("head", f"(?im)^{name}:([^\\r\\n]*)", 1)), F.lit(""))
+    split = raw.select(text.alias("text")).where(F.btrim("text", F.lit("\r\n")) != "").withColumn("head", head)
+    bytes_ = F.col("text").cast("binary")
+    found = F.substring(bytes_, F.octet_length("head") + len(END) + 1, F.octet_length("text"))
+    named = split.select(*[field(name).alias(c) for name, c in FIELDS], found.alias("found")).withColumn("content_length", F.col("content_length").try_cast("long"))
+    block = F.substring(F.col("found"), F.lit(1), F.coalesce(F.col("content_length"), F.octet_length("found")).cast("int"))
+    over = F.octet_length("found") - F.col("content_length")
+    return named.select(*[c for _, c in FIELDS], block.cast("string").alias("block"), F.coalesce(over.isin(0, len(END)), F.lit(False)).alias("complete"))
+
+
+def responses_in(records: DataFrame, id: str = "page_id") -> DataFrame:
+    """The responses among records read from WARC files, with their own dates and headers, as :func:`derivatives` takes them.
+
+    The id is the record's name. Records that are not complete are responses too; filter on ``complete`` for whole ones. A
+    block without the empty line after its headers is all payload.
+    """
+    r = records.where(F.lower("record_type") == "response")
+    has = F.contains(F.col("block"), F.lit(END))
+    head = F.when(has, F.concat(F.substring_index("block", END, 1), F.lit("\r\n"))).otherwise(F.lit(""))
+    body = F.when(has, F.substring(F.col("block").cast("binary"), F.octet_length(F.substring_index("block", END, 1)) + len(END) + 1, F.octet_length("block")).cast("string"))
+    uri, date = (F.coalesce(c, F.lit("")) for c in ("target_uri", "date"))
+    return r.select(F.col("record_id").alias(id), "record_id", uri.alias("target_uri"), date.alias("date"), head.alias("headers"), F.coalesce(body, F.col("block")).alias("payload"))
+
+
 def op3_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     return derivatives(responses(read_table(spark, folder, "pages")))
 
