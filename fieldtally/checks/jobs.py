@@ -290,13 +290,14 @@ def _(t):
     "lapsed_users",
     "job:inactive_or_orphaned_users J5 A4 C2",
     f"""WITH {ACCOUNTS_SQL}, {LAST_SQL}
-    SELECT p.user_id, p.surname, string_agg(DISTINCT a.place_name, ', ' ORDER BY a.place_name) AS places, strftime(max(l.d), '%d/%m/%Y') AS last_visit
-    FROM persons p JOIN allocations a ON a.user_id = p.user_id AND a.approved_by_id <> a.user_id AND a.approved_on < DATE '2000-06-01'
-    LEFT JOIN last l ON l.user_id = p.user_id WHERE l.d IS NULL OR l.d < DATE '2000-06-01' GROUP BY 1, 2""",
+    SELECT user_id, surname, page, string_agg(place_name, ', ' ORDER BY place_name) AS places, strftime(max(d), '%d/%m/%Y') AS last_visit FROM (
+      SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY place_name) - 1) // 2 AS page FROM (SELECT DISTINCT p.user_id, p.surname, a.place_name, l.d
+        FROM persons p JOIN allocations a ON a.user_id = p.user_id AND a.approved_by_id <> a.user_id AND a.approved_on < DATE '2000-06-01'
+        LEFT JOIN last l ON l.user_id = p.user_id WHERE l.d IS NULL OR l.d < DATE '2000-06-01')) GROUP BY 1, 2, 3""",
 )
 def _(t):
     persons, _, allocations = accounts(t)
-    return people.lapsed_users(persons, allocations, t.visits, "2000-06-01").select("user_id", "surname", "places", "last_visit")
+    return people.lapsed_users(persons, allocations, t.visits, "2000-06-01", size=2).select("user_id", "surname", "page", "places", "last_visit")
 
 
 @query(
@@ -1025,8 +1026,9 @@ TRAITS_SQL = f"""m(designation_id, abbreviation, label, label_class) AS (VALUES
       (SELECT taxon_id, shown, count(*) AS n FROM des GROUP BY 1, 2) GROUP BY 1),
     traits AS (SELECT taxon_id, string_agg(DISTINCT record_status, '; ' ORDER BY record_status) AS biotope,
       string_agg(DISTINCT substatus, '; ' ORDER BY substatus) AS guild FROM records GROUP BY 1),
-    assoc AS (SELECT taxon_id, string_agg(DISTINCT place_name, ', ' ORDER BY place_name) AS associations FROM records JOIN places USING (place_id) GROUP BY 1)
-    SELECT a.taxon_id, a.name, a.family, t.biotope, t.guild, CAST(a.rank_order AS DOUBLE) AS rarity, d1.current_designations, d2.designation_summary, assoc.associations
+    near AS (SELECT taxon_id, place_name, (row_number() OVER (PARTITION BY taxon_id ORDER BY place_name) - 1) // 20 AS page FROM (SELECT DISTINCT taxon_id, place_name FROM records JOIN places USING (place_id))),
+    assoc AS (SELECT taxon_id, page, string_agg(place_name, ', ' ORDER BY place_name) AS associations FROM near GROUP BY 1, 2)
+    SELECT a.taxon_id, a.name, a.family, t.biotope, t.guild, CAST(a.rank_order AS DOUBLE) AS rarity, d1.current_designations, d2.designation_summary, coalesce(assoc.page, 0) AS page, assoc.associations
     FROM taxa a LEFT JOIN traits t USING (taxon_id) LEFT JOIN d1 USING (taxon_id) LEFT JOIN d2 USING (taxon_id) LEFT JOIN assoc USING (taxon_id)"""
 
 
@@ -1054,6 +1056,7 @@ def trait_index_of(t):
         {24: "rarity"},
         held,
         near.select("taxon_id", F.col("place_name").alias("name")),
+        size=20,
     )
 
 
@@ -1114,14 +1117,16 @@ def _(t):
     "list_catalogue",
     "job:list_catalogue A4 E4",
     """WITH lists AS (SELECT CAST(parent_id AS BIGINT) AS list_id, CASE WHEN parent_id < 20 THEN 'EBMS Country List - ' || parent_name ELSE parent_name END AS title FROM parents),
-    entries AS (SELECT DISTINCT p.parent_id AS list_id, r.taxon_id, a.rank_order % 7 AS g FROM records r JOIN places p ON p.place_id = r.place_id JOIN taxa a ON a.taxon_id = r.taxon_id)
+    entries AS (SELECT DISTINCT p.parent_id AS list_id, r.taxon_id, a.rank_order % 7 AS g FROM records r JOIN places p ON p.place_id = r.place_id JOIN taxa a ON a.taxon_id = r.taxon_id),
+    j AS (SELECT parent_id AS list_id, '{"location_id":' || place_id || ',"location_name":"' || place_name || '"}' AS j FROM places),
+    located AS (SELECT list_id, page, '[' || string_agg(j, ',' ORDER BY j) || ']' AS location_info FROM (SELECT *, (row_number() OVER (PARTITION BY list_id ORDER BY j) - 1) // 3 AS page FROM j) GROUP BY 1, 2)
     SELECT l.list_id, l.title, CASE WHEN l.title LIKE 'EBMS Country List - %' THEN replace(l.title, 'EBMS Country List - ', '') END AS region_code,
       coalesce((SELECT '[' || string_agg('{"group_id":' || n.region_id || ',"group_title":"' || g.r_name || '"}', ',') || ']' FROM parents n JOIN region g ON g.r_regionkey = n.region_id
         WHERE n.parent_id = l.list_id AND n.region_id < 4), '[]') AS group_info,
-      coalesce((SELECT '[' || string_agg(j, ',' ORDER BY j) || ']' FROM (SELECT '{"location_id":' || p.place_id || ',"location_name":"' || p.place_name || '"}' AS j FROM places p WHERE p.parent_id = l.list_id)), '[]') AS location_info,
+      coalesce(a.page, 0) AS page, coalesce(a.location_info, '[]') AS location_info,
       (SELECT count(*) FROM entries e WHERE e.list_id = l.list_id) AS taxa_count,
       '[' || coalesce((SELECT string_agg(DISTINCT CAST(g AS VARCHAR), ',' ORDER BY CAST(g AS VARCHAR)) FROM entries e WHERE e.list_id = l.list_id), '') || ']' AS species_groups
-    FROM lists l""",
+    FROM lists l LEFT JOIN located a ON a.list_id = l.list_id""",
 )
 def _(t):
     p = F.col("parent_id")
@@ -1139,7 +1144,7 @@ def _(t):
         key, F.col("region_id").alias("group_id"), F.col("r_name").alias("group_title")
     )
     at = t.places.select(key, F.col("place_id").alias("location_id"), F.col("place_name").alias("location_name"))
-    return taxonomy.list_catalogue(t.parents.select(key, title.alias("title")), entries, groups, at)
+    return taxonomy.list_catalogue(t.parents.select(key, title.alias("title")), entries, groups, at, size=3)
 
 
 # ---- history -------------------------------------------------------------------------

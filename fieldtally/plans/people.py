@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..functions.text import full_name
 from ..operators import filters
-from ..operators.aggregate import capped, count_if, exact_sum, join_text, pct
+from ..operators.aggregate import capped, count_if, exact_sum, join_text, paged_text, pct
 from ..operators.windows import latest_per, position
 
 
@@ -111,21 +111,28 @@ def records_by_date_basis(records: DataFrame, basis: str, date_from, date_to, by
     return per.agg(F.count("user_id").alias("recorders"), F.sum("records").alias("records"))
 
 
-def lapsed_users(people: DataFrame, allocations: DataFrame, visits: DataFrame, cutoff) -> DataFrame:
+def lapsed_allocations(allocations: DataFrame, visits: DataFrame, cutoff) -> tuple[DataFrame, DataFrame]:
+    """(allocations by others, before ``cutoff``, of people with no visit since; last_visit of every user)"""
+    since = dates.as_date(cutoff)
+    last = visits.groupBy("user_id").agg(F.max("date_start").alias("last_visit"))
+    active = last.where(F.col("last_visit") >= since)
+    approved = allocations.where((F.col("approved_by_id") != F.col("user_id")) & (F.col("approved_on") < since))
+    return approved.join(active, "user_id", "left_anti"), last
+
+
+def lapsed_users(people: DataFrame, allocations: DataFrame, visits: DataFrame, cutoff, size: int = 10000) -> DataFrame:
     """Allocated people with no visit since ``cutoff``, with their places and the date of their last visit.
 
+    ``size`` places, by name, are a ``page``; a person has a row for each. All pages have all dates of approval, which are days.
+
     Allocations made by the person themselves, or after the cutoff, do not count.
     ``allocations``: user_id, place_name, approved_by_id, approved_on.
     """
-    since = dates.as_date(cutoff)
-    last = visits.groupBy("user_id").agg(F.max("date_start").alias("last_visit"))
-    active = last.where(F.col("last_visit") >= since)
-    approved = allocations.where((F.col("approved_by_id") != F.col("user_id")) & (F.col("approved_on") < since))
-    places = approved.join(active, "user_id", "left_anti").groupBy("user_id").agg(
-        join_text("place_name").alias("places"),
-        join_text(F.date_format("approved_on", "dd/MM/yyyy")).alias("approval_dates"),
-    )
-    return people.join(places, "user_id").join(last, "user_id", "left").withColumn(
+    lapsed, last = lapsed_allocations(allocations, visits, cutoff)
+    days = lapsed.groupBy("user_id").agg(join_text(F.date_format("approved_on", "dd/MM/yyyy")).alias("approval_dates"))
+    places = paged_text(lapsed, "user_id", "place_name", "places", ", ", size)
+    out = people.join(days, "user_id").join(places, "user_id", "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long")))
+    return out.join(last, "user_id", "left").withColumn(
         "last_visit", F.date_format("last_visit", "dd/MM/yyyy")
     )
 
@@ -181,7 +188,7 @@ def inactive_or_orphaned_users(people: DataFrame, allocations: DataFrame, visits
     """All four account checks as one list: user_id, problem."""
     live_users = filters.live(users)
     checks = {
-        "lapsed": lapsed_users(people, allocations, visits, cutoff),
+        "lapsed": people.join(lapsed_allocations(allocations, visits, cutoff)[0].select("user_id"), "user_id", "left_semi"),
         "unallocated": unallocated_users(people, allocations),
         "deleted but allocated": deleted_but_allocated(allocations, live_users),
         "broken account": broken_accounts(visits, users, people),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import name_key
-from ..operators.aggregate import join_text
+from ..operators.aggregate import join_text, paged_text
 from ..operators.hierarchy import descend, paths
 from ..operators.joins import expand_path
 from ..operators.sync import rebuild, sync_set
@@ -152,9 +152,12 @@ def designations_of(taxon_designations: DataFrame) -> DataFrame:
     )
 
 
-def trait_index(taxa: DataFrame, values: DataFrame, many: dict[int, str], single: dict[int, str], designations: DataFrame, associations: DataFrame) -> DataFrame:
+def trait_index(taxa: DataFrame, values: DataFrame, many: dict[int, str], single: dict[int, str], designations: DataFrame, associations: DataFrame, size: int = 10000) -> DataFrame:
     """One wide row per species that has any trait: text lists of multi-valued traits, single values, designations, associates.
 
+    A species may have any number of associates: ``size`` of them, by name, are a ``page``, and a species has a row for each
+    page, the first for those without any. The other lists hold terms of fixed lists.
+
     ``values``: taxon_id, attribute_id, term, number. Every branch is grouped by taxon before it is
     joined, so branches do not multiply each other. ``associations``: taxon_id, name.
     """
@@ -167,9 +170,9 @@ def trait_index(taxa: DataFrame, values: DataFrame, many: dict[int, str], single
             *[F.max(F.when(F.col("attribute_id") == i, F.col("number"))).alias(n) for i, n in single.items()],
         )
     )
-    others = associations.groupBy("taxon_id").agg(join_text("name").alias("associations"))
-    out = taxa.join(traits, "taxon_id")
-    return out.join(designations_of(designations), "taxon_id", "left").join(others, "taxon_id", "left")
+    others = paged_text(associations, "taxon_id", "name", "associations", ", ", size)
+    out = taxa.join(traits, "taxon_id").join(designations_of(designations), "taxon_id", "left")
+    return out.join(others, "taxon_id", "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long")))
 
 
 def trait_index_rebuild(index: DataFrame, name: str, version: str, folder: str) -> DataFrame:
@@ -214,24 +217,27 @@ def country_list_sync(countries: DataFrame, links: DataFrame, lists: DataFrame,
     return list_changes, entry_changes
 
 
-def list_catalogue(lists: DataFrame, entries: DataFrame, groups: DataFrame, places: DataFrame, prefix: str = LIST_PREFIX) -> DataFrame:
+def list_catalogue(lists: DataFrame, entries: DataFrame, groups: DataFrame, places: DataFrame, prefix: str = LIST_PREFIX, size: int = 10000) -> DataFrame:
     """All lists with their groups and places as JSON text, region code, taxa and species groups.
 
+    A list may have any number of places: ``size`` of them are a ``page``, and a list has a row for each page, the first
+    for a list without places.
+
     ``lists``: list_id, title. ``entries``: list_id, taxon_id, taxon_group_id. ``groups``: list_id, group_id, group_title.
     ``places``: list_id, location_id, location_name. Each side is aggregated before it is joined.
     """
 
-    def json_list(df, fields, name):
-        item = F.to_json(F.struct(*fields))
-        return df.groupBy("list_id").agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_set(item)), ","), F.lit("]")).alias(name))
-
+    bracketed = lambda c: F.concat(F.lit("["), c, F.lit("]"))
+    item = lambda *fields: F.to_json(F.struct(*fields)).alias("item")
+    in_groups = groups.groupBy("list_id").agg(bracketed(join_text(item("group_id", "group_title"), ",")).alias("group_info"))
+    at = paged_text(places.select("list_id", item("location_id", "location_name")), "list_id", "item", "location_info", ",", size)
     per_taxon = entries.groupBy("list_id", "taxon_id").agg(F.max("taxon_group_id").alias("taxon_group_id"))
     taxa = per_taxon.groupBy("list_id").agg(
         F.count(F.lit(1)).alias("taxa_count"), join_text("taxon_group_id", ",").alias("species_groups")
     )
     out = (
-        lists.join(json_list(groups, ["group_id", "group_title"], "group_info"), "list_id", "left")
-        .join(json_list(places, ["location_id", "location_name"], "location_info"), "list_id", "left")
+        lists.join(in_groups, "list_id", "left")
+        .join(at.withColumn("location_info", bracketed(F.col("location_info"))), "list_id", "left")
         .join(taxa, "list_id", "left")
     )
     code = F.when(F.col("title").startswith(prefix), F.replace("title", F.lit(prefix), F.lit("")))
@@ -239,6 +245,7 @@ def list_catalogue(lists: DataFrame, entries: DataFrame, groups: DataFrame, plac
         "list_id",
         "title",
         F.coalesce("group_info", F.lit("[]")).alias("group_info"),
+        F.coalesce("page", F.lit(0).cast("long")).alias("page"),
         F.coalesce("location_info", F.lit("[]")).alias("location_info"),
         code.alias("region_code"),
         F.coalesce("taxa_count", F.lit(0)).alias("taxa_count"),

@@ -98,3 +98,26 @@ def test_any_name_of_a_method_finds_its_visits(spark):
     methods = spark.createDataFrame([(1, 1, "Spraying", True), (2, 1, "Chwistrellu", False), (3, 2, "Cutting", True)], "id int, meaning_id int, name string, preferred boolean")
     assert rows(listings.treatments(visits, people, methods, "Chwistrellu")) == [(1, "Lee, Ann", "Spraying"), (2, "Ash", "Spraying")]
     assert rows(listings.treatments(visits, people, methods), "visit_id", "method") == [(1, "Spraying"), (2, "Spraying"), (3, "Cutting"), (4, None)]
+
+
+def test_long_lists_come_in_pages(spark):
+    from fieldtally.plans import people, taxonomy
+
+    day = dt.date(2020, 1, 1)
+    persons = spark.createDataFrame([(1, "Lee"), (2, "Ash"), (3, "Fox")], "user_id int, surname string")
+    held = [(1, p, 9, day) for p in "caba"] + [(2, "d", 2, day), (3, "e", 9, day)]
+    allocations = spark.createDataFrame(held, "user_id int, place_name string, approved_by_id int, approved_on date")
+    visits = spark.createDataFrame([(1, dt.date(2020, 2, 3)), (3, dt.date(2022, 1, 1))], "user_id int, date_start date")
+    out = people.lapsed_users(persons, allocations, visits, "2021-01-01", size=2)
+    assert rows(out, "user_id", "page", "places", "approval_dates", "last_visit") == [(1, 0, "a, b", "01/01/2020", "03/02/2020"), (1, 1, "c", "01/01/2020", "03/02/2020")]
+
+    lists = spark.createDataFrame([(1, "A"), (2, "B")], "list_id int, title string")
+    entries = spark.createDataFrame([(1, 5, 2), (1, 6, 1), (1, 6, 1)], "list_id int, taxon_id int, taxon_group_id int")
+    groups = spark.createDataFrame([(1, 3, "g")], "list_id int, group_id int, group_title string")
+    places = spark.createDataFrame([(1, n, "p") for n in (3, 1, 2, 2)], "list_id int, location_id int, location_name string")
+    out = taxonomy.list_catalogue(lists, entries, groups, places, size=2)
+    place = '{"location_id":%d,"location_name":"p"}'
+    assert rows(out, "list_id", "page", "location_info", "taxa_count", "species_groups") == [
+        (1, 0, f"[{place % 1},{place % 2}]", 2, "[1,2]"), (1, 1, f"[{place % 3}]", 2, "[1,2]"), (2, 0, "[]", 0, "[]"),
+    ]
+    assert rows(out, "list_id", "group_info")[-1] == (2, "[]")
