@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
-from ..plans import listings
+from ..functions import geo, text
+from ..plans import awards, listings
 from .registry import query
 
 
@@ -311,3 +311,33 @@ def _(t):
     names = [(1, 1, "Spraying", True), (2, 1, "Chwistrellu", False), (3, 1, "Spray", False), (4, 2, "Cutting", True), (5, 2, "Torri", False)]
     methods = t.spark.createDataFrame(names, "id int, meaning_id int, name string, preferred boolean")
     return listings.treatments(visits, people, methods, "Chwistrellu")
+
+
+@query(
+    "latlon_labels",
+    "G6 C1",
+    """SELECT visit_id, printf('%.3f', abs(x - 500) / 8.0) || CASE WHEN x < 500 THEN 'S' ELSE 'N' END || ', ' || printf('%.3f', abs(y - 500) / 8.0) || CASE WHEN y < 500 THEN 'W' ELSE 'E' END AS label FROM visits""",
+)
+def _(t):
+    return t.visits.select("visit_id", geo.latlon_text((F.col("x") - 500) / 8, (F.col("y") - 500) / 8, 3).alias("label"))
+
+
+@query(
+    "source_labels",
+    "C1 C4",
+    """SELECT taxon_id, CASE taxon_id % 3 WHEN 1 THEN family ELSE family || ' | ' || name END AS label FROM taxa""",
+)
+def _(t):
+    k = F.col("taxon_id") % 3
+    survey = F.when(k == 0, F.concat("family", F.lit(" "), "name")).when(k == 1, F.col("family")).otherwise(F.col("name"))
+    return t.taxa.select("taxon_id", "family", survey.alias("survey")).select("taxon_id", text.source_label("family", "survey").alias("label"))
+
+
+@query(
+    "changed_badges",
+    "job:badges_merge F1",
+    """SELECT user_id, count(*) AS metric, strftime(max(date_start), '%Y-%m-%d') AS updated_on FROM visits GROUP BY 1 HAVING max(date_start) > DATE '2001-01-01'""",
+)
+def _(t):
+    held = t.visits.groupBy("user_id").agg(F.count(F.lit(1)).alias("metric"), F.max("date_start").alias("updated_on"))
+    return awards.badges_of(held, updated_since="2001-01-01")

@@ -28,10 +28,3 @@ def with_json_attrs(df: DataFrame, c: str, wanted: dict[str, tuple[str, str]], k
         raw = F.col("_doc").getField(attr)
         fields.append((raw if kind == "string" else raw.try_cast(kind)).alias(name))
     return parsed.select(*keep, *fields)
-
-
-def yes_no(c: Column) -> Column:
-    """Three-way flag: Yes for true-like text, No for false-like text, otherwise null."""
-    return F.when(F.lower(c).isin("1", "true", "t", "yes", "y"), "Yes").when(
-        F.lower(c).isin("0", "false", "f", "no", "n"), "No"
-    )

@@ -61,11 +61,6 @@ def vague_text(start: Column | str, end: Column | str, kind: Column | str) -> Co
     )
 
 
-def kind_of(start: Column | str, end: Column | str) -> Column:
-    """``D`` when both ends are the same day, ``DD`` otherwise."""
-    return F.when(col(start) == col(end), "D").otherwise("DD")
-
-
 def duration_seconds(c: Column | str) -> Column:
     """Seconds of an ``HH:MM`` or ``HH:MM:SS`` text; null when it is not such a text."""
     parts = F.split(col(c), ":")
@@ -77,10 +72,6 @@ def duration_seconds(c: Column | str) -> Column:
     return piece(0) * 3600 + piece(1) * 60 + last
 
 
-def duration_minutes(c: Column | str) -> Column:
-    return duration_seconds(c) / 60
-
-
 def month_day(c: Column | str) -> Column:
     """Calendar day as ``month * 100 + day``."""
     return F.month(col(c)) * 100 + F.dayofmonth(col(c))

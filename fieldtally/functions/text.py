@@ -60,11 +60,6 @@ def lacks(c: Column | str, sign: str) -> Column:
     return F.position(F.lit(sign), col(c)) == 0
 
 
-def strip_tags(c: Column | str) -> Column:
-    """Text without markup tags."""
-    return F.regexp_replace(col(c), r"<[^>]*>", "")
-
-
 def source_label(site: Column | str, survey: Column | str) -> Column:
     """``site | survey``; a site title repeated at the start of the survey title is dropped."""
     site, survey = col(site), col(survey)

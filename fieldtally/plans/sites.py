@@ -370,9 +370,3 @@ def centroids(places: DataFrame, wkt: str = "geom", places_after_point: int = 5)
         F.round("_at.y", places_after_point).alias("lat"),
         F.round("_at.x", places_after_point).alias("lon"),
     )
-
-
-def in_window(df: DataFrame, column: Column, box: tuple) -> DataFrame:
-    """Rows whose ``bounds`` meet a window."""
-    window = F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("xmin", "ymin", "xmax", "ymax"), box)])
-    return df.where(geo.boxes_meet(column, window))
