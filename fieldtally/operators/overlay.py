@@ -20,6 +20,19 @@ _SPANS = "array<struct<ta:double,tb:double>>"
 _HAIR = 1e-9
 
 
+def _firsts(rows: DataFrame, alike: list[Column], of: list[str]) -> DataFrame:
+    """The rows of the smallest ``of`` (then the other columns) among those ``alike``; a row that is there several times stays so.
+
+    Of parts that lie on each other as a whole only the first is left in a union and covers what the others cover,
+    so that copies need not meet each other.
+    """
+    rest = [c for c in rows.columns if c not in of]
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    named = {f"_like{i}": c for i, c in enumerate(alike)}
+    first = counted.withColumns(named).groupBy(*named).agg(F.min(F.struct(*of, *rest, "_n")).alias("_f"))
+    return first.select(*[F.col(f"_f.{c}").alias(c) for c in rows.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_f._n"))).alias("_n")).drop("_n")
+
+
 def _left_over(removed: Column) -> Column:
     """The spans of 0..1 that none of ``removed`` covers."""
     begin = F.struct(F.lit(0.0).alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -83,7 +96,9 @@ def union_lines(shapes: DataFrame, group: str) -> DataFrame:
     plain = shapes.where(F.col(group).isNotNull()).select("shape_id", group, geo.edges("geom").alias("edges"))
     e = F.col("_e")
     segs = plain.select("shape_id", group, F.posexplode("edges").alias("seg", "_e")).select("shape_id", group, "seg", e["x1"].alias("ax"), e["y1"].alias("ay"), e["x2"].alias("bx"), e["y2"].alias("by"))
-    segs = segs.where("ax <> bx or ay <> by")
+    begin, end = F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))
+    # The grouping also tells Spark how many segments there are: from the size of the files alone it may send all of them through the driver.
+    segs = _firsts(segs.where("ax <> bx or ay <> by"), [F.col(group), F.least(begin, end), F.greatest(begin, end)], ["shape_id", "seg"])
     other = segs.select(group, *[F.col(c).alias(f"o_{c}") for c in ("shape_id", "seg", "ax", "ay", "bx", "by")])
     o = {c: F.col(f"o_{c}") for c in ("ax", "ay", "bx", "by")}
     box_r = F.struct(F.least(o["ax"], o["bx"]).alias("xmin"), F.least(o["ay"], o["by"]).alias("ymin"), F.greatest(o["ax"], o["bx"]).alias("xmax"), F.greatest(o["ay"], o["by"]).alias("ymax"))

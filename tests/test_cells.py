@@ -229,3 +229,14 @@ def test_whole_geometries_reprojected_at_known_points(spark):
     assert (line[0].g[0].ring[0].x, line[0].g[0].ring[0].y) == (pytest.approx(651409.903, abs=0.05), pytest.approx(313177.270, abs=0.05))
     # A hundred metres of Web Mercator are about 60 in the grid at this latitude.
     assert math.dist(line[0].g[0].ring[0], line[0].g[0].ring[1]) == pytest.approx(100 * math.cos(math.radians(52.66)), rel=0.005) and line[1].g is None
+
+
+def test_equal_lines_meet_as_one(spark, monkeypatch):
+    """Forty copies of two sections, one half over the other, drawn either way: two segments are compared, not eighty."""
+    met = []
+    plain = overlay.meeting_boxes
+    monkeypatch.setattr(overlay, "meeting_boxes", lambda left, right, **k: met.append((left.count(), right.count())) or plain(left, right, **k))
+    ways = ["LINESTRING(0 0,10 0)", "LINESTRING(15 0,5 0)", "LINESTRING(10 0,0 0)"]
+    df = spark.createDataFrame([(i, 1, ways[i % 3]) for i in range(80)], "shape_id long, g long, wkt string")
+    out = overlay.union_lines(df.select("shape_id", "g", geo.parts("wkt").alias("geom")), "g")
+    assert met == [(2, 2)] and [r["length"] for r in out.collect()] == [15.0]
