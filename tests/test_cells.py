@@ -240,3 +240,14 @@ def test_equal_lines_meet_as_one(spark, monkeypatch):
     df = spark.createDataFrame([(i, 1, ways[i % 3]) for i in range(80)], "shape_id long, g long, wkt string")
     out = overlay.union_lines(df.select("shape_id", "g", geo.parts("wkt").alias("geom")), "g")
     assert met == [(2, 2)] and [r["length"] for r in out.collect()] == [15.0]
+
+
+def test_equal_polygons_meet_as_one(spark, monkeypatch):
+    """Copies of two squares, begun at any corner and turned either way, with a third of another group."""
+    met = []
+    plain = cells.clip
+    monkeypatch.setattr(cells, "clip", lambda lines, regions, **k: met.append((lines.count(), regions.count())) or plain(lines, regions, **k))
+    squares = ["POLYGON((0 0,2 0,2 2,0 2,0 0))", "POLYGON((1 1,3 1,3 3,1 3,1 1))", "POLYGON((2 2,0 2,0 0,2 0,2 2))", "POLYGON((0 0,0 2,2 2,2 0,0 0))"]
+    df = spark.createDataFrame([(i, int(i == 5), squares[i % 4]) for i in range(60)], "shape_id long, g long, wkt string")
+    out = overlay.union_polygons(df.select("shape_id", "g", geo.parts("wkt").alias("geom")), "g")
+    assert met == [(12, 3)] and sorted((r["g"], r["area"]) for r in out.collect()) == [(0, 7.0), (1, 4.0)]
