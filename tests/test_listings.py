@@ -121,3 +121,13 @@ def test_long_lists_come_in_pages(spark):
         (1, 0, f"[{place % 1},{place % 2}]", 2, "[1,2]"), (1, 1, f"[{place % 3}]", 2, "[1,2]"), (2, 0, "[]", 0, "[]"),
     ]
     assert rows(out, "list_id", "group_info")[-1] == (2, "[]")
+
+
+def test_plots_of_a_hot_group_come_from_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    people = spark.range(400).select(F.col("id").alias("user_id"), F.lit(1).alias("group_id"))
+    plots = spark.range(50).select(F.col("id").alias("place_id"), F.lit("p").alias("place_name"))
+    out = listings.plots_of_groups(people.union(people), plots.select("place_id", F.lit(1).alias("group_id")), plots)
+    assert out.count() == 400 * 50 and out.where("plots_in_group <> 50").count() == 0
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
