@@ -123,6 +123,18 @@ def test_long_lists_come_in_pages(spark):
     assert rows(out, "list_id", "group_info")[-1] == (2, "[]")
 
 
+def test_walks_of_users_are_given_once_and_not_shuffled_as_pairs(spark):
+    visits = [(1, 7, 3), (1, 7, 3), (2, 8, 3), (3, 7, 4), (4, None, 3), (5, 9, None), (6, 9, 5)]
+    allocations = [(7, 3), (7, 3), (None, 4), (9, None), (6, 5), (9, 6)]
+    v = spark.createDataFrame(visits, "visit_id long, created_by long, place_id long")
+    out = listings.walks_of_users(v, spark.createDataFrame(allocations, "user_id long, site_id long"))
+    own = {(c, i, c, p) for i, c, p in visits if c is not None}
+    given = {(u, i, c, p) for u, s in allocations for i, c, p in visits if s is not None and s == p}
+    assert rows(out, "user_id", "visit_id", "created_by", "place_id") == sorted(own | given, key=repr)
+    steps = [line.strip(" :+-*()0123456789") for line in out._jdf.queryExecution().executedPlan().toString().splitlines()]
+    assert not any(s.startswith(("Exchange", "HashAggregate")) for s in steps[: next(i for i, s in enumerate(steps) if s.startswith("Union"))])
+
+
 def test_plots_of_a_hot_group_come_from_several_tasks(spark):
     from pyspark.sql import functions as F
 
