@@ -16,6 +16,7 @@ from ..operators import filters
 from ..operators.aggregate import count_if, panel_rows, pct
 from ..operators.joins import join_any
 from ..operators.windows import running_total, top_n_other
+from ..session import shuffle_tasks
 
 
 def species_summary(records: DataFrame, taxa: DataFrame) -> DataFrame:
@@ -70,10 +71,11 @@ def two_level_counts(records: DataFrame, places: DataFrame, parents: DataFrame,
     """Records per taxon at every place and, added up, at every parent place.
 
     ``records``: place_id, taxon_id. ``places``: place_id, place_name, parent_id. ``parents``: parent_id, parent_name.
-    Both levels come from one grouped frame.
+    Both levels come from one grouped frame. Its rows, at most one per place for a taxon, are dealt by taxon over as many tasks as a
+    shuffle has: the names need more memory than the size of the shuffled keys, by which tasks are joined otherwise, tells.
     """
     per = records.groupBy("place_id", "taxon_id").agg(F.count(F.lit(1)).alias("n"))
-    named = per.join(places.join(parents, "parent_id"), "place_id")
+    named = per.join(places.join(parents, "parent_id"), "place_id").select("taxon_id", "n", "place_name", "parent_name").repartition(shuffle_tasks(records), "taxon_id")
     levels = F.array(
         F.struct(F.lit("square").alias("level"), F.col("parent_name").alias("plot")),
         F.struct(F.lit("plot").alias("level"), F.col("place_name").alias("plot")),

@@ -288,3 +288,15 @@ def test_synonyms(spark):
     assert rows(joins.to_preferred(names), "id", "preferred_name") == [(1, "Bellis"), (2, "Bellis"), (3, None)]
     wanted = spark.createDataFrame([(2,)], "id int")
     assert rows(joins.expand_synonyms(wanted, names), "id") == [(1,), (2,)]
+
+
+def test_counts_of_two_levels_come_from_several_tasks(spark):
+    """Their memory is that of names and taxa, which the size of the shuffled keys does not tell."""
+    from fieldtally.plans import summaries
+
+    records = spark.range(3000).select((F.col("id") % 7).alias("place_id"), (F.col("id") % 100).alias("taxon_id"))
+    places = spark.range(7).select(F.col("id").alias("place_id"), F.concat(F.lit("p"), "id").alias("place_name"), (F.col("id") % 2).alias("parent_id"))
+    parents = spark.range(2).select(F.col("id").alias("parent_id"), F.concat(F.lit("q"), "id").alias("parent_name"))
+    out = summaries.two_level_counts(records, places, parents, spark.range(100).select(F.col("id").alias("taxon_id"), F.lit("t").alias("name")))
+    assert out.where("level = 'square'").agg(F.sum("records")).first()[0] == 3000 and out.where("level = 'plot'").count() == 700
+    assert out.groupBy(F.spark_partition_id()).count().count() > 1
