@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import recode, status_label
 from ..operators.windows import latest_per
+from ..session import shuffle_tasks
 
 
 def latest_determination(records: DataFrame, determinations: DataFrame, comments: DataFrame) -> DataFrame:
@@ -105,23 +106,28 @@ BACK_END = ("postgres", "indicia_data_user")
 NOTE_BACK_END = "Action carried out directly on the back-end database"
 
 
-def row_states(inserted: DataFrame, log: DataFrame) -> DataFrame:
-    """(record_id, entity, id, log_id, row_before): each row as it was before each logged action, as a map.
+def row_states(inserted: DataFrame, log: DataFrame, records: DataFrame) -> DataFrame:
+    """The logged actions on ``records`` (record_id) with ``row_before``: the row as it was before each action, as a map.
 
-    ``inserted``: record_id, entity, id, field, value: the fields of each row when it was entered. ``log``: log_id, record_id,
-    entity, id, changed (map of new values). Changes are replayed field by field: a value holds from the action that
-    set it to the next that sets the field, and an action's row is put together from the values that hold before it.
-    Actions follow their log_id. A row with many actions is spread over its fields.
+    ``inserted``: record_id, entity, id, field, value: the fields of each row when it was entered. ``log``: log_id (a whole number),
+    record_id, entity, id, changed (map of new values). A value holds from the action that set it to the next that sets the
+    field; actions follow their log_id. The fields, which are the columns of the logged tables, are listed first, so
+    that one ordered pass over each row's actions carries all values: log and entered rows are shuffled once, by record.
     """
-    row = ["record_id", "entity", "id"]
-    given = log.select(*row, "log_id", F.explode("changed").alias("field", "value"))
-    first = inserted.select(*row, F.lit(None).cast(log.schema["log_id"].dataType).alias("log_id"), "field", "value")
-    own = Window.partitionBy(*row, "field").orderBy(F.col("log_id").asc_nulls_first())
-    held = first.unionByName(given).withColumn("_until", F.lead("log_id").over(own)).withColumnRenamed("log_id", "_from")
-    # Null is before all: an entered value holds until the first action that sets its field.
-    at = log.select(*row, "log_id").join(held, row)
-    before = at.where((F.col("_from").isNull() | (F.col("_from") < F.col("log_id"))) & (F.col("_until").isNull() | (F.col("_until") >= F.col("log_id"))))
-    return before.groupBy(*row, "log_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("row_before"))
+    fields = sorted(r["k"] for r in log.select(F.explode(F.map_keys("changed")).alias("k")).union(inserted.select("field")).distinct().collect())
+    rows = inserted.groupBy("record_id", "entity", "id").agg(F.collect_list(F.struct("field", "value")).alias("entered"))
+    rows = rows.where(F.col("entity").isNotNull() & F.col("id").isNotNull())
+    rows = rows.groupBy("record_id").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("entity", "id"), F.map_from_entries("entered")))).alias("_rows"))
+    known = records.select("record_id").distinct().join(rows, "record_id", "left")
+    own = log.repartition(shuffle_tasks(log), "record_id").join(known, "record_id").withColumn("_row", F.col("_rows")[F.struct("entity", "id")]).drop("_rows")
+    # A value that was set to null is a value too.
+    earlier = Window.partitionBy("record_id", "entity", "id").orderBy("log_id").rangeBetween(Window.unboundedPreceding, -1)
+    given = lambda m, f: F.when(F.map_contains_key(m, f), F.struct(F.lit(f).alias("field"), F.col(m)[f].alias("value")))
+    held = [F.coalesce(F.last(given("changed", f), True).over(earlier), given("_row", f)) for f in fields]
+    none = F.array().cast("array<struct<field:string,value:string>>")
+    out = own.withColumn("_held", F.filter(F.concat(none, F.array(*held)), lambda h: h.isNotNull()))
+    placed = F.col("entity").isNotNull() & F.col("id").isNotNull() & F.col("log_id").isNotNull()
+    return out.select(*log.columns, F.when(placed & (F.size("_held") > 0), F.map_from_entries("_held")).alias("row_before"))
 
 
 def audit_trail(records: DataFrame, log: DataFrame, people: DataFrame, inserted: DataFrame, logging_since=None) -> DataFrame:
@@ -139,11 +145,10 @@ def audit_trail(records: DataFrame, log: DataFrame, people: DataFrame, inserted:
         "record_id", F.lit("Inserted").alias("action"), F.lit("occurrences").alias("entity"), F.col("record_id").alias("id"), F.col("created_on").alias("at"), "user_id",
         F.lit(None).cast("string").alias("row_before"), "changed", F.when(late, NOTE_BEFORE_LOG).alias("notes"),
     )
-    own = log.join(records.select("record_id"), "record_id", "left_semi")
-    states = row_states(inserted, own)
+    states = row_states(inserted, log, records)
     checked = (F.col("entity") == "occurrences") & (F.size("changed") == 1) & F.map_contains_key("changed", "last_verification_check_date")
     notes = F.concat_ws(". ", F.when(checked, NOTE_RULE_CHECK), F.when(F.col("session").isin(*BACK_END), NOTE_BACK_END))
-    changes = own.join(states, ["record_id", "entity", "id", "log_id"], "left").select(
+    changes = states.select(
         "record_id", recode("action", ACTIONS).alias("action"), "entity", "id", "at", "user_id", F.to_json("row_before").alias("row_before"), F.to_json("changed").alias("changed"), notes.alias("notes")
     )
     return first.unionByName(changes).join(people.select("user_id", "user_name"), "user_id", "left").select(

@@ -87,3 +87,18 @@ def test_walks_end_on_cycles(spark):
     with pytest.raises(ValueError, match="its own ancestor"):
         hierarchy.ancestors_of(spark.createDataFrame([(1,)], "id long"), nodes)
     assert rows(hierarchy.ancestors_of(spark.createDataFrame([(5,), (6,)], "id long"), nodes), "id", "ancestor_id") == [(5, 5), (6, 6)]
+
+
+def test_row_states_read_a_hot_row_once_and_in_order(spark):
+    """A thousand actions on one row, among them values set to null and a repeated action; no join of a row's actions with its values."""
+    inserted = spark.createDataFrame([(1, "t", 1, "a", "0")], "record_id long, entity string, id long, field string, value string")
+    acts = [(i, 1, "t", 1, {"a": None if i == 5 else str(i)} if i % 2 else {"b": str(i)}) for i in range(1, 1001)]
+    acts += [acts[8], (2000, 1, "t", None, {"a": "x"}), (2001, 2, "t", 1, {"a": "x"})]
+    log = spark.createDataFrame(acts, "log_id long, record_id long, entity string, id long, changed map<string,string>")
+    out = history.row_states(inserted, log, spark.createDataFrame([(1,), (1,)], "record_id long"))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.log_id, []).append(r.row_before)
+    assert got.keys() == {*range(1, 1001), 2000} and got[2000] == [None] and got[1] == [{"a": "0"}] and got[2] == [{"a": "1"}]
+    assert got[7] == [{"a": None, "b": "6"}] and got[9] == [{"a": "7", "b": "8"}] * 2 and got[1000] == [{"a": "999", "b": "998"}]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2  # actions with the records, these with their entered rows
