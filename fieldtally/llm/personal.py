@@ -3,20 +3,23 @@
 DataFrame operations only. Four fixed rules find the base spans. Generators propose what the rules are too
 narrow for (numbers without a plus, dotted or bracketed forms, addresses with words for their signs), several
 readings for one place, and of a run of digit groups every part that a kind allows. Gradient-boosted trees
-over format and context features score each reading; they are fitted on a sample of the table's own
-different base spans, bounded by kind, rewritten into other forms, against broken ones. The fitted trees
+over format and context features score each reading; they are fitted on all of the table's own
+different base spans, rewritten into other forms, against broken ones; rows that look alike are one with a weight. The fitted trees
 become one column expression, so that scoring needs no join. Thresholds by kind are the lowest that reach
 the wanted precision on rows kept from the fit. Added spans never overlap base spans.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import bound
+from ..operators.windows import position
 from .common import column, discard, read_table, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -46,8 +49,10 @@ RUNS = ("spaced", "joined")
 LOCAL, LONGEST = 7, 19
 BEFORE, AFTER = 24, 8
 
-#: Different base spans of each kind the trees are fitted on, at most; each gives a few rewritten rows.
+#: Spans of each kind that :func:`sample` shows.
 SAMPLE = 3000
+#: Different rows of numbers that one task of the fit is meant to hold.
+ROWS = 100_000
 TREES, DEPTH, STEP = 12, 4, 0.4
 PRECISION = 0.99
 
@@ -247,26 +252,32 @@ FORMS = [
 ]
 
 
-def sample(spans: DataFrame) -> DataFrame:
-    """(kind, match, before, after, h, kept) of SAMPLE different base spans of each kind, or all if there are fewer.
+def different(spans: DataFrame) -> DataFrame:
+    """(kind, match, before, after, h) of all different base spans: copies of a span count once."""
+    per = [spans.where(F.size(k) > 0).select(F.explode(k).alias("s")).select(F.lit(k).alias("kind"), "s.match", "s.before", "s.after") for k in KINDS]
+    return reduce(DataFrame.union, per).distinct().withColumn("h", F.xxhash64("kind", "match", "before", "after"))
+
+
+def parted(some: DataFrame) -> DataFrame:
+    """Spans with ``kept``: every fourth of a kind, from its first, is kept from the fit.
 
-    Copies of a span count once, and no kind takes another's place. Every fourth of a kind, from its first, is
-    kept from the fit, so that each kind present has some; a kind with one span only is not fitted on.
+    So each kind present has some; a kind with one span only is not fitted on. Spans are numbered by a range sort.
     """
-    per = []
-    for k in KINDS:
-        one = spans.where(F.size(k) > 0).select(F.explode(k).alias("s")).select(F.lit(k).alias("kind"), "s.match", "s.before", "s.after").distinct()
-        per.append(one.withColumn("h", F.xxhash64("kind", "match", "before", "after")).orderBy("h", "match", "before", "after").limit(SAMPLE))
-    some = per[0]
-    for one in per[1:]:
-        some = some.union(one)
-    place = F.row_number().over(Window.partitionBy("kind").orderBy("h", "match", "before", "after"))
-    return some.withColumn("kept", place % 4 == 1)
+    placed = position(some, [F.col(c) for c in ("kind", "h", "match", "before", "after")], "_at_row")
+    first = placed.groupBy("kind").agg(F.min("_at_row").alias("_first"))
+    return placed.join(first, "kind").select(*some.columns, ((F.col("_at_row") - F.col("_first")) % 4 == 0).alias("kept"))
+
+
+def sample(spans: DataFrame) -> DataFrame:
+    """At most SAMPLE spans of each kind, parted, for a look at them; the trees are fitted on all (:func:`training_rows`)."""
+    some = different(spans)
+    per = [some.where(F.col("kind") == k).orderBy("h", "match", "before", "after").limit(SAMPLE) for k in KINDS]
+    return parted(reduce(DataFrame.union, per))
 
 
 def training_rows(spans: DataFrame) -> DataFrame:
-    """(kind, match, before, after, h, kept, label) from base spans: rewritten forms, broken forms, other readings."""
-    some = sample(spans)
+    """(kind, match, before, after, h, kept, label) from all different base spans: rewritten forms, broken forms, other readings."""
+    some = parted(different(spans))
     forms = F.array(*[F.struct(F.lit(k).alias("of"), F.regexp_replace("match", p, r).alias("form"), F.lit(y).alias("label")) for k, p, r, y in FORMS])
     rows = some.select("kind", "before", "after", "h", "kept", F.explode(F.filter(forms, lambda f: f["of"] == F.col("kind"))).alias("f"))
     rows = rows.select("kind", "before", "after", "h", "kept", F.col("f.form").alias("match"), F.col("f.label").alias("label"))
@@ -294,13 +305,17 @@ class Judge:
     def __init__(self, rows: DataFrame):
         at = features(F.col("kind"), F.col("match"), F.col("before"), F.col("after"))
         self.names = list(at)
-        # A bounded table: SAMPLE spans of each kind and their forms.
-        data = table(rows.select("kind", "h", "kept", F.col("label").cast("double").alias("label"), *[v.alias(k) for k, v in at.items()]).coalesce(1).sortWithinPartitions("h", "kind", "label", *self.names), "pii-training")
+        # Rows that look alike to the trees are one row with their number as its weight.
+        alike = rows.select("kind", "kept", F.col("label").cast("double").alias("label"), *[v.alias(k) for k, v in at.items()])
+        data = table(alike.groupBy(*alike.columns).agg(F.count(F.lit(1)).cast("double").alias("weight")), "pii-training")
         self.trees, self.least = [], {}
         fit = data.where("not kept")
         if fit.select("label").distinct().count() == 2:
-            ready = VectorAssembler(inputCols=self.names, outputCol="features").transform(fit).coalesce(1)
-            model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32).fit(ready)
+            # Placed by content alone, so that the trees do not depend on how the texts lie; a small table is one part.
+            tasks = 1 + fit.count() // ROWS
+            placed = fit.repartition(tasks, "kind", *self.names).sortWithinPartitions("kind", "label", *self.names)
+            ready = VectorAssembler(inputCols=self.names, outputCol="features").transform(placed)
+            model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=1, maxBins=32, weightCol="weight").fit(ready)
             self.trees = list(zip(model.treeWeights, [t.rootNode() for t in model._java_obj.trees()]))
             self.calibrate(data.where("kept"))
         discard(data)
@@ -311,8 +326,8 @@ class Judge:
 
     def calibrate(self, kept: DataFrame) -> None:
         grid = [0.5 + i / 100 for i in range(0, 50, 2)]
-        scored = kept.select("kind", "label", self.score({k: F.col(k) for k in self.names}).alias("p"))
-        cells = [F.struct(F.lit(t).alias("t"), F.sum(F.when(F.col("p") >= t, F.col("label"))).alias("hit"), F.count(F.when(F.col("p") >= t, 1)).alias("all")) for t in grid]
+        scored = kept.select("kind", "label", "weight", self.score({k: F.col(k) for k in self.names}).alias("p"))
+        cells = [F.struct(F.lit(t).alias("t"), F.sum(F.when(F.col("p") >= t, F.col("label") * F.col("weight"))).alias("hit"), F.sum(F.when(F.col("p") >= t, F.col("weight")).otherwise(0.0)).alias("all")) for t in grid]
         for row in scored.groupBy("kind").agg(F.array(*cells).alias("cells")).collect():
             good = [c["t"] for c in row["cells"] if c["all"] and c["hit"] >= PRECISION * c["all"]]
             if good:
@@ -466,7 +481,7 @@ def personal(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
     kept = [c for c in docs.columns if (keep is None or c in keep) and c.lower() not in ("base", "extra")]
     body = F.coalesce(column(docs, text).cast("string"), F.lit(""))
     found = docs.select(*[column(docs, c).alias(f"c{i}") for i, c in enumerate(kept)], *[v.alias(k) for k, v in proposals(body).items()])
-    # Written once: the sample, the scoring and the result read it, and the patterns run once per text.
+    # Written once: the fit, the scoring and the result read it, and the patterns run once per text.
     found = table(found, "proposals")
     judge = Judge(training_rows(found))
     scored = found.withColumn("blocks", base_blocks()).withColumn("extra", best(added(judge))).drop("blocks", *GENERATORS)

@@ -290,6 +290,15 @@ def test_personal_sample_by_kind(spark, monkeypatch):
     assert {r["kind"] for r in made.where("label and kept").collect()} == {"email", "ip", "phone"}
 
 
+def test_personal_learns_from_all_spans(spark, monkeypatch):
+    monkeypatch.setattr(personal, "SAMPLE", 5)
+    texts = ["write to a@b.example now"] * 20 + [f"mail user{i}@host{i}.example" for i in range(300)] + [f"host 10.0.0.{i} up" for i in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    made = personal.training_rows(df.select(*[v.alias(k) for k, v in personal.proposals(F.col("text")).items()]))
+    own = made.where("label").groupBy("kind").agg(F.countDistinct("h").alias("n"), F.countDistinct(F.when(F.col("kept"), F.col("h"))).alias("kept"))
+    assert {r["kind"]: (r["n"], r["kept"]) for r in own.collect()} == {"email": (301, 76), "ip": (6, 2)}
+
+
 # ---- chats, mixing, WARC, language ----------------------------------------------------
 
 
