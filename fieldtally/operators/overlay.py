@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.geo_arrow import PARTS, strung
+from ..session import shuffle_tasks
 from . import cells
 from .spatial import meeting_boxes
 
@@ -33,11 +34,6 @@ def _firsts(rows: DataFrame, alike: list[Column], of: list[str]) -> DataFrame:
     return first.select(*[F.col(f"_f.{c}").alias(c) for c in rows.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("_f._n"))).alias("_n")).drop("_n")
 
 
-def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
-    """Few rows with much work each, dealt over as many tasks as a shuffle has."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-
-
 def _left_over(removed: Column) -> Column:
     """The spans of 0..1 that none of ``removed`` covers."""
     begin = F.struct(F.lit(0.0).alias("at"), F.array().cast(_SPANS).alias("out"))
@@ -85,7 +81,8 @@ def union_polygons(shapes: DataFrame, group: str) -> DataFrame:
     known = _firsts(known, [F.col(group), F.array_sort("edges")], ["shape_id"])
     e = F.col("_e")
     segs = known.select("shape_id", group, F.posexplode("edges").alias("seg", "_e")).select("shape_id", group, "seg", e["x1"].alias("ax"), e["y1"].alias("ay"), e["x2"].alias("bx"), e["y2"].alias("by"))
-    segs = _dealt(segs, "shape_id", "seg")
+    # Few rows with much work each.
+    segs = segs.repartition(shuffle_tasks(segs), "shape_id", "seg")
     found = cells.clip(segs, known.withColumnRenamed("shape_id", "region_id"), by=(group,), apart=True)
     # Of outlines that run along each other the first shape's stays.
     gone = found.where((F.col("where") == "in") | (F.col("where") == "against") | ((F.col("where") == "along") & (F.col("region_id") < F.col("shape_id"))))
