@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLACES, annotate, as_text, column, components, discard, mix, range_hashes, read_table, slices, spread, table, text_bytes, windows, word_ranges
+from .common import PLACES, annotate, as_text, column, components, discard, in_batches, mix, range_hashes, read_table, slices, spread, table, text_bytes, windows, word_ranges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -146,7 +146,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(a, part.schema.field(0).type), pa.array(b, part.schema.field(3).type)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return in_batches(dealt).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +222,7 @@ def counted(nodes: DataFrame) -> np.ndarray:
                 cells += np.frombuffer(own.as_buffer(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
 
-    made = nodes.select("text").mapInArrow(first, "cells binary").repartition(SKETCHES).mapInArrow(add, "cells binary")
+    made = in_batches(nodes.select("text")).mapInArrow(first, "cells binary").repartition(SKETCHES).mapInArrow(add, "cells binary")
     return sum((np.frombuffer(r[0], np.int64) for r in made.collect()), np.zeros(SKETCH, np.int64))
 
 
@@ -288,7 +288,7 @@ def tiled(state: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], rows.schema.field(3).type) for i in (0, 1)], names=["a", "b"])
 
     kind = state.schema["node"].dataType.simpleString()
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}")
+    return in_batches(dealt).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 class Tile:

@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Distinct pieces a task remembers before it starts anew; bounds memory, results do not depend on it.
 REMEMBERED = 400_000
+#: Bytes of text encoded at once: arrays of a slice take some 60 bytes for each.
+SLICE = 1 << 19
 
 _CUT = np.zeros(256, bool)
 _CUT[[0x20, 0x0A, 0x0D, 0x09]] = True
@@ -198,7 +200,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: list[str] | Non
 
         return run
 
-    return annotate(docs, text, "ids array<int>, starts array<int>, ends array<int>", make, keep)
+    return annotate(docs, text, "ids array<int>, starts array<int>, ends array<int>", make, keep, SLICE)
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -221,7 +223,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", keep: list[str] | Non
                 out = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at[cuts].astype(np.int32)), pa.py_buffer(body)])
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], out], names=[f.name for f in fields])
 
-    return plain.mapInArrow(run, T.StructType(fields)).toDF(*[f.name for f in kept], "decoded")
+    return common.in_batches(plain).mapInArrow(run, T.StructType(fields)).toDF(*[f.name for f in kept], "decoded")
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -250,7 +252,7 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: list[str] |
 
         return run
 
-    return annotate(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long", make, keep)
+    return annotate(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long", make, keep, SLICE)
 
 
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
