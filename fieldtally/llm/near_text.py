@@ -33,8 +33,8 @@ STRAYS = 8
 DRAWN = 4
 #: Members of a star that one task compares with its centre.
 STAR = 512
-#: Cells of the sketch that orders shingles by how often they come, and tasks that add up its parts.
-SKETCH, SKETCHES = 1 << 17, 16
+#: Cells of the sketch that orders shingles by how often they come, and of one of the parts it is added up in.
+SKETCH, PART = 1 << 17, 1 << 10
 _CELL = np.uint64(64 - 17)
 
 _rng = np.random.default_rng(20240608)
@@ -203,27 +203,34 @@ def stray_pairs(state: DataFrame) -> DataFrame:
 def counted(nodes: DataFrame) -> np.ndarray:
     """About how often the shingles of ``nodes`` (text) come, in SKETCH cells by hash.
 
-    Each task adds up its own cells and hands over one row; a few tasks add those up, so that the driver gets
-    SKETCHES rows of fixed size.
+    Each task adds up its own cells and hands them over in parts, which are dealt by their number and added up, so
+    that the driver gets each cell once, in rows of PART cells: SKETCH cells in all, however many tasks there are.
     """
 
+    def rows(parts):
+        full = [(i, cells.tobytes()) for i, cells in parts if cells.any()]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in full], pa.int32()), pa.array([p[1] for p in full], pa.binary())], names=["part", "cells"])
+
     def first(batches):
         cells = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for part in slices(batch, batch.column(0)):
                 for s in shingle_sets(as_text(part.column(0))):
                     np.add.at(cells, (s >> _CELL).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
+        yield rows(enumerate(cells.reshape(-1, PART)))
 
     def add(batches):
-        cells = np.zeros(SKETCH, np.int64)
+        found = {}
         for batch in batches:
-            for own in batch.column(0):
-                cells += np.frombuffer(own.as_buffer(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()], pa.binary())], names=["cells"])
-
-    made = in_batches(nodes.select("text")).mapInArrow(first, "cells binary").repartition(SKETCHES).mapInArrow(add, "cells binary")
-    return sum((np.frombuffer(r[0], np.int64) for r in made.collect()), np.zeros(SKETCH, np.int64))
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found[part] = found.get(part, 0) + np.frombuffer(own.as_buffer(), np.int64)
+        yield rows(found.items())
+
+    kind = "part int, cells binary"
+    out = np.zeros((SKETCH // PART, PART), np.int64)
+    for part, own in in_batches(nodes.select("text")).mapInArrow(first, kind).repartition("part").mapInArrow(add, kind).collect():
+        out[part] += np.frombuffer(own, np.int64)
+    return out.ravel()
 
 
 def rarest(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
