@@ -143,3 +143,37 @@ def test_plots_of_a_hot_group_come_from_several_tasks(spark):
     out = listings.plots_of_groups(people.union(people), plots.select("place_id", F.lit(1).alias("group_id")), plots)
     assert out.count() == 400 * 50 and out.where("plots_in_group <> 50").count() == 0
     assert out.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def bytes_a_row(spark, df, path):
+    # Without broadcasts, as larger tables are joined.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df.write.parquet(str(path))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / spark.read.parquet(str(path)).count()
+
+
+def test_walks_at_sites_of_many_users_take_few_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    visits = spark.range(1000).select(F.col("id").alias("visit_id"), (F.col("id") * 1_000_003 + 7).alias("created_by"), F.lit(1).cast("long").alias("place_id"))
+    allocations = spark.range(4001).select((F.col("id") * 999_983).alias("user_id"), F.lit(1).cast("long").alias("site_id"))
+    assert bytes_a_row(spark, listings.walks_of_users(visits, allocations), tmp_path / "walks") < 0.4
+
+
+def test_fanned_join_gives_the_rows_of_a_join(spark):
+    from pyspark.sql import functions as F
+
+    from fieldtally.operators.joins import fanned_join
+
+    key = F.when(F.col("id") % 50 > 0, F.when(F.col("id") % 50 == 1, F.lit(2)).otherwise(F.lit(1)))
+    big = spark.range(900).select((F.col("id") % 700).alias("a"), key.alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("n.a"))
+    small = spark.range(700).select((F.col("id") % 600).cast("string").alias("b"), key.alias("k"))
+    wanted = big.join(small, "k")
+    for inner in ("small", "big"):
+        out = fanned_join(big, small, ["k"], ["a"], inner=inner)
+        assert out.dtypes == wanted.dtypes
+        assert out.count() == wanted.count() and out.exceptAll(wanted).count() == 0
