@@ -177,3 +177,12 @@ def test_fanned_join_gives_the_rows_of_a_join(spark):
         out = fanned_join(big, small, ["k"], ["a"], inner=inner)
         assert out.dtypes == wanted.dtypes
         assert out.count() == wanted.count() and out.exceptAll(wanted).count() == 0
+
+
+def test_plots_of_large_groups_take_few_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    people = spark.range(4000).select((F.col("id") * 999_983).alias("user_id"), F.lit(1).alias("group_id"))
+    plots = spark.range(2001).select((F.col("id") * 1_000_003).alias("place_id"), F.sha1(F.col("id").cast("string")).alias("place_name"))
+    out = listings.plots_of_groups(people, plots.select("place_id", F.lit(1).alias("group_id")), plots)
+    assert bytes_a_row(spark, out, tmp_path / "plots") < 0.4
